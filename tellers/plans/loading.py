@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellers.operators.keyed import insert_ignore, latest, upsert
+from tellers.operators.keyed import latest, upsert
 from tellers.operators.sizing import broadcast_if_small, splittable_join
 from tellers.plans.build import (
     build_ballots, build_bills, build_lookup, build_members, build_parties, build_votes,
@@ -113,7 +113,7 @@ class Load:
         landed = build_votes(self._records("vote")).join(kept, "ballot_id", "left_semi")
         known, unknown = with_known_members(landed, self.store.read("member"))
         stored = self.store.read("vote")
-        self.store.write("vote", incremental_votes(stored, known.select(*stored.columns)))
+        self.store.append("vote", remaining_votes(stored, known.select(*stored.columns)))
         unknown.write.mode("overwrite").parquet(f"{self.store.root}/rejected_votes")
 
     def run(self) -> DataFrame:

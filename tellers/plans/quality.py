@@ -38,7 +38,7 @@ def _report(counted: DataFrame, table: str, rule: str) -> DataFrame:
 
 def repeated_keys(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """Keys that occur more than once; keys with a NULL do not count as equal."""
-    whole = df.select(*key).na.drop("any", list(key))
+    whole = df.select(*key).na.drop("any")
     return whole.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 

@@ -35,7 +35,7 @@ class Tables:
             self._built[name] = self._makers[name]()
         return self._built[name]
 
-    def lookup(self, name: str, **columns: str) -> DataFrame:
+    def lookup(self, name: str, /, **columns: str) -> DataFrame:
         """Columns of a table, renamed ``new=old``, for broadcast if it is small."""
         if name not in self._lookups:
             self._lookups[name] = broadcast_if_small(self[name])

@@ -1,12 +1,13 @@
-"""Tables as Parquet snapshots; a ledger says which snapshot is current.
+"""Tables as Parquet folders; a ledger says which folders make a table.
 
-A write never touches a folder that a plan may be reading: it makes a new
-snapshot and then appends one ledger row. A job that stops in between leaves an
+A write never touches a folder that a plan may be reading: it makes a new one
+and then appends one ledger row. A job that stops in between leaves an
 unreferenced folder and the old state.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -61,25 +62,33 @@ class Store:
             .write.mode("append").parquet(f"{self.root}/progress_log")
         )
 
-    def exists(self, table: str) -> bool:
-        return self.progress(f"table:{table}") is not None
+    def _paths(self, table: str) -> list[str]:
+        value = self.progress(f"table:{table}")
+        return json.loads(value) if value else []
 
     def read(self, table: str) -> DataFrame:
-        """The current snapshot, or an empty table of the right shape."""
-        path = self.progress(f"table:{table}")
-        if path is None:
+        """The current rows, or an empty table of the right shape."""
+        paths = self._paths(table)
+        if not paths:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(path)
+        return self.spark.read.schema(TABLES[table]).parquet(*paths)
 
-    def write(self, table: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` as the new snapshot of ``table`` and return it."""
+    def _add(self, table: str, df: DataFrame, kept: list[str]) -> DataFrame:
         path = f"{self.root}/{table}/{uuid.uuid4().hex}"
         fields = TABLES[table].fields
         shaped = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
         laid_out(shaped, table).write.parquet(path)
-        self.set_progress(f"table:{table}", path)
+        self.set_progress(f"table:{table}", json.dumps([*kept, path]))
         return self.read(table)
 
+    def write(self, table: str, df: DataFrame) -> DataFrame:
+        """Make ``df`` the whole of ``table`` and return it."""
+        return self._add(table, df, [])
+
+    def append(self, table: str, df: DataFrame) -> DataFrame:
+        """Add the rows of ``df`` without touching those stored."""
+        return self._add(table, df, self._paths(table))
+
 
 def laid_out(df: DataFrame, table: str) -> DataFrame:
     """``df`` range-clustered by the layout columns of ``table``."""
