@@ -10,8 +10,10 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tellers.plans.tables import Tables
+from tellers.session import local_rows
 
 _DRIVER = {
     "region": "r_regionkey INT, r_name STRING",
@@ -71,7 +73,8 @@ def ballot_type(s: Source) -> DataFrame:
 
 
 def vote_type(s: Source) -> DataFrame:
-    return s.spark.createDataFrame([(1, "For"), (2, "Against"), (3, "Absent")], "id INT, type STRING")
+    schema = T.StructType().add("id", "integer").add("type", "string")
+    return local_rows(s.spark, [(1, "For"), (2, "Against"), (3, "Absent")], schema)
 
 
 def party(s: Source) -> DataFrame:
@@ -163,7 +166,7 @@ def tables(s: Source, **other: DataFrame) -> Tables:
     """The domain tables; ``other`` replaces some of them."""
     makers = {name: partial(make, s) for name, make in _MAKERS.items()}
     makers.update({name: (lambda df=df: df) for name, df in other.items()})
-    return Tables(makers)
+    return Tables(makers, bounded={"vote_type"} - set(other))  # three rows
 
 
 def damaged_tables(s: Source) -> Tables:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,17 +14,33 @@ _FIXED_WIDTH = 16
 _ROW_OVERHEAD = 32
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of the rows' size in memory, from one aggregate."""
+@dataclass(frozen=True)
+class Size:
+    """Rows of a table and an upper estimate of their bytes in memory."""
+
+    rows: int
+    bytes: int
+
+
+def _measure(df: DataFrame) -> DataFrame:
     texts = [name for name, kind in df.dtypes if kind == "string"]
     nested = [name for name, kind in df.dtypes if kind.startswith(("array", "struct", "map"))]
     if nested:
         raise ValueError(f"cannot size nested columns: {nested}")
-    width = _ROW_OVERHEAD + _FIXED_WIDTH * len(df.columns)
-    total = F.count(F.lit(1)) * width
+    rows = F.count(F.lit(1))
+    total = rows * (_ROW_OVERHEAD + _FIXED_WIDTH * len(df.columns))
     for name in texts:
         total = total + F.coalesce(F.sum(F.octet_length(name)), F.lit(0))
-    return df.agg(total.alias("bytes")).first()["bytes"]
+    return df.agg(rows.alias("rows"), total.alias("bytes"))
+
+
+def measured(frames: Mapping[str, DataFrame]) -> dict[str, Size]:
+    """Sizes of several DataFrames from one job."""
+    if not frames:
+        return {}
+    parts = [_measure(df).withColumn("name", F.lit(name)) for name, df in frames.items()]
+    rows = reduce(DataFrame.unionByName, parts).collect()  # one row per frame
+    return {row["name"]: Size(row["rows"], row["bytes"]) for row in rows}
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -31,7 +49,7 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     Beyond the bound the join is left to Catalyst: a shuffled join whose hot
     partitions AQE splits.
     """
-    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+    return F.broadcast(df) if measured({"": df})[""].bytes <= max_bytes else df
 
 
 def splittable_join(

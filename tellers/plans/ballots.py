@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tellers.functions.text import any_like
 from tellers.operators.paging import Page, after_key, page_info, take_page
 from tellers.operators.sizing import broadcast_if_small
-from tellers.plans.tables import Tables, with_ballot_type, with_bill
-from tellers.session import cut
+from tellers.plans.tables import Tables, bill_columns, with_ballot_type, with_bill
+from tellers.session import LOCAL_ROWS, settle
 
 # Sort keys and the columns they stand for; "title" sorts by the short title.
 SORTS = {
@@ -78,13 +78,6 @@ def on_topic(ballots: DataFrame, tables: Tables, topic_id: int | None) -> DataFr
     return ballots.join(bills, "bill_id", "left_semi")
 
 
-def bill_columns(tables: Tables, *extra: str) -> DataFrame:
-    return tables["bill"].select(
-        F.col("id").alias("bill_id"), F.col("number").alias("bill_number"),
-        "title", "short_title", "period_id", *extra,
-    )
-
-
 def filtered_ballots(tables: Tables, f: BallotFilter) -> DataFrame:
     """Ballots that pass the filter, one row each, without any bill column."""
     ballots = tables["ballot"]
@@ -109,30 +102,26 @@ def order_columns(order: list[tuple[str, str]]) -> list[Column]:
 
 
 def _listed(ballots: DataFrame, tables: Tables) -> DataFrame:
-    enriched = with_bill(
-        ballots.select("id", "number", "passed", "held_at", "type_id", "bill_id"),
-        bill_columns(tables), tables["bill_topic"], tables.lookup("topic", id="id", name="name"),
-        ", ",
-    )
-    return with_ballot_type(enriched, tables).select(
+    tables.measure("topic", "bill", "ballot_type")
+    rows = ballots.select("id", "number", "passed", "held_at", "type_id", "bill_id")
+    return with_ballot_type(with_bill(rows, tables, ", "), tables).select(
         "id", "number", "passed", "held_at", "type_id", "ballot_type", "bill_id", "bill_number",
         "title", "short_title", "period_id", "topics",
     )
 
 
-def narrowed(tables: Tables, rows: DataFrame) -> Tables:
+def narrowed(tables: Tables, rows: DataFrame, count: int) -> Tables:
     """The tables with bills and bill topics cut down to the bills of ``rows``.
 
-    For a page or one ballot: a scan against few keys instead of a shuffle.
+    For a page or one ballot, of at most ``count`` rows: a scan against few keys
+    instead of a shuffle.
     """
-    wanted = broadcast_if_small(rows.select("bill_id").distinct())
-    return Tables.of(
-        bill=tables["bill"].join(wanted.withColumnRenamed("bill_id", "id"), "id", "left_semi"),
-        bill_topic=tables["bill_topic"].join(wanted, "bill_id", "left_semi"),
-        topic=tables["topic"],
-        ballot_type=tables["ballot_type"],
-        vote_type=tables["vote_type"],
-    )
+    few = count <= LOCAL_ROWS
+    wanted = rows.select("bill_id").distinct()
+    wanted = F.broadcast(wanted) if few else broadcast_if_small(wanted)
+    own = tables["bill"].join(wanted.withColumnRenamed("bill_id", "id"), "id", "left_semi")
+    topics = tables["bill_topic"].join(wanted, "bill_id", "left_semi")
+    return tables.replaced(("bill", "bill_topic") if few else (), bill=own, bill_topic=topics)
 
 
 def ballot_list(tables: Tables, f: BallotFilter = BallotFilter()) -> DataFrame:
@@ -156,7 +145,7 @@ def ballot_page(
     """One page of the list; ``after`` (sort value, id) instead of an offset.
 
     Page first, enrich after: the top-k runs on the narrow filtered rows, is
-    written once, and only its bills are looked up. The bill is joined before
+    settled once, and only its bills are looked up. The bill is joined before
     only where the sort needs it.
     """
     order = list_order(sort, direction)
@@ -169,8 +158,8 @@ def ballot_page(
     if after is not None:
         rows = rows.where(after_key(order, after))
         page = Page(1, page.size)
-    rows = cut(take_page(rows, order_columns(order), page))
-    return _listed(rows, narrowed(tables, rows)).orderBy(*order_columns(order))
+    rows = settle(take_page(rows, order_columns(order), page), page.size)
+    return _listed(rows, narrowed(tables, rows, page.size)).orderBy(*order_columns(order))
 
 
 def ballot_page_info(
@@ -184,13 +173,10 @@ def ballot_header(tables: Tables, ballot_id: int | None = None) -> DataFrame:
     """The head of one ballot's document, or of every ballot's."""
     ballots = tables["ballot"]
     if ballot_id is not None:
-        ballots = cut(ballots.where(F.col("id") == ballot_id))
-        tables = narrowed(tables, ballots)
-    enriched = with_bill(
-        ballots, bill_columns(tables, "resume"), tables["bill_topic"],
-        tables.lookup("topic", id="id", name="name"), ",",
-    )
-    return with_ballot_type(enriched, tables).select(
+        ballots = settle(ballots.where(F.col("id") == ballot_id), 1)
+        tables = narrowed(tables, ballots, 1)
+    tables.measure("topic", "bill", "ballot_type")
+    return with_ballot_type(with_bill(ballots, tables, ",", "resume"), tables).select(
         "id", "number", "passed", "conclusion", "comment", "held_at", "type_id", "ballot_type",
         "bill_id", "bill_number", "title", "short_title", "resume", "period_id", "topics",
     )

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tellers.operators.sizing import broadcast_if_small, splittable_join
 from tellers.plans.ballots import ballot_header
-from tellers.plans.breakdowns import ballot_party_votes, ballot_totals, named_votes
+from tellers.plans.breakdowns import named_votes
 from tellers.plans.members import member_header, member_stats, member_topic_stats
-from tellers.plans.tables import Tables
+from tellers.plans.tables import Tables, with_vote_type
+from tellers.session import cut
 
 VOTES_PER_PART = 10_000
 _BLOCK = 4096
@@ -39,6 +40,24 @@ def _numbered_parts(df: DataFrame) -> DataFrame:
     return rows.withColumn("part", part).drop("_block", "_within")
 
 
+def _counts(tables: Tables, ballot_id: int | None) -> DataFrame:
+    """Votes per ballot, party and vote type; ``known`` is false for unknown members.
+
+    Written once: the sizes, the party counts and the totals all come from it.
+    """
+    tables.measure("member", "vote_type")
+    members = tables.lookup("member", member_id="id", party="party_abbr")
+    votes = tables["vote"].select("ballot_id", "member_id", "vote_type_id")
+    if ballot_id is not None:
+        votes = votes.where(F.col("ballot_id") == ballot_id)
+    counts = (
+        votes.join(members.withColumn("known", F.lit(True)), "member_id", "left")
+        .groupBy("ballot_id", "known", "party", "vote_type_id")
+        .agg(F.count(F.lit(1)).alias("votes"))
+    )
+    return cut(with_vote_type(counts, tables))
+
+
 def ballot_document(
     tables: Tables, ballot_id: int | None = None, votes_per_part: int = VOTES_PER_PART
 ) -> DataFrame:
@@ -49,8 +68,8 @@ def ballot_document(
     ``parts``: no ballot is ever gathered whole, and no vote is left out. The
     votes meet their header on (ballot, part), so that join is not skewed either.
     """
-    totals = ballot_totals(tables, ballot_id)
-    sizes = totals.groupBy("ballot_id").agg(F.sum("votes").alias("_votes"))
+    counts = _counts(tables, ballot_id)
+    sizes = counts.groupBy("ballot_id").agg(F.sum("votes").alias("_votes"))
     split = broadcast_if_small(
         sizes.where(F.col("_votes") > votes_per_part).select(
             "ballot_id", F.ceil(F.col("_votes") / votes_per_part).alias("parts")
@@ -64,15 +83,18 @@ def ballot_document(
         .groupBy("ballot_id", "part")
         .agg(_sorted_list(*fields).alias("votes"))
     )
-    counts = _nested(
-        ballot_party_votes(tables, ballot_id), "ballot_id", "party_votes",
+    by_party = _nested(
+        counts.where("known"), "ballot_id", "party_votes",
         "party", "vote_type_id", "vote_type", "votes",
     )
-    sums = _nested(totals, "ballot_id", "totals", "vote_type_id", "vote_type", "votes")
+    by_type = counts.groupBy("ballot_id", "vote_type_id", "vote_type").agg(
+        F.sum("votes").alias("votes")
+    )
+    totals = _nested(by_type, "ballot_id", "totals", "vote_type_id", "vote_type", "votes")
     head = (
         ballot_header(tables, ballot_id).withColumnRenamed("id", "ballot_id")
-        .join(counts, "ballot_id", "left")
-        .join(sums, "ballot_id", "left")
+        .join(by_party, "ballot_id", "left")
+        .join(totals, "ballot_id", "left")
         .join(split, "ballot_id", "left")
         .withColumn("parts", parts)
     )

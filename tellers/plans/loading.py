@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tellers.operators.keyed import latest, upsert
 from tellers.operators.sizing import broadcast_if_small, splittable_join
@@ -16,10 +17,11 @@ from tellers.plans.build import (
 from tellers.plans.quality import SUMMARY_TABLES, table_counts
 from tellers.plans.tables import Tables
 from tellers.schema import PERIOD_START, RECORDS, TOPIC_NAMES
-from tellers.session import cut
+from tellers.session import cut, local_rows
 from tellers.sources.landed import read_pages
 from tellers.sources.store import Store
 
+_SEED = T.StructType().add("n", "long").add("name", "string")
 LAST_STEP = "last_completed_step"
 
 
@@ -34,12 +36,11 @@ def seed_topics(topics: DataFrame, names: Sequence[str] = TOPIC_NAMES) -> DataFr
     The names are a short fixed list, so numbering them in the driver is fine.
     """
     spark = topics.sparkSession
-    seeds = spark.createDataFrame(list(enumerate(names)), "_order INT, name STRING")
-    present = topics.select("name").join(F.broadcast(seeds.select("name")), "name", "left_semi")
-    taken = {row["name"] for row in present.distinct().collect()}  # at most len(names) rows
-    new = [(i, n) for i, n in enumerate([n for n in names if n not in taken], 1)]
+    present = topics.where(F.col("name").isin(list(names))).select("name").distinct()
+    taken = {row["name"] for row in present.collect()}  # at most len(names) rows
+    new = list(enumerate([n for n in names if n not in taken], 1))
     top = topics.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    added = spark.createDataFrame(new, "n INT, name STRING").select(
+    added = local_rows(spark, new, _SEED).select(
         (top + F.col("n")).cast("long").alias("id"), "name"
     )
     return topics.select("id", "name").unionByName(added)

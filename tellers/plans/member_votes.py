@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tellers.functions.text import any_like
 from tellers.operators.paging import Page, page_info, take_page
-from tellers.plans.ballots import (
-    BallotFilter, ballot_conditions, bill_columns, narrowed, on_topic,
+from tellers.plans.ballots import BallotFilter, ballot_conditions, narrowed, on_topic
+from tellers.plans.tables import (
+    Tables, bill_columns, with_ballot_type, with_bill, with_vote_type,
 )
-from tellers.plans.tables import Tables, with_ballot_type, with_bill, with_vote_type
-from tellers.session import cut
+from tellers.session import settle
 
 
 @dataclass(frozen=True)
@@ -57,9 +57,8 @@ _LISTED = (
 
 
 def _enriched(ballots: DataFrame, tables: Tables) -> DataFrame:
-    topics = tables.lookup("topic", id="id", name="name")
-    with_bills = with_bill(ballots, bill_columns(tables), tables["bill_topic"], topics, ",")
-    return with_ballot_type(with_bills, tables)
+    tables.measure("topic", "bill", "ballot_type", "vote_type")
+    return with_ballot_type(with_bill(ballots, tables, ","), tables)
 
 
 def member_votes(
@@ -80,8 +79,8 @@ def member_votes_page(
     """One page of the list, newest first; only the page's rows are enriched."""
     order = [F.col("held_at").desc(), F.col("vote_id").asc()]
     rows = _votes(tables, f, member_id).join(_ballots(tables, f).select(*_BALLOT), "ballot_id")
-    rows = cut(take_page(rows, order, page))
-    here = narrowed(tables, rows)
+    rows = settle(take_page(rows, order, page), page.size)
+    here = narrowed(tables, rows, page.size)
     return with_vote_type(_enriched(rows, here), here, "left").select(*_LISTED).orderBy(*order)
 
 

@@ -92,7 +92,7 @@ def member_topic_stats(tables: Tables, member_id: int | None = None) -> DataFram
         .groupBy("member_id", "topic_id", "vote_type_id")
         .agg(F.count(F.lit(1)).alias("votes"))
     )
-    topics = tables.lookup("topic", topic_id="id", topic="name")
+    topics = tables.measure("topic", "vote_type").lookup("topic", topic_id="id", topic="name")
     named = with_vote_type(counts.join(topics, "topic_id"), tables).select(
         "member_id", "topic_id", "topic", "vote_type_id", "vote_type", "votes"
     )

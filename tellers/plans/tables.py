@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellers.operators.sizing import broadcast_if_small, splittable_join
+from tellers.operators.sizing import BROADCAST_BYTES, Size, measured, splittable_join
 from tellers.sources.store import Store
 
 
@@ -15,59 +15,103 @@ class Tables:
     """Named DataFrames, each built when first asked for.
 
     ``lookup`` gives a table for the small side of a join, measured once.
+    ``bounded`` names the tables that hold few rows by construction.
     """
 
-    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]) -> None:
+    def __init__(
+        self, makers: Mapping[str, Callable[[], DataFrame]], bounded: Iterable[str] = ()
+    ) -> None:
         self._makers = makers
+        self._bounded = frozenset(bounded)
         self._built: dict[str, DataFrame] = {}
-        self._lookups: dict[str, DataFrame] = {}
+        self._sizes: dict[str, Size] = {}
 
     @classmethod
-    def of_store(cls, store: Store, names: tuple[str, ...]) -> Tables:
+    def of_store(cls, store: Store, names: Iterable[str]) -> Tables:
         return cls({name: lambda name=name: store.read(name) for name in names})
 
     @classmethod
-    def of(cls, **frames: DataFrame) -> Tables:
-        return cls({name: lambda df=df: df for name, df in frames.items()})
+    def of(cls, bounded: Iterable[str] = (), **frames: DataFrame) -> Tables:
+        return cls({name: lambda df=df: df for name, df in frames.items()}, bounded)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             self._built[name] = self._makers[name]()
         return self._built[name]
 
+    def replaced(self, bounded: Iterable[str], **frames: DataFrame) -> Tables:
+        """The same tables but for ``frames``, of which ``bounded`` hold few rows."""
+        new = Tables.of(self._bounded.difference(frames).union(bounded), **frames)
+        new._makers = {n: lambda n=n: self[n] for n in self._makers} | dict(new._makers)
+        new._sizes = {n: size for n, size in self._sizes.items() if n not in frames}
+        return new
+
+    def measure(self, *names: str) -> Tables:
+        """Size the tables that are not sized yet, in one job."""
+        new = [n for n in names if n not in self._sizes and n not in self._bounded]
+        self._sizes.update(measured({name: self[name] for name in new}))
+        return self
+
+    def is_small(self, name: str) -> bool:
+        """Whether the table may be broadcast."""
+        if name in self._bounded:
+            return True
+        return self.measure(name)._sizes[name].bytes <= BROADCAST_BYTES
+
+    def topic_lists_are_small(self) -> bool:
+        """Whether bills with their topic lists may be broadcast.
+
+        A list holds each topic once, so it is no longer than the topic table.
+        """
+        if "bill" in self._bounded:
+            return True
+        sizes = self.measure("bill", "topic")._sizes
+        bills, topic = sizes["bill"], sizes["topic"]
+        return bills.bytes + bills.rows * topic.bytes <= BROADCAST_BYTES
+
     def lookup(self, name: str, /, **columns: str) -> DataFrame:
         """Columns of a table, renamed ``new=old``, for broadcast if it is small."""
-        if name not in self._lookups:
-            self._lookups[name] = broadcast_if_small(self[name])
-        return self._lookups[name].select(*[F.col(old).alias(new) for new, old in columns.items()])
+        chosen = self[name].select(*[F.col(old).alias(new) for new, old in columns.items()])
+        return F.broadcast(chosen) if self.is_small(name) else chosen
 
 
-def topics_by_bill(bill_topic: DataFrame, topic: DataFrame, separator: str) -> DataFrame:
+def topics_by_bill(tables: Tables, separator: str) -> DataFrame:
     """(bill_id, topics): the distinct topic names of each bill, sorted and joined.
 
     A set per bill is no larger than the topic table and is built on the map side
     first. Bills without a topic are not in the result, so a left join gives NULL.
     """
-    names = topic.select(F.col("id").alias("topic_id"), F.col("name").alias("_topic"))
     return (
-        bill_topic.join(names, "topic_id")
+        tables["bill_topic"].join(tables.lookup("topic", topic_id="id", _topic="name"), "topic_id")
         .where(F.col("bill_id").isNotNull() & F.col("_topic").isNotNull())
         .groupBy("bill_id")
         .agg(F.array_join(F.sort_array(F.collect_set("_topic")), separator).alias("topics"))
     )
 
 
-def with_bill(
-    ballots: DataFrame, bills: DataFrame, bill_topic: DataFrame, topic: DataFrame, separator: str
-) -> DataFrame:
+def bill_columns(tables: Tables, *extra: str) -> DataFrame:
+    return tables["bill"].select(
+        F.col("id").alias("bill_id"), F.col("number").alias("bill_number"),
+        "title", "short_title", "period_id", *extra,
+    )
+
+
+def with_bill(rows: DataFrame, tables: Tables, separator: str, *extra: str) -> DataFrame:
     """Left-join bills and their topic lists to rows that have a ``bill_id``.
 
-    The bill side is put together first, one row per bill. ``bill_id`` of the
-    result is the bill's own key: NULL where no such bill exists.
+    The bill side is put together first, one row per bill, and is broadcast where
+    that is small. ``bill_id`` of the result is the bill's own key: NULL where no
+    such bill exists.
     """
-    cards = bills.join(topics_by_bill(bill_topic, topic, separator), "bill_id", "left")
-    cards = cards.withColumn("_bill_key", F.col("bill_id"))
-    joined = splittable_join(ballots, cards, ["bill_id"], "left")
+    cards = (
+        bill_columns(tables, *extra)
+        .join(topics_by_bill(tables, separator), "bill_id", "left")
+        .withColumn("_bill_key", F.col("bill_id"))
+    )
+    if tables.topic_lists_are_small():
+        joined = rows.join(F.broadcast(cards), "bill_id", "left")
+    else:
+        joined = splittable_join(rows, cards, ["bill_id"], "left")
     return joined.withColumn("bill_id", F.col("_bill_key")).drop("_bill_key")
 
 

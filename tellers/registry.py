@@ -27,7 +27,7 @@ from tellers.plans.members import (
     voting_members,
 )
 from tellers.schema import RECORDS
-from tellers.session import shared_folder
+from tellers.session import cut, shared_folder
 from tellers.sources.landed import completeness, explode_pages, restrict_to_ids
 from tellers.sources.store import current_state
 from tellers.streaming import votes as votes_stream
@@ -226,14 +226,14 @@ def xml_party_codes(s: b.Source) -> DataFrame:
 
 @_query
 def xml_party_dim(s: b.Source) -> DataFrame:
-    return repair.add_parties(b.first_parties(s), repair.member_parties(b.actors(s)))
+    return repair.add_parties(b.first_parties(s), cut(repair.member_parties(b.actors(s))))
 
 
 @_query
 def repair_members(s: b.Source) -> DataFrame:
-    return repair.repair_members(
-        build_members(s), repair.member_parties(b.actors(s)), xml_party_dim(s)
-    )
+    parsed = cut(repair.member_parties(b.actors(s)))  # parse every biography once
+    parties = repair.add_parties(b.first_parties(s), parsed)
+    return repair.repair_members(build_members(s), parsed, parties)
 
 
 @_query

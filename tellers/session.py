@@ -1,10 +1,16 @@
-"""Session helpers: the shared folder, and cutting lineage in it."""
+"""Session helpers: the shared folder, cutting lineage in it, small local frames."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+LOCAL_ROWS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +35,22 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """A few literal rows as a local relation, whose size the optimizer knows."""
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
+
+
+def settle(page: DataFrame, rows: int) -> DataFrame:
+    """Compute a page of at most ``rows`` rows once and go on from the result.
+
+    A page the size of an answer becomes a local relation; a longer one is
+    written to the shared folder.
+    """
+    if rows > LOCAL_ROWS:
+        return cut(page)
+    return page.sparkSession.createDataFrame(page.toArrow(), page.schema)

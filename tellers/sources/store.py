@@ -13,12 +13,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from tellers.operators.keyed import latest
 from tellers.schema import TABLES
+from tellers.session import local_rows
 
-_LEDGER = "key STRING, value STRING, seq BIGINT"
+_LEDGER = T.StructType().add("key", "string").add("value", "string").add("seq", "long")
 
 # Sort order inside the files, for min/max skipping. The second column also
 # splits a hot first one over several files.
@@ -47,7 +49,7 @@ class Store:
         try:
             return self.spark.read.schema(_LEDGER).parquet(f"{self.root}/progress_log")
         except AnalysisException:
-            return self.spark.createDataFrame([], _LEDGER)
+            return local_rows(self.spark, [], _LEDGER)
 
     def progress(self, key: str) -> str | None:
         """The last value set for ``key``."""
@@ -58,7 +60,7 @@ class Store:
         last = self._ledger().agg(F.max("seq").alias("seq")).first()["seq"]
         row = [(key, str(value), (last or 0) + 1)]
         (
-            self.spark.createDataFrame(row, _LEDGER).coalesce(1)
+            local_rows(self.spark, row, _LEDGER).coalesce(1)
             .write.mode("append").parquet(f"{self.root}/progress_log")
         )
 
@@ -70,7 +72,7 @@ class Store:
         """The current rows, or an empty table of the right shape."""
         paths = self._paths(table)
         if not paths:
-            return self.spark.createDataFrame([], TABLES[table])
+            return local_rows(self.spark, [], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(*paths)
 
     def _add(self, table: str, df: DataFrame, kept: list[str]) -> DataFrame:
