@@ -10,10 +10,8 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tellers.plans.tables import Tables
-from tellers.session import local_rows
 
 _DRIVER = {
     "region": "r_regionkey INT, r_name STRING",
@@ -32,10 +30,8 @@ _DRIVER = {
     "labels": "doc_id BIGINT, quality INT, toxic INT",
 }
 
-SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-GROUP_IDS = 10_000_000_000
 PERIOD = "1998-01-01"
-ISO = "yyyy-MM-dd'T'HH:mm:ss"
+_ISO = "\"yyyy-MM-dd'T'HH:mm:ss\""
 
 
 class Source:
@@ -46,6 +42,7 @@ class Source:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
+        """A table, read with its schema; every use reads it anew."""
         if name not in _DRIVER:
             raise AttributeError(name)
         return self.spark.read.schema(_DRIVER[name]).parquet(f"{self.folder}/{name}.parquet")
@@ -55,100 +52,82 @@ class Source:
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
 
-def segment_id(column: Column) -> Column:
-    chosen = F.when(column == SEGMENTS[0], 1)
-    for number, name in enumerate(SEGMENTS[1:], 2):
-        chosen = chosen.when(column == name, number)
-    return chosen.cast("long")
+# The market segments are topics 1 to 5, the regions topics 6 to 10.
+_SEGMENT_ID = """CAST(CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2
+    WHEN 'FURNITURE' THEN 3 WHEN 'HOUSEHOLD' THEN 4 WHEN 'MACHINERY' THEN 5 END AS BIGINT)"""
+_VOTE_TYPE = "CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS vote_type_id"
+
+
+def places(s: Source) -> DataFrame:
+    """Nations with their regions: 25 rows at every scale."""
+    return F.broadcast(s.nation.join(F.broadcast(s.region), F.expr("n_regionkey = r_regionkey")))
 
 
 # ---- domain tables
 
 
 def ballot_type(s: Source) -> DataFrame:
-    return s.orders.select(
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("id"),
-        F.substr("o_orderpriority", F.lit(3)).alias("type"),
+    return s.orders.selectExpr(
+        "CAST(substr(o_orderpriority, 1, 1) AS INT) AS id", "substr(o_orderpriority, 3) AS type"
     ).distinct()
 
 
 def vote_type(s: Source) -> DataFrame:
-    schema = T.StructType().add("id", "integer").add("type", "string")
-    return local_rows(s.spark, [(1, "For"), (2, "Against"), (3, "Absent")], schema)
+    return s.spark.sql("SELECT * FROM VALUES (1, 'For'), (2, 'Against'), (3, 'Absent') AS v(id, type)")
 
 
 def party(s: Source) -> DataFrame:
-    region = F.broadcast(s.region)  # five rows at every scale
-    return s.nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("n_nationkey").alias("id"), F.col("n_name").alias("abbreviation"),
-        F.col("r_name").alias("name"),
-    )
+    return places(s).selectExpr("n_nationkey AS id", "n_name AS abbreviation", "r_name AS name")
 
 
 def member(s: Source) -> DataFrame:
-    nations = F.broadcast(s.nation.select("n_nationkey", "n_name"))  # 25 rows at every scale
-    has_party = (F.col("n_nationkey") == F.col("s_nationkey")) & (F.col("s_suppkey") % 10 != 0)
-    return s.supplier.join(nations, has_party, "left").select(
-        F.col("s_suppkey").alias("id"),
-        F.substring("s_name", 1, 8).alias("first_name"),
-        F.substr("s_name", F.lit(10)).alias("last_name"),
-        F.col("n_name").alias("party_abbr"), F.col("n_nationkey").alias("party_id"),
+    nations = F.broadcast(s.nation)  # 25 rows at every scale
+    has_party = F.expr("n_nationkey = s_nationkey AND s_suppkey % 10 <> 0")
+    return s.supplier.join(nations, has_party, "left").selectExpr(
+        "s_suppkey AS id", "substr(s_name, 1, 8) AS first_name", "substr(s_name, 10) AS last_name",
+        "n_name AS party_abbr", "n_nationkey AS party_id",
     )
 
 
 def bill(s: Source) -> DataFrame:
-    return s.customer.select(
-        F.col("c_custkey").alias("id"), F.col("c_name").alias("title"),
-        F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("short_title"),
-        F.lit(None).cast("string").alias("resume"),
-        F.concat(F.lit("L "), F.col("c_custkey").cast("string")).alias("number"),
-        F.col("c_nationkey").alias("type_id"), (F.col("c_nationkey") % 5).alias("period_id"),
+    return s.customer.selectExpr(
+        "c_custkey AS id", "c_name AS title",
+        "CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS short_title",
+        "CAST(NULL AS STRING) AS resume", "'L ' || CAST(c_custkey AS STRING) AS number",
+        "c_nationkey AS type_id", "c_nationkey % 5 AS period_id",
     )
 
 
 def topic(s: Source) -> DataFrame:
-    segments = s.customer.select(
-        segment_id(F.col("c_mktsegment")).alias("id"), F.col("c_mktsegment").alias("name")
-    ).distinct()
-    regions = s.region.select(
-        (F.col("r_regionkey") + 6).cast("long").alias("id"), F.col("r_name").alias("name")
-    )
-    return segments.unionByName(regions)
+    segments = s.customer.selectExpr(f"{_SEGMENT_ID} AS id", "c_mktsegment AS name").distinct()
+    return segments.union(s.region.selectExpr("CAST(r_regionkey + 6 AS BIGINT)", "r_name"))
 
 
 def bill_topic(s: Source) -> DataFrame:
-    nations = F.broadcast(s.nation.select("n_nationkey", "n_regionkey"))  # 25 rows
-    region_topic = (F.col("n_regionkey") + 6).cast("long")
-    return (
-        s.customer.where("c_acctbal >= 0")
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("c_custkey").alias("bill_id"),
-            F.explode(F.array(segment_id(F.col("c_mktsegment")), region_topic)).alias("topic_id"),
-        )
+    nations = F.broadcast(s.nation)  # 25 rows at every scale
+    in_credit = s.customer.where("c_acctbal >= 0")
+    return in_credit.join(nations, F.expr("c_nationkey = n_nationkey")).selectExpr(
+        "c_custkey AS bill_id",
+        f"explode(array({_SEGMENT_ID}, CAST(n_regionkey + 6 AS BIGINT))) AS topic_id",
     )
 
 
 def ballot(s: Source) -> DataFrame:
-    return s.orders.select(
-        F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 1000).cast("int").alias("number"),
-        F.lit(None).cast("string").alias("conclusion"),
-        (F.col("o_orderstatus") == "F").alias("passed"),
-        F.lit(None).cast("string").alias("comment"), F.col("o_orderdate").alias("held_at"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("type_id"),
-        F.when(F.col("o_orderkey") % 97 != 0, F.col("o_custkey")).alias("bill_id"),
+    return s.orders.selectExpr(
+        "o_orderkey AS id", "CAST(o_orderkey % 1000 AS INT) AS number",
+        "CAST(NULL AS STRING) AS conclusion", "o_orderstatus = 'F' AS passed",
+        "CAST(NULL AS STRING) AS comment", "o_orderdate AS held_at",
+        "CAST(substr(o_orderpriority, 1, 1) AS INT) AS type_id",
+        "CASE WHEN o_orderkey % 97 <> 0 THEN o_custkey END AS bill_id",
     )
 
 
 def votes_of(lineitem: DataFrame) -> DataFrame:
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents]
-    kind = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2)
-    return lineitem.select(
-        F.concat_ws("-", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string")
-                           for p in parts]).alias("id"),
-        F.col("l_orderkey").alias("ballot_id"), F.col("l_suppkey").alias("member_id"),
-        kind.otherwise(3).alias("vote_type_id"),
+    return lineitem.selectExpr(
+        "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), "
+        "CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), "
+        "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS id",
+        "l_orderkey AS ballot_id", "l_suppkey AS member_id", _VOTE_TYPE,
     )
 
 
@@ -171,23 +150,18 @@ def tables(s: Source, **other: DataFrame) -> Tables:
 
 def damaged_tables(s: Source) -> Tables:
     """The domain tables with broken keys, references and names."""
-    votes = s.lineitem.select(
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-        .alias("id"),
-        F.col("l_orderkey").alias("ballot_id"), F.col("l_suppkey").alias("member_id"),
-        F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2)
-        .alias("vote_type_id"),
+    members = s.supplier.where("s_acctbal >= 0").selectExpr("s_suppkey AS id")
+    members = member(s).join(members, "id", "left_semi").selectExpr(
+        "id", "first_name", "CASE WHEN party_id <> 3 THEN last_name END AS last_name",
+        "party_abbr", "party_id",
     )
-    bills = bill(s).join(
-        s.customer.where("c_acctbal < 5000").select(F.col("c_custkey").alias("id")), "id"
+    votes = s.lineitem.selectExpr(
+        "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING)) AS id",
+        "l_orderkey AS ballot_id", "l_suppkey AS member_id",
+        "CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 END AS vote_type_id",
     )
-    return tables(s, member=_solvent_members(s), vote=votes, bill=bills)
-
-
-def _solvent_members(s: Source) -> DataFrame:
-    kept = s.supplier.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("id"))
-    no_name = F.when(F.col("party_id") != 3, F.col("last_name"))
-    return member(s).join(kept, "id").withColumn("last_name", no_name)
+    bills = s.customer.where("c_acctbal < 5000").selectExpr("c_custkey AS id")
+    return tables(s, member=members, vote=votes, bill=bill(s).join(bills, "id", "left_semi"))
 
 
 # ---- landed pages and raw feed records
@@ -204,127 +178,118 @@ def pages_of(records: DataFrame, position: Column) -> DataFrame:
 
 
 def event_pages(s: Source) -> DataFrame:
-    records = s.events.select(
-        "event_id", F.col("ts").cast("string").alias("ts"), "user_id", "event_type", "value", "props"
+    records = s.events.selectExpr(
+        "event_id", "CAST(ts AS STRING) AS ts", "user_id", "event_type", "value", "props"
     )
     return pages_of(records, F.expr("event_id div 100"))
 
 
 def ballot_type_pages(s: Source) -> DataFrame:
     """A feed of ballot types that repeats each one for every order that has it."""
-    records = s.orders.select(
-        F.substring("o_orderpriority", 1, 1).cast("long").alias("id"),
-        F.substr("o_orderpriority", F.lit(3)).alias("type"), "o_orderkey",
+    records = s.orders.selectExpr(
+        "CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS id",
+        "substr(o_orderpriority, 3) AS type", "o_orderkey",
     )
     return pages_of(records, F.expr("o_orderkey div 100"))
 
 
 def stale_ballot_types(s: Source) -> DataFrame:
     """Ballot types 5 to 9 under old names; 5 is in the feed, too."""
-    return s.orders.select(
-        (F.substring("o_orderpriority", 1, 1).cast("long") + 4).alias("id"),
-        F.concat(F.lit("OLD "), F.substr("o_orderpriority", F.lit(3))).alias("type"),
+    return s.orders.selectExpr(
+        "CAST(substr(o_orderpriority, 1, 1) AS BIGINT) + 4 AS id",
+        "'OLD ' || substr(o_orderpriority, 3) AS type",
     ).distinct()
 
 
 def actors(s: Source) -> DataFrame:
     """Suppliers as persons and nations as groups; names and codes partly missing."""
-    nations = F.broadcast(  # 25 rows at every scale
-        s.nation.join(F.broadcast(s.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    xml = """'<member><firstname>' || substr(s_name, 1, 8) || '</firstname><partyShortname>' ||
+        substr(n_name, 1, 8) || '</partyShortname>' ||
+        CASE WHEN s_suppkey % 4 <> 0 THEN '<party>' || n_name || ' ' || r_name || '</party>'
+             ELSE '' END ||
+        CASE WHEN s_suppkey % 6 = 0 THEN '<partyShortname>LATER</partyShortname>' ELSE '' END ||
+        CASE WHEN s_suppkey % 10 <> 0 THEN '</member>' ELSE '' END"""
+    persons = s.supplier.join(places(s), F.expr("s_nationkey = n_nationkey")).selectExpr(
+        "s_suppkey AS id", "5 AS typeid",
+        "CASE WHEN s_suppkey % 13 <> 0 THEN substr(s_name, 1, 8) END AS fornavn",
+        "substr(s_name, 10) AS efternavn", "s_name AS navn",
+        "CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 11 = 0 THEN '' "
+        "ELSE substr(n_name, 1, 8) END AS gruppenavnkort",
+        f"CASE WHEN s_suppkey % 17 <> 0 THEN {xml} END AS biografi",
     )
-    key, nation = F.col("s_suppkey"), F.col("n_nationkey")
-    code = F.substring("n_name", 1, 8)
-    full = F.concat("n_name", F.lit(" "), "r_name")
-    xml = F.concat(
-        F.lit("<member><firstname>"), F.substring("s_name", 1, 8),
-        F.lit("</firstname><partyShortname>"), code, F.lit("</partyShortname>"),
-        F.when(key % 4 != 0, F.concat(F.lit("<party>"), full, F.lit("</party>"))).otherwise(""),
-        F.when(key % 6 == 0, F.lit("<partyShortname>LATER</partyShortname>")).otherwise(""),
-        F.when(key % 10 != 0, F.lit("</member>")).otherwise(""),
-    )
-    persons = s.supplier.join(nations, F.col("s_nationkey") == nation).select(
-        key.alias("id"), F.lit(5).alias("typeid"),
-        F.when(key % 13 != 0, F.substring("s_name", 1, 8)).alias("fornavn"),
-        F.substr("s_name", F.lit(10)).alias("efternavn"), F.col("s_name").alias("navn"),
-        F.when(key % 10 == 0, None).when(key % 11 == 0, "").otherwise(code).alias("gruppenavnkort"),
-        F.when(key % 17 != 0, xml).alias("biografi"),
-    )
-    groups = nations.select(
-        (nation.cast("long") + GROUP_IDS).alias("id"), F.lit(9).alias("typeid"),
-        F.lit(" Group").alias("fornavn"),
-        F.when(nation != 7, F.col("n_name")).alias("efternavn"),
-        F.when(nation % 5 == 2, None).when(nation == 3, "").otherwise(F.col("r_name")).alias("navn"),
-        F.when(nation == 24, None).when(nation == 23, "").otherwise(code).alias("gruppenavnkort"),
-        F.lit(None).cast("string").alias("biografi"),
+    groups = places(s).selectExpr(
+        "CAST(n_nationkey AS BIGINT) + 10000000000 AS id", "9 AS typeid", "' Group' AS fornavn",
+        "CASE WHEN n_nationkey <> 7 THEN n_name END AS efternavn",
+        "CASE WHEN n_nationkey % 5 = 2 THEN NULL WHEN n_nationkey = 3 THEN '' ELSE r_name END "
+        "AS navn",
+        "CASE WHEN n_nationkey = 24 THEN NULL WHEN n_nationkey = 23 THEN '' "
+        "ELSE substr(n_name, 1, 8) END AS gruppenavnkort",
+        "CAST(NULL AS STRING) AS biografi",
     )
     return persons.unionByName(groups)
 
 
 def raw_ballots(s: Source) -> DataFrame:
-    key = F.col("l_orderkey")
-    return s.lineitem.groupBy("l_orderkey").agg(
-        F.min("l_linenumber").alias("nummer"), F.max("l_linestatus").alias("konklusion"),
-        F.max("l_returnflag").alias("flag"), F.max("l_shipdate").alias("shipped"),
-    ).select(
-        key.alias("id"), "nummer", "konklusion",
-        F.when(F.col("flag") != "N", F.col("flag") == "R").alias("vedtaget"),
-        F.lit(None).cast("string").alias("kommentar"),
-        F.date_format("shipped", ISO).alias("opdateringsdato"),
-        (F.col("nummer") % 5 + 1).alias("typeid"),
-        F.when(key % 50 == 0, None).when(key % 51 == 0, 0).otherwise(key).alias("sagstrinid"),
+    totals = s.lineitem.groupBy("l_orderkey").agg(
+        F.expr("min(l_linenumber) AS nummer"), F.expr("max(l_linestatus) AS konklusion"),
+        F.expr("max(l_returnflag) AS flag"), F.expr("max(l_shipdate) AS shipped"),
+    )
+    return totals.selectExpr(
+        "l_orderkey AS id", "nummer", "konklusion",
+        "CASE WHEN flag <> 'N' THEN flag = 'R' END AS vedtaget",
+        "CAST(NULL AS STRING) AS kommentar",
+        f"date_format(shipped, {_ISO}) AS opdateringsdato", "nummer % 5 + 1 AS typeid",
+        "CASE WHEN l_orderkey % 50 = 0 THEN NULL WHEN l_orderkey % 51 = 0 THEN 0 "
+        "ELSE l_orderkey END AS sagstrinid",
     )
 
 
 def steps(s: Source) -> DataFrame:
-    undated = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW")
-    blank = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "2-HIGH")
-    return s.orders.select(
-        F.col("o_orderkey").alias("id"),
-        F.when(undated, None).when(blank, "").otherwise(F.date_format("o_orderdate", ISO)).alias("dato"),
-        F.when(F.col("o_orderkey") % 97 != 0, F.col("o_custkey")).alias("sagid"),
+    return s.orders.selectExpr(
+        "o_orderkey AS id",
+        "CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN NULL "
+        "WHEN o_orderstatus = 'P' AND o_orderpriority = '2-HIGH' THEN '' "
+        f"ELSE date_format(o_orderdate, {_ISO}) END AS dato",
+        "CASE WHEN o_orderkey % 97 <> 0 THEN o_custkey END AS sagid",
     )
 
 
 def raw_bills(s: Source) -> DataFrame:
-    return bill(s).select(
-        "id", F.col("title").alias("titel"), F.col("short_title").alias("titelkort"), "resume",
-        F.col("number").alias("nummer"), F.col("type_id").alias("typeid"),
-        F.col("period_id").alias("periodeid"),
+    return bill(s).selectExpr(
+        "id", "title AS titel", "short_title AS titelkort", "resume", "number AS nummer",
+        "type_id AS typeid", "period_id AS periodeid",
     )
 
 
 def refetched_bills(s: Source) -> DataFrame:
     """Bill records of the customers in credit, with other numbers, some NULL."""
-    number = F.when(F.col("c_nationkey") % 6 != 0, F.concat(F.lit("B "), F.col("c_custkey").cast("string")))
-    return s.customer.where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), number.alias("nummer"))
+    return s.customer.where("c_acctbal >= 0").selectExpr(
+        "c_custkey AS id",
+        "CASE WHEN c_nationkey % 6 <> 0 THEN 'B ' || CAST(c_custkey AS STRING) END AS nummer",
+    )
 
 
 def first_parties(s: Source) -> DataFrame:
     """Parties stored before the repair: the nations of the first region."""
-    return s.nation.where("n_regionkey = 0").join(
-        F.broadcast(s.region), F.col("n_regionkey") == F.col("r_regionkey")
-    ).select(
-        F.col("n_nationkey").cast("long").alias("id"),
-        F.substring("n_name", 1, 8).alias("abbreviation"),
-        F.concat("n_name", F.lit(" "), "r_name").alias("name"),
+    return places(s).where("n_regionkey = 0").selectExpr(
+        "CAST(n_nationkey AS BIGINT) AS id", "substr(n_name, 1, 8) AS abbreviation",
+        "n_name || ' ' || r_name AS name",
     )
 
 
 def first_topics(s: Source) -> DataFrame:
     """Topics stored before the seed: the market segments, two under seeded names."""
-    name = F.when(F.col("c_mktsegment") == "BUILDING", "Bolig").when(
-        F.col("c_mktsegment") == "MACHINERY", "Energi"
-    ).otherwise(F.col("c_mktsegment"))
-    return s.customer.select(
-        segment_id(F.col("c_mktsegment")).alias("id"), name.alias("name")
+    return s.customer.selectExpr(
+        f"{_SEGMENT_ID} AS id",
+        "CASE c_mktsegment WHEN 'BUILDING' THEN 'Bolig' WHEN 'MACHINERY' THEN 'Energi' "
+        "ELSE c_mktsegment END AS name",
     ).distinct()
 
 
 def ledger(s: Source) -> DataFrame:
     """Events as progress notes: the user is the key."""
-    return s.events.select(
-        F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"),
-        F.col("event_type").alias("value"), F.col("event_id").alias("seq"),
+    return s.events.selectExpr(
+        "'user:' || CAST(user_id AS STRING) AS key", "event_type AS value", "event_id AS seq"
     )
 
 
@@ -332,56 +297,49 @@ def ledger(s: Source) -> DataFrame:
 
 
 def document_bills(s: Source) -> DataFrame:
-    key = F.col("doc_id")
-    title = F.when(key % 5 == 0, None).when(key % 5 == 1, "").otherwise(
-        F.concat("lang", F.lit(" "), key.cast("string"))
-    )
-    return s.documents.select(
-        key.alias("id"), title.alias("title"),
-        F.when(key % 3 != 0, F.col("source")).alias("short_title"),
-        F.when(key % 8 != 0, F.col("text")).alias("resume"),
+    return s.documents.selectExpr(
+        "doc_id AS id",
+        "CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' "
+        "ELSE lang || ' ' || CAST(doc_id AS STRING) END AS title",
+        "CASE WHEN doc_id % 3 <> 0 THEN source END AS short_title",
+        "CASE WHEN doc_id % 8 <> 0 THEN text END AS resume",
     )
 
 
 def labelled_documents(s: Source) -> DataFrame:
-    return s.labels.select(F.col("doc_id").alias("bill_id"), F.col("quality").alias("topic_id"))
+    return s.labels.selectExpr("doc_id AS bill_id", "quality AS topic_id")
 
 
 def answers(s: Source) -> DataFrame:
     """Answers for 15 documents each: some fenced, some cut off."""
-    item = F.struct(
-        F.col("doc_id").alias("sag_id"), F.array("source", "lang", F.lit("Ukendt")).alias("kategorier")
-    )
-    whole = F.to_json(F.collect_list(item))
-    cut_off = F.when(F.col("batch") % 7 == 0, F.substr("json", F.lit(1), F.length("json") - 2))
-    text = cut_off.otherwise(F.col("json"))
-    return (
-        s.documents.select("doc_id", "source", "lang", F.expr("doc_id div 15").alias("batch"))
-        .groupBy("batch").agg(whole.alias("json"))
-        .select(
-            "batch",
-            F.when(F.col("batch") % 5 == 0, F.concat(F.lit(" ```json\n"), text, F.lit("\n```\n")))
-            .otherwise(F.concat(F.lit("\n"), text, F.lit(" "))).alias("response"),
-        )
+    batches = s.documents.selectExpr("doc_id", "source", "lang", "doc_id div 15 AS batch")
+    whole = batches.groupBy("batch").agg(F.expr(
+        "to_json(collect_list(struct(doc_id AS sag_id, array(source, lang, 'Ukendt') "
+        "AS kategorier))) AS json"
+    ))
+    text = "CASE WHEN batch % 7 = 0 THEN substr(json, 1, length(json) - 2) ELSE json END"
+    return whole.selectExpr(
+        "batch",
+        f"CASE WHEN batch % 5 = 0 THEN ' ```json\\n' || {text} || '\\n```\\n' "
+        f"ELSE '\\n' || {text} || ' ' END AS response",
     )
 
 
 def source_topics(s: Source) -> DataFrame:
     """Document sources as topics, but for one."""
-    return s.documents.where("source <> 'src7'").select(
-        (F.substr("source", F.lit(4)).cast("long") + 1).alias("id"), F.col("source").alias("name")
+    return s.documents.where("source <> 'src7'").selectExpr(
+        "CAST(substr(source, 4) AS BIGINT) + 1 AS id", "source AS name"
     ).distinct()
 
 
 def stored_labels(s: Source) -> DataFrame:
     """Labels stored before: the source topic of the documents of good quality."""
-    good = s.labels.where("quality = 1").select("doc_id")
-    return s.documents.where("source <> 'src7'").join(good, "doc_id", "left_semi").select(
-        F.col("doc_id").alias("bill_id"),
-        (F.substr("source", F.lit(4)).cast("long") + 1).alias("topic_id"),
+    good = s.labels.where("quality = 1")
+    return s.documents.where("source <> 'src7'").join(good, "doc_id", "left_semi").selectExpr(
+        "doc_id AS bill_id", "CAST(substr(source, 4) AS BIGINT) + 1 AS topic_id"
     )
 
 
 def known_documents(s: Source) -> DataFrame:
     """The documents that exist as bills: all but the shortest."""
-    return s.documents.where("n_chars >= 400").select(F.col("doc_id").alias("id"))
+    return s.documents.where("n_chars >= 400").selectExpr("doc_id AS id")

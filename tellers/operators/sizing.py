@@ -22,24 +22,24 @@ class Size:
     bytes: int
 
 
-def _measure(df: DataFrame) -> DataFrame:
-    texts = [name for name, kind in df.dtypes if kind == "string"]
-    nested = [name for name, kind in df.dtypes if kind.startswith(("array", "struct", "map"))]
+def _measure(df: DataFrame, label: str) -> DataFrame:
+    kinds = df.dtypes
+    texts = [name for name, kind in kinds if kind == "string"]
+    nested = [name for name, kind in kinds if kind.startswith(("array", "struct", "map"))]
     if nested:
         raise ValueError(f"cannot size nested columns: {nested}")
-    rows = F.count(F.lit(1))
-    total = rows * (_ROW_OVERHEAD + _FIXED_WIDTH * len(df.columns))
-    for name in texts:
-        total = total + F.coalesce(F.sum(F.octet_length(name)), F.lit(0))
-    return df.agg(rows.alias("rows"), total.alias("bytes"))
+    width = _ROW_OVERHEAD + _FIXED_WIDTH * len(kinds)
+    total = [f"count(1) * {width}"]
+    total += [f"coalesce(sum(octet_length(`{name}`)), 0)" for name in texts]
+    return df.selectExpr(f"'{label}' AS name", "count(1) AS rows", f"{' + '.join(total)} AS bytes")
 
 
 def measured(frames: Mapping[str, DataFrame]) -> dict[str, Size]:
     """Sizes of several DataFrames from one job."""
     if not frames:
         return {}
-    parts = [_measure(df).withColumn("name", F.lit(name)) for name, df in frames.items()]
-    rows = reduce(DataFrame.unionByName, parts).collect()  # one row per frame
+    parts = [_measure(df, name) for name, df in frames.items()]
+    rows = reduce(DataFrame.union, parts).collect()  # one row per frame
     return {row["name"]: Size(row["rows"], row["bytes"]) for row in rows}
 
 
@@ -62,8 +62,6 @@ def splittable_join(
     between two exchanges. A second key, computed from the first the same way on
     both sides, asks for a new exchange and changes no match.
     """
-    key = F.xxhash64(*on)
-    joined = left.withColumn("_rekey", key).join(
-        right.withColumn("_rekey", key), [*on, "_rekey"], how
-    )
+    key = f"xxhash64({', '.join(on)}) AS _rekey"
+    joined = left.selectExpr("*", key).join(right.selectExpr("*", key), [*on, "_rekey"], how)
     return joined.drop("_rekey")

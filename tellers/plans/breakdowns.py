@@ -25,7 +25,7 @@ def _sorted(df: DataFrame, ballot_id: int | None, *columns: str) -> DataFrame:
 def ballot_totals(tables: Tables, ballot_id: int | None = None) -> DataFrame:
     """Count per vote type."""
     counts = _votes(tables, ballot_id).groupBy("ballot_id", "vote_type_id").agg(
-        F.count(F.lit(1)).alias("votes")
+        F.expr("count(1) AS votes")
     )
     named = with_vote_type(counts, tables).select("ballot_id", "vote_type_id", "vote_type", "votes")
     return _sorted(named, ballot_id, "vote_type_id")
@@ -39,7 +39,7 @@ def ballot_party_votes(tables: Tables, ballot_id: int | None = None) -> DataFram
         _votes(tables, ballot_id)
         .join(parties, "member_id")
         .groupBy("ballot_id", "party", "vote_type_id")
-        .agg(F.count(F.lit(1)).alias("votes"))
+        .agg(F.expr("count(1) AS votes"))
     )
     named = with_vote_type(counts, tables).select(
         "ballot_id", "party", "vote_type_id", "vote_type", "votes"

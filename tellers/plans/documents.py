@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellers.operators.sizing import broadcast_if_small, splittable_join
@@ -16,12 +18,9 @@ VOTES_PER_PART = 10_000
 _BLOCK = 4096
 
 
-def _sorted_list(*fields: str) -> Column:
-    return F.sort_array(F.collect_list(F.struct(*fields)))
-
-
-def _nested(df: DataFrame, key: str, name: str, *fields: str) -> DataFrame:
-    return df.groupBy(key).agg(_sorted_list(*fields).alias(name))
+def _nested(df: DataFrame, keys: Sequence[str], name: str, *fields: str) -> DataFrame:
+    row = f"struct({', '.join(fields)})"
+    return df.groupBy(*keys).agg(F.expr(f"sort_array(collect_list({row})) AS {name}"))
 
 
 def _or_empty(df: DataFrame, *names: str) -> DataFrame:
@@ -51,9 +50,9 @@ def _counts(tables: Tables, ballot_id: int | None) -> DataFrame:
     if ballot_id is not None:
         votes = votes.where(F.col("ballot_id") == ballot_id)
     counts = (
-        votes.join(members.withColumn("known", F.lit(True)), "member_id", "left")
+        votes.join(members.selectExpr("*", "true AS known"), "member_id", "left")
         .groupBy("ballot_id", "known", "party", "vote_type_id")
-        .agg(F.count(F.lit(1)).alias("votes"))
+        .agg(F.expr("count(1) AS votes"))
     )
     return cut(with_vote_type(counts, tables))
 
@@ -77,20 +76,17 @@ def ballot_document(
     )
     parts = F.coalesce("parts", F.lit(1)).cast("long")
     fields = ("party_abbr", "last_name", "member_id", "first_name", "vote_type", "vote_type_id")
-    single = (
-        splittable_join(named_votes(tables, ballot_id), split, ["ballot_id"], "left")
-        .withColumn("part", F.pmod(F.xxhash64("vote_id"), parts) + 1)
-        .groupBy("ballot_id", "part")
-        .agg(_sorted_list(*fields).alias("votes"))
-    )
+    votes = splittable_join(named_votes(tables, ballot_id), split, ["ballot_id"], "left")
+    votes = votes.withColumn("part", F.pmod(F.xxhash64("vote_id"), parts) + 1)
+    single = _nested(votes, ["ballot_id", "part"], "votes", *fields)
     by_party = _nested(
-        counts.where("known"), "ballot_id", "party_votes",
+        counts.where("known"), ["ballot_id"], "party_votes",
         "party", "vote_type_id", "vote_type", "votes",
     )
     by_type = counts.groupBy("ballot_id", "vote_type_id", "vote_type").agg(
-        F.sum("votes").alias("votes")
+        F.expr("sum(votes) AS votes")
     )
-    totals = _nested(by_type, "ballot_id", "totals", "vote_type_id", "vote_type", "votes")
+    totals = _nested(by_type, ["ballot_id"], "totals", "vote_type_id", "vote_type", "votes")
     head = (
         ballot_header(tables, ballot_id).withColumnRenamed("id", "ballot_id")
         .join(by_party, "ballot_id", "left")
@@ -108,10 +104,11 @@ def member_document(tables: Tables, member_id: int | None = None) -> DataFrame:
     Only counts are nested, so a row is bounded by topics times vote types.
     """
     stats = _nested(
-        member_stats(tables, member_id), "member_id", "stats", "vote_type_id", "vote_type", "votes"
+        member_stats(tables, member_id), ["member_id"], "stats",
+        "vote_type_id", "vote_type", "votes",
     )
     by_topic = _nested(
-        member_topic_stats(tables, member_id), "member_id", "topic_stats",
+        member_topic_stats(tables, member_id), ["member_id"], "topic_stats",
         "topic", "topic_id", "vote_type_id", "vote_type", "votes",
     )
     head = member_header(tables, member_id).withColumnRenamed("id", "member_id")

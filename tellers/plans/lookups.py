@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tellers.plans.tables import Tables
 
@@ -24,7 +23,7 @@ def members_who_voted(tables: Tables) -> DataFrame:
     The distinct keys are made on the map side, so the vote table is reduced to
     one row per member before anything is shuffled.
     """
-    voted = tables["vote"].select(F.col("member_id").alias("id")).distinct()
+    voted = tables["vote"].selectExpr("member_id AS id").distinct()
     return tables["member"].join(voted, "id", "left_semi")
 
 
@@ -33,9 +32,9 @@ def voting_parties(tables: Tables) -> DataFrame:
     parties = tables.lookup("party", party_id="id", name="name")
     return (
         members_who_voted(tables)
-        .where(F.col("party_abbr").isNotNull())
+        .where("party_abbr IS NOT NULL")
         .join(parties, "party_id")
-        .select(F.col("party_abbr").alias("abbreviation"), "name")
+        .selectExpr("party_abbr AS abbreviation", "name")
         .distinct()
         .orderBy("abbreviation", "name")
     )

@@ -53,15 +53,15 @@ def member_stats(tables: Tables, member_id: int | None = None) -> DataFrame:
     votes = tables["vote"]
     if member_id is not None:
         votes = votes.where(F.col("member_id") == member_id)
-    counts = votes.groupBy("member_id", "vote_type_id").agg(F.count(F.lit(1)).alias("votes"))
+    counts = votes.groupBy("member_id", "vote_type_id").agg(F.expr("count(1) AS votes"))
     named = with_vote_type(counts, tables).select("member_id", "vote_type", "vote_type_id", "votes")
     return named if member_id is None else named.orderBy("vote_type_id")
 
 
 def member_stats_by_id(tables: Tables, member_id: int | None = None) -> DataFrame:
     """The same with the vote type's id first, in its order."""
-    counts = member_stats(tables, member_id).select(
-        "member_id", F.col("vote_type_id").alias("id"), F.col("vote_type").alias("type"), "votes"
+    counts = member_stats(tables, member_id).selectExpr(
+        "member_id", "vote_type_id AS id", "vote_type AS type", "votes"
     )
     return counts.orderBy("member_id", "id")
 
@@ -69,10 +69,10 @@ def member_stats_by_id(tables: Tables, member_id: int | None = None) -> DataFram
 def ballot_topic_ids(tables: Tables) -> DataFrame:
     """(ballot_id, topic_ids) of the ballots whose bill has a topic."""
     by_bill = (
-        tables["bill_topic"].where(F.col("bill_id").isNotNull())
-        .groupBy("bill_id").agg(F.collect_set("topic_id").alias("topic_ids"))
+        tables["bill_topic"].where("bill_id IS NOT NULL")
+        .groupBy("bill_id").agg(F.expr("collect_set(topic_id) AS topic_ids"))
     )
-    ballots = tables["ballot"].select(F.col("id").alias("ballot_id"), "bill_id")
+    ballots = tables["ballot"].selectExpr("id AS ballot_id", "bill_id")
     return splittable_join(ballots, by_bill, ["bill_id"], "inner").select("ballot_id", "topic_ids")
 
 
@@ -88,9 +88,9 @@ def member_topic_stats(tables: Tables, member_id: int | None = None) -> DataFram
         votes = votes.where(F.col("member_id") == member_id)
     counts = (
         votes.join(ballot_topic_ids(tables), "ballot_id")
-        .select("member_id", "vote_type_id", F.explode("topic_ids").alias("topic_id"))
+        .selectExpr("member_id", "vote_type_id", "explode(topic_ids) AS topic_id")
         .groupBy("member_id", "topic_id", "vote_type_id")
-        .agg(F.count(F.lit(1)).alias("votes"))
+        .agg(F.expr("count(1) AS votes"))
     )
     topics = tables.measure("topic", "vote_type").lookup("topic", topic_id="id", topic="name")
     named = with_vote_type(counts.join(topics, "topic_id"), tables).select(

@@ -23,23 +23,21 @@ def _union(frames: Iterable[DataFrame]) -> DataFrame:
 def table_counts(tables: Tables, names: Iterable[str] = SUMMARY_TABLES) -> DataFrame:
     """(table, rows) of the main tables."""
     return _union(
-        tables[name].agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.lit(name).alias("table"), "rows")
+        tables[name].selectExpr(f"'{name}' AS table", "count(1) AS rows")
         for name in names
     )
 
 
 def _report(counted: DataFrame, table: str, rule: str) -> DataFrame:
-    return counted.select(
-        F.lit(table).alias("table"), F.lit(rule).alias("rule"),
-        F.coalesce("violations", F.lit(0)).cast("long").alias("violations"),
+    return counted.selectExpr(
+        f"'{table}' AS table", f"'{rule}' AS rule", "CAST(coalesce(violations, 0) AS BIGINT) AS violations"
     )
 
 
 def repeated_keys(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """Keys that occur more than once; keys with a NULL do not count as equal."""
     whole = df.select(*key).na.drop("any")
-    return whole.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return whole.groupBy(*key).agg(F.expr("count(1) AS rows")).where("rows > 1")
 
 
 def orphans(df: DataFrame, column: str, referenced: DataFrame) -> DataFrame:
@@ -48,10 +46,8 @@ def orphans(df: DataFrame, column: str, referenced: DataFrame) -> DataFrame:
     References are counted per value first, so a value that most rows hold is
     joined as one row.
     """
-    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-    ids = referenced.select(F.col("id").alias(column))
+    values = df.where(f"{column} IS NOT NULL").groupBy(column).agg(F.expr("count(1) AS rows"))
+    ids = referenced.selectExpr(f"id AS {column}")
     return values.join(ids, column, "left_anti")
 
 
@@ -64,16 +60,15 @@ def constraint_report(tables: Tables, names: Iterable[str]) -> DataFrame:
     for name in names:
         rules, df = CONSTRAINTS[name], tables[name]
         for key in rules.unique:
-            counted = repeated_keys(df, key).agg(F.count(F.lit(1)).alias("violations"))
+            counted = repeated_keys(df, key).selectExpr("count(1) AS violations")
             parts.append(_report(counted, name, f"unique {', '.join(key)}"))
         if rules.required:
-            nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in rules.required])
+            nulls = df.selectExpr(*[f"count_if({c} IS NULL) AS {c}" for c in rules.required])
             long = nulls.unpivot([], list(rules.required), "_column", "violations")
-            parts.append(long.select(
-                F.lit(name).alias("table"),
-                F.concat(F.lit("required "), "_column").alias("rule"), "violations",
+            parts.append(long.selectExpr(
+                f"'{name}' AS table", "'required ' || _column AS rule", "violations"
             ))
         for column, target in rules.references:
-            counted = orphans(df, column, tables[target]).agg(F.sum("rows").alias("violations"))
+            counted = orphans(df, column, tables[target]).selectExpr("sum(rows) AS violations")
             parts.append(_report(counted, name, f"reference {column} to {target}"))
     return _union(parts)

@@ -71,7 +71,7 @@ class Tables:
 
     def lookup(self, name: str, /, **columns: str) -> DataFrame:
         """Columns of a table, renamed ``new=old``, for broadcast if it is small."""
-        chosen = self[name].select(*[F.col(old).alias(new) for new, old in columns.items()])
+        chosen = self[name].selectExpr(*[f"{old} AS {new}" for new, old in columns.items()])
         return F.broadcast(chosen) if self.is_small(name) else chosen
 
 
@@ -83,16 +83,15 @@ def topics_by_bill(tables: Tables, separator: str) -> DataFrame:
     """
     return (
         tables["bill_topic"].join(tables.lookup("topic", topic_id="id", _topic="name"), "topic_id")
-        .where(F.col("bill_id").isNotNull() & F.col("_topic").isNotNull())
+        .where("bill_id IS NOT NULL AND _topic IS NOT NULL")
         .groupBy("bill_id")
-        .agg(F.array_join(F.sort_array(F.collect_set("_topic")), separator).alias("topics"))
+        .agg(F.expr(f"array_join(sort_array(collect_set(_topic)), '{separator}') AS topics"))
     )
 
 
 def bill_columns(tables: Tables, *extra: str) -> DataFrame:
-    return tables["bill"].select(
-        F.col("id").alias("bill_id"), F.col("number").alias("bill_number"),
-        "title", "short_title", "period_id", *extra,
+    return tables["bill"].selectExpr(
+        "id AS bill_id", "number AS bill_number", "title", "short_title", "period_id", *extra
     )
 
 
@@ -106,13 +105,13 @@ def with_bill(rows: DataFrame, tables: Tables, separator: str, *extra: str) -> D
     cards = (
         bill_columns(tables, *extra)
         .join(topics_by_bill(tables, separator), "bill_id", "left")
-        .withColumn("_bill_key", F.col("bill_id"))
+        .selectExpr("*", "bill_id AS _bill_key")
     )
     if tables.topic_lists_are_small():
         joined = rows.join(F.broadcast(cards), "bill_id", "left")
     else:
         joined = splittable_join(rows, cards, ["bill_id"], "left")
-    return joined.withColumn("bill_id", F.col("_bill_key")).drop("_bill_key")
+    return joined.drop("bill_id").withColumnRenamed("_bill_key", "bill_id")
 
 
 def with_ballot_type(ballots: DataFrame, tables: Tables) -> DataFrame:
