@@ -14,27 +14,25 @@ def number_rows(
     df: DataFrame,
     key: str,
     name: str = "n",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
     max_buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
     """Add ``name``: 1, 2, 3, ... in the order of the unique numeric ``key``.
 
     Quantiles of the key cut it into buckets of about equal row counts, however
     the keys are spread. The bucket sizes, at most ``max_buckets`` rows, give
-    every bucket its offset; the rank inside a bucket is a window over it.
+    every bucket its offset; the rank inside a bucket is a window over it. A
+    table that was counted to fit one bucket is numbered in one window.
     """
+    size = rows_per_bucket or ROWS_PER_BUCKET
     rows = df.agg(F.count(key).alias("rows")).first()["rows"]
-    buckets = max(1, min(max_buckets, -(-rows // rows_per_bucket)))
-    bounds: list[int] = []
-    if buckets > 1:
-        shares = [i / buckets for i in range(1, buckets)]
-        cut = F.percentile_approx(key, shares, buckets * 100).alias("cut")
-        bounds = sorted(set(df.agg(cut).first()["cut"]))
-    if bounds:
-        bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key)))
-    else:
-        bucket = F.lit(0)
-    placed = df.withColumn("_bucket", bucket)
+    buckets = min(max_buckets, -(-rows // size))
+    if buckets <= 1:
+        return df.withColumn(name, F.row_number().over(W.orderBy(key)))
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = df.agg(F.percentile_approx(key, shares, buckets * 100).alias("cuts")).first()["cuts"]
+    bounds = F.array(*map(F.lit, sorted(set(cuts))))
+    placed = df.withColumn("_bucket", F.size(F.filter(bounds, lambda bound: bound < F.col(key))))
     sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     running = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
