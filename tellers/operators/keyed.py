@@ -1,45 +1,39 @@
 """Keyed writes as DataFrame algebra: last wins, first wins, ignore existing.
 
-The reductions are aggregates, not windows, so a hot key is combined on the map
-side and never reaches one task whole.
+Keeping one row per key is a rank filter that Spark turns into a group limit on
+both sides of the shuffle: every map task sends at most one row of a key, so a
+hot key never reaches one task whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tellers.operators.sizing import broadcast_if_small, splittable_join
 
 
-def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    if not rest:
-        return df.distinct()
-    row = pick(F.struct(*rest), F.struct(*order))
-    return (
-        df.groupBy(*keys)
-        .agg(row.alias("_row"))
-        .select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
-    )
+def _first_per_key(df: DataFrame, keys: Sequence[str], order: list[Column]) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The whole row with the greatest ``order`` per key."""
-    return _one_per_key(df, keys, order, F.max_by)
+    return _first_per_key(df, keys, [F.desc(c) for c in order])
 
 
 def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The whole row with the least ``order`` per key."""
-    return _one_per_key(df, keys, order, F.min_by)
+    return _first_per_key(df, keys, [F.asc(c) for c in order])
 
 
-def without_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` whose key is not in ``other``; NULL keys are kept."""
-    taken = broadcast_if_small(other.select(*keys))
-    return splittable_join(df, taken, keys, "left_anti")
+def without_keys(df: DataFrame, taken: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``taken``, distinct keys; NULL keys are kept."""
+    return splittable_join(df, broadcast_if_small(taken), keys, "left_anti")
 
 
 def upsert(
@@ -50,7 +44,7 @@ def upsert(
     Only the batch is reduced by key. The target is filtered against the batch's
     keys, so with a batch of checked small size it is not shuffled at all.
     """
-    kept = without_keys(target, batch, keys)
+    kept = without_keys(target, batch.select(*keys).distinct(), keys)
     return kept.unionByName(latest(batch, keys, order).select(*target.columns))
 
 
@@ -58,7 +52,8 @@ def new_rows(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
     """The batch's first row of every key that ``target`` does not hold."""
-    return without_keys(earliest(batch, keys, order).select(*target.columns), target, keys)
+    first = earliest(batch, keys, order).select(*target.columns)
+    return without_keys(first, target.select(*keys), keys)
 
 
 def insert_ignore(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tellers.operators.sizing import broadcast_if_small
+from tellers.operators.sizing import broadcast_if_small, splittable_join
 
 
 def envelope(record: T.StructType) -> T.StructType:
@@ -61,8 +61,9 @@ def stream_pages(
 def restrict_to_ids(records: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Records whose ``key`` is among ``ids``, a one-column DataFrame with repeats.
 
-    A large id set is joined as it is, not made distinct first, so that the join
-    keeps an exchange on both sides and AQE can split a hot id.
+    Ids are made distinct first, on the map side, so that one that most rows name
+    is a single row in the join.
     """
-    wanted = ids.select(F.col(ids.columns[0]).alias(key)).where(F.col(key).isNotNull())
-    return records.join(broadcast_if_small(wanted), key, "left_semi")
+    wanted = ids.select(F.col(ids.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct()
+    chosen = splittable_join(records, broadcast_if_small(wanted), [key], "left_semi")
+    return chosen.select(*records.columns)

@@ -9,6 +9,7 @@ import pytest
 from compare import contract
 from tellers import bindings as b
 from tellers.operators import numbering
+from tellers.operators.keyed import latest
 from tellers.operators.paging import Page, take_page
 from tellers.plans import lookups
 from tellers.plans.ballots import BallotFilter, filtered_ballots, list_order, order_columns
@@ -61,6 +62,12 @@ def test_topic_statistics_scan_the_votes_once(t):
     assert len(scans(plan(member_topic_stats(t)), "lineitem")) == 1
 
 
+def test_last_wins_is_cut_down_before_the_shuffle(t):
+    text = plan(latest(t["vote"], ["ballot_id"], ["id"]))
+    below = text[text.index("Exchange hashpartitioning"):]
+    assert "WindowGroupLimit" in below and "Partial" in below
+
+
 def test_voters_are_distinct_before_the_join(t):
     text = plan(lookups.members_who_voted(t))
     assert "LeftSemi" in text and text.count("HashAggregate") == 2
