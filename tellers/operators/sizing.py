@@ -43,13 +43,14 @@ def measured(frames: Mapping[str, DataFrame]) -> dict[str, Size]:
     return {row["name"]: Size(row["rows"], row["bytes"]) for row in rows}
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``df`` marked for broadcast if it measures small, else unchanged.
 
     Beyond the bound the join is left to Catalyst: a shuffled join whose hot
     partitions AQE splits.
     """
-    return F.broadcast(df) if measured({"": df})[""].bytes <= max_bytes else df
+    bound = BROADCAST_BYTES if max_bytes is None else max_bytes
+    return F.broadcast(df) if measured({"": df})[""].bytes <= bound else df
 
 
 def splittable_join(
