@@ -78,6 +78,8 @@ def ballot_document(
     fields = ("party_abbr", "last_name", "member_id", "first_name", "vote_type", "vote_type_id")
     votes = splittable_join(named_votes(tables, ballot_id), split, ["ballot_id"], "left")
     votes = votes.withColumn("part", F.pmod(F.xxhash64("vote_id"), parts) + 1)
+    # Lists do not shrink on the map side: shuffle the rows, then build the lists.
+    votes = votes.select("ballot_id", "part", *fields).repartition("ballot_id", "part")
     single = _nested(votes, ["ballot_id", "part"], "votes", *fields)
     by_party = _nested(
         counts.where("known"), ["ballot_id"], "party_votes",

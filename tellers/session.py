@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -29,12 +30,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and go on from the written copy.
+    """Compute ``df`` once and go on from the table written to the shared folder.
 
-    Reliable checkpoint, so a lost executor costs a re-read and not a re-run.
+    A lost executor then costs a re-read and not a re-run, and later plans see a
+    Parquet scan: columnar, pruned, and of known size.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
