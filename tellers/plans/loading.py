@@ -72,7 +72,7 @@ def run_steps(store: Store, steps: Sequence[Callable[[], object]]) -> int:
     done = int(store.progress(LAST_STEP) or 0)
     for number, step in enumerate(steps[done:], done + 1):
         step()
-        store.set_progress(LAST_STEP, number)
+        store.set_progress(**{LAST_STEP: number})
     return len(steps[done:])
 
 
@@ -112,10 +112,10 @@ class Load:
         """Append the votes of kept ballots; votes of unknown members go to a side table."""
         kept = self.store.read("ballot").select(F.col("id").alias("ballot_id"))
         landed = build_votes(self._records("vote")).join(kept, "ballot_id", "left_semi")
-        known, unknown = with_known_members(landed, self.store.read("member"))
         stored = self.store.read("vote")
-        self.store.append("vote", remaining_votes(stored, known.select(*stored.columns)))
-        unknown.write.mode("overwrite").parquet(f"{self.store.root}/rejected_votes")
+        fresh = cut(remaining_votes(stored, landed.select(*stored.columns)))  # parse once
+        known, unknown = with_known_members(fresh, self.store.read("member"))
+        self.store.append(vote=known, rejected_vote=unknown)
 
     def run(self) -> DataFrame:
         """All steps that are not done yet, then the row counts."""

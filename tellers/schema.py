@@ -33,6 +33,9 @@ TABLES: dict[str, T.StructType] = {
         ("comment", _TEXT), ("held_at", T.TimestampNTZType()), ("type_id", _ID), ("bill_id", _ID),
     ),
     "vote": _table(("id", _ID), ("ballot_id", _ID), ("member_id", _ID), ("vote_type_id", _ID)),
+    "rejected_vote": _table(
+        ("id", _ID), ("ballot_id", _ID), ("member_id", _ID), ("vote_type_id", _ID)
+    ),
     "load_progress": _table(("key", _TEXT), ("value", _TEXT)),
 }
 

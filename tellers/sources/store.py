@@ -26,6 +26,7 @@ _LEDGER = T.StructType().add("key", "string").add("value", "string").add("seq",
 # splits a hot first one over several files.
 LAYOUT: dict[str, tuple[str, ...]] = {
     "vote": ("ballot_id", "member_id"),
+    "rejected_vote": ("ballot_id", "member_id"),
     "bill_topic": ("bill_id", "topic_id"),
     "ballot": ("held_at", "id"),
     "bill": ("id",),
@@ -56,11 +57,12 @@ class Store:
         row = current_state(self._ledger().where(F.col("key") == key)).first()
         return row["value"] if row else None
 
-    def set_progress(self, key: str, value: object) -> None:
+    def set_progress(self, **values: object) -> None:
+        """Set values; those of one call take effect together."""
         last = self._ledger().agg(F.max("seq").alias("seq")).first()["seq"]
-        row = [(key, str(value), (last or 0) + 1)]
+        noted = [(key, str(value), (last or 0) + 1) for key, value in values.items()]
         (
-            local_rows(self.spark, row, _LEDGER).coalesce(1)
+            local_rows(self.spark, noted, _LEDGER).coalesce(1)
             .write.mode("append").parquet(f"{self.root}/progress_log")
         )
 
@@ -75,21 +77,22 @@ class Store:
             return local_rows(self.spark, [], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(*paths)
 
-    def _add(self, table: str, df: DataFrame, kept: list[str]) -> DataFrame:
+    def _save(self, table: str, df: DataFrame) -> str:
         path = f"{self.root}/{table}/{uuid.uuid4().hex}"
         fields = TABLES[table].fields
         shaped = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
         laid_out(shaped, table).write.parquet(path)
-        self.set_progress(f"table:{table}", json.dumps([*kept, path]))
-        return self.read(table)
+        return path
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
         """Make ``df`` the whole of ``table`` and return it."""
-        return self._add(table, df, [])
+        self.set_progress(**{f"table:{table}": json.dumps([self._save(table, df)])})
+        return self.read(table)
 
-    def append(self, table: str, df: DataFrame) -> DataFrame:
-        """Add the rows of ``df`` without touching those stored."""
-        return self._add(table, df, self._paths(table))
+    def append(self, **frames: DataFrame) -> None:
+        """Add rows to tables, all or none, without touching those stored."""
+        paths = {t: [*self._paths(t), self._save(t, df)] for t, df in frames.items()}
+        self.set_progress(**{f"table:{t}": json.dumps(p) for t, p in paths.items()})
 
 
 def laid_out(df: DataFrame, table: str) -> DataFrame:

@@ -88,7 +88,7 @@ def test_load_from_pages_and_again(spark, landed, tmp_path):
     assert store.progress(loading.LAST_STEP) == "5"
     before = sorted(rows(store.read("vote")))
     assert before == [(1, 100, 1, 1), (2, 100, 2, 2), (3, 102, 3, 1)]
-    assert rows(spark.read.parquet(f"{store.root}/rejected_votes"), "member_id") == [(99,)]
+    assert rows(store.read("rejected_vote"), "member_id") == [(99,)]
     ballots = {r["id"]: r for r in store.read("ballot").collect()}
     assert set(ballots) == {100, 102}
     assert ballots[100]["passed"] and not ballots[102]["passed"]
@@ -104,6 +104,7 @@ def test_load_from_pages_and_again(spark, landed, tmp_path):
     load.topics()
     assert sorted(rows(store.read("vote"))) == before
     assert store.read("topic").count() == 19
+    assert store.read("rejected_vote").count() == 1
     report = quality.constraint_report(Tables.of_store(store, TABLES), CONSTRAINTS).collect()
     assert {r["rule"] for r in report if r["violations"]} == set()
 
@@ -131,7 +132,7 @@ def test_store_replaces_and_appends(spark, tmp_path):
     first = store.write("topic", local_rows(spark, [(1, "a")], TABLES["topic"]))
     store.write("topic", first.unionByName(local_rows(spark, [(2, "b")], TABLES["topic"])))
     assert sorted(rows(store.read("topic"))) == [(1, "a"), (2, "b")]
-    store.append("topic", local_rows(spark, [(3, "c")], TABLES["topic"]))
+    store.append(topic=local_rows(spark, [(3, "c")], TABLES["topic"]))
     assert sorted(rows(store.read("topic"))) == [(1, "a"), (2, "b"), (3, "c")]
     assert rows(first) == [(1, "a")]  # an old reader keeps its files
 
