@@ -25,13 +25,14 @@ def number_rows(
     table that was counted to fit one bucket is numbered in one window.
     """
     size = rows_per_bucket or ROWS_PER_BUCKET
-    rows = df.agg(F.count(key).alias("rows")).first()["rows"]
-    buckets = min(max_buckets, -(-rows // size))
+    shares = [i / max_buckets for i in range(1, max_buckets)]
+    cuts = F.percentile_approx(key, shares, max_buckets * 100)
+    seen = df.agg(F.count(key).alias("rows"), cuts.alias("cuts")).first()
+    buckets = min(max_buckets, -(-seen["rows"] // size))
     if buckets <= 1:
         return df.withColumn(name, F.row_number().over(W.orderBy(key)))
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(key, shares, buckets * 100).alias("cuts")).first()["cuts"]
-    bounds = F.array(*map(F.lit, sorted(set(cuts))))
+    chosen = {seen["cuts"][i * max_buckets // buckets - 1] for i in range(1, buckets)}
+    bounds = F.array(*map(F.lit, sorted(chosen)))
     placed = df.withColumn("_bucket", F.size(F.filter(bounds, lambda bound: bound < F.col(key))))
     sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     running = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

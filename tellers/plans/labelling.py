@@ -28,15 +28,19 @@ DEFAULT_INSTRUCTIONS = (
 )
 
 
-def unlabelled_bills(bills: DataFrame, bill_topic: DataFrame) -> DataFrame:
-    """Bills without a topic that have some title, by id. NULL keys label nothing."""
+def unlabelled_bills(
+    bills: DataFrame, bill_topic: DataFrame, ordered: bool = True
+) -> DataFrame:
+    """Bills without a topic that have some title. NULL keys label nothing.
+
+    Sorted by id unless what follows sorts anyway, as the prompts do.
+    """
     labelled = broadcast_if_small(bill_topic.select(F.col("bill_id").alias("id")))
     titled = bills.where(F.col("title").isNotNull() | F.col("short_title").isNotNull())
-    return (
-        titled.select("id", "title", "short_title", "resume")
-        .join(labelled, "id", "left_anti")
-        .orderBy("id")
+    open_bills = titled.select("id", "title", "short_title", "resume").join(
+        labelled, "id", "left_anti"
     )
+    return open_bills.orderBy("id") if ordered else open_bills
 
 
 def instructions(topics: Sequence[str] = TOPIC_NAMES, template: str = DEFAULT_INSTRUCTIONS) -> str:

@@ -256,7 +256,10 @@ def unlabelled_bills(s: b.Source) -> DataFrame:
 
 @_query
 def prompt_batches(s: b.Source) -> DataFrame:
-    return labelling.prompt_batches(unlabelled_bills(s))
+    bills = labelling.unlabelled_bills(
+        b.document_bills(s), b.labelled_documents(s), ordered=False
+    )
+    return labelling.prompt_batches(bills)
 
 
 def rule_of_thumb(prompt: str) -> str:

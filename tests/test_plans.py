@@ -14,6 +14,7 @@ from tellers.operators.paging import Page, take_page
 from tellers.plans import lookups
 from tellers.plans.ballots import BallotFilter, filtered_ballots, list_order, order_columns
 from tellers.plans.breakdowns import ballot_party_votes, ballot_totals, ballot_votes
+from tellers.sources.store import laid_out
 from tellers.plans.members import member_stats, member_topic_stats
 
 FOLDER = "/root/testdata/sf0.001"
@@ -68,6 +69,17 @@ def test_last_wins_is_cut_down_before_the_shuffle(t):
     assert "WindowGroupLimit" in below and "Partial" in below
 
 
+def test_stored_votes_are_clustered(t):
+    text = plan(laid_out(t["vote"], "vote"))
+    assert "rangepartitioning(ballot_id" in text.replace("l_orderkey", "ballot_id")
+    assert re.search(r"Sort \[ballot_id\S* ASC NULLS FIRST, member_id\S* ASC NULLS FIRST\], false", text)
+
+
+def test_prompts_are_not_sorted_twice(spark):
+    text = plan(contract.queries()["prompt_batches"](spark, FOLDER))
+    assert "rangepartitioning" not in text
+
+
 def test_voters_are_distinct_before_the_join(t):
     text = plan(lookups.members_who_voted(t))
     assert "LeftSemi" in text and text.count("HashAggregate") == 2
@@ -80,6 +92,7 @@ def test_no_window_runs_over_a_whole_table(spark, name, monkeypatch):
     text = plan(contract.queries()[name](spark, FOLDER))
     for line in text.splitlines():
         if re.search(r"\bWindow \[", line):
-            assert "_bucket" in line, line
+            partitioned = line.count("], [") == 2  # partition and order columns
+            assert partitioned or "_bucket" in line, line
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
