@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellers.llm import exact_dedup, mixing, secrets, sharding
-from tellers.llm.text import word_count
+from tellers.llm import decontamination, exact_dedup, language, licenses, mixing, personal_data, secrets, sharding
+from tellers.llm.text import whole_text, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,38 @@ def _count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+HELD_OUT = 2  # remainder of the hashed key, modulo 4, of documents nothing is learned from
+
+
+def _digest(spans: Column) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op2_find_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"),
+        F.col("hits.item").alias("items"), F.coalesce(F.array_max("hits.coverage"), F.lit(0.0)).alias("coverage"),
+    )
+
+
+def op4_identify_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = F.pmod(F.crc32(whole_text(F.col("doc_id"))), F.lit(4)) == HELD_OUT
+    found = language.identify(docs, language.train(docs.where(~held_out)), keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_find_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.find_personal_data(_table(spark, folder, "documents"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"].isin(*personal_data.BASE_KINDS))
+    return found.select(
+        "doc_id", *[_count(F.col("spans"), kind) for kind in personal_data.BASE_KINDS],
+        F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, folder, "documents"))
 
@@ -35,6 +67,16 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_scan_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, folder, "documents"), keep=["doc_id"])
+    spans = F.transform("licenses", lambda s: F.concat_ws(":", s["license"], s["start"].cast("string"), s["end"].cast("string")))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct("licenses.license")), ",").alias("licenses"),
+        F.array_join(spans, ",").alias("spans"),
+    )
+
+
 def op9_assign_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, folder, "documents")).select("doc_id", "slot", "shard")
 
@@ -44,14 +86,18 @@ def op10_find_secrets(spark: SparkSession, folder: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["rank"] < len(secrets.KINDS))
     counts = [_count(F.col("spans"), kind) for kind, *_ in secrets.KINDS]
     return found.select(
-        "doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans")
+        "doc_id", *counts, F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans")
     )
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_find_leaks": op2_find_leaks,
+        "op4_identify_language": op4_identify_language,
+        "op5_find_personal_data": op5_find_personal_data,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mix_sources": op7_mix_sources,
+        "op8_scan_licenses": op8_scan_licenses,
         "op9_assign_shards": op9_assign_shards,
         "op10_find_secrets": op10_find_secrets,
     }

@@ -131,8 +131,3 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     return docs.select(F.col(f"`{key}`").alias("id"), whole_text(F.col(f"`{text}`")).alias("body")).select(
         F.col("id").alias(key), F.array_sort(everything).alias("spans")
     )
-
-
-def digest(spans: Column) -> Column:
-    """kind:start:end of each span, joined by commas."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
