@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellers.llm import decontamination, exact_dedup, language, licenses, mixing, personal_data, secrets, sharding
+from tellers.llm import decontamination, exact_dedup, language, licenses, mixing, personal_data, secrets, sharding, substring_dedup
 from tellers.llm.text import whole_text, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def op1_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(_table(spark, folder, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    return found.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_find_leaks(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -92,6 +98,7 @@ def op10_find_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_remove_repeats": op1_remove_repeats,
         "op2_find_leaks": op2_find_leaks,
         "op4_identify_language": op4_identify_language,
         "op5_find_personal_data": op5_find_personal_data,

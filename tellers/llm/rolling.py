@@ -18,7 +18,7 @@ def _mixed(n: int) -> int:
 
 
 _BYTE_VALUE = np.array([_mixed(n) for n in range(256)], dtype=np.uint64)
-_BYTE_BASE, _WORD_BASE = _mixed(1000) | 1, _mixed(1001) | 1
+_BYTE_BASE, _WORD_BASE, OTHER_BASE = _mixed(1000) | 1, _mixed(1001) | 1, _mixed(1002) | 1
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 IN_WORD = np.array([b not in SPACES for b in range(256)])
@@ -59,13 +59,12 @@ def word_hashes(texts: Sequence[bytes], in_word: np.ndarray = IN_WORD) -> tuple[
     return scramble(np.add.reduceat(terms, begins)), counts
 
 
-def window_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(words: np.ndarray, counts: np.ndarray, size: int, base: int = _WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each ``size`` words in a row of one text, and each text's number.
 
-    The window's polynomial is put together from windows of 1, 2, 4, ... words, as
-    the binary digits of ``size`` say.
+    The window's polynomial in ``base``, an odd number, is put together from windows
+    of 1, 2, 4, ... words, as the binary digits of ``size`` say.
     """
-    base = np.uint64(_WORD_BASE)
     many = np.maximum(counts - size + 1, 0)
     total = len(words) - size + 1
     if total <= 0:
@@ -74,13 +73,13 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.
     sums, done = np.zeros(total, dtype=np.uint64), 0
     with np.errstate(over="ignore"):
         while True:
-            power = np.uint64(pow(_WORD_BASE, done, 1 << 64))
+            power = np.uint64(pow(base, done, 1 << 64))
             if size & width:
                 sums += part[done:done + total] * power
                 done += width
             if done == size:
                 break
-            part = part[:len(part) - width] + part[width:] * np.uint64(pow(int(base), width, 1 << 64))
+            part = part[:len(part) - width] + part[width:] * np.uint64(pow(base, width, 1 << 64))
             width *= 2
     ends = np.repeat(np.cumsum(counts), counts)[:total]
     inside = np.arange(total) + size <= ends
