@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellers.llm import decontamination, exact_dedup, language, licenses, mixing, personal_data, secrets, sharding, substring_dedup
+from tellers.llm import decontamination, exact_dedup, jaccard_join, language, licenses, mixing, personal_data, secrets, sharding, substring_dedup
 from tellers.llm.text import whole_text, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op2_find_leaks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_similar_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_groups(_table(spark, folder, "documents"))
+
+
 def op4_identify_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     held_out = F.pmod(F.crc32(whole_text(F.col("doc_id"))), F.lit(4)) == HELD_OUT
@@ -100,6 +104,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_remove_repeats": op1_remove_repeats,
         "op2_find_leaks": op2_find_leaks,
+        "op3_similar_groups": op3_similar_groups,
         "op4_identify_language": op4_identify_language,
         "op5_find_personal_data": op5_find_personal_data,
         "op6_exact_dedup": op6_exact_dedup,
