@@ -1,24 +1,96 @@
-"""From documents to a corpus for training, in stages."""
+"""From documents to a corpus for training: five stages, each an operator's decisions.
+
+Every stage takes and gives rows with the columns of ``documents``; the last adds the
+shard. A stage's result is written to the shared folder and read again, so that the
+next one starts from a table and a lost executor costs part of one stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tellers.llm import decontamination, jaccard_join, language, mixing, sharding
+from tellers.llm.text import whole_text, word_count
+from tellers.session import cut
+
+LEAST_SCORE = 0.5  # of a language, for a document to stay
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject texts without a letter and those of which no language is likely.
+
+    Learns from the rows that name their language. If there are none, only texts
+    without a letter go.
+    """
+    model = language.train(docs)
+    if not model.languages:
+        return docs.where(F.regexp_like(whole_text(F.col("text")), F.lit(r"\p{L}")))
+    found = language.identify(docs, model, lang_name="_stage_lang", score_name="_stage_score")
+    likely = (F.col("_stage_lang") != language.UNDETERMINED) & (F.col("_stage_score") >= LEAST_SCORE)
+    return found.where(likely).drop("_stage_lang", "_stage_score")
+
 
-from tellers.llm import sharding
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents keep the one with the least doc_id.
+
+    Of rows that repeat doc_id and text one stays. A row without a doc_id is no
+    component's first document and stays unless such a row repeats its text.
+    """
+    groups = jaccard_join.similar_groups(docs)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_stage_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("_stage_gone"), "left_anti")
+    distinct = left.withColumn("_stage_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_stage_text"])
+    return distinct.drop("_stage_text")
+
+
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold an item of the benchmark, in whole or for the most part."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.find_leaks(docs, benchmark, hits_name="_stage_hits")
+    return found.where(F.size("_stage_hits") == 0).drop("_stage_hits")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat each document as often as the mix takes it; drop those it does not take.
+
+    The last document of a source's budget gives its first words only, joined by
+    blanks, with ``n_chars`` of what is left.
+    """
+    labels = mixing.quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = docs.select(
+        F.struct("*").alias("doc"), "source", "doc_id", word_count(F.col("text")).alias("size"),
+        sharding.placement_key("doc_id", "text").alias("identity"),
+    ).join(labels, F.col("doc_id") == F.col("label_key"), "left").drop("label_key", "doc_id")
+    mixed = mixing.mix_sources(rows, weight="label_weight", key="identity").where("taken > 0")
+    copies = mixed.select("doc", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))).alias("copy"), "taken")
+    part = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
+    cut_short = F.col("part") < F.col("size")
+    texts = copies.withColumn("part", part).withColumn("body", F.when(cut_short, first).otherwise(F.col("doc.text")))
+    changed = {"text": F.col("body"), "n_chars": F.when(cut_short, F.length("body").cast("long")).otherwise(F.col("doc.n_chars"))}
+    return texts.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Give each document a shard."""
+    """Give each document its slot and shard."""
     return sharding.assign_shards(docs)
 
 
-STAGES = [("shards", place)]
-ORACLE_SQL = None
+STAGES = [
+    ("language", keep_known_languages),
+    ("similar", keep_one_of_similar),
+    ("leaks", drop_leaked),
+    ("mix", mix),
+    ("shards", place),
+]
+
+ORACLE_SQL = None  # learning a language and tiling are not for SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in a row over the documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
