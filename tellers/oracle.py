@@ -57,50 +57,61 @@ shipped_vote AS (
 vote AS (SELECT id, ballot_id, member_id, vote_type_id FROM shipped_vote)"""
 
 _LISTS = _DOMAIN + """,
-ballot_row AS (
-  SELECT a.id, a.number, a.passed, a.conclusion, a.comment, a.held_at, a.type_id,
-         t.type AS ballot_type, s.id AS bill_id, s.number AS bill_number, s.title, s.short_title,
-         s.resume, s.period_id
-  FROM ballot a LEFT JOIN bill s ON a.bill_id = s.id LEFT JOIN ballot_type t ON a.type_id = t.id),
-topic_list AS (
-  SELECT bill_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS spaced,
-         string_agg(DISTINCT name, ',' ORDER BY name) AS plain
-  FROM bill_topic JOIN topic ON topic.id = topic_id GROUP BY bill_id),
+topic_names AS (
+  SELECT bill_id, list_sort(list_distinct(list(name))) AS names
+  FROM (SELECT bill_id, (SELECT name FROM topic WHERE id = topic_id) AS name FROM bill_topic)
+  WHERE name IS NOT NULL GROUP BY bill_id),
+-- one card for each bill: its own columns and the names of its topics
+card AS (
+  SELECT id AS bill_id, number AS bill_number, title, short_title, resume, period_id,
+         (SELECT names FROM topic_names n WHERE n.bill_id = bill.id) AS names
+  FROM bill),
+shown AS (
+  SELECT id, number, passed, conclusion, comment, held_at, type_id,
+         (SELECT type FROM ballot_type k WHERE k.id = type_id) AS ballot_type,
+         card.* EXCLUDE (names), array_to_string(names, ', ') AS spaced,
+         array_to_string(names, ',') AS plain
+  FROM ballot LEFT JOIN card USING (bill_id)),
 listed AS (
-  SELECT r.id, number, passed, held_at, type_id, ballot_type, r.bill_id, bill_number, title,
-         short_title, period_id, spaced AS topics
-  FROM ballot_row r LEFT JOIN topic_list l ON l.bill_id = r.bill_id),
-header AS (
-  SELECT r.id, number, passed, conclusion, comment, held_at, type_id, ballot_type, r.bill_id,
-         bill_number, title, short_title, resume, period_id, plain AS topics
-  FROM ballot_row r LEFT JOIN topic_list l ON l.bill_id = r.bill_id),
+  SELECT id, number, passed, held_at, type_id, ballot_type, bill_id, bill_number, title,
+         short_title, period_id, spaced AS topics FROM shown),
+header AS (SELECT * EXCLUDE (spaced, plain), plain AS topics FROM shown),
+-- counts are made of ids alone, and only known vote types are named
+tally AS (
+  SELECT ballot_id, member_id, vote_type_id, count(*) AS votes FROM vote
+  WHERE EXISTS (SELECT 1 FROM vote_type WHERE id = vote_type_id) GROUP BY ALL),
+type_name AS (SELECT id AS vote_type_id, type AS vote_type FROM vote_type),
+total AS (
+  SELECT ballot_id, vote_type_id, vote_type, votes::BIGINT AS votes FROM type_name JOIN (
+    SELECT ballot_id, vote_type_id, sum(votes) AS votes FROM tally GROUP BY ALL) USING (vote_type_id)),
+stat AS (
+  SELECT member_id, vote_type, vote_type_id, votes::BIGINT AS votes FROM type_name JOIN (
+    SELECT member_id, vote_type_id, sum(votes) AS votes FROM tally GROUP BY ALL) USING (vote_type_id)),
 party_votes AS (
-  SELECT ballot_id, party_abbr AS party, vote_type_id, st.type AS vote_type, count(*) AS votes
-  FROM vote JOIN member ON member.id = member_id JOIN vote_type st ON st.id = vote_type_id
-  GROUP BY ALL),
+  SELECT ballot_id, party, vote_type_id, vote_type, votes::BIGINT AS votes FROM type_name JOIN (
+    SELECT ballot_id, party, vote_type_id, sum(votes) AS votes
+    FROM tally JOIN (SELECT id AS member_id, party_abbr AS party FROM member) USING (member_id)
+    GROUP BY ALL) USING (vote_type_id)),
+person_name AS (SELECT id AS member_id, first_name, last_name, party_abbr FROM member),
 single_vote AS (
-  SELECT ballot_id, member_id, first_name, last_name, party_abbr, st.type AS vote_type, vote_type_id
-  FROM vote JOIN member ON member.id = member_id JOIN vote_type st ON st.id = vote_type_id),
-total AS (
-  SELECT ballot_id, vote_type_id, st.type AS vote_type, count(*) AS votes
-  FROM vote JOIN vote_type st ON st.id = vote_type_id GROUP BY ALL),
+  SELECT vote.ballot_id, member_id, first_name, last_name, party_abbr, vote_type, vote_type_id
+  FROM vote JOIN person_name USING (member_id) JOIN type_name USING (vote_type_id)),
 named_member AS (
-  SELECT m.id, first_name, last_name, party_abbr, p.name AS party_name
-  FROM member m LEFT JOIN party p ON p.id = m.party_id),
-stat AS (
-  SELECT member_id, st.type AS vote_type, vote_type_id, count(*) AS votes
-  FROM vote JOIN vote_type st ON st.id = vote_type_id GROUP BY ALL),
+  SELECT id, first_name, last_name, party_abbr,
+         (SELECT name FROM party WHERE party.id = party_id) AS party_name FROM member),
 topic_stat AS (
-  SELECT member_id, k.id AS topic_id, k.name AS topic, vote_type_id, st.type AS vote_type,
-         count(*) AS votes
-  FROM vote JOIN vote_type st ON st.id = vote_type_id JOIN ballot a ON a.id = ballot_id
-  JOIN bill_topic sk ON sk.bill_id = a.bill_id JOIN topic k ON k.id = sk.topic_id
+  SELECT member_id, id AS topic_id, name AS topic, vote_type_id, vote_type, sum(votes)::BIGINT AS votes
+  FROM topic, tally JOIN type_name USING (vote_type_id)
+  WHERE EXISTS (
+    SELECT 1 FROM bill_topic WHERE topic_id = topic.id
+      AND bill_id = (SELECT bill_id FROM ballot WHERE ballot.id = ballot_id))
   GROUP BY ALL),
 member_vote AS (
-  SELECT member_id, v.id AS vote_id, ballot_id, held_at, passed, type_id, ballot_type, bill_number,
-         title, short_title, st.type AS vote_type, vote_type_id, plain AS topics, r.bill_id
-  FROM vote v JOIN ballot_row r ON r.id = ballot_id
-  LEFT JOIN vote_type st ON st.id = vote_type_id LEFT JOIN topic_list l ON l.bill_id = r.bill_id)"""
+  SELECT member_id, cast_vote.id AS vote_id, ballot_id, held_at, passed, type_id, ballot_type, bill_number,
+         title, short_title,
+         (SELECT vote_type FROM type_name n WHERE n.vote_type_id = cast_vote.vote_type_id) AS vote_type,
+         vote_type_id, topics, bill_id
+  FROM vote AS cast_vote JOIN (SELECT * RENAME (id AS ballot_id) FROM header) USING (ballot_id))"""
 
 _FEED = _DOMAIN + """,
 place AS (

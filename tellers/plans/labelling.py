@@ -18,13 +18,15 @@ from tellers.schema import TOPIC_NAMES
 BATCH_SIZE = 15  # fixed value: bills in one prompt
 RESUME_LENGTH = 300  # fixed value: characters of a resume in a prompt
 
+NO_TITLE = "Uden titel"  # fixed value: stands for a missing title
+
 # The keys of the answer, sag_id and kategorier.
 DEFAULT_INSTRUCTIONS = (
-    "Assign every bill below to one or more of these topics:\n\n{topics}\n\n"
-    "Give environment, climate, water and farming topics whenever they apply, "
-    "as a secondary topic too.\n"
-    'Answer with a JSON array only: [{{"sag_id": X, "kategorier": ["Topic", ...]}}, ...]\n\n'
-    "Bills:\n"
+    "Below is a numbered list of bills, each with its id, its title and a short resume. "
+    "Decide what each bill is about and file it under the headings that fit, one or several:\n\n"
+    "{topics}\n\n"
+    "Use the headings exactly as written. Reply with nothing but JSON, an array that has an "
+    'object for each bill: {{"sag_id": <id>, "kategorier": [<heading>, ...]}}\n\n'
 )
 
 
@@ -55,7 +57,7 @@ def prompt_batches(
     An item is cut to its prompt text before anything is shuffled.
     """
     head = instructions() if head is None else head
-    title = F.coalesce(first_filled(F.col("title"), F.col("short_title")), F.lit("Uden titel"))
+    title = F.coalesce(first_filled(F.col("title"), F.col("short_title")), F.lit(NO_TITLE))
     resume = F.coalesce(first_filled(F.col("resume"), F.col("short_title")), F.lit(""))
     short = F.when(
         F.length(resume) > RESUME_LENGTH,
