@@ -93,7 +93,7 @@ def bill(s: Source) -> DataFrame:
     return s.customer.selectExpr(
         "c_custkey AS id", "c_name AS title",
         "CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS short_title",
-        "CAST(NULL AS STRING) AS resume", "'L ' || CAST(c_custkey AS STRING) AS number",
+        "CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment || ' resume of ' || c_name END AS resume", "'L ' || CAST(c_custkey AS STRING) AS number",
         "c_nationkey AS type_id", "c_nationkey % 5 AS period_id",
     )
 
@@ -115,8 +115,8 @@ def bill_topic(s: Source) -> DataFrame:
 def ballot(s: Source) -> DataFrame:
     return s.orders.selectExpr(
         "o_orderkey AS id", "CAST(o_orderkey % 1000 AS INT) AS number",
-        "CAST(NULL AS STRING) AS conclusion", "o_orderstatus = 'F' AS passed",
-        "CAST(NULL AS STRING) AS comment", "o_orderdate AS held_at",
+        "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS conclusion", "o_orderstatus = 'F' AS passed",
+        "CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus || ' noted' END AS comment", "o_orderdate AS held_at",
         "CAST(substr(o_orderpriority, 1, 1) AS INT) AS type_id",
         "CASE WHEN o_orderkey % 97 <> 0 THEN o_custkey END AS bill_id",
     )
@@ -168,12 +168,12 @@ def damaged_tables(s: Source) -> Tables:
 
 
 def pages_of(records: DataFrame, position: Column) -> DataFrame:
-    """Envelopes of 100 records each, as JSON text."""
+    """(page, value): envelopes of 100 records each, as JSON text."""
     total = records.agg(F.count(F.lit(1)).cast("string").alias("n")).scalar()
     return (
         records.select(F.struct("*").alias("r"), position.alias("page"))
         .groupBy("page").agg(F.collect_list("r").alias("value"))
-        .select(F.to_json(F.struct(total.alias("odata.count"), "value")).alias("value"))
+        .select("page", F.to_json(F.struct(total.alias("odata.count"), "value")).alias("value"))
     )
 
 
@@ -184,11 +184,19 @@ def event_pages(s: Source) -> DataFrame:
     return pages_of(records, F.expr("event_id div 100"))
 
 
+def damaged_event_pages(s: Source) -> DataFrame:
+    """The same pages, some cut off and some with a text for an id."""
+    pages = event_pages(s)
+    return pages.selectExpr("page", """CASE
+        WHEN page % 7 = 0 THEN substr(value, 1, length(value) - 20)
+        WHEN page % 7 = 3 THEN replace(value, '"event_id":', '"event_id":"x","was":') ELSE value END AS value""")
+
+
 def ballot_type_pages(s: Source) -> DataFrame:
-    """A feed of ballot types that repeats each one for every order that has it."""
+    """A feed that repeats each ballot type for every order that has it, first misnamed."""
     records = s.orders.selectExpr(
         "CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS id",
-        "substr(o_orderpriority, 3) AS type", "o_orderkey",
+        "CASE WHEN o_orderkey < 300 THEN 'Z ' ELSE '' END || substr(o_orderpriority, 3) AS type", "o_orderkey",
     )
     return pages_of(records, F.expr("o_orderkey div 100"))
 
@@ -229,7 +237,24 @@ def actors(s: Source) -> DataFrame:
     return persons.unionByName(groups)
 
 
+def actors_twice(s: Source) -> DataFrame:
+    """The actors, each after an earlier version whose biography is broken."""
+    now = actors(s).selectExpr("*", "id AS arrival")
+    before = now.selectExpr("* EXCEPT (biografi, arrival)", "'<member>' AS biografi", "id - 1000000000000 AS arrival")
+    return before.unionByName(now)
+
+
 def raw_ballots(s: Source) -> DataFrame:
+    """Line items as ballots, each after an earlier version without a step."""
+    now = _raw_ballots(s).selectExpr("*", "2 AS arrival")
+    before = now.selectExpr(
+        "* EXCEPT (konklusion, sagstrinid, arrival)", "'before' AS konklusion",
+        "CAST(NULL AS BIGINT) AS sagstrinid", "1 AS arrival",
+    )
+    return now.unionByName(before)
+
+
+def _raw_ballots(s: Source) -> DataFrame:
     totals = s.lineitem.groupBy("l_orderkey").agg(
         F.expr("min(l_linenumber) AS nummer"), F.expr("max(l_linestatus) AS konklusion"),
         F.expr("max(l_returnflag) AS flag"), F.expr("max(l_shipdate) AS shipped"),
@@ -237,7 +262,7 @@ def raw_ballots(s: Source) -> DataFrame:
     return totals.selectExpr(
         "l_orderkey AS id", "nummer", "konklusion",
         "CASE WHEN flag <> 'N' THEN flag = 'R' END AS vedtaget",
-        "CAST(NULL AS STRING) AS kommentar",
+        "CASE WHEN nummer % 2 = 0 THEN flag END AS kommentar",
         f"date_format(shipped, {_ISO}) AS opdateringsdato", "nummer % 5 + 1 AS typeid",
         "CASE WHEN l_orderkey % 50 = 0 THEN NULL WHEN l_orderkey % 51 = 0 THEN 0 "
         "ELSE l_orderkey END AS sagstrinid",
@@ -245,6 +270,13 @@ def raw_ballots(s: Source) -> DataFrame:
 
 
 def steps(s: Source) -> DataFrame:
+    """Orders as case steps, each after an earlier version of another date and bill."""
+    now = _steps(s).selectExpr("*", "2 AS arrival")
+    before = now.selectExpr("id", "'2030-01-01T00:00:00' AS dato", "-1L AS sagid", "1 AS arrival")
+    return now.unionByName(before)
+
+
+def _steps(s: Source) -> DataFrame:
     return s.orders.selectExpr(
         "o_orderkey AS id",
         "CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN NULL "
@@ -262,11 +294,24 @@ def raw_bills(s: Source) -> DataFrame:
 
 
 def refetched_bills(s: Source) -> DataFrame:
-    """Bill records of the customers in credit, with other numbers, some NULL."""
-    return s.customer.where("c_acctbal >= 0").selectExpr(
+    """Bill records of the customers in credit, with other numbers, some NULL; each came before, too."""
+    now = s.customer.where("c_acctbal >= 0").selectExpr(
         "c_custkey AS id",
-        "CASE WHEN c_nationkey % 6 <> 0 THEN 'B ' || CAST(c_custkey AS STRING) END AS nummer",
+        "CASE WHEN c_nationkey % 6 <> 0 THEN 'B ' || CAST(c_custkey AS STRING) END AS nummer", "2 AS arrival",
     )
+    return now.unionByName(now.selectExpr("id", "'Z ' || CAST(id AS STRING) AS nummer", "1 AS arrival"))
+
+
+def votes_to_check(s: Source) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Votes, members and vote types, of which some votes name none."""
+    members = member(s).join(s.supplier.where("s_acctbal >= 0").selectExpr("s_suppkey AS id"), "id", "left_semi")
+    return vote(s), members, vote_type(s).where("id <> 2")
+
+
+def ballots_to_check(s: Source) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ballots, ballot types and bills, of which some ballots name none."""
+    bills = bill(s).where("number NOT LIKE '%5'")
+    return ballot(s), ballot_type(s).where("id <> 4"), bills
 
 
 def first_parties(s: Source) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tellers.operators.sizing import broadcast_if_small, splittable_join
+from tellers.operators.sizing import splittable_join
 
 
 def _first_per_key(df: DataFrame, keys: Sequence[str], order: list[Column]) -> DataFrame:
@@ -31,9 +31,21 @@ def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return _first_per_key(df, keys, [F.asc(c) for c in order])
 
 
+def last_arrived(df: DataFrame, keys: Sequence[str] = ("id",), arrival: str = "arrival") -> DataFrame:
+    """Of rows that repeat a key the one that arrived last.
+
+    ``arrival`` is a column of ``df`` that ``read_pages`` makes; without it the
+    greatest values of all other columns stand in, so that the answer is the same on
+    every run.
+    """
+    order = [arrival] if arrival in df.columns else []
+    order += [c for c in df.columns if c not in keys and c != arrival]
+    return latest(df, keys, order)
+
+
 def without_keys(df: DataFrame, taken: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``df`` whose key is not in ``taken``, distinct keys; NULL keys are kept."""
-    return splittable_join(df, broadcast_if_small(taken), keys, "left_anti")
+    return splittable_join(df, taken, keys, "left_anti")
 
 
 def upsert(
@@ -41,11 +53,11 @@ def upsert(
 ) -> DataFrame:
     """``target`` with the batch's rows put in; a key conflict replaces the whole row.
 
-    Only the batch is reduced by key. The target is filtered against the batch's
-    keys, so with a batch of checked small size it is not shuffled at all.
+    Only the batch is reduced by key, once; the target is filtered against the keys
+    of what is left of it.
     """
-    kept = without_keys(target, batch.select(*keys).distinct(), keys)
-    return kept.unionByName(latest(batch, keys, order).select(*target.columns))
+    last = latest(batch, keys, order)
+    return without_keys(target, last.select(*keys), keys).unionByName(last.select(*target.columns))
 
 
 def new_rows(

@@ -1,4 +1,4 @@
-"""Consecutive numbers in key order without a single-partition window."""
+"""Consecutive numbers in key order, in as many tasks as the rows need."""
 
 from __future__ import annotations
 
@@ -6,34 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tellers.session import cut
+
 ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 256
+LEAST_BUCKETS = 8
 
 
 def number_rows(
-    df: DataFrame,
-    key: str,
-    name: str = "n",
-    rows_per_bucket: int | None = None,
-    max_buckets: int = MAX_BUCKETS,
+    df: DataFrame, key: str, name: str = "n", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Add ``name``: 1, 2, 3, ... in the order of the unique numeric ``key``.
+    """Add ``name``: 1, 2, 3, ... in the order of the unique ``key``.
 
-    Quantiles of the key cut it into buckets of about equal row counts, however
-    the keys are spread. The bucket sizes, at most ``max_buckets`` rows, give
-    every bucket its offset; the rank inside a bucket is a window over it. A
-    table that was counted to fit one bucket is numbered in one window.
+    ``df`` is computed once, into a table, whose rows are counted and dealt to
+    buckets of key ranges; the number of buckets follows the rows. The buckets' row
+    counts, a number each, give them their offsets, and the rank of a row is a window
+    over its bucket.
     """
-    size = rows_per_bucket or ROWS_PER_BUCKET
-    shares = [i / max_buckets for i in range(1, max_buckets)]
-    cuts = F.percentile_approx(key, shares, max_buckets * 100)
-    seen = df.agg(F.count(key).alias("rows"), cuts.alias("cuts")).first()
-    buckets = min(max_buckets, -(-seen["rows"] // size))
-    if buckets <= 1:
-        return df.withColumn(name, F.row_number().over(W.orderBy(key)))
-    chosen = {seen["cuts"][i * max_buckets // buckets - 1] for i in range(1, buckets)}
-    bounds = F.array(*map(F.lit, sorted(chosen)))
-    placed = df.withColumn("_bucket", F.size(F.filter(bounds, lambda bound: bound < F.col(key))))
+    rows = cut(df)
+    buckets = max(LEAST_BUCKETS, -(-rows.count() // rows_per_bucket))
+    placed = cut(rows.repartitionByRange(buckets, key).withColumn("_bucket", F.spark_partition_id()))
     sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     running = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -42,7 +33,7 @@ def number_rows(
     rank = F.row_number().over(W.partitionBy("_bucket").orderBy(key))
     return (
         placed.withColumn("_rank", rank)
-        .join(F.broadcast(offsets), "_bucket")  # at most max_buckets rows
+        .join(offsets, "_bucket")
         .withColumn(name, F.col("_offset") + F.col("_rank"))
         .drop("_bucket", "_rank", "_offset")
     )

@@ -1,56 +1,17 @@
-"""Broadcast only what was measured; re-key joins that must stay splittable."""
+"""Joins whose hot partitions stay splittable.
+
+Which side of a join is broadcast is left to Spark: it knows the size of files
+before it runs, and with adaptive execution the size of every shuffled side while
+it runs. Nothing is executed twice to be measured.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-BROADCAST_BYTES = 64 * 1024 * 1024
-_FIXED_WIDTH = 16
-_ROW_OVERHEAD = 32
-
-
-@dataclass(frozen=True)
-class Size:
-    """Rows of a table and an upper estimate of their bytes in memory."""
-
-    rows: int
-    bytes: int
-
-
-def _measure(df: DataFrame, label: str) -> DataFrame:
-    kinds = df.dtypes
-    texts = [name for name, kind in kinds if kind == "string"]
-    nested = [name for name, kind in kinds if kind.startswith(("array", "struct", "map"))]
-    if nested:
-        raise ValueError(f"cannot size nested columns: {nested}")
-    width = _ROW_OVERHEAD + _FIXED_WIDTH * len(kinds)
-    total = [f"count(1) * {width}"]
-    total += [f"coalesce(sum(octet_length(`{name}`)), 0)" for name in texts]
-    return df.selectExpr(f"'{label}' AS name", "count(1) AS rows", f"{' + '.join(total)} AS bytes")
 
-
-def measured(frames: Mapping[str, DataFrame]) -> dict[str, Size]:
-    """Sizes of several DataFrames from one job."""
-    if not frames:
-        return {}
-    parts = [_measure(df, name) for name, df in frames.items()]
-    rows = reduce(DataFrame.union, parts).collect()  # one row per frame
-    return {row["name"]: Size(row["rows"], row["bytes"]) for row in rows}
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it measures small, else unchanged.
-
-    Beyond the bound the join is left to Catalyst: a shuffled join whose hot
-    partitions AQE splits.
-    """
-    bound = BROADCAST_BYTES if max_bytes is None else max_bytes
-    return F.broadcast(df) if measured({"": df})[""].bytes <= bound else df
+_HASHABLE = ("map", "variant")
 
 
 def splittable_join(
@@ -62,7 +23,13 @@ def splittable_join(
     read it without an exchange of its own, and AQE splits skewed joins only
     between two exchanges. A second key, computed from the first the same way on
     both sides, asks for a new exchange and changes no match.
+
+    A left row with a NULL key matches nothing. Its second key comes from all its
+    columns, so such rows spread over the partitions however many there are.
     """
-    key = f"xxhash64({', '.join(on)}) AS _rekey"
-    joined = left.selectExpr("*", key).join(right.selectExpr("*", key), [*on, "_rekey"], how)
+    key = f"xxhash64({', '.join(f'`{c}`' for c in on)})"
+    rest = [f"`{name}`" for name, kind in left.dtypes if not any(k in kind for k in _HASHABLE)]
+    missing = " OR ".join(f"`{c}` IS NULL" for c in on)
+    spread = f"CASE WHEN {missing} THEN xxhash64({', '.join(rest)}) ELSE {key} END AS _rekey"
+    joined = left.selectExpr("*", spread).join(right.selectExpr("*", f"{key} AS _rekey"), [*on, "_rekey"], how)
     return joined.drop("_rekey")

@@ -22,7 +22,7 @@ member AS (
 bill AS (
   SELECT c_custkey AS id, c_name AS title,
          CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS short_title,
-         CAST(NULL AS VARCHAR) AS resume, 'L ' || CAST(c_custkey AS VARCHAR) AS number,
+         CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment || ' resume of ' || c_name END AS resume, 'L ' || CAST(c_custkey AS VARCHAR) AS number,
          c_nationkey AS type_id, c_nationkey % 5 AS period_id
   FROM customer),
 segment AS (
@@ -41,8 +41,8 @@ bill_topic AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0),
 ballot AS (
   SELECT o_orderkey AS id, CAST(o_orderkey % 1000 AS INT) AS number,
-         CAST(NULL AS VARCHAR) AS conclusion, o_orderstatus = 'F' AS passed,
-         CAST(NULL AS VARCHAR) AS comment, o_orderdate AS held_at,
+         CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS conclusion, o_orderstatus = 'F' AS passed,
+         CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus || ' noted' END AS comment, o_orderdate AS held_at,
          CAST(substr(o_orderpriority, 1, 1) AS INT) AS type_id,
          CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_custkey END AS bill_id
   FROM orders),
@@ -152,11 +152,11 @@ new_party AS (
 all_party AS (SELECT * FROM old_party UNION ALL SELECT * FROM new_party),
 raw_ballot AS (
   SELECT l_orderkey AS id, min(l_linenumber) AS number, max(l_linestatus) AS conclusion,
-         max(l_returnflag) = 'R' AS passed
+         max(l_returnflag) = 'R' AS passed, max(l_returnflag) AS flag
   FROM lineitem
   WHERE l_orderkey % 50 <> 0 AND l_orderkey % 51 <> 0 GROUP BY l_orderkey),
 built_ballot AS (
-  SELECT r.id, r.number, r.conclusion, r.passed, CAST(NULL AS VARCHAR) AS comment,
+  SELECT r.id, r.number, r.conclusion, r.passed, CASE WHEN r.number % 2 = 0 THEN flag END AS comment,
          o_orderdate AS held_at, r.number % 5 + 1 AS type_id,
          CASE WHEN o_orderkey % 97 <> 0 THEN o_custkey END AS bill_id
   FROM raw_ballot r JOIN orders ON o_orderkey = r.id
@@ -241,6 +241,7 @@ LEFT JOIN (SELECT member_id, to_json(list({'topic': topic, 'topic_id': topic_id,
              ORDER BY topic, topic_id, vote_type_id)) AS j FROM topic_stat GROUP BY 1) t
   ON t.member_id = m.id"""
 
+_LAST = "max({0})"
 _VOTED = "id IN (SELECT member_id FROM vote)"
 _NAMES = "party_abbr NULLS FIRST, last_name, first_name, id"
 _VOTE_ROW = "SELECT * EXCLUDE (bill_id) FROM member_vote"
@@ -279,6 +280,12 @@ _LIST_QUERIES = {
           OR lower(first_name || ' ' || last_name) LIKE '%er 0000000_1%'
           OR lower(party_abbr) LIKE '%er 0000000_1%')
         ORDER BY {_NAMES} LIMIT 50""",
+    "member_search_all": f"""SELECT * FROM named_member WHERE {_VOTED}
+        AND (first_name LIKE '%1%' OR last_name LIKE '%1%' OR party_abbr LIKE '%1%')""",
+    "one_ballot_document": f"{_document_json()} WHERE h.id = (SELECT {_LAST.format('o_orderkey')} FROM orders)",
+    "one_member_document": f"{_MEMBER_DOCUMENT} WHERE m.id = (SELECT {_LAST.format('s_suppkey')} FROM supplier)",
+    "one_member_votes_page": f"""{_VOTE_ROW} WHERE member_id = (SELECT {_LAST.format('s_suppkey')} FROM supplier)
+        ORDER BY held_at DESC, vote_id LIMIT 50""",
     "member_header": "SELECT * FROM named_member",
     "member_stats": "SELECT * FROM stat",
     "member_stats_by_id": "SELECT member_id, vote_type_id AS id, vote_type AS type, votes FROM stat",
@@ -300,6 +307,16 @@ _LIST_QUERIES = {
         WHERE l_shipdate < TIMESTAMP '1996-01-01' OR ballot_id NOT IN (
           SELECT ballot_id FROM shipped_vote WHERE l_shipdate < TIMESTAMP '1996-01-01')""",
     "stream_votes": "SELECT * FROM vote",
+    "rejected_votes": """SELECT * FROM (SELECT *, CASE
+          WHEN member_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) THEN 'member'
+          WHEN vote_type_id = 2 THEN 'vote_type' END AS reason FROM vote) WHERE reason IS NOT NULL""",
+    "rejected_ballots": """SELECT * FROM (SELECT id, type_id, bill_id, CASE
+          WHEN type_id = 4 THEN 'ballot_type' WHEN bill_id % 10 = 5 THEN 'bill' END AS reason
+        FROM ballot) WHERE reason IS NOT NULL""",
+    "sample_members": """SELECT first_name, last_name, party_abbr, party_name FROM named_member
+        WHERE party_abbr IS NOT NULL ORDER BY md5('7/' || id) LIMIT 10""",
+    "sample_bills": """SELECT id, number, short_title FROM bill WHERE number IS NOT NULL
+        ORDER BY id LIMIT 5""",
 }
 
 _CONSTRAINTS = """,
@@ -335,6 +352,7 @@ def _constraint_sql() -> str:
 
     rows = [
         unique("ballot_type", "ballot_type", "id"), required("ballot_type", "ballot_type", "type"),
+        unique("vote_type", "vote_type", "id"), required("vote_type", "vote_type", "type"),
         unique("party", "party", "id"), required("party", "party", "abbreviation"),
         unique("member", "member2", "id"), required("member", "member2", "first_name"),
         required("member", "member2", "last_name"),
@@ -387,8 +405,13 @@ _FEED_QUERIES = {
 
 _PLAIN_QUERIES = {
     "ingest_pages": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
-    "ingest_completeness": """SELECT count(DISTINCT event_id // 100) AS pages, count(*) AS records,
-        count(*) AS declared, true AS complete FROM events""",
+    "ingest_completeness": """SELECT count(DISTINCT event_id // 100) AS pages, 0::BIGINT AS damaged,
+        count(*) AS records, count(*) AS declared, true AS complete FROM events""",
+    "ingest_completeness_damaged": """SELECT count(DISTINCT page) AS pages,
+        count(DISTINCT page) FILTER (hurt) AS damaged, count(*) FILTER (NOT hurt) AS records,
+        CASE WHEN count(*) > 0 THEN count(*) END AS declared, false AS complete
+        FROM (SELECT event_id // 100 AS page, event_id // 100 % 7 IN (0, 3) AS hurt FROM events)""",
+    "rejected_pages": "SELECT DISTINCT event_id // 100 AS page FROM events WHERE event_id // 100 % 7 IN (0, 3)",
     "upsert_last_wins": f"""WITH {_LINES}
         SELECT * FROM (SELECT *, l_shipdate >= TIMESTAMP '1998-01-01' AS late FROM line
           QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY late DESC,

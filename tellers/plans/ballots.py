@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from tellers.functions.text import any_like
 from tellers.operators.paging import Page, after_key, page_info, take_page
-from tellers.operators.sizing import broadcast_if_small
 from tellers.plans.tables import Tables, bill_columns, with_ballot_type, with_bill
-from tellers.session import LOCAL_ROWS, settle
+from tellers.session import cut
 
 # Sort keys and the columns they stand for; "title" sorts by the short title.
 SORTS = {
@@ -102,7 +101,6 @@ def order_columns(order: list[tuple[str, str]]) -> list[Column]:
 
 
 def _listed(ballots: DataFrame, tables: Tables) -> DataFrame:
-    tables.measure("topic", "bill", "ballot_type")
     rows = ballots.select("id", "number", "passed", "held_at", "type_id", "bill_id")
     return with_ballot_type(with_bill(rows, tables, ", "), tables).select(
         "id", "number", "passed", "held_at", "type_id", "ballot_type", "bill_id", "bill_number",
@@ -110,18 +108,16 @@ def _listed(ballots: DataFrame, tables: Tables) -> DataFrame:
     )
 
 
-def narrowed(tables: Tables, rows: DataFrame, count: int) -> Tables:
+def narrowed(tables: Tables, rows: DataFrame) -> Tables:
     """The tables with bills and bill topics cut down to the bills of ``rows``.
 
-    For a page or one ballot, of at most ``count`` rows: a scan against few keys
-    instead of a shuffle.
+    For a page or one ballot, written before: Spark knows the size of its file, so
+    a page of usual length turns this into a scan against few keys.
     """
-    few = count <= LOCAL_ROWS
     wanted = rows.select("bill_id").distinct()
-    wanted = F.broadcast(wanted) if few else broadcast_if_small(wanted)
     own = tables["bill"].join(wanted.withColumnRenamed("bill_id", "id"), "id", "left_semi")
     topics = tables["bill_topic"].join(wanted, "bill_id", "left_semi")
-    return tables.replaced(("bill", "bill_topic") if few else (), bill=own, bill_topic=topics)
+    return tables.replaced(bill=own, bill_topic=topics)
 
 
 def ballot_list(tables: Tables, f: BallotFilter = BallotFilter()) -> DataFrame:
@@ -158,8 +154,8 @@ def ballot_page(
     if after is not None:
         rows = rows.where(after_key(order, after))
         page = Page(1, page.size)
-    rows = settle(take_page(rows, order_columns(order), page), page.size)
-    return _listed(rows, narrowed(tables, rows, page.size)).orderBy(*order_columns(order))
+    rows = cut(take_page(rows, order_columns(order), page))
+    return _listed(rows, narrowed(tables, rows)).orderBy(*order_columns(order))
 
 
 def ballot_page_info(
@@ -173,9 +169,8 @@ def ballot_header(tables: Tables, ballot_id: int | None = None) -> DataFrame:
     """The head of one ballot's document, or of every ballot's."""
     ballots = tables["ballot"]
     if ballot_id is not None:
-        ballots = settle(ballots.where(F.col("id") == ballot_id), 1)
-        tables = narrowed(tables, ballots, 1)
-    tables.measure("topic", "bill", "ballot_type")
+        ballots = cut(ballots.where(F.col("id") == ballot_id))
+        tables = narrowed(tables, ballots)
     return with_ballot_type(with_bill(ballots, tables, ",", "resume"), tables).select(
         "id", "number", "passed", "conclusion", "comment", "held_at", "type_id", "ballot_type",
         "bill_id", "bill_number", "title", "short_title", "resume", "period_id", "topics",

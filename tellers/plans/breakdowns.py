@@ -33,7 +33,6 @@ def ballot_totals(tables: Tables, ballot_id: int | None = None) -> DataFrame:
 
 def ballot_party_votes(tables: Tables, ballot_id: int | None = None) -> DataFrame:
     """Count per party and vote type; members without a party are one group."""
-    tables.measure("member", "vote_type")
     parties = tables.lookup("member", member_id="id", party="party_abbr")
     counts = (
         _votes(tables, ballot_id)
@@ -49,7 +48,6 @@ def ballot_party_votes(tables: Tables, ballot_id: int | None = None) -> DataFram
 
 def named_votes(tables: Tables, ballot_id: int | None = None) -> DataFrame:
     """Votes with their own id and their member's name and party."""
-    tables.measure("member", "vote_type")
     members = tables.lookup(
         "member", member_id="id", first_name="first_name", last_name="last_name",
         party_abbr="party_abbr",

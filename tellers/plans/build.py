@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellers.functions.text import first_filled, strip
-from tellers.operators.keyed import latest
-from tellers.operators.sizing import broadcast_if_small, splittable_join
+from tellers.operators.keyed import last_arrived, latest
+from tellers.operators.sizing import splittable_join
 from tellers.schema import ACTOR_GROUP, ACTOR_PERSON, PERIOD_START
 from tellers.sources.landed import restrict_to_ids
 
 
 def build_lookup(records: DataFrame) -> DataFrame:
-    """Ballot types and vote types: two columns as they come."""
-    return records.select("id", "type")
+    """Ballot types and vote types: two columns as they come, the last of each id."""
+    return last_arrived(records).select("id", "type")
 
 
 def build_parties(actors: DataFrame) -> DataFrame:
@@ -30,20 +30,23 @@ def build_parties(actors: DataFrame) -> DataFrame:
     )
 
 
-def build_members(actors: DataFrame, arrival: str = "id") -> DataFrame:
-    """Persons as members; of groups that share an abbreviation the last to arrive counts."""
+def build_members(actors: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Persons as members; of groups that share an abbreviation the last to arrive counts.
+
+    ``arrival`` names the column to go by: by default ``arrival`` where the records
+    have one, else the id.
+    """
+    arrival = arrival or ("arrival" if "arrival" in actors.columns else "id")
     groups = actors.where(
         (F.col("typeid") == ACTOR_GROUP) & (first_filled(F.col("gruppenavnkort")).isNotNull())
     )
-    by_abbreviation = broadcast_if_small(
-        latest(
-            groups.select(
-                F.col("gruppenavnkort").alias("party_abbr"), F.col("id").alias("party_id"),
-                F.col(arrival).alias("_arrival"),
-            ),
-            ["party_abbr"], ["_arrival"],
-        ).drop("_arrival")
-    )
+    by_abbreviation = latest(
+        groups.select(
+            F.col("gruppenavnkort").alias("party_abbr"), F.col("id").alias("party_id"),
+            F.col(arrival).alias("_arrival"),
+        ),
+        ["party_abbr"], ["_arrival"],
+    ).drop("_arrival")
     members = actors.where(F.col("typeid") == ACTOR_PERSON).select(
         "id",
         F.coalesce("fornavn", F.lit("")).alias("first_name"),
@@ -63,9 +66,12 @@ def steps_in_period(steps: DataFrame, start: str = PERIOD_START) -> DataFrame:
 
 
 def ballots_in_period(ballots: DataFrame, steps: DataFrame, start: str = PERIOD_START) -> DataFrame:
-    """Raw ballots with a step in the period, joined to that step."""
-    linked = ballots.where(F.coalesce("sagstrinid", F.lit(0)) != 0)
-    kept = steps_in_period(steps, start).select(
+    """Raw ballots with a step in the period, joined to that step.
+
+    Of a ballot or a step that comes twice the last one counts.
+    """
+    linked = last_arrived(ballots).where(F.coalesce("sagstrinid", F.lit(0)) != 0)
+    kept = steps_in_period(last_arrived(steps), start).select(
         F.col("id").alias("sagstrinid"), "dato", F.col("sagid").alias("bill_id")
     )
     return linked.join(kept, "sagstrinid")
@@ -91,9 +97,9 @@ def build_ballots(ballots: DataFrame, steps: DataFrame, start: str = PERIOD_STAR
 
 
 def build_bills(bills: DataFrame, ballots: DataFrame) -> DataFrame:
-    """Bills that a kept ballot is about."""
+    """Bills that a kept ballot is about; of one that comes twice the last record."""
     wanted = ballots.where(F.coalesce("bill_id", F.lit(0)) != 0).select("bill_id")
-    return restrict_to_ids(bills, wanted).select(
+    return last_arrived(restrict_to_ids(bills, wanted)).select(
         "id",
         F.col("titel").alias("title"),
         F.col("titelkort").alias("short_title"),
@@ -105,9 +111,11 @@ def build_bills(bills: DataFrame, ballots: DataFrame) -> DataFrame:
 
 
 def build_votes(records: DataFrame) -> DataFrame:
+    """Votes as they come, with their arrival where the records have one."""
     return records.select(
         "id",
         F.col("afstemningid").alias("ballot_id"),
         F.col("aktørid").alias("member_id"),
         F.col("typeid").alias("vote_type_id"),
+        *(["arrival"] if "arrival" in records.columns else []),
     )

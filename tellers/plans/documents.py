@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellers.operators.sizing import broadcast_if_small, splittable_join
+from tellers.operators.sizing import splittable_join
 from tellers.plans.ballots import ballot_header
 from tellers.plans.breakdowns import named_votes
 from tellers.plans.members import member_header, member_stats, member_topic_stats
@@ -44,7 +44,6 @@ def _counts(tables: Tables, ballot_id: int | None) -> DataFrame:
 
     Written once: the sizes, the party counts and the totals all come from it.
     """
-    tables.measure("member", "vote_type")
     members = tables.lookup("member", member_id="id", party="party_abbr")
     votes = tables["vote"].select("ballot_id", "member_id", "vote_type_id")
     if ballot_id is not None:
@@ -69,10 +68,8 @@ def ballot_document(
     """
     counts = _counts(tables, ballot_id)
     sizes = counts.groupBy("ballot_id").agg(F.sum("votes").alias("_votes"))
-    split = broadcast_if_small(
-        sizes.where(F.col("_votes") > votes_per_part).select(
-            "ballot_id", F.ceil(F.col("_votes") / votes_per_part).alias("parts")
-        )
+    split = sizes.where(F.col("_votes") > votes_per_part).select(
+        "ballot_id", F.ceil(F.col("_votes") / votes_per_part).alias("parts")
     )
     parts = F.coalesce("parts", F.lit(1)).cast("long")
     fields = ("party_abbr", "last_name", "member_id", "first_name", "vote_type", "vote_type_id")

@@ -12,7 +12,7 @@ from tellers.functions.responses import labelled_items
 from tellers.functions.text import first_filled
 from tellers.operators.keyed import new_rows
 from tellers.operators.numbering import number_rows
-from tellers.operators.sizing import broadcast_if_small, splittable_join
+from tellers.operators.sizing import splittable_join
 from tellers.schema import TOPIC_NAMES
 
 BATCH_SIZE = 15  # fixed value: bills in one prompt
@@ -37,10 +37,10 @@ def unlabelled_bills(
 
     Sorted by id unless what follows sorts anyway, as the prompts do.
     """
-    labelled = broadcast_if_small(bill_topic.select(F.col("bill_id").alias("id")))
+    labelled = bill_topic.select(F.col("bill_id").alias("id")).distinct()
     titled = bills.where(F.col("title").isNotNull() | F.col("short_title").isNotNull())
-    open_bills = titled.select("id", "title", "short_title", "resume").join(
-        labelled, "id", "left_anti"
+    open_bills = splittable_join(
+        titled.select("id", "title", "short_title", "resume"), labelled, ["id"], "left_anti"
     )
     return open_bills.orderBy("id") if ordered else open_bills
 
@@ -50,18 +50,20 @@ def instructions(topics: Sequence[str] = TOPIC_NAMES, template: str = DEFAULT_IN
 
 
 def prompt_batches(
-    bills: DataFrame, head: str | None = None, batch_size: int = BATCH_SIZE
+    bills: DataFrame, head: str | None = None, batch_size: int = BATCH_SIZE,
+    resume_length: int | None = RESUME_LENGTH,
 ) -> DataFrame:
     """(batch, bills, prompt): bills in id order, numbered inside their batch.
 
-    An item is cut to its prompt text before anything is shuffled.
+    A resume longer than ``resume_length`` characters is shown up to there with an
+    ellipsis; None shows it in whole. That is done before anything is shuffled.
     """
     head = instructions() if head is None else head
     title = F.coalesce(first_filled(F.col("title"), F.col("short_title")), F.lit(NO_TITLE))
     resume = F.coalesce(first_filled(F.col("resume"), F.col("short_title")), F.lit(""))
-    short = F.when(
-        F.length(resume) > RESUME_LENGTH,
-        F.concat(F.substring(resume, 1, RESUME_LENGTH), F.lit("...")),
+    short = resume if resume_length is None else F.when(
+        F.length(resume) > resume_length,
+        F.concat(F.substring(resume, 1, resume_length), F.lit("...")),
     ).otherwise(resume)
     texts = bills.select("id", title.alias("_title"), short.alias("_resume"))
     place = F.col("_n") - 1
@@ -85,8 +87,11 @@ def prompt_batches(
     )
 
 
-def label_batches(prompts: DataFrame, ask: Callable[[str], str]) -> DataFrame:
-    """(batch, response, error): one call of ``ask`` per prompt.
+def label_batches(prompts: DataFrame, ask: Callable[[str], str], tasks: int | None = None) -> DataFrame:
+    """(batch, response, error): one call of ``ask`` per prompt, in ``tasks`` tasks.
+
+    The prompts are dealt evenly to the tasks, by default as many as the cluster runs
+    at once, since a call waits long and a prompt is short.
 
     A call that fails gives a row without a response and the rest goes on. Write
     the result (``Store`` or ``cut``) before parsing it, so that a later failure
@@ -107,7 +112,8 @@ def label_batches(prompts: DataFrame, ask: Callable[[str], str]) -> DataFrame:
                 "error": pd.Series([e for _, e in answers], dtype="object", index=frame.index),
             })
 
-    columns = prompts.select("batch", "prompt")
+    tasks = tasks or prompts.sparkSession.sparkContext.defaultParallelism
+    columns = prompts.select("batch", "prompt").repartition(tasks)
     return columns.mapInPandas(call, "batch BIGINT, response STRING, error STRING")
 
 
@@ -127,8 +133,8 @@ def rejected_responses(responses: DataFrame) -> DataFrame:
 
 def matched_labels(parsed: DataFrame, topics: DataFrame) -> DataFrame:
     """(batch, bill_id, topic_id) of the known topic names, repeats included."""
-    names = broadcast_if_small(topics.select(F.col("id").alias("topic_id"), F.col("name").alias("topic")))
-    return parsed.join(names, "topic").select("batch", "bill_id", "topic_id")
+    names = topics.select(F.col("id").alias("topic_id"), F.col("name").alias("topic"))
+    return splittable_join(parsed, names, ["topic"], "inner").select("batch", "bill_id", "topic_id")
 
 
 def label_counts(parsed: DataFrame, topics: DataFrame) -> DataFrame:
@@ -137,7 +143,7 @@ def label_counts(parsed: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def _bill_keys(bills: DataFrame) -> DataFrame:
-    return broadcast_if_small(bills.select(F.col("id").alias("bill_id")))
+    return bills.select(F.col("id").alias("bill_id"))
 
 
 def orphan_labels(parsed: DataFrame, topics: DataFrame, bills: DataFrame) -> DataFrame:

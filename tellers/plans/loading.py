@@ -9,25 +9,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tellers.operators.keyed import latest, upsert
-from tellers.operators.sizing import broadcast_if_small, splittable_join
+from tellers.operators.keyed import last_arrived, upsert
+from tellers.operators.sizing import splittable_join
 from tellers.plans.build import (
     build_ballots, build_bills, build_lookup, build_members, build_parties, build_votes,
 )
 from tellers.plans.quality import SUMMARY_TABLES, table_counts
 from tellers.plans.tables import Tables
 from tellers.schema import PERIOD_START, RECORDS, TOPIC_NAMES
-from tellers.session import cut, local_rows
-from tellers.sources.landed import read_pages
+from tellers.session import cut, local_rows, remove_cuts
+from tellers.sources.landed import completeness_of, landed_pages, parse_pages, records_of
 from tellers.sources.store import Store
 
 _SEED = T.StructType().add("n", "long").add("name", "string")
 LAST_STEP = "last_completed_step"
 
 
+class ShortFeed(RuntimeError):
+    """The landed pages of a kind are damaged or fewer than the feed declares."""
+
+
 def load_lookup(target: DataFrame, records: DataFrame) -> DataFrame:
-    """A lookup table with fetched records put in."""
-    return upsert(target, build_lookup(records).distinct(), ["id"], ["type"])
+    """A lookup table with fetched records put in, the last of each id."""
+    return upsert(target, build_lookup(records), ["id"], ["type"])
 
 
 def seed_topics(topics: DataFrame, names: Sequence[str] = TOPIC_NAMES) -> DataFrame:
@@ -47,10 +51,10 @@ def seed_topics(topics: DataFrame, names: Sequence[str] = TOPIC_NAMES) -> DataFr
 
 
 def remaining_votes(stored: DataFrame, landed: DataFrame) -> DataFrame:
-    """Landed votes of the ballots of which no vote is stored; last wins by id."""
-    done = broadcast_if_small(stored.select("ballot_id").distinct())
+    """Landed votes of the ballots of which no vote is stored; the last to arrive of an id."""
+    done = stored.select("ballot_id").distinct()
     fresh = splittable_join(landed, done, ["ballot_id"], "left_anti").select(*landed.columns)
-    return latest(fresh, ["id"], ["ballot_id", "member_id", "vote_type_id"])
+    return last_arrived(fresh)
 
 
 def incremental_votes(stored: DataFrame, landed: DataFrame) -> DataFrame:
@@ -58,13 +62,32 @@ def incremental_votes(stored: DataFrame, landed: DataFrame) -> DataFrame:
     return stored.unionByName(remaining_votes(stored, landed).select(*stored.columns))
 
 
-def with_known_members(votes: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Votes split into those of known members and the rest."""
-    keys = broadcast_if_small(members.select(F.col("id").alias("member_id")))
-    return (
-        votes.join(keys, "member_id", "left_semi").select(*votes.columns),
-        votes.join(keys, "member_id", "left_anti").select(*votes.columns),
-    )
+def with_reason(rows: DataFrame, references: Mapping[str, tuple[str, DataFrame]]) -> DataFrame:
+    """``rows`` with ``reason``, the first reference that names nothing, or NULL.
+
+    ``references`` has, by the reason to give, a column and the frame whose ``id`` it
+    must be one of. A column that is NULL refers to nothing.
+    """
+    for reason, (column, known) in references.items():
+        ids = known.select(F.col("id").alias(column)).where(F.col(column).isNotNull()).distinct()
+        marked = ids.withColumn(f"_known_{reason}", F.lit(True))
+        rows = splittable_join(rows, marked, [column], "left")
+    unknown = [
+        F.when(F.col(column).isNotNull() & F.col(f"_known_{reason}").isNull(), F.lit(reason))
+        for reason, (column, _) in references.items()
+    ]
+    found = rows.withColumn("reason", F.coalesce(*unknown))
+    return found.drop(*[f"_known_{reason}" for reason in references])
+
+
+def checked_votes(votes: DataFrame, members: DataFrame, vote_types: DataFrame) -> DataFrame:
+    """Votes with the ``reason`` for which one is set aside, or NULL."""
+    return with_reason(votes, {"member": ("member_id", members), "vote_type": ("vote_type_id", vote_types)})
+
+
+def checked_ballots(ballots: DataFrame, ballot_types: DataFrame, bills: DataFrame) -> DataFrame:
+    """Ballots with the ``reason`` for which one is set aside, or NULL."""
+    return with_reason(ballots, {"ballot_type": ("type_id", ballot_types), "bill": ("bill_id", bills)})
 
 
 def run_steps(store: Store, steps: Sequence[Callable[[], object]]) -> int:
@@ -85,37 +108,63 @@ class Load:
     period_start: str = PERIOD_START
 
     def _records(self, kind: str) -> DataFrame:
-        return read_pages(self.store.spark, self.landed[kind], RECORDS[kind])
+        """The records of a kind, parsed once; stops at damaged pages and at a short feed.
+
+        The damaged pages are kept in ``rejected_page`` first.
+        """
+        spark = self.store.spark
+        parsed = parse_pages(landed_pages(spark, self.landed[kind]), RECORDS[kind])
+        pages = cut(parsed.withColumn("value", F.expr("IF(whole, NULL, value)")))
+        seen = completeness_of(pages).first()
+        if seen["damaged"]:
+            damaged = pages.where("NOT whole").select(F.lit(kind).alias("kind"), F.col("value").alias("page"))
+            others = self.store.read("rejected_page").where(F.col("kind") != kind)
+            self.store.write("rejected_page", others.unionByName(damaged))
+        if not seen["complete"]:
+            raise ShortFeed(f"{kind}: {seen.asDict()}")
+        return records_of(pages, F.col("page_arrival"))
 
     def lookups(self) -> None:
         for name in ("ballot_type", "vote_type"):
             self.store.write(name, load_lookup(self.store.read(name), self._records(name)))
 
     def actors(self) -> None:
-        actors = cut(self._records("actor"))
+        actors = self._records("actor")
         for name, build in (("party", build_parties), ("member", build_members)):
-            rows = build(actors)
-            order = [c for c in rows.columns if c != "id"]
+            rows = build(last_arrived(actors))
+            order = [c for c in rows.columns if c not in ("id", "arrival")]
             self.store.write(name, upsert(self.store.read(name), rows, ["id"], order))
 
     def ballots(self) -> None:
+        """Ballots of the period and their bills; a ballot of unknown type or bill is set aside."""
         rows = cut(build_ballots(self._records("ballot"), self._records("step"), self.period_start))
         bills = build_bills(self._records("bill"), rows)
-        order = ["title", "short_title", "number"]
-        self.store.write("bill", upsert(self.store.read("bill"), bills, ["id"], order))
-        self.store.write("ballot", upsert(self.store.read("ballot"), rows, ["id"], ["held_at"]))
+        stored = self.store.write("bill", upsert(self.store.read("bill"), bills, ["id"], ["title"]))
+        checked = cut(checked_ballots(rows, self.store.read("ballot_type"), stored))
+        known = checked.where("reason IS NULL").drop("reason")
+        self.store.write("rejected_ballot", checked.where("reason IS NOT NULL"))
+        self.store.write("ballot", upsert(self.store.read("ballot"), known, ["id"], ["held_at"]))
+        remove_cuts(rows, checked)
 
     def topics(self) -> None:
         self.store.write("topic", seed_topics(self.store.read("topic")))
 
     def votes(self) -> None:
-        """Append the votes of kept ballots; votes of unknown members go to a side table."""
+        """Append the votes of kept ballots; those of unknown members or types go to a side table.
+
+        A ballot is done once any of its votes is stored or set aside, so a vote is
+        set aside once.
+        """
         kept = self.store.read("ballot").select(F.col("id").alias("ballot_id"))
-        landed = build_votes(self._records("vote")).join(kept, "ballot_id", "left_semi")
-        stored = self.store.read("vote")
-        fresh = cut(remaining_votes(stored, landed.select(*stored.columns)))  # parse once
-        known, unknown = with_known_members(fresh, self.store.read("member"))
-        self.store.append(vote=known, rejected_vote=unknown)
+        landed = splittable_join(build_votes(self._records("vote")), kept, ["ballot_id"], "left_semi")
+        key = ["ballot_id"]
+        done = self.store.read("vote").select(*key).unionByName(self.store.read("rejected_vote").select(*key))
+        fresh = remaining_votes(done, landed)
+        checked = cut(checked_votes(fresh, self.store.read("member"), self.store.read("vote_type")))
+        self.store.append(
+            vote=checked.where("reason IS NULL"), rejected_vote=checked.where("reason IS NOT NULL")
+        )
+        remove_cuts(checked)
 
     def run(self) -> DataFrame:
         """All steps that are not done yet, then the row counts."""

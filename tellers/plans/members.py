@@ -10,7 +10,7 @@ from tellers.plans.lookups import members_who_voted
 from tellers.plans.tables import Tables, with_vote_type
 from tellers.operators.sizing import splittable_join
 
-SEARCH_ROWS = 50  # fixed value: length of the search answer
+SEARCH_ROWS = 50  # fixed value: length of the search answer unless the caller says otherwise
 
 
 def _with_party(members: DataFrame, tables: Tables) -> DataFrame:
@@ -28,15 +28,18 @@ def voting_members(tables: Tables) -> DataFrame:
     return _with_party(members_who_voted(tables), tables).orderBy(*_NAME_ORDER)
 
 
-def member_search(tables: Tables, text: str) -> DataFrame:
-    """The first members who have voted and whose name or party holds the text."""
+def member_search(tables: Tables, text: str, rows: int | None = SEARCH_ROWS) -> DataFrame:
+    """The first ``rows`` members who have voted and whose name or party holds the text.
+
+    ``rows=None`` gives all of them.
+    """
     needle = text.strip()
     if not needle:
         return voting_members(tables)
     full = F.concat("first_name", F.lit(" "), "last_name")
     found = any_like(needle, F.col("first_name"), F.col("last_name"), full, F.col("party_abbr"))
     members = members_who_voted(tables).where(found)
-    first = members.orderBy(*_NAME_ORDER).limit(SEARCH_ROWS)
+    first = members if rows is None else members.orderBy(*_NAME_ORDER).limit(rows)
     return _with_party(first, tables).orderBy(*_NAME_ORDER)
 
 
@@ -92,7 +95,7 @@ def member_topic_stats(tables: Tables, member_id: int | None = None) -> DataFram
         .groupBy("member_id", "topic_id", "vote_type_id")
         .agg(F.expr("count(1) AS votes"))
     )
-    topics = tables.measure("topic", "vote_type").lookup("topic", topic_id="id", topic="name")
+    topics = tables.lookup("topic", topic_id="id", topic="name")
     named = with_vote_type(counts.join(topics, "topic_id"), tables).select(
         "member_id", "topic_id", "topic", "vote_type_id", "vote_type", "votes"
     )

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tellers.functions.biography import party_of
 from tellers.functions.text import first_filled
-from tellers.operators.keyed import earliest
+from tellers.operators.keyed import earliest, last_arrived
 from tellers.operators.numbering import number_rows
-from tellers.operators.sizing import broadcast_if_small, splittable_join
+from tellers.operators.sizing import splittable_join
 from tellers.plans.tables import Tables
 
 
@@ -42,7 +42,7 @@ def add_parties(parties: DataFrame, parsed: DataFrame) -> DataFrame:
     New ids go on from the greatest, in the order of arrival.
     """
     pair = ["abbreviation", "name"]
-    known = broadcast_if_small(parties.select(*pair))
+    known = parties.select(*pair)
     new = splittable_join(parties_seen(parsed), known, pair, "left_anti")
     top = parties.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
     numbered = number_rows(new, "arrival", "_n").select(
@@ -54,11 +54,12 @@ def add_parties(parties: DataFrame, parsed: DataFrame) -> DataFrame:
 def repair_members(members: DataFrame, parsed: DataFrame, parties: DataFrame) -> DataFrame:
     """Members with the party of their biography, where it names one.
 
-    A party matches on (short, full) first, else on the short name alone, the
-    lowest id each. The party is looked up per distinct (short, full), so a party
+    Of an actor that comes twice the last biography counts. A party matches on (short,
+    full) first, else on the short name alone, the lowest id each. The party is looked up per distinct (short, full), so a party
     that most members share is looked up once.
     """
-    named = _named(parsed).select("id", F.col("short").alias("abbreviation"), "name")
+    once = last_arrived(parsed.select("id", "short", "full", "arrival"))
+    named = _named(once).select("id", F.col("short").alias("abbreviation"), "name")
     pairs = parties.groupBy("abbreviation", "name").agg(F.min("id").alias("_by_pair"))
     shorts = parties.groupBy("abbreviation").agg(F.min("id").alias("_by_short"))
     found = (
@@ -68,7 +69,7 @@ def repair_members(members: DataFrame, parsed: DataFrame, parties: DataFrame) ->
         .select("abbreviation", "name", F.coalesce("_by_pair", "_by_short").alias("_party_id"))
     )
     matched = splittable_join(
-        named, broadcast_if_small(found), ["abbreviation", "name"], "left"
+        named, found, ["abbreviation", "name"], "left"
     ).select("id", F.col("abbreviation").alias("_short"), "_party_id")
     hit = F.col("_short").isNotNull()
     return members.join(matched, "id", "left").select(
@@ -78,9 +79,14 @@ def repair_members(members: DataFrame, parsed: DataFrame, parties: DataFrame) ->
     )
 
 
+def _last_numbers(records: DataFrame) -> DataFrame:
+    columns = ["id", "nummer", *(["arrival"] if "arrival" in records.columns else [])]
+    return last_arrived(records.select(*columns))
+
+
 def repair_numbers(bills: DataFrame, records: DataFrame) -> DataFrame:
-    """Bills with the number of the fetched record, also where that is NULL."""
-    fetched = records.select("id", F.col("nummer").alias("_number"), F.lit(True).alias("_hit"))
+    """Bills with the number of the last fetched record, also where that is NULL."""
+    fetched = _last_numbers(records).select("id", F.col("nummer").alias("_number"), F.lit(True).alias("_hit"))
     number = F.when(F.col("_hit"), F.col("_number")).otherwise(F.col("number"))
     return (
         bills.join(fetched, "id", "left")
@@ -91,18 +97,22 @@ def repair_numbers(bills: DataFrame, records: DataFrame) -> DataFrame:
 
 def numbered_bills(bills: DataFrame, records: DataFrame) -> DataFrame:
     """How many bills the repair gave a number, out of how many."""
-    fetched = records.select("id", first_filled(F.col("nummer")).alias("_number"))
+    fetched = _last_numbers(records).select("id", first_filled(F.col("nummer")).alias("_number"))
     return bills.select("id").join(fetched, "id", "left").agg(
         F.count("_number").alias("numbered"), F.count(F.lit(1)).alias("bills")
     )
 
 
 def sample_members(tables: Tables, rows: int = 10, seed: int | None = None) -> DataFrame:
-    """Random members with a party; a top-k over random keys, not a full sort."""
+    """Random members with a party; a top-k over random keys, not a full sort.
+
+    With a ``seed`` the keys are hashes of it and the id, so the sample is the same
+    on every run and in any engine.
+    """
     names = tables.lookup("party", party_id="id", party_name="name")
     chosen = (
         tables["member"].where(F.col("party_abbr").isNotNull())
-        .orderBy(F.rand(seed) if seed is not None else F.rand()).limit(rows)
+        .orderBy(F.rand() if seed is None else F.md5(F.concat(F.lit(f"{seed}/"), F.col("id").cast("string")))).limit(rows)
     )
     return chosen.join(names, "party_id", "left").select(
         "first_name", "last_name", "party_abbr", "party_name"
@@ -110,5 +120,6 @@ def sample_members(tables: Tables, rows: int = 10, seed: int | None = None) -> D
 
 
 def sample_bills(bills: DataFrame, rows: int = 5) -> DataFrame:
-    """A few bills with a number."""
-    return bills.where(F.col("number").isNotNull()).select("id", "number", "short_title").limit(rows)
+    """The first bills, by id, that have a number."""
+    numbered = bills.where(F.col("number").isNotNull()).select("id", "number", "short_title")
+    return numbered.orderBy("id").limit(rows)

@@ -7,14 +7,13 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellers.operators.sizing import BROADCAST_BYTES, Size, measured, splittable_join
+from tellers.operators.sizing import splittable_join
 from tellers.sources.store import Store
 
 
 class Tables:
     """Named DataFrames, each built when first asked for.
 
-    ``lookup`` gives a table for the small side of a join, measured once.
     ``bounded`` names the tables that hold few rows by construction.
     """
 
@@ -24,7 +23,6 @@ class Tables:
         self._makers = makers
         self._bounded = frozenset(bounded)
         self._built: dict[str, DataFrame] = {}
-        self._sizes: dict[str, Size] = {}
 
     @classmethod
     def of_store(cls, store: Store, names: Iterable[str]) -> Tables:
@@ -39,40 +37,16 @@ class Tables:
             self._built[name] = self._makers[name]()
         return self._built[name]
 
-    def replaced(self, bounded: Iterable[str], **frames: DataFrame) -> Tables:
-        """The same tables but for ``frames``, of which ``bounded`` hold few rows."""
-        new = Tables.of(self._bounded.difference(frames).union(bounded), **frames)
+    def replaced(self, **frames: DataFrame) -> Tables:
+        """The same tables but for ``frames``."""
+        new = Tables.of(self._bounded.difference(frames), **frames)
         new._makers = {n: lambda n=n: self[n] for n in self._makers} | dict(new._makers)
-        new._sizes = {n: size for n, size in self._sizes.items() if n not in frames}
         return new
 
-    def measure(self, *names: str) -> Tables:
-        """Size the tables that are not sized yet, in one job."""
-        new = [n for n in names if n not in self._sizes and n not in self._bounded]
-        self._sizes.update(measured({name: self[name] for name in new}))
-        return self
-
-    def is_small(self, name: str) -> bool:
-        """Whether the table may be broadcast."""
-        if name in self._bounded:
-            return True
-        return self.measure(name)._sizes[name].bytes <= BROADCAST_BYTES
-
-    def topic_lists_are_small(self) -> bool:
-        """Whether bills with their topic lists may be broadcast.
-
-        A list holds each topic once, so it is no longer than the topic table.
-        """
-        if "bill" in self._bounded:
-            return True
-        sizes = self.measure("bill", "topic")._sizes
-        bills, topic = sizes["bill"], sizes["topic"]
-        return bills.bytes + bills.rows * topic.bytes <= BROADCAST_BYTES
-
     def lookup(self, name: str, /, **columns: str) -> DataFrame:
-        """Columns of a table, renamed ``new=old``, for broadcast if it is small."""
+        """Columns of a table, renamed ``new=old``; of a bounded one for broadcast."""
         chosen = self[name].selectExpr(*[f"{old} AS {new}" for new, old in columns.items()])
-        return F.broadcast(chosen) if self.is_small(name) else chosen
+        return F.broadcast(chosen) if name in self._bounded else chosen
 
 
 def topics_by_bill(tables: Tables, separator: str) -> DataFrame:
@@ -98,19 +72,15 @@ def bill_columns(tables: Tables, *extra: str) -> DataFrame:
 def with_bill(rows: DataFrame, tables: Tables, separator: str, *extra: str) -> DataFrame:
     """Left-join bills and their topic lists to rows that have a ``bill_id``.
 
-    The bill side is put together first, one row per bill, and is broadcast where
-    that is small. ``bill_id`` of the result is the bill's own key: NULL where no
-    such bill exists.
+    The bill side is put together first, one row per bill. ``bill_id`` of the result
+    is the bill's own key: NULL where no such bill exists.
     """
     cards = (
         bill_columns(tables, *extra)
         .join(topics_by_bill(tables, separator), "bill_id", "left")
         .selectExpr("*", "bill_id AS _bill_key")
     )
-    if tables.topic_lists_are_small():
-        joined = rows.join(F.broadcast(cards), "bill_id", "left")
-    else:
-        joined = splittable_join(rows, cards, ["bill_id"], "left")
+    joined = splittable_join(rows, cards, ["bill_id"], "left")
     return joined.drop("bill_id").withColumnRenamed("_bill_key", "bill_id")
 
 

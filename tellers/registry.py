@@ -28,7 +28,7 @@ from tellers.plans.members import (
 )
 from tellers.schema import RECORDS
 from tellers.session import cut, shared_folder
-from tellers.sources.landed import completeness, explode_pages, restrict_to_ids
+from tellers.sources.landed import completeness, explode_pages, rejected_pages, restrict_to_ids
 from tellers.sources.store import current_state
 from tellers.streaming import votes as votes_stream
 
@@ -36,9 +36,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 
-def _query(make: Callable[[b.Source], DataFrame]) -> Callable[[b.Source], DataFrame]:
-    """Register a function of the source tables under its own name."""
-    _QUERIES[make.__name__] = lambda spark, folder: make(b.Source(spark, folder))
+def _query(make: Callable[[b.Source], DataFrame] | None = None, *, name: str | None = None):
+    """Register a function of the source tables under its own or the given name."""
+    if make is None:
+        return lambda make: _query(make, name=name)
+    _QUERIES[name or make.__name__] = lambda spark, folder: make(b.Source(spark, folder))
     return make
 
 
@@ -77,6 +79,7 @@ _on_tables("ballot_votes", ballot_votes)
 _on_tables("ballot_totals", ballot_totals)
 _on_tables("voting_members", voting_members)
 _on_tables("member_search", member_search, "ER 0000000_1")
+_on_tables("member_search_all", member_search, "1", rows=None)
 _on_tables("member_header", member_header)
 _on_tables("member_stats", member_stats)
 _on_tables("member_stats_by_id", member_stats_by_id)
@@ -102,6 +105,26 @@ def member_document(s: b.Source) -> DataFrame:
     return documents.as_json(documents.member_document(b.tables(s)))
 
 
+def _last(df: DataFrame, key: str) -> int:
+    """A key that the data has."""
+    return df.agg(F.max(key)).first()[0]
+
+
+@_query
+def one_ballot_document(s: b.Source) -> DataFrame:
+    return documents.as_json(documents.ballot_document(b.tables(s), _last(s.orders, "o_orderkey")))
+
+
+@_query
+def one_member_document(s: b.Source) -> DataFrame:
+    return documents.as_json(documents.member_document(b.tables(s), _last(s.supplier, "s_suppkey")))
+
+
+@_query
+def one_member_votes_page(s: b.Source) -> DataFrame:
+    return member_votes_page(b.tables(s), member_id=_last(s.supplier, "s_suppkey"), page=Page(1))
+
+
 @_query
 def sample_bills(s: b.Source) -> DataFrame:
     return repair.sample_bills(b.bill(s))
@@ -109,7 +132,7 @@ def sample_bills(s: b.Source) -> DataFrame:
 
 @_query
 def constraint_report(s: b.Source) -> DataFrame:
-    names = ("ballot_type", "party", "member", "bill", "topic", "bill_topic", "ballot", "vote")
+    names = ("ballot_type", "vote_type", "party", "member", "bill", "topic", "bill_topic", "ballot", "vote")
     return quality.constraint_report(b.damaged_tables(s), names)
 
 
@@ -129,7 +152,28 @@ def ingest_pages(s: b.Source) -> DataFrame:
 
 @_query
 def ingest_completeness(s: b.Source) -> DataFrame:
-    return completeness(b.event_pages(s), _EVENT_RECORD)
+    return completeness(b.event_pages(s), _EVENT_RECORD, key="event_id")
+
+
+@_query
+def ingest_completeness_damaged(s: b.Source) -> DataFrame:
+    return completeness(b.damaged_event_pages(s), _EVENT_RECORD, key="event_id")
+
+
+@_query(name="rejected_pages")
+def pages_set_aside(s: b.Source) -> DataFrame:
+    return rejected_pages(b.damaged_event_pages(s), _EVENT_RECORD).select("page")
+
+
+@_query
+def rejected_votes(s: b.Source) -> DataFrame:
+    return loading.checked_votes(*b.votes_to_check(s)).where("reason IS NOT NULL")
+
+
+@_query
+def rejected_ballots(s: b.Source) -> DataFrame:
+    checked = loading.checked_ballots(*b.ballots_to_check(s)).where("reason IS NOT NULL")
+    return checked.select("id", "type_id", "bill_id", "reason")
 
 
 @_query
@@ -161,7 +205,7 @@ def insert_ignore(s: b.Source) -> DataFrame:
 
 @_query
 def lookup_load(s: b.Source) -> DataFrame:
-    records = explode_pages(b.ballot_type_pages(s), RECORDS["ballot_type"])
+    records = explode_pages(b.ballot_type_pages(s), RECORDS["ballot_type"], arrival=F.col("page"))
     return loading.load_lookup(b.stale_ballot_types(s), records)
 
 
@@ -231,7 +275,7 @@ def xml_party_dim(s: b.Source) -> DataFrame:
 
 @_query
 def repair_members(s: b.Source) -> DataFrame:
-    parsed = cut(repair.member_parties(b.actors(s)))  # parse every biography once
+    parsed = cut(repair.member_parties(b.actors_twice(s), "arrival"))  # parse every biography once
     parties = repair.add_parties(b.first_parties(s), parsed)
     return repair.repair_members(build_members(s), parsed, parties)
 

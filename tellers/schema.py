@@ -34,8 +34,16 @@ TABLES: dict[str, T.StructType] = {
     ),
     "vote": _table(("id", _ID), ("ballot_id", _ID), ("member_id", _ID), ("vote_type_id", _ID)),
     "rejected_vote": _table(
-        ("id", _ID), ("ballot_id", _ID), ("member_id", _ID), ("vote_type_id", _ID)
+        ("id", _ID), ("ballot_id", _ID), ("member_id", _ID), ("vote_type_id", _ID), ("reason", _TEXT)
     ),
+    "rejected_ballot": _table(
+        ("id", _ID), ("number", _ID), ("conclusion", _TEXT), ("passed", T.BooleanType()),
+        ("comment", _TEXT), ("held_at", T.TimestampNTZType()), ("type_id", _ID), ("bill_id", _ID),
+        ("reason", _TEXT),
+    ),
+    "rejected_page": _table(("kind", _TEXT), ("page", _TEXT)),
+    "prompt": _table(("batch", _ID), ("bills", _ID), ("prompt", _TEXT)),
+    "response": _table(("batch", _ID), ("response", _TEXT), ("error", _TEXT)),
     "load_progress": _table(("key", _TEXT), ("value", _TEXT)),
 }
 

@@ -2,7 +2,8 @@
 
 A write never touches a folder that a plan may be reading: it makes a new one
 and then appends one ledger row. A job that stops in between leaves an
-unreferenced folder and the old state.
+unreferenced folder and the old state. A store has one writer at a time; a second
+one is found out when both append under the same number.
 """
 
 from __future__ import annotations
@@ -46,11 +47,24 @@ class Store:
     spark: SparkSession
     root: str
 
-    def _ledger(self) -> DataFrame:
+    @classmethod
+    def create(cls, spark: SparkSession, root: str) -> Store:
+        """The store under ``root``, made if there is none.
+
+        Only this makes one: elsewhere a root without a ledger is an error, so a
+        wrong or unmounted folder does not pass for an empty store.
+        """
+        store = cls(spark, root)
         try:
-            return self.spark.read.schema(_LEDGER).parquet(f"{self.root}/progress_log")
-        except AnalysisException:
-            return local_rows(self.spark, [], _LEDGER)
+            store._ledger().schema
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            local_rows(spark, [("created", "true", 0)], _LEDGER).coalesce(1).write.parquet(f"{root}/progress_log")
+        return store
+
+    def _ledger(self) -> DataFrame:
+        return self.spark.read.schema(_LEDGER).parquet(f"{self.root}/progress_log")
 
     def progress(self, key: str) -> str | None:
         """The last value set for ``key``."""
@@ -59,12 +73,31 @@ class Store:
 
     def set_progress(self, **values: object) -> None:
         """Set values; those of one call take effect together."""
-        last = self._ledger().agg(F.max("seq").alias("seq")).first()["seq"]
-        noted = [(key, str(value), (last or 0) + 1) for key, value in values.items()]
+        seq = self._ledger().agg(F.max("seq").alias("seq")).first()["seq"] + 1
+        noted = [(key, str(value), seq) for key, value in values.items()]
         (
             local_rows(self.spark, noted, _LEDGER).coalesce(1)
             .write.mode("append").parquet(f"{self.root}/progress_log")
         )
+        if self._ledger().where(F.col("seq") == seq).count() != len(noted):
+            raise RuntimeError(f"another writer used the store under {self.root}")
+
+    def remove_replaced(self) -> int:
+        """Delete folders that no table is made of any more; return how many.
+
+        For a time when nothing reads an older state.
+        """
+        removed = 0
+        jvm, configuration = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for table in TABLES:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+            system = path.getFileSystem(configuration)
+            current = {p.rsplit("/", 1)[1] for p in self._paths(table)}
+            for status in system.listStatus(path) if system.exists(path) else ():
+                if status.getPath().getName() not in current:
+                    system.delete(status.getPath(), True)
+                    removed += 1
+        return removed
 
     def _paths(self, table: str) -> list[str]:
         value = self.progress(f"table:{table}")

@@ -77,7 +77,7 @@ def landed(tmp_path):
 
 
 def test_load_from_pages_and_again(spark, landed, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store.create(spark, str(tmp_path / "store"))
     load = loading.Load(store, landed)
     counts = {r["table"]: r["rows"] for r in load.run_if_empty().collect()}
     assert counts == {
@@ -110,7 +110,7 @@ def test_load_from_pages_and_again(spark, landed, tmp_path):
 
 
 def test_load_goes_on_after_a_stop(spark, landed, tmp_path, monkeypatch):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store.create(spark, str(tmp_path / "store"))
     load = loading.Load(store, landed)
     ran = []
 
@@ -127,7 +127,7 @@ def test_load_goes_on_after_a_stop(spark, landed, tmp_path, monkeypatch):
 
 
 def test_store_replaces_and_appends(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
+    store = Store.create(spark, str(tmp_path))
     assert store.read("topic").count() == 0
     first = store.write("topic", local_rows(spark, [(1, "a")], TABLES["topic"]))
     store.write("topic", first.unionByName(local_rows(spark, [(2, "b")], TABLES["topic"])))

@@ -12,7 +12,7 @@ from tellers.functions.responses import labelled_items, unfence
 from tellers.functions.text import first_filled, parse_flag, strip
 from tellers.operators import keyed
 from tellers.operators.numbering import number_rows
-from tellers.operators.sizing import broadcast_if_small, measured, splittable_join
+from tellers.operators.sizing import splittable_join
 from tellers.sources.landed import completeness, explode_pages, restrict_to_ids
 from tellers.schema import RECORDS
 
@@ -40,31 +40,36 @@ def test_upsert_and_ignore(spark):
 def test_numbers_follow_the_key(spark, ids):
     shuffled = random.Random(1).sample(ids, len(ids))
     df = spark.createDataFrame([(i,) for i in shuffled], "id BIGINT")
-    for rows_per_bucket, buckets in ((10_000, 8), (50, 8), (50, 64)):
-        numbered = number_rows(df, "id", "n", rows_per_bucket, buckets)
+    for rows_per_bucket in (10_000, 50):
+        numbered = number_rows(df, "id", "n", rows_per_bucket)
         assert [r["id"] for r in numbered.orderBy("n").collect()] == sorted(ids)
         assert [r["n"] for r in numbered.orderBy("n").collect()] == list(range(1, len(ids) + 1))
 
 
 def test_numbering_cuts_even_buckets(spark):
     ids = [10**15 + i for i in range(4000)] + [5]
-    numbered = number_rows(spark.createDataFrame([(i,) for i in ids], "id BIGINT"), "id", "n", 500, 8)
+    numbered = number_rows(spark.createDataFrame([(i,) for i in ids], "id BIGINT"), "id", "n", 500)
     text = numbered._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_bucket" in text
     assert numbered.count() == 4001
 
 
-def test_sizes(spark):
-    small = spark.createDataFrame([(1, "ab"), (2, None)], "a INT, b STRING")
-    size = measured({"x": small})["x"]
-    assert size.rows == 2 and 2 * 32 < size.bytes < 1000
-    assert measured({"x": small.where("a > 5")})["x"].rows == 0
-    plan = small.join(broadcast_if_small(small.select("a"), 10), "a").explain
-    assert plan  # above the bound the side stays as it is
-    hinted = small.join(broadcast_if_small(small.select("a")), "a")
-    assert "ResolvedHint" in hinted._jdf.queryExecution().analyzed().toString()
-    plain = small.join(broadcast_if_small(small.select("a"), 10), "a")
-    assert "ResolvedHint" not in plain._jdf.queryExecution().analyzed().toString()
+def test_rows_without_a_key_spread_and_stay(spark):
+    left = spark.range(1000).selectExpr("IF(id < 900, NULL, id) AS k", "id AS v")
+    right = spark.range(950, 2000).selectExpr("id AS k", "id * 2 AS w").groupBy("k").agg(F.max("w").alias("w"))
+    joined = splittable_join(left, right, ["k"], "left")
+    assert joined.count() == 1000 and joined.where("w IS NOT NULL").count() == 50
+    assert splittable_join(left, right, ["k"], "left_anti").count() == 950
+    assert splittable_join(left, right, ["k"], "left_semi").count() == 50
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        sizes = splittable_join(left, right, ["k"], "left").where("k IS NULL").groupBy(F.spark_partition_id()).count()
+        assert sizes.agg(F.max("count")).first()[0] < 450
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
 
 
 def test_hot_key_is_split_although_a_side_is_aggregated(spark):
@@ -156,11 +161,11 @@ def test_pages(spark):
     assert [tuple(r) for r in explode_pages(pages, RECORDS["ballot_type"]).orderBy("id").collect()] == [
         (1, "x"), (2, "å"), (3, None),
     ]
-    assert tuple(completeness(pages, RECORDS["ballot_type"]).first()) == (3, 3, 3, True)
+    assert tuple(completeness(pages, RECORDS["ballot_type"]).first()) == (3, 0, 3, 3, True)
     first = completeness(pages.limit(1), RECORDS["ballot_type"]).first()
     assert (first["records"], first["complete"]) == (2, False)
     none = completeness(pages.limit(0), RECORDS["ballot_type"]).first()
-    assert tuple(none) == (0, 0, 0, True)
+    assert tuple(none) == (0, 0, 0, 0, True)
 
 
 def test_restrict_to_ids(spark):

@@ -6,9 +6,8 @@ import re
 
 import pytest
 
-from compare import contract
 from tellers import bindings as b
-from tellers.operators import numbering
+from tellers import registry
 from tellers.operators.keyed import latest
 from tellers.operators.paging import Page, take_page
 from tellers.plans import lookups
@@ -76,7 +75,7 @@ def test_stored_votes_are_clustered(t):
 
 
 def test_prompts_are_not_sorted_twice(spark):
-    text = plan(contract.queries()["prompt_batches"](spark, FOLDER))
+    text = plan(registry.queries()["prompt_batches"](spark, FOLDER))
     assert "rangepartitioning" not in text
 
 
@@ -85,11 +84,10 @@ def test_voters_are_distinct_before_the_join(t):
     assert "LeftSemi" in text and text.count("HashAggregate") == 2
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
-def test_no_window_runs_over_a_whole_table(spark, name, monkeypatch):
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_no_window_runs_over_a_whole_table(spark, name):
     """Windows are partitioned, but for the one over the few bucket sizes."""
-    monkeypatch.setattr(numbering, "ROWS_PER_BUCKET", 3)
-    text = plan(contract.queries()[name](spark, FOLDER))
+    text = plan(registry.queries()[name](spark, FOLDER))
     for line in text.splitlines():
         if re.search(r"\bWindow \[", line):
             partitioned = line.count("], [") == 2  # partition and order columns

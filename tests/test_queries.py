@@ -230,11 +230,8 @@ def test_a_big_ballot_comes_in_parts(spark):
     assert [(r["part"], r["parts"], len(r["votes"])) for r in whole] == [(1, 1, 1)]
 
 
-def test_without_broadcasts(spark, monkeypatch):
+def test_without_broadcasts(spark):
     """The shuffled ways give the same rows."""
-    from tellers.operators import sizing
-    from tellers.plans import tables
-
     def answers():
         t = frames(spark)
         return [sorted(map(str, df.collect())) for df in (
@@ -243,15 +240,14 @@ def test_without_broadcasts(spark, monkeypatch):
         )]
 
     before = answers()
-    monkeypatch.setattr(sizing, "BROADCAST_BYTES", -1)
-    monkeypatch.setattr(tables, "BROADCAST_BYTES", -1)
-    threshold = "spark.sql.autoBroadcastJoinThreshold"
-    old = spark.conf.get(threshold)
-    spark.conf.set(threshold, -1)
+    thresholds = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for threshold in thresholds:
+        spark.conf.set(threshold, -1)
     try:
         assert answers() == before
     finally:
-        spark.conf.set(threshold, old)
+        for threshold in thresholds:
+            spark.conf.unset(threshold)
 
 
 def test_fixture_is_not_trivial():
