@@ -5,19 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
+_BYTES_AT_ONCE = 4 << 20
+
 
 def with_text_columns(
     df: DataFrame, text: Column, compute: Callable[[list], Sequence[pa.Array]], added: T.StructType,
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``df`` with the columns ``compute`` makes of a batch's texts.
+    """``df`` with the columns ``compute`` makes of some texts at a time.
 
     ``keep`` names the columns of ``df`` that stay, all by default; one with the name
-    of an added column is replaced. ``compute`` gets a list of texts and returns an
-    array for each added column. No row is shuffled.
+    of an added column is replaced. ``compute`` gets a list of texts, of about
+    ``_BYTES_AT_ONCE`` in all or a longer one alone, so that a batch of long documents
+    is never in memory as Python objects, and returns an array for each added column.
+    No row is shuffled.
     """
     names = [f.name for f in added.fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
@@ -26,12 +31,25 @@ def with_text_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = batch.columns[:-1] + list(compute(batch.column(len(kept)).to_pylist()))
-            yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
+            for part in by_bytes(batch, len(kept)):
+                columns = part.columns[:-1] + list(compute(part.column(len(kept)).to_pylist()))
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
 
     return rows.mapInArrow(run, schema)
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, size: int = _BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of text each; a longer text is alone."""
+    start = total = 0
+    for at, length in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if total and total + (length or 0) > size:
+            yield batch.slice(start, at - start)
+            start, total = at, 0
+        total += length or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def portions(texts: Sequence, size: int) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``size`` together; a longer text is alone."""
     start = total = 0
