@@ -25,7 +25,7 @@ from tellers.session import cut
 WORDS = 5
 PERCENT = 80  # least similarity
 HASH_BYTES = 6  # of each n-gram's hash, beside the bucket it chose
-NGRAMS_AT_ONCE = 1 << 21
+NGRAMS_AT_ONCE = 1 << 20
 BLOCK_TOKENS = 500_000  # of the documents of a region that one task holds of either side
 LEAF = 256  # documents of a region that are compared without further pivots
 PIVOTS = 8  # of a region that divides again

@@ -17,7 +17,7 @@ from tellers.llm.text import whole_text
 
 WINDOW = 13
 HASH_BYTES = 7  # of each window's hash, beside an independent one that chose its bucket
-WINDOWS_AT_ONCE = 1 << 21
+WINDOWS_AT_ONCE = 1 << 20
 _BYTES_AT_ONCE = 1 << 20
 _LAST = np.iinfo(np.int64).max  # stands for a NULL key, after all others
 
