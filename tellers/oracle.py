@@ -274,6 +274,9 @@ _LIST_QUERIES = {
     "ballot_votes": "SELECT * FROM single_vote",
     "ballot_totals": "SELECT * FROM total",
     "ballot_document": _document_json(),
+    "ballot_document_parts": """SELECT id AS ballot_id, greatest(1, (n + 2) // 3)::BIGINT AS parts,
+        1::BIGINT AS headers, n AS counted, n AS votes
+        FROM (SELECT id, (SELECT count(*) FROM vote WHERE ballot_id = ballot.id) AS n FROM ballot)""",
     "voting_members": f"SELECT * FROM named_member WHERE {_VOTED}",
     "member_search": f"""SELECT * FROM named_member WHERE {_VOTED}
         AND (lower(first_name) LIKE '%er 0000000_1%' OR lower(last_name) LIKE '%er 0000000_1%'

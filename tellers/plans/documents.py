@@ -7,15 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellers.operators.sizing import splittable_join
 from tellers.plans.ballots import ballot_header
-from tellers.plans.breakdowns import named_votes
 from tellers.plans.members import member_header, member_stats, member_topic_stats
 from tellers.plans.tables import Tables, with_vote_type
 from tellers.session import cut
 
 VOTES_PER_PART = 10_000
-_BLOCK = 4096
 
 
 def _nested(df: DataFrame, keys: Sequence[str], name: str, *fields: str) -> DataFrame:
@@ -29,72 +26,109 @@ def _or_empty(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def _numbered_parts(df: DataFrame) -> DataFrame:
-    """One row per ``part`` in 1..``parts``, unrolled in blocks to keep arrays short."""
-    block = F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / _BLOCK)))
-    last = F.least(F.lit(_BLOCK), F.col("parts") - F.col("_block") * _BLOCK)
-    within = F.explode(F.sequence(F.lit(1).cast("long"), last))
-    rows = df.select("*", block.alias("_block")).select("*", within.alias("_within"))
-    part = F.col("_block") * _BLOCK + F.col("_within")
-    return rows.withColumn("part", part).drop("_block", "_within")
+_FIELDS = ("party_abbr", "last_name", "member_id", "first_name", "vote_type", "vote_type_id")
+_COUNTED = ("party", "vote_type_id", "vote_type", "votes")
+_TYPED = ("vote_type_id", "vote_type", "votes")
 
 
-def _counts(tables: Tables, ballot_id: int | None) -> DataFrame:
-    """Votes per ballot, party and vote type; ``known`` is false for unknown members.
+def _all_votes(tables: Tables, ballot_id: int | None) -> DataFrame:
+    """Votes of a known type with their member's names; ``known`` is NULL without a member."""
+    members = tables.lookup(
+        "member", member_id="id", first_name="first_name", last_name="last_name",
+        party_abbr="party_abbr",
+    )
+    votes = tables["vote"].selectExpr("id AS vote_id", "ballot_id", "member_id", "vote_type_id")
+    if ballot_id is not None:
+        votes = votes.where(F.col("ballot_id") == ballot_id)
+    return with_vote_type(votes.join(members.selectExpr("*", "true AS known"), "member_id", "left"), tables)
+
 
-    Written once: the sizes, the party counts and the totals all come from it.
+def _split_ballots(tables: Tables, ballot_id: int | None, votes_per_part: int) -> DataFrame:
+    """(ballot_id, parts) of the ballots with more votes than a part takes.
+
+    Few or none, so they are written once and Spark knows their size. Votes of a
+    ballot that is not stored go into no part: 0.
     """
-    members = tables.lookup("member", member_id="id", party="party_abbr")
-    votes = tables["vote"].select("ballot_id", "member_id", "vote_type_id")
+    votes = tables["vote"].select("ballot_id")
     if ballot_id is not None:
         votes = votes.where(F.col("ballot_id") == ballot_id)
-    counts = (
-        votes.join(members.selectExpr("*", "true AS known"), "member_id", "left")
-        .groupBy("ballot_id", "known", "party", "vote_type_id")
-        .agg(F.expr("count(1) AS votes"))
+    large = votes.groupBy("ballot_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > votes_per_part)
+    stored = tables["ballot"].selectExpr("id AS ballot_id", "true AS stored")
+    parts = F.when(F.col("stored"), F.ceil(F.col("n") / votes_per_part)).otherwise(F.lit(0))
+    return cut(large.join(stored, "ballot_id", "left").select("ballot_id", parts.cast("long").alias("parts")))
+
+
+def _by_part(votes: DataFrame) -> DataFrame:
+    """Counts and votes of each (ballot, part), after one shuffle of the votes.
+
+    Lists do not shrink on the map side, so the rows are shuffled and the lists built
+    after; counting inside the part first leaves a few rows to sum.
+    """
+    dealt = votes.repartition("ballot_id", "part")
+    row = f"struct({', '.join(_FIELDS)})"
+    counted = dealt.withColumnRenamed("party_abbr", "party").groupBy(
+        "ballot_id", "part", "known", "party", "vote_type_id", "vote_type"
+    ).agg(
+        F.count(F.lit(1)).alias("votes"),
+        F.expr(f"collect_list({row.replace('party_abbr', 'party AS party_abbr')}) AS single"),
     )
-    return cut(with_vote_type(counts, tables))
+    return counted.groupBy("ballot_id", "part").agg(
+        F.expr(f"sort_array(collect_list(IF(known, struct({', '.join(_COUNTED)}), NULL))) AS party_votes"),
+        F.expr(f"collect_list(struct({', '.join(_TYPED)})) AS by_type"),
+        F.expr("sort_array(flatten(collect_list(IF(known, single, NULL)))) AS single"),
+    ).withColumn("totals", F.expr("""sort_array(transform(
+        array_distinct(transform(by_type, t -> struct(t.vote_type_id, t.vote_type))),
+        k -> struct(k.vote_type_id, k.vote_type, aggregate(
+            filter(by_type, t -> t.vote_type_id = k.vote_type_id), 0L, (n, t) -> n + t.votes) AS votes)))"""))
 
 
 def ballot_document(
     tables: Tables, ballot_id: int | None = None, votes_per_part: int = VOTES_PER_PART
 ) -> DataFrame:
-    """Header, party counts, totals and single votes of a ballot in one row.
+    """Header, party counts, totals and single votes of a ballot, one row for most.
+
+    A ballot with more than ``votes_per_part`` votes comes in several rows, ``part``
+    of ``parts``. Part 1 has the header, the counts of all parts and its share of the
+    votes; the others have ballot_id, part, parts and their shares, with NULL headers
+    and empty counts. So no ballot is ever gathered whole, and no vote is left out or
+    told twice.
 
-    A ballot with more than ``votes_per_part`` votes comes in several rows, each
-    with the header and counts and with its share of the votes, ``part`` of
-    ``parts``: no ballot is ever gathered whole, and no vote is left out. The
-    votes meet their header on (ballot, part), so that join is not skewed either.
+    The votes are read for their ballot's size and then once more, shuffled once by
+    (ballot, part), where the header meets them. Only ballots in several parts are
+    counted again.
     """
-    counts = _counts(tables, ballot_id)
-    sizes = counts.groupBy("ballot_id").agg(F.sum("votes").alias("_votes"))
-    split = sizes.where(F.col("_votes") > votes_per_part).select(
-        "ballot_id", F.ceil(F.col("_votes") / votes_per_part).alias("parts")
-    )
+    split = _split_ballots(tables, ballot_id, votes_per_part)
     parts = F.coalesce("parts", F.lit(1)).cast("long")
-    fields = ("party_abbr", "last_name", "member_id", "first_name", "vote_type", "vote_type_id")
-    votes = splittable_join(named_votes(tables, ballot_id), split, ["ballot_id"], "left")
+    votes = _all_votes(tables, ballot_id).join(split, "ballot_id", "left").where("parts IS NULL OR parts > 0")
     votes = votes.withColumn("part", F.pmod(F.xxhash64("vote_id"), parts) + 1)
-    # Lists do not shrink on the map side: shuffle the rows, then build the lists.
-    votes = votes.select("ballot_id", "part", *fields).repartition("ballot_id", "part")
-    single = _nested(votes, ["ballot_id", "part"], "votes", *fields)
-    by_party = _nested(
-        counts.where("known"), ["ballot_id"], "party_votes",
-        "party", "vote_type_id", "vote_type", "votes",
-    )
-    by_type = counts.groupBy("ballot_id", "vote_type_id", "vote_type").agg(
-        F.expr("sum(votes) AS votes")
-    )
-    totals = _nested(by_type, ["ballot_id"], "totals", "vote_type_id", "vote_type", "votes")
+    shares = _by_part(votes).withColumn("shared", F.lit(True))
+
+    large = _all_votes(tables, ballot_id).join(split.where("parts > 1").select("ballot_id"), "ballot_id", "left_semi")
+    counts = large.withColumnRenamed("party_abbr", "party").groupBy(
+        "ballot_id", "known", "party", "vote_type_id", "vote_type"
+    ).agg(F.count(F.lit(1)).alias("votes"))
+    by_party = _nested(counts.where("known"), ["ballot_id"], "all_party_votes", *_COUNTED)
+    by_type = counts.groupBy("ballot_id", "vote_type_id", "vote_type").agg(F.sum("votes").alias("votes"))
     head = (
         ballot_header(tables, ballot_id).withColumnRenamed("id", "ballot_id")
-        .join(by_party, "ballot_id", "left")
-        .join(totals, "ballot_id", "left")
         .join(split, "ballot_id", "left")
-        .withColumn("parts", parts)
+        .join(by_party, "ballot_id", "left")
+        .join(_nested(by_type, ["ballot_id"], "all_totals", *_TYPED), "ballot_id", "left")
+        .withColumns({"parts": parts, "part": F.lit(1).cast("long"), "headed": F.lit(True)})
+    )
+    whole = head.join(shares, ["ballot_id", "part"], "full").where("headed OR part > 1")
+    whole = whole.join(split.withColumnRenamed("parts", "of_parts"), "ballot_id", "left")
+    first = F.col("part") == 1
+    columns = {
+        "parts": F.coalesce("parts", "of_parts"),
+        "party_votes": F.when(first, F.coalesce("all_party_votes", "party_votes")),
+        "totals": F.when(first, F.coalesce("all_totals", "totals")),
+        "votes": F.col("single"),
+    }
+    shown = whole.withColumns(columns).drop(
+        "headed", "shared", "single", "by_type", "all_party_votes", "all_totals", "of_parts"
     )
-    whole = _numbered_parts(head).join(single, ["ballot_id", "part"], "left")
-    return _or_empty(whole, "party_votes", "totals", "votes")
+    return _or_empty(shown, "party_votes", "totals", "votes")
 
 
 def member_document(tables: Tables, member_id: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tellers.operators.sizing import splittable_join
 from tellers.plans.tables import Tables
 from tellers.schema import CONSTRAINTS
 
@@ -40,35 +41,40 @@ def repeated_keys(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return whole.groupBy(*key).agg(F.expr("count(1) AS rows")).where("rows > 1")
 
 
-def orphans(df: DataFrame, column: str, referenced: DataFrame) -> DataFrame:
-    """(column, rows) of set references to no existing id.
+def _row_rules(df: DataFrame, name: str, tables: Tables) -> DataFrame | None:
+    """Counts of all rules of a table that hold row by row, in one pass over it.
 
-    References are counted per value first, so a value that most rows hold is
-    joined as one row.
+    Each referenced table is joined as its distinct keys, so no row multiplies, and a
+    value that most rows hold is split between tasks.
     """
-    values = df.where(f"{column} IS NOT NULL").groupBy(column).agg(F.expr("count(1) AS rows"))
-    ids = referenced.selectExpr(f"id AS {column}")
-    return values.join(ids, column, "left_anti")
+    rules = CONSTRAINTS[name]
+    if not rules.required and not rules.references:
+        return None
+    counts = {f"required {c}": f"count_if(`{c}` IS NULL)" for c in rules.required}
+    rows = df.select(*dict.fromkeys([*rules.required, *[c for c, _ in rules.references]]))
+    for n, (column, target) in enumerate(rules.references):
+        keys = tables[target].selectExpr(f"id AS {column}").where(f"{column} IS NOT NULL").distinct()
+        rows = splittable_join(rows, keys.selectExpr("*", f"true AS _found_{n}"), [column], "left")
+        counts[f"reference {column} to {target}"] = f"count_if(`{column}` IS NOT NULL AND _found_{n} IS NULL)"
+    counted = rows.selectExpr(*[f"{count} AS `{rule}`" for rule, count in counts.items()])
+    long = counted.unpivot([], list(counts), "rule", "violations")
+    return long.selectExpr(f"'{name}' AS table", "rule", "violations")
 
 
 def constraint_report(tables: Tables, names: Iterable[str]) -> DataFrame:
     """(table, rule, violations) for the keys, set columns and references of tables.
 
-    A unique rule counts keys, the others count rows.
+    A unique rule counts keys, the others count rows. A table is read once for all
+    its set columns and references, and once for each unique key, whose shuffle holds
+    the key alone.
     """
     parts = []
     for name in names:
-        rules, df = CONSTRAINTS[name], tables[name]
-        for key in rules.unique:
+        df = tables[name]
+        for key in CONSTRAINTS[name].unique:
             counted = repeated_keys(df, key).selectExpr("count(1) AS violations")
             parts.append(_report(counted, name, f"unique {', '.join(key)}"))
-        if rules.required:
-            nulls = df.selectExpr(*[f"count_if({c} IS NULL) AS {c}" for c in rules.required])
-            long = nulls.unpivot([], list(rules.required), "_column", "violations")
-            parts.append(long.selectExpr(
-                f"'{name}' AS table", "'required ' || _column AS rule", "violations"
-            ))
-        for column, target in rules.references:
-            counted = orphans(df, column, tables[target]).selectExpr("sum(rows) AS violations")
-            parts.append(_report(counted, name, f"reference {column} to {target}"))
+        by_row = _row_rules(df, name, tables)
+        if by_row is not None:
+            parts.append(by_row)
     return _union(parts)

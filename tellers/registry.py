@@ -100,6 +100,17 @@ def ballot_document(s: b.Source) -> DataFrame:
     return documents.as_json(documents.ballot_document(b.tables(s)))
 
 
+@_query
+def ballot_document_parts(s: b.Source) -> DataFrame:
+    """What the documents hold when three votes fill a part."""
+    whole = documents.ballot_document(b.tables(s), votes_per_part=3)
+    counted = F.aggregate("totals", F.lit(0).cast("long"), lambda n, t: n + t["votes"])
+    return whole.groupBy("ballot_id").agg(
+        F.max("parts").alias("parts"), F.count("held_at").alias("headers"),
+        F.sum(counted).alias("counted"), F.sum(F.size("votes")).alias("votes"),
+    )
+
+
 @_query
 def member_document(s: b.Source) -> DataFrame:
     return documents.as_json(documents.member_document(b.tables(s)))

@@ -226,6 +226,11 @@ def test_a_big_ballot_comes_in_parts(spark):
     got = sorted((v["member_id"], v["vote_type_id"]) for r in parts for v in r["votes"])
     assert got == sorted((m, v) for _, b, m, v in votes if b == 100)
     assert max(len(r["votes"]) for r in parts) < 200
+    first = next(r for r in parts if r["part"] == 1)
+    assert first["number"] is not None and sum(c["votes"] for c in first["totals"]) == len(got)
+    assert sum(c["votes"] for c in first["party_votes"]) == len(got)
+    others = [r for r in parts if r["part"] > 1]
+    assert all(r["number"] is None and r["totals"] == [] and r["party_votes"] == [] for r in others)
     whole = documents.ballot_document(t, votes_per_part=90).where("ballot_id = 101").collect()
     assert [(r["part"], r["parts"], len(r["votes"])) for r in whole] == [(1, 1, 1)]
 
