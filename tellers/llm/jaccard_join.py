@@ -91,7 +91,7 @@ def _spread(buckets: int, words: int):
         nodes, sizes = np.array(list(sets), dtype=np.int64), np.array([len(x) for x in sets.values()])
         value = np.concatenate(list(sets.values()))
         owner = np.repeat(np.arange(len(nodes)), sizes)
-        bucket = ((value >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+        bucket = ((value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # by the upper bits
         order = np.argsort(bucket, kind="stable")
         value, owner, bucket = value[order], owner[order], bucket[order]
         rows = []
