@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellers.plans import labelling, repair
-from tellers.schema import RECORDS
+from tellers.plans.loading import append_votes
+from tellers.schema import RECORDS, TABLES
 from tellers.session import cut, remove_cuts
 from tellers.sources.landed import read_pages
 from tellers.sources.store import Store
+from tellers.streaming.votes import read_log
 
 _LABELLING = "labelling"
 
@@ -71,6 +73,15 @@ class LabelJob:
         return labelling.label_counts(labelling.parse_responses(self.store.read("response")), self.store.read("topic"))
 
 
+def store_log(store: Store, log: str) -> None:
+    """Take the votes of a stream's log into the store, by the rules of the load.
+
+    Run it while no ballot is half way through the stream: a ballot with any stored
+    vote is done.
+    """
+    append_votes(store, read_log(store.spark, log, TABLES["vote"]))
+
+
 @dataclass(frozen=True)
 class RepairJob:
     """Landed actors and bills, read again, to repair parties, members and bill numbers."""

@@ -90,6 +90,20 @@ def checked_ballots(ballots: DataFrame, ballot_types: DataFrame, bills: DataFram
     return with_reason(ballots, {"ballot_type": ("type_id", ballot_types), "bill": ("bill_id", bills)})
 
 
+def append_votes(store: Store, landed: DataFrame) -> None:
+    """Append the votes of stored ballots; those of unknown members or types go to a side table.
+
+    A ballot is done once any of its votes is stored or set aside, so a vote is set
+    aside once.
+    """
+    kept = store.read("ballot").select(F.col("id").alias("ballot_id"))
+    of_kept = splittable_join(landed, kept, ["ballot_id"], "left_semi")
+    done = store.read("vote").select("ballot_id").unionByName(store.read("rejected_vote").select("ballot_id"))
+    checked = cut(checked_votes(remaining_votes(done, of_kept), store.read("member"), store.read("vote_type")))
+    store.append(vote=checked.where("reason IS NULL"), rejected_vote=checked.where("reason IS NOT NULL"))
+    remove_cuts(checked)
+
+
 def run_steps(store: Store, steps: Sequence[Callable[[], object]]) -> int:
     """Run the steps after the last completed one, noting each; return how many ran."""
     done = int(store.progress(LAST_STEP) or 0)
@@ -150,21 +164,7 @@ class Load:
         self.store.write("topic", seed_topics(self.store.read("topic")))
 
     def votes(self) -> None:
-        """Append the votes of kept ballots; those of unknown members or types go to a side table.
-
-        A ballot is done once any of its votes is stored or set aside, so a vote is
-        set aside once.
-        """
-        kept = self.store.read("ballot").select(F.col("id").alias("ballot_id"))
-        landed = splittable_join(build_votes(self._records("vote")), kept, ["ballot_id"], "left_semi")
-        key = ["ballot_id"]
-        done = self.store.read("vote").select(*key).unionByName(self.store.read("rejected_vote").select(*key))
-        fresh = remaining_votes(done, landed)
-        checked = cut(checked_votes(fresh, self.store.read("member"), self.store.read("vote_type")))
-        self.store.append(
-            vote=checked.where("reason IS NULL"), rejected_vote=checked.where("reason IS NOT NULL")
-        )
-        remove_cuts(checked)
+        append_votes(self.store, build_votes(self._records("vote")))
 
     def run(self) -> DataFrame:
         """All steps that are not done yet, then the row counts."""

@@ -35,6 +35,12 @@ LAYOUT: dict[str, tuple[str, ...]] = {
 }
 
 
+# Columns that are looked up by value against the sort order. Bloom filters say which
+# row groups, made smaller for it, may hold a value.
+LOOKUPS: dict[str, tuple[str, ...]] = {"vote": ("member_id",)}
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+
+
 def current_state(ledger: DataFrame) -> DataFrame:
     """Ledger (key, value): the last value written per key."""
     return latest(ledger, ["key"], ["seq"]).select("key", "value")
@@ -114,7 +120,10 @@ class Store:
         path = f"{self.root}/{table}/{uuid.uuid4().hex}"
         fields = TABLES[table].fields
         shaped = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
-        laid_out(shaped, table).write.parquet(path)
+        writer = laid_out(shaped, table).write
+        for column in LOOKUPS.get(table, ()):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option("parquet.block.size", ROW_GROUP_BYTES)
+        writer.parquet(path)
         return path
 
     def write(self, table: str, df: DataFrame) -> DataFrame:

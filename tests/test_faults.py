@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from frames import rows
 from tellers import session
 from tellers.plans import build, labelling, loading, repair
-from tellers.plans.jobs import LabelJob, RepairJob
+from tellers.plans.jobs import LabelJob, RepairJob, store_log
 from tellers.schema import RECORDS, TABLES
 from tellers.session import cut, local_rows, remove_cuts
-from tellers.sources.landed import completeness, explode_pages, read_pages, rejected_pages
+from tellers.sources import store as stored
+from tellers.sources.landed import completeness, explode_pages, read_pages, rejected_pages, stream_pages
 from tellers.sources.store import Store
+from tellers.streaming.votes import stream_votes
 from test_jobs import FEED, land
 
 PAGES = [
@@ -221,3 +223,36 @@ def test_repairs_change_the_stored_tables(spark, landed, tmp_path):
     assert {r["id"]: r["party_id"] for r in store.read("member").collect()} == {1: 10, 2: 13, 3: 13, 4: None}
     assert rows(job.numbers()) == [(1, 1)]
     assert rows(store.read("bill"), "id", "number") == [(50, "L 1 B")]
+
+
+def test_a_stream_log_enters_the_store_by_the_rules_of_the_load(spark, landed, tmp_path):
+    store = Store.create(spark, str(tmp_path / "store"))
+    load = loading.Load(store, landed)
+    for step in (load.lookups, load.actors, load.ballots):
+        step()
+    stream = stream_pages(spark, landed["vote"], RECORDS["vote"])
+    log = str(tmp_path / "log")
+    stream_votes(build.build_votes(stream), log, str(tmp_path / "checkpoint")).awaitTermination()
+    for _ in range(2):
+        store_log(store, log)
+        assert sorted(rows(store.read("vote"), "id")) == [(1,), (2,), (3,)]
+        assert sorted(rows(store.read("rejected_vote"), "id", "reason")) == [(4, "member"), (6, "vote_type")]
+
+
+def test_one_member_skips_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "ROW_GROUP_BYTES", 16 * 1024)
+    store = Store.create(spark, str(tmp_path))
+    votes = spark.range(200_000).selectExpr(
+        "id", "id div 50 AS ballot_id", "IF(id = 77777, 5, 10 + id % 50000 * 2) AS member_id", "1L AS vote_type_id"
+    )
+    store.write("vote", votes)
+
+    def read(member):
+        one = store.read("vote").where(F.col("member_id") == member)
+        found = one.collect()
+        scans = one._jdf.queryExecution().executedPlan().collectLeaves()
+        return len(found), scans.apply(0).metrics().apply("numOutputRows").value()
+
+    found, scanned = read(5)
+    assert found == 1 and scanned < 100_000
+    assert read(11)[0] == 0
