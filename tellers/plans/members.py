@@ -66,7 +66,7 @@ def member_stats_by_id(tables: Tables, member_id: int | None = None) -> DataFram
     counts = member_stats(tables, member_id).selectExpr(
         "member_id", "vote_type_id AS id", "vote_type AS type", "votes"
     )
-    return counts.orderBy("member_id", "id")
+    return counts if member_id is None else counts.orderBy("id")
 
 
 def ballot_topic_ids(tables: Tables) -> DataFrame:
