@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tellers.llm.batches import portions, with_text_columns
+from tellers.llm.packing import slices
 from tellers.llm.rolling import IN_PLAIN_WORD, window_hashes, word_hashes
 from tellers.llm.text import whole_text
 
@@ -87,31 +88,41 @@ def tiles(starts: np.ndarray, places: np.ndarray, least: int) -> list[tuple[int,
 
 
 def _hits(items: Items, seeds: np.ndarray, least: int, coverage: float) -> list[dict]:
-    """Items that tiles of one document, given by its seeds in order, cover enough."""
-    low, high = np.searchsorted(items.seed, seeds, "left"), np.searchsorted(items.seed, seeds, "right")
-    shared = np.flatnonzero(high > low)
-    if not len(shared):
-        return []
-    many = (high - low)[shared]
-    places = np.repeat(shared, many)
-    found = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[shared], many)
-    item, start = items.item[found], items.at[found]
+    """Items that tiles of one document, given by its seeds in order, cover enough.
+
+    Which items can be covered is found from the document's distinct seeds, so what is
+    held is bounded by the block of items however often the document repeats itself;
+    matches are put together for one item at a time.
+    """
+    by_seed = np.argsort(seeds, kind="stable")
+    in_order = seeds[by_seed]
+    distinct = in_order[np.concatenate([[True], in_order[1:] != in_order[:-1]])]
+    low, high = np.searchsorted(items.seed, distinct, "left"), np.searchsorted(items.seed, distinct, "right")
+    found = _ranges(low, high)
+    found = found[np.lexsort((items.at[found], items.item[found]))]
     out = []
-    for i in np.unique(item):
-        of = item == i
+    for i, a, b in slices(items.item[found]):
+        start = items.at[found[a:b]]
         words = len(items.words[i])
         reach = np.zeros(words + 1, dtype=np.int64)  # no tiling covers more than the seeds do
-        distinct = np.unique(start[of])
-        np.add.at(reach, distinct, 1)
-        np.add.at(reach, distinct + least, -1)
+        np.add.at(reach, start, 1)
+        np.add.at(reach, start + least, -1)
         if np.count_nonzero(np.cumsum(reach)[:-1]) < coverage * words:
             continue
-        covered = sum(n for _, _, n in tiles(start[of], places[of], least))
+        wanted = items.seed[found[a:b]]
+        low, high = np.searchsorted(in_order, wanted, "left"), np.searchsorted(in_order, wanted, "right")
+        covered = sum(n for _, _, n in tiles(np.repeat(start, high - low), by_seed[_ranges(low, high)], least))
         if covered >= coverage * words:
             out.append({"item": int(items.ids[i]), "covered": covered, "words": words, "coverage": covered / words})
     return out
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The whole numbers from each ``low`` up to its ``high``, one range after the other."""
+    many = high - low
+    return np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     least: int = LEAST_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES,
