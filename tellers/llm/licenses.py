@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -152,7 +153,8 @@ def _match(known: list[tuple[int, str, int, int]], at: int, rule: tuple[str, ...
     if known[at][1] != rule[0]:
         return None
     for wanted in rule[1:]:
-        following = (i for i in range(at + 1, len(known)) if known[i][0] - known[at][0] <= MOST_BETWEEN + 1)
+        last = known[at][0] + MOST_BETWEEN + 1
+        following = takewhile(lambda i: known[i][0] <= last, range(at + 1, len(known)))
         at = next((i for i in following if known[i][1] == wanted), None)
         if at is None:
             return None
