@@ -80,9 +80,10 @@ def _spread(buckets: int, parts: int, window: int):
             bodies = batch.column(1)
             at = 0
             while at < len(keys):
-                upto, taken = at, []
-                while upto < len(keys) and (upto == at or sum(map(len, taken)) < _BYTES_AT_ONCE):
+                upto, taken, length = at, [], 0
+                while upto < len(keys) and length < _BYTES_AT_ONCE:
                     taken.append(bodies[upto].as_py().encode("utf-8", "surrogatepass"))
+                    length += len(taken[-1])
                     upto += 1
                 words, counts = word_hashes(taken)
                 value, many = window_hashes(words, counts, window)
