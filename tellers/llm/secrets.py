@@ -19,6 +19,7 @@ HEX = r"[0-9a-f]+"
 KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
 
 WINDOW = 20
+PIECE = 500  # characters of a long candidate at a time
 # Character classes of candidates: name, characters, least bits a character in some window.
 CLASSES = (("hexstring", "0-9A-Fa-f", 3.3), ("base64", "A-Za-z0-9+/_=-", 3.8))
 # Strings that look random and are not secrets: UUIDs, one letter or digit over and
@@ -65,6 +66,18 @@ def _found(text: Column, kind: str, pattern: str, group: int, least: int, rank:
 def most_entropy(value: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits a character, of ``window`` characters in a row.
 
+    To find a character in a string takes time that grows with its place, so a long
+    value is cut into pieces, each with the start of the next one, so that every
+    window is whole in some piece.
+    """
+    starts = F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1)), F.lit(PIECE))
+    pieces = F.transform(starts, lambda at: F.substring(value, at, F.lit(PIECE + window - 1)))
+    return F.array_max(F.transform(pieces, lambda piece: _entropy_of_piece(piece, window)))
+
+
+def _entropy_of_piece(value: Column, window: int) -> Column:
+    """The largest entropy of a short value's windows.
+
     Counts are kept as the window slides: with S the sum of c*log2(c) over the
     counts c of its characters, the entropy is log2(window) - S/window, and each
     character that enters or leaves changes one count and so one term of S.
