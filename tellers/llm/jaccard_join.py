@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,13 @@ NGRAMS_AT_ONCE = 1 << 20
 BLOCK_TOKENS = 500_000  # of the documents of a region that one task holds of either side
 LEAF = 256  # documents of a region that are compared without further pivots
 PIVOTS = 8  # of a region that divides again
+COMMON = 32  # one set of so many has an n-gram that is common
+COMMON_LEAST = 8  # and so many of a portion at least, for the portion to name it
+COPIED = 1024  # one row of so many has a text that is copied often
 _BYTES_AT_ONCE = 1 << 20
 
-_PACKED = "bucket int, hashes binary, nodes binary, sizes binary, many binary"
+_DESCRIBED = "id bigint, size bigint, node bigint, sets bigint, often array<struct<token:bigint,n:bigint>>"
+_PACKED = "bucket int, part int, hashes binary, nodes binary, sizes binary, many binary"
 _SHARED = "part int, nodes binary, sizes binary, many binary, tokens binary, spread binary"
 _SETS = "node bigint, size bigint, tokens array<bigint>, keys int, central double"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -72,41 +78,93 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 
 def _describe(words: int):
-    """Task function: each document's set, by its size and name."""
+    """Task function: each document's set, by its size and name.
+
+    The first row of a portion also has the number of its different sets and those
+    n-grams that one of ``COMMON`` of them has, with the number of sets.
+    """
+    often_type = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, texts in _texts(batches, 1):
             sets = list(ngram_sets(texts, words))
-            ids = batch.column(0).slice(first, len(texts))
-            size, node = pa.array(map(len, sets), pa.int64()), pa.array(map(_node, sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, size, node], ["id", "size", "node"])
+            names = list(map(_node, sets))
+            different = {name: found for name, found in zip(names, sets) if len(found)}
+            token, n = np.unique(joined(different.values(), np.uint64), return_counts=True)
+            named = n >= max(COMMON_LEAST, len(different) / COMMON)
+            often = [{"token": t, "n": k} for t, k in zip(token[named].astype(np.int64).tolist(), n[named].tolist())]
+            rest = [None] * (len(texts) - 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(first, len(texts)), pa.array(map(len, sets), pa.int64()), pa.array(names, pa.int64()),
+                    pa.array([len(different), *rest], pa.int64()), pa.array([often, *rest], often_type),
+                ],
+                ["id", "size", "node", "sets", "often"],
+            )
 
     return run
 
 
-def _spread(buckets: int, words: int):
-    """Task function: n-grams of a task's sets, as packed rows by bucket, equal sets once."""
+def _common(described: DataFrame) -> np.ndarray:
+    """The sorted hashes of n-grams that at least one of ``COMMON`` sets has.
+
+    A portion does not name an n-gram that fewer of its sets have, so one that twice
+    as many sets have over all is found. They are at most ``COMMON`` times the mean
+    size of a set, however many rows there are.
+    """
+    sets = described.agg(F.sum("sets")).first()[0] or 0
+    named = described.select(F.inline("often")).groupBy("token").agg(F.sum("n").alias("n"))
+    return np.sort(named.where(F.col("n") * COMMON >= sets).select("token").toArrow()["token"].to_numpy().astype(np.uint64))
+
+
+def _copied(described: DataFrame) -> dict[int, int]:
+    """The least key of each set that one of ``COPIED`` rows has, ``COPIED`` sets at most."""
+    counted = described.where("size > 0").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    rows = described.count()
+    often = counted.where((F.col("n") > 1) & (F.col("n") * COPIED >= rows) & F.col("least").isNotNull())
+    return {row["node"]: row["least"] for row in often.select("node", "least").collect()}
+
+
+def _spread(buckets: int, words: int, common: Broadcast, copied: Broadcast):
+    """Task function: n-grams of a task's sets, as packed rows by bucket, equal sets once.
+
+    Nobody needs to be asked about a common n-gram: it is shared and comes last in
+    order. It does not go to its bucket, where it would gather a row of most sets, but
+    with its set's name to the set's part. A set that is copied often is sent by the row
+    with the least key only.
+    """
 
     def flush(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
         nodes, sizes = np.array(list(sets), dtype=np.int64), np.array([len(x) for x in sets.values()])
         value = np.concatenate(list(sets.values()))
         owner = np.repeat(np.arange(len(nodes)), sizes)
+        rows = []
+        at = np.searchsorted(common.value, value)
+        known = np.append(common.value, np.uint64(0))[at] == value
+        known[at == len(common.value)] = False
+        part = nodes[owner[known]] % buckets
+        order = np.argsort(part, kind="stable")
+        shared, of_shared = value[known][order], owner[known][order]
+        for p, start, end in slices(part[order]):
+            of, many = runs(of_shared[start:end])
+            rows.append((p, p, shared[start:end].tobytes(), nodes[of].tobytes(), pack(sizes[of]), pack(many)))
+        value, owner = value[~known], owner[~known]
         bucket = ((value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # by the upper bits
         order = np.argsort(bucket, kind="stable")
         value, owner, bucket = value[order], owner[order], bucket[order]
-        rows = []
         for b, start, end in slices(bucket):
             of, many = runs(owner[start:end])
-            rows.append((b, pack_hashes(value[start:end], HASH_BYTES), nodes[of].tobytes(), pack(sizes[of]), pack(many)))
+            rows.append((b, None, pack_hashes(value[start:end], HASH_BYTES), nodes[of].tobytes(), pack(sizes[of]), pack(many)))
         return _batch(rows, _PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         size = 0
-        for _, _, texts in _texts(batches, 0):
-            for found in ngram_sets(texts, words):
+        for batch, first, texts in _texts(batches, 1):
+            keys = batch.column(0).slice(first, len(texts)).to_pylist()
+            for key, found in zip(keys, ngram_sets(texts, words)):
                 node = _node(found)
-                if len(found) and node not in held:
+                if len(found) and node not in held and copied.value.get(node, key) == key:
                     held[node] = found
                     size += len(found)
             if size >= NGRAMS_AT_ONCE:
@@ -130,6 +188,12 @@ def _share(parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
+        rows = [  # common n-grams, on their way to their sets
+            (part, nodes, sizes, many, tokens, b"\xff" * (len(tokens) // 8))
+            for part, nodes, sizes, many, tokens in zip(*(table[c].to_pylist() for c in ("part", "nodes", "sizes", "many", "hashes")))
+            if part is not None
+        ]
+        table = table.filter(pc.is_null(table["part"]))
         value = joined((unpack_hashes(x.as_py(), HASH_BYTES) for x in table["hashes"]), np.uint64)
         many = joined((unpack(x.as_py()) for x in table["many"]), np.int64)
         nodes = joined((np.frombuffer(x.as_py(), np.int64) for x in table["nodes"]), np.int64)
@@ -155,7 +219,6 @@ def _share(parts: int):
         part = node % parts
         order = np.lexsort((node, part))
         token, row, node, spread, part = token[order], row[order], node[order], spread[order], part[order]
-        rows = []
         for p, a, b in slices(part):
             of_node, count = runs(node[a:b])
             size = sizes[row[a:b]][np.cumsum(count) - count]
@@ -181,8 +244,11 @@ def _gather(percent: int):
         spread = joined((np.frombuffer(x, np.uint8) for x in column["spread"]), np.uint8)
         node = np.repeat(nodes, many)
         order = np.lexsort((tokens, spread, node))
-        tokens, spread = tokens[order], spread[order]
-        names, first, count = np.unique(node[order], return_index=True, return_counts=True)
+        tokens, spread, node = tokens[order], spread[order], node[order]
+        new = np.ones(len(tokens), dtype=bool)
+        new[1:] = (node[1:] != node[:-1]) | (tokens[1:] != tokens[:-1])  # of equal sets from several portions, one
+        tokens, spread, node = tokens[new], spread[new], node[new]
+        names, first, count = np.unique(node, return_index=True, return_counts=True)
         by_name = dict(zip(nodes.tolist(), sizes.tolist()))
         out: dict[str, list] = {"node": [], "size": [], "tokens": [], "keys": [], "central": []}
         for name, a, n in zip(names.tolist(), first.tolist(), count.tolist()):
@@ -358,6 +424,8 @@ def similar_groups(
 
     1. Equal sets are one node. A set of which others share less than ``percent`` of
        the n-grams is farther than the radius from all others and needs no region.
+       N-grams that many sets have, and texts that many rows have, are known
+       beforehand, so that neither gathers in a bucket.
     2. Each of the rarest n-grams of the rest names a pivot; two near sets have a
        pivot in common. Distances to pivots are exact and give the first links.
     3. A region whose sets these links do not connect is joined: the triangle
@@ -372,9 +440,12 @@ def similar_groups(
     give a row; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), whole_text(F.col(f"`{text}`")).alias("body"))
-    described = cut(rows.mapInArrow(_describe(words), "id bigint, size bigint, node bigint"))
+    told = cut(rows.mapInArrow(_describe(words), _DESCRIBED))
+    described = told.select("id", "size", "node")
     buckets = buckets_for(rows, F.col("body"))
-    packed = rows.select("body").mapInArrow(_spread(buckets, words), _PACKED)
+    context = docs.sparkSession.sparkContext
+    spread = _spread(buckets, words, context.broadcast(_common(told)), context.broadcast(_copied(described)))
+    packed = rows.mapInArrow(spread, _PACKED)
     shared = packed.groupBy("bucket").applyInArrow(_share(buckets), _SHARED)
     sets = cut(shared.groupBy("part").applyInArrow(_gather(percent), _SETS))
 
