@@ -95,6 +95,27 @@ def test_groups_query_over_a_table(spark, documents):
     assert {i: (r["n_shingles"], r["component_id"]) for i, [r] in got.items()} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_groups_with_common_ngrams_and_a_text_of_a_third_of_the_rows(spark):
+    draw = random.Random(9)
+    line = " ".join(f"common{n}" for n in range(40))
+    rows = []
+    for n in range(0, 600, 3):
+        base = [f"w{n}x{k}" for k in range(40)]
+        other = list(base)
+        for at in draw.sample(range(40), draw.choice([0, 1, 2, 3])):
+            other[at] = "changed"
+        rows += [(n, f"{line} {' '.join(base)}"), (n + 1, f"{' '.join(other)} {line}"), (n + 2, f"{line} end")]
+    sets = {i: ngrams(t, 5) for i, t in rows}
+    want = components(sets, 80)
+    df = frame(spark, rows).repartition(3)
+    told = df.selectExpr("doc_id AS id", "text AS body").mapInArrow(jaccard_join._describe(5), jaccard_join._DESCRIBED)
+    assert len(jaccard_join._common(told)) >= 36
+    assert list(jaccard_join._copied(told).values()) == [2]
+    got = by_id(jaccard_join.similar_groups(df))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, [r] in got.items()} == {i: (len(sets[i]), want[i]) for i in sets}
+    assert want[599] == 2 and len(set(want.values())) > 200
+
+
 def test_groups_around_a_centre_that_does_not_reach_all(spark):
     """Many near copies of one text, some of which are near a copy and not the centre."""
     draw = random.Random(5)
@@ -194,6 +215,21 @@ def bench(spark, items):
     return local_rows(spark, items, T.StructType().add("item_id", "long").add("text", "string"))
 
 
+def test_leaks_in_texts_and_items_that_repeat_themselves(spark):
+    line = "which of the following is right"
+    items = [(n, f"{line} {n} {line} {n + 1} {line} a{n} b{n} c{n} d{n} e{n} f{n}") for n in range(30)]
+    texts = [(1, " ".join([line] * 400)), (2, f"{items[4][1]} {line} {items[7][1]}"), (3, "la " * 3000)]
+    benchmark = frame(spark, items).selectExpr("doc_id AS item_id", "text")
+    got = by_id(decontamination.find_leaks(frame(spark, texts), benchmark))
+    for doc, text in texts:
+        want = {}
+        for item, body in items:
+            covered = sum(n for _, _, n in string_tiles(body.split(), text.split()[:200], 5))
+            if covered >= 0.5 * len(body.split()):
+                want[item] = covered
+        assert {h["item"]: h["covered"] for h in got[doc][0]["hits"]} == want
+
+
 def test_leaks_whole_reordered_partial_and_absent(spark):
     item = " ".join(f"q{n}" for n in range(20))
     halves = item.split()[10:] + ["between", "them"] + item.split()[:10]

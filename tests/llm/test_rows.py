@@ -136,6 +136,15 @@ def test_secrets_query_over_a_table(spark, documents):
         assert row["base_sha256"] == digest((k, a, b) for a, _, b, k in ranked)
 
 
+def test_entropy_of_a_long_candidate_is_found_wherever_it_is(spark):
+    random_part = "q7Zk2mX9vB4nL0sT8cRy"
+    texts = ["a" * at + random_part + "a" * 700 for at in (0, 470, 485, 499, 500, 515, 990)] + ["a1" * 100_000]
+    got = by_id(secrets.find_secrets(frame(spark, list(enumerate(texts)))))
+    for n, text in enumerate(texts):
+        found = [(s["kind"], s["start"], s["end"]) for s in got[n][0]["spans"] if s["kind"] == "base64"]
+        assert found == ([("base64", 0, len(text))] if random_part in text else [])
+
+
 def test_entropy_of_windows_and_the_allow_list(spark):
     texts = [
         "Zx9kQ2mB7vL4tR8wP3nD", "aaaaaaaaaaaaaaaaaaa1", "00000000000000000000Zx9kQ2mB7vL4tR8wP3nD1111111111111111", "abababababababababab1",
@@ -319,6 +328,11 @@ def test_licenses_of_known_texts(text, want):
     assert all(0 <= f["start"] < f["end"] <= len(text) for f in found)
 
 
+def test_licenses_of_many_known_sentences_in_a_row():
+    found = licenses.find_licenses("all rights reserved\n" * 20_000)
+    assert len(found) == 20_000
+
+
 def test_license_query_against_the_lines_planted_in_a_table(spark, documents):
     planted = {
         "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
