@@ -29,6 +29,9 @@ PERCENT = 80  # least similarity
 HASH_BYTES = 6  # of each n-gram's hash, beside the bucket it chose
 NGRAMS_AT_ONCE = 1 << 20
 BLOCK_TOKENS = 500_000  # of the documents of a region that one task holds of either side
+BLOCK_SETS = 8192  # and of its documents
+STRIP = 512  # documents of a leaf that are compared with as many others at once
+PAIRS_AT_ONCE = 1 << 20
 LEAF = 256  # documents of a region that are compared without further pivots
 PIVOTS = 8  # of a region that divides again
 COMMON = 32  # one set of so many has an n-gram that is common
@@ -316,14 +319,14 @@ def _regions(distances: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     stats = placed.groupBy("pivot").agg(
         F.min(F.when(F.col("outside"), F.col("far"))).alias("nearest"),
         F.sum(F.when(F.col("outside"), F.col("size"))).alias("tokens_outside"), F.sum("size").alias("tokens"),
-        F.count_if("outside").alias("n_outside"),
+        F.count_if("outside").alias("n_outside"), F.count(F.lit(1)).alias("n"),
     ).where("n_outside > 0")
     # the pivot itself has been compared with all of them
     kept = splittable_join(placed, stats, ["pivot"], "inner").where(
         F.col("outside") | (F.col("far") >= F.col("nearest") - radius)
     ).where("n_outside > 1 OR tokens > tokens_outside")
-    blocks_out = F.ceil(F.col("tokens_outside") / BLOCK_TOKENS)
-    blocks_in = F.ceil((F.col("tokens") - F.col("tokens_outside")) / BLOCK_TOKENS)
+    blocks_out = F.ceil(F.greatest(F.col("tokens_outside") / BLOCK_TOKENS, F.col("n_outside") / BLOCK_SETS))
+    blocks_in = F.ceil(F.greatest((F.col("tokens") - F.col("tokens_outside")) / BLOCK_TOKENS, (F.col("n") - F.col("n_outside")) / BLOCK_SETS))
     own = F.when(F.col("outside"), F.pmod(F.xxhash64("node"), blocks_out)).otherwise(F.pmod(F.xxhash64("node"), F.greatest(blocks_in, F.lit(1))) + blocks_out)
     # a set outside meets all blocks outside and in the core; one of the core those outside
     others = F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), blocks_out + blocks_in - 1)).otherwise(F.sequence(F.lit(0).cast("long"), blocks_out - 1))
@@ -334,36 +337,99 @@ def _regions(distances: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     )
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of a few sets of tokens, as a matrix."""
-    n = len(sets)
-    token, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    often = np.bincount(column, minlength=len(token))
-    out = np.zeros((n, n), dtype=np.float32)
-    frequent = np.flatnonzero(often > max(1, n // 8))
-    place = np.full(len(token), -1)
+def _places(start: np.ndarray, chosen: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number in ``chosen``, place) of the first ``many`` tokens of each chosen set."""
+    row = np.repeat(np.arange(len(chosen)), many)
+    return row, np.arange(len(row)) + np.repeat(start[chosen] - (np.cumsum(many) - many), many)
+
+
+def _overlaps(row: np.ndarray, token: np.ndarray, other_row: np.ndarray, other_token: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Sizes of the intersections of some sets with some others, as a matrix of ``shape``."""
+    both = np.intersect1d(token, other_token)
+    here, there = np.isin(token, both), np.isin(other_token, both)
+    row, column = row[here], np.searchsorted(both, token[here])
+    other_row, other_column = other_row[there], np.searchsorted(both, other_token[there])
+    often, other_often = np.bincount(column, minlength=len(both)), np.bincount(other_column, minlength=len(both))
+    out = np.zeros(shape, dtype=np.float32)
+    frequent = np.flatnonzero(often * other_often * STRIP > shape[0] * shape[1])
+    place = np.full(len(both), -1)
     place[frequent] = np.arange(len(frequent))
     for start in range(0, len(frequent), 2048):  # tokens of many sets as a matrix product
-        chosen = (place[column] >= start) & (place[column] < start + 2048)
-        dense = np.zeros((n, min(2048, len(frequent) - start)), dtype=np.float32)
-        dense[row[chosen], place[column[chosen]] - start] = 1
-        out += dense @ dense.T
-    rare = (often[column] > 1) & (place[column] < 0)
-    order = np.argsort(column[rare], kind="stable")
-    for _, a, b in slices(column[rare][order]):  # the others pair by pair
-        of = row[rare][order[a:b]]
-        out[np.ix_(of, of)] += 1
+        end = min(start + 2048, len(frequent))
+        dense = []
+        for n, r, c in ((shape[0], row, place[column]), (shape[1], other_row, place[other_column])):
+            chosen = (c >= start) & (c < end)
+            dense.append(np.zeros((n, end - start), dtype=np.float32))
+            dense[-1][r[chosen], c[chosen] - start] = 1
+        out += dense[0] @ dense[1].T
+    rare = np.flatnonzero(place[column] < 0)  # the others pair by pair
+    order = np.argsort(other_column, kind="stable")
+    first = np.searchsorted(other_column[order], np.arange(len(both)))
+    ends = np.cumsum(other_often[column[rare]])
+    at = 0
+    while at < len(rare):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        of, place_there = _places(first, column[rare[at:upto]], other_often[column[rare[at:upto]]])
+        flat = row[rare[at:upto]][of] * shape[1] + other_row[order[place_there]]
+        out += np.bincount(flat, minlength=shape[0] * shape[1]).reshape(shape)
+        at = upto
     return out
 
 
+def _compare(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of near sets, each once, of a region that is compared in whole.
+
+    The sets go by size in strips of ``STRIP``, two of which meet at a time. Near sets
+    of two strips have ``need`` tokens in common at least, by the least sizes in
+    them. So a set of which fewer tokens occur in other sets here is left out, and so is
+    one that shares none of its ``n - need + 1`` rarest tokens with the other strip.
+    """
+    by_size = np.argsort(sizes, kind="stable")
+    size = sizes[by_size]
+    column = np.unique(np.concatenate([sets[i] for i in by_size]), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(sets)), [len(sets[i]) for i in by_size])
+    often = np.bincount(column)
+    rank = np.empty(len(often), dtype=np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    kept = often[column] > 1
+    row, token = row[kept], rank[column[kept]]
+    order = np.lexsort((token, row))
+    row, token = row[order], token[order]
+    many = np.bincount(row, minlength=len(sets))
+    start = np.cumsum(many) - many
+    for a in range(0, len(sets), STRIP):
+        one = np.arange(a, min(a + STRIP, len(sets)))
+        for b in range(a, len(sets), STRIP):
+            if 100 * size[one[-1]] < percent * size[b]:
+                break
+            other = np.arange(b, min(b + STRIP, len(sets)))
+            need = max(1, int(-(-percent * (size[a] + size[b]) // (100 + percent))))
+            left, right = one[many[one] >= need], other[many[other] >= need]
+            if a != b:
+                of_left, at_left = _places(start, left, many[left] - need + 1)
+                of_right, at_right = _places(start, right, many[right] - need + 1)
+                left, right = (
+                    left[np.unique(of_left[np.isin(token[at_left], token[at_right])])],
+                    right[np.unique(of_right[np.isin(token[at_right], token[at_left])])],
+                )
+            if not len(left) or not len(right):
+                continue
+            of_left, at_left = _places(start, left, many[left])
+            of_right, at_right = _places(start, right, many[right])
+            shared = _overlaps(of_left, token[at_left], of_right, token[at_right], (len(left), len(right))).astype(np.float64)
+            total = size[left][:, None] + size[right][None, :] - shared
+            near = 100 * shared >= percent * total
+            x, y = np.nonzero(np.triu(near, 1) if a == b else near)
+            yield from zip(by_size[left[x]].tolist(), by_size[right[y]].tolist())
+
+
 def near_pairs(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of near sets, a pair once or more; regions divide until they are leaves.
 
     Each set goes to the region of its nearest pivot, and to each other region whose
     pivot is at most two radii farther: if x's nearest pivot is p and y is near x,
     then d(y, p) <= d(x, p) + r <= d(x, q) + r <= d(y, q) + 2r for each q. A region
-    that its pivots do not divide is compared in whole.
+    that its pivots do not divide is compared in whole, strip by strip.
     """
     radius = 1 - percent / 100 + 1e-9
     todo = [np.arange(len(sets))]
@@ -379,10 +445,8 @@ def near_pairs(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> Itera
             if reach.sum(axis=0).max() <= 0.75 * len(chosen):
                 todo += [chosen[reach[:, k]] for k in range(len(pivots))]
                 continue
-        shared = _overlaps([sets[i] for i in chosen])
-        total = sizes[chosen][:, None] + sizes[chosen][None, :] - shared
-        one, other = np.nonzero(np.triu(100 * shared >= percent * total, 1))
-        yield from zip(chosen[one].tolist(), chosen[other].tolist())
+        for i, j in _compare([sets[i] for i in chosen], sizes[chosen], percent):
+            yield int(chosen[i]), int(chosen[j])
 
 
 def _join_region(percent: int):

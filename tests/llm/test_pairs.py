@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -170,6 +171,47 @@ def test_a_region_in_many_blocks(spark, monkeypatch):
     assert {i: r["component_id"] for i, [r] in got.items()} == want
 
 
+def test_a_region_of_form_letters_is_compared_in_strips():
+    letters = [np.concatenate([np.arange(42), 100 + 8 * n + np.arange(8)]) for n in range(6000)]
+    letters[4000] = np.append(letters[10][:-1], 1_000_000)  # two pairs that are near
+    letters[5999] = np.append(letters[4500][:-2], [1_000_001, 1_000_002])
+    sizes = np.array([len(s) for s in letters], dtype=float)
+    tracemalloc.start()
+    got = {tuple(sorted(p)) for p in jaccard_join.near_pairs(letters, sizes, 80)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == {(10, 4000), (4500, 5999)}
+    assert peak < 100_000_000  # one matrix of all pairs is 144 MB
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_strips_find_the_pairs_of_sets_of_all_sizes(monkeypatch, percent):
+    monkeypatch.setattr(jaccard_join, "STRIP", 16)
+    monkeypatch.setattr(jaccard_join, "PAIRS_AT_ONCE", 50)
+    draw = np.random.default_rng(percent)
+    sets = [np.sort(draw.choice(60, draw.integers(1, 60), replace=False)) for _ in range(60)]
+    sets += [np.append(s[draw.random(len(s)) < 0.95], 100 + n) for n, s in enumerate(sets * 2)]
+    sizes = np.array([len(s) for s in sets], dtype=float) + (np.arange(len(sets)) % 3 == 0)
+    got = [tuple(sorted(p)) for p in jaccard_join.near_pairs(sets, sizes, percent)]
+    want = set()
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * shared >= percent * (sizes[i] + sizes[j] - shared):
+                want.add((i, j))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_region_of_many_small_sets_goes_to_many_blocks(spark, monkeypatch):
+    rows = [(1, 0, 50, 0.0, True)] + [(n, 1, 50, 0.25, False) for n in range(2, 202)]
+    distances = spark.createDataFrame(rows, "node bigint, pivot bigint, size bigint, far double, linked boolean")
+    labels = spark.createDataFrame([(-1, -1)], "node bigint, least bigint")
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 20)
+    dealt = jaccard_join._regions(distances, labels, 80).where("region = 1").collect()
+    pairs = {(r["block_a"], r["block_b"]) for r in dealt}
+    assert pairs == {(a, b) for a in range(10) for b in range(a, 10)}
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(n, n + 1) for n in range(40)] + [(100, n) for n in range(101, 140)] + [(7, 7)]
     df = local_rows(spark, links, T.StructType().add("a", "long").add("b", "long"))
