@@ -122,7 +122,7 @@ def _settle(parts: int):
             (int(unpack(table["hashes"][i].as_py())[0]), *(table[c][i].as_py() for c in ("keys", "tags", "many", "places")))
             for i in ready
         ]
-        column = {c: table[c].take(rows) for c in ("hashes", "keys", "tags", "many", "places")}
+        column = {c: table[c].take(pa.array(rows, pa.int64())) for c in ("hashes", "keys", "tags", "many", "places")}
         value = joined((unpack_hashes(x.as_py(), HASH_BYTES) for x in column["hashes"]), np.uint64)
         many = joined((unpack(x.as_py()) for x in column["many"]), np.int64)
         row = np.repeat(np.arange(len(many), dtype=np.int32), many)
@@ -130,7 +130,7 @@ def _settle(parts: int):
         order = np.argsort(value)
         value = value[order]
         same = value[1:] == value[:-1]
-        repeated = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        repeated = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(value) else np.empty(0, bool)
         order, value = order[repeated], value[repeated]
         if len(order):
             key = keys[row[order]]

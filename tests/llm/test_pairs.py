@@ -80,6 +80,13 @@ def test_repeats_of_odd_rows(spark, odd, none):
     assert sum(map(len, got.values())) == odd.count()
 
 
+def test_repeats_of_two_copies_in_one_partition(spark):
+    text = " ".join(f"w{n}" for n in range(20))
+    got = by_id(substring_dedup.remove_repeats(frame(spark, [(1, text), (2, text)]).coalesce(1)))
+    assert [(r["kept"], r["removed"]) for r in got[1]] == [(text, [])]
+    assert [(r["kept"], r["removed"]) for r in got[2]] == [("", [{"start": 0, "end": 20}])]
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_groups_are_those_of_all_pairs(spark, seed):
     rows = copies(seed)
