@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import takewhile
 
@@ -84,7 +85,10 @@ _GRANT = r"(?:licensed|released|distributed|available|provided|published|covered
 _DECLARED = r"spdx license identifier |licen[sc]e |licen[sc]es "
 _NAMED = {name: re.compile(rf"(?:{_GRANT}|{_DECLARED})(?:{pattern})(?: only| or later)?\b") for name, pattern in NAMES.items()}
 _KNOWN = {name: re.compile(rf"\b(?:{pattern})\b") for name, pattern in SENTENCES.items()}
-_LIKELY = re.compile(r"licen[sc]|rights\s+reserved|permission|redistribut|copyright|unencumbered|provided", re.IGNORECASE)
+# a word of every rule's sentence
+_LIKELY = re.compile(
+    r"licen[sc]|rights\s+reserved|permission|redistribut|copyright|unencumbered|provided|\bunder\b|neither", re.IGNORECASE
+)
 _BREAK = re.compile(r"[.!?;](?=\s|$)|\n")
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
 
@@ -111,16 +115,20 @@ def identifiers(text: str) -> list[tuple[int, str, int, int]]:
     """
     out = []
     spans = list(sentences(text))
+    likely = [m.start() for m in _LIKELY.finditer(text)]
     for n, (start, end) in enumerate(spans):
-        if not _LIKELY.search(text, start, end):
+        # a wrapped sentence: until a line ends with a full stop, ten lines at most
+        last = n
+        while last + 1 < len(spans) and last < n + 9 and text[spans[last][1]] == "\n":
+            last += 1
+        at = bisect_left(likely, start)
+        if at == len(likely):
+            break
+        if likely[at] >= spans[last][1]:
             continue
         plain = _NOT_WORD.sub(" ", text[start:end].lower()).strip()
         name = next((f"name:{k}" for k, p in _NAMED.items() if p.search(plain)), None)
         if name is None and plain:
-            # a wrapped sentence: until a line ends with a full stop, ten lines at most
-            last = n
-            while last + 1 < len(spans) and last < n + 9 and text[spans[last][1]] == "\n":
-                last += 1
             whole = plain if last == n else _NOT_WORD.sub(" ", text[start:spans[last][1]].lower()).strip()
             name = next((k for k, p in _KNOWN.items() if p.search(whole, 0, len(plain)) or p.match(whole)), None)
             if name is None:

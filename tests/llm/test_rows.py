@@ -328,6 +328,20 @@ def test_licenses_of_known_texts(text, want):
     assert all(0 <= f["start"] < f["end"] <= len(text) for f in found)
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("Published under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("Available under Apache 2.0.", ["Apache-2.0"]),
+    ("Distributed under GPL v3.", ["GPL-3.0"]), ("Released under CC0.", ["CC0-1.0"]), ("Covered under MPL 2.0.", ["MPL-2.0"]),
+    ("This is free and\nunencumbered software released into the public domain.", ["Unlicense"]),
+])
+def test_licenses_by_each_word_that_grants(text, want):
+    assert [f["license"] for f in licenses.find_licenses(text)] == want
+
+
+def test_names_clause_passes_the_prefilter():
+    text = "Neither the name of Acme nor of its members may be used to endorse or promote products"
+    assert [name for _, name, _, _ in licenses.identifiers(text)] == ["bsd-names"]
+
+
 def test_licenses_of_many_known_sentences_in_a_row():
     found = licenses.find_licenses("all rights reserved\n" * 20_000)
     assert len(found) == 20_000
