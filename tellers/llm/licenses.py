@@ -83,7 +83,14 @@ MOST_BETWEEN = 6  # unknown sentences between two of a rule
 
 _GRANT = r"(?:licensed|released|distributed|available|provided|published|covered)(?: \w+){0,3} under (?:an? |the )?(?:terms of the )?"
 _DECLARED = r"spdx license identifier |licen[sc]e |licen[sc]es "
-_NAMED = {name: re.compile(rf"(?:{_GRANT}|{_DECLARED})(?:{pattern})(?: only| or later)?\b") for name, pattern in NAMES.items()}
+_LEAD = re.compile(rf"{_GRANT}|{_DECLARED}")
+_NAME = {name: re.compile(rf"(?:{pattern})(?: only| or later)?\b") for name, pattern in NAMES.items()}
+# between two names of a list, and before its first
+_GAP = re.compile(
+    r"(?: with (?:\w+ ){1,4}?exceptions?(?: [0-9] [0-9])?)?(?: (?:only|or|later|and|any|version|licen[sc]es?|either|both|under|the|an?|terms|of|at|your|option))* "
+)
+_EITHER = re.compile(r"(?:(?:either|both|of|an?|the|terms) )*")
+_OPERATOR = re.compile(r" (?:or(?! later\b)|and|with) ")
 _KNOWN = {name: re.compile(rf"\b(?:{pattern})\b") for name, pattern in SENTENCES.items()}
 # a word of every rule's sentence
 _LIKELY = re.compile(
@@ -107,11 +114,48 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
         yield start, len(text)
 
 
+def _name_at(whole: str, at: int, ends: list[int]) -> tuple[str, int] | None:
+    """The license whose name is at a place, and the name's end, in the line if it fits."""
+    line = ends[min(bisect_left(ends, at + 1), len(ends) - 1)]
+    return next(((name, m.end()) for name, p in _NAME.items() if (m := p.match(whole, at, line) or p.match(whole, at))), None)
+
+
+def _names(whole: str, ends: list[int]) -> Iterator[tuple[int, str, int]]:
+    """(place, license, end) of the names that a grant or declaration of the first line gives.
+
+    ``ends`` has the end of each line. A list goes on in the next line after "and" or
+    "or" or a comma's place within a line; an SPDX expression ends with its line.
+    """
+    for lead in _LEAD.finditer(whole):
+        if lead.start() >= ends[0]:
+            return
+        at = lead.end()
+        if lead.group().startswith("spdx"):
+            more = len(ends) > 1 and whole[:ends[0]].endswith((" or", " and", " with"))
+            expression = whole[:ends[1] if more else ends[0]]
+            for operator in [None, *_OPERATOR.finditer(expression, at)]:
+                place = operator.end() if operator else at
+                if found := _name_at(expression, place, [len(expression)]):
+                    yield place, *found
+            continue
+        at = _EITHER.match(whole, at).end()
+        while found := _name_at(whole, at, ends):
+            yield at, *found
+            gap = _GAP.match(whole, found[1])
+            if gap is None or re.search(r"licen[sc]es? $", gap.group()):  # a declaration of its own
+                break
+            wraps = bisect_left(ends, found[1]) != bisect_left(ends, gap.end() + 1)
+            if wraps and not re.search(r" (?:and|or) ", gap.group()):
+                break
+            at = gap.end()
+
+
 def identifiers(text: str) -> list[tuple[int, str, int, int]]:
     """(number of the sentence, identifier, start, end) of the sentences that are known.
 
     License texts wrap their lines, so a line without a full stop goes on in the
-    next one for the sentences of license texts.
+    next one. A sentence gives each identifier once, in the order of the text; all that
+    begin in one line have its start, and the end of the line or what it goes on to.
     """
     out = []
     spans = list(sentences(text))
@@ -126,16 +170,23 @@ def identifiers(text: str) -> list[tuple[int, str, int, int]]:
             break
         if likely[at] >= spans[last][1]:
             continue
-        plain = _NOT_WORD.sub(" ", text[start:end].lower()).strip()
-        name = next((f"name:{k}" for k, p in _NAMED.items() if p.search(plain)), None)
-        if name is None and plain:
-            whole = plain if last == n else _NOT_WORD.sub(" ", text[start:spans[last][1]].lower()).strip()
-            name = next((k for k, p in _KNOWN.items() if p.search(whole, 0, len(plain)) or p.match(whole)), None)
-            if name is None:
-                name = next((k for k, p in _KNOWN.items() if (m := p.search(whole)) and m.start() < len(plain)), None)
-                end = spans[last][1] if name else end
-        if name:
-            out.append((n, name, start, end))
+        lines = [_NOT_WORD.sub(" ", text[a:b].lower()).strip() for a, b in spans[n:last + 1]]
+        plain, whole = lines[0], " ".join(filter(None, lines))
+        if not plain:
+            continue
+        ends = [len(" ".join(filter(None, lines[:k + 1]))) for k in range(len(lines))]
+        found = [(place, f"name:{k}", spans[n + bisect_left(ends, to)][1]) for place, k, to in _names(whole, ends)]
+        for k, p in _KNOWN.items():
+            m = p.search(whole, 0, len(plain))
+            inside = m or p.match(whole)
+            m = inside or p.search(whole)
+            if m and m.start() < len(plain):
+                found.append((m.start(), k, end if inside else spans[last][1]))
+        seen = set()
+        for _, name, to in sorted(found):
+            if name not in seen:
+                seen.add(name)
+                out.append((n, name, start, to))
     return out
 
 
@@ -144,29 +195,33 @@ def find_licenses(text: str) -> list[dict]:
     if not _LIKELY.search(text):
         return []
     known = identifiers(text)
-    found, at = [], 0
-    while at < len(known):
+    found, used = [], set()
+    for at in range(len(known)):
+        if at in used:
+            continue
         for license_id, rule in RULES:
             picked = _match(known, at, rule)
             if picked is not None:
-                found.append({"license": license_id, "start": known[at][2], "end": known[picked][3]})
-                at = picked
+                found.append({"license": license_id, "start": known[at][2], "end": known[picked[-1]][3]})
+                # of what lies between only other names count
+                used.update(i for i in range(at, picked[-1] + 1) if i in picked or not known[i][1].startswith("name:"))
                 break
-        at += 1
     return found
 
 
-def _match(known: list[tuple[int, str, int, int]], at: int, rule: tuple[str, ...]) -> int | None:
-    """The place of the rule's last sentence if its sentences follow each other from ``at``."""
+def _match(known: list[tuple[int, str, int, int]], at: int, rule: tuple[str, ...]) -> list[int] | None:
+    """The places of the rule's sentences if they follow each other from ``at``."""
     if known[at][1] != rule[0]:
         return None
+    picked = [at]
     for wanted in rule[1:]:
         last = known[at][0] + MOST_BETWEEN + 1
         following = takewhile(lambda i: known[i][0] <= last, range(at + 1, len(known)))
         at = next((i for i in following if known[i][1] == wanted), None)
         if at is None:
             return None
-    return at
+        picked.append(at)
+    return picked
 
 
 def scan_licenses(

@@ -337,6 +337,24 @@ def test_licenses_by_each_word_that_grants(text, want):
     assert [f["license"] for f in licenses.find_licenses(text)] == want
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("The code is licensed under the MIT License and the data is licensed under CC BY 4.0.", ["MIT", "CC-BY-4.0"]),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+    ("SPDX-License-Identifier: (Zlib OR GPL-2.0-or-later WITH Classpath-exception-2.0) AND ISC", ["GPL-2.0", "ISC"]),
+    ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC", ["MIT", "ISC"]),
+    ("This project is released under the terms of the\nMIT License.", ["MIT"]),
+    ("licensed under the\nApache License, Version 2.0", ["Apache-2.0"]),
+    ("Licensed under either of Apache License, Version 2.0 or\nMIT license at your option.", ["Apache-2.0", "MIT"]),
+    ("Available under the MIT, BSD-3-Clause and ISC licenses.", ["MIT", "BSD-3-Clause", "ISC"]),
+    ("License: MIT\nLicense: Apache-2.0", ["MIT", "Apache-2.0"]),
+    ("Licensed under MIT and\nlicensed under Apache 2.0", ["MIT", "Apache-2.0"]),
+    (FULL_APACHE.replace('"License")', '"License") or under MIT'), ["Apache-2.0", "MIT"]),
+    (FULL_APACHE.replace(' (the "License")', " or the MIT license"), ["Apache-2.0", "MIT"]),
+])
+def test_all_licenses_of_a_sentence_in_order(text, want):
+    assert [f["license"] for f in licenses.find_licenses(text)] == want
+
+
 def test_names_clause_passes_the_prefilter():
     text = "Neither the name of Acme nor of its members may be used to endorse or promote products"
     assert [name for _, name, _, _ in licenses.identifiers(text)] == ["bsd-names"]
