@@ -54,6 +54,10 @@ SENTENCES = {
     "apache-basis": r"software distributed under the license is distributed on an as is basis",
     "gpl2-grant": r"redistribute it and or modify it under the terms of the gnu general public license .{0,80}\bversion 2\b",
     "gpl3-grant": r"redistribute it and or modify it under the terms of the gnu general public license .{0,80}\bversion 3\b",
+    "lgpl2-grant": r"redistribute it and or modify it under the terms of the gnu library general public license .{0,80}\bversion 2\b",
+    "lgpl21-grant": r"redistribute it and or modify it under the terms of the gnu lesser general public license .{0,80}\bversion 2 1\b",
+    "lgpl3-grant": r"redistribute it and or modify it under the terms of the gnu lesser general public license .{0,80}\bversion 3\b",
+    "agpl3-grant": r"redistribute it and or modify it under the terms of the gnu affero general public license .{0,80}\bversion 3\b",
     "mpl2-form": r"subject to the terms of the mozilla public license v 2 0",
     "unlicense-free": r"this is free and unencumbered software released into the public domain",
     "reserved": r"all rights reserved",
@@ -73,6 +77,10 @@ RULES = (
     ("ISC", ("isc-grant",)),
     ("GPL-2.0", ("gpl2-grant",)),
     ("GPL-3.0", ("gpl3-grant",)),
+    ("LGPL-2.0", ("lgpl2-grant",)),
+    ("LGPL-2.1", ("lgpl21-grant",)),
+    ("LGPL-3.0", ("lgpl3-grant",)),
+    ("AGPL-3.0", ("agpl3-grant",)),
     ("MPL-2.0", ("mpl2-form",)),
     ("Unlicense", ("unlicense-free",)),
     *((name, (f"name:{name}",)) for name in NAMES),
@@ -154,16 +162,16 @@ def identifiers(text: str) -> list[tuple[int, str, int, int]]:
     """(number of the sentence, identifier, start, end) of the sentences that are known.
 
     License texts wrap their lines, so a line without a full stop goes on in the
-    next one. A sentence gives each identifier once, in the order of the text; all that
+    next one, and notices join sentences by semicolons. A sentence gives each identifier once, in the order of the text; all that
     begin in one line have its start, and the end of the line or what it goes on to.
     """
     out = []
     spans = list(sentences(text))
     likely = [m.start() for m in _LIKELY.finditer(text)]
     for n, (start, end) in enumerate(spans):
-        # a wrapped sentence: until a line ends with a full stop, ten lines at most
+        # a wrapped sentence: on after a line's end or a semicolon until a full stop, ten pieces at most
         last = n
-        while last + 1 < len(spans) and last < n + 9 and text[spans[last][1]] == "\n":
+        while last + 1 < len(spans) and last < n + 9 and text[spans[last][1]] in "\n;":
             last += 1
         at = bisect_left(likely, start)
         if at == len(likely):

@@ -355,6 +355,23 @@ def test_all_licenses_of_a_sentence_in_order(text, want):
     assert [f["license"] for f in licenses.find_licenses(text)] == want
 
 
+GNU_NOTICE = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version."""
+
+
+@pytest.mark.parametrize(("kind", "version", "want"), [
+    ("", "2", "GPL-2.0"), ("", "3", "GPL-3.0"), ("Library ", "2", "LGPL-2.0"), ("Lesser ", "2.1", "LGPL-2.1"),
+    ("Lesser ", "3", "LGPL-3.0"), ("Affero ", "3", "AGPL-3.0"),
+])
+@pytest.mark.parametrize("stop", [",", ";"])
+@pytest.mark.parametrize("wrap", ["\n", " "])
+def test_notices_of_the_gnu_licenses(kind, version, want, stop, wrap):
+    text = GNU_NOTICE.format(kind, stop, version).replace("\n", wrap)
+    assert [f["license"] for f in licenses.find_licenses(text)] == [want]
+
+
 def test_names_clause_passes_the_prefilter():
     text = "Neither the name of Acme nor of its members may be used to endorse or promote products"
     assert [name for _, name, _, _ in licenses.identifiers(text)] == ["bsd-names"]
