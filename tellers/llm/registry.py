@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellers.llm import decontamination, exact_dedup, jaccard_join, language, licenses, mixing, personal_data, secrets, sharding, substring_dedup
+from tellers.llm import decontamination, exact_dedup, filter_audit, jaccard_join, language, licenses, mixing, personal_data, secrets, sharding, substring_dedup
 from tellers.llm.text import whole_text, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,10 @@ def op10_find_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_audit_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.flag_failures(_table(spark, folder, "documents"), _table(spark, folder, "labels")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_remove_repeats": op1_remove_repeats,
@@ -112,6 +116,7 @@ def queries() -> dict[str, Query]:
         "op8_scan_licenses": op8_scan_licenses,
         "op9_assign_shards": op9_assign_shards,
         "op10_find_secrets": op10_find_secrets,
+        "op12_audit_filters": op12_audit_filters,
     }
 
 
@@ -176,5 +181,48 @@ keyed AS (SELECT doc_id, CAST('0x' || substr(md5(doc_id::VARCHAR), 1, 15) AS BIG
 SELECT doc_id, slot, 'shard-' || lpad(owner[slot + 1]::VARCHAR, 2, '0') AS shard FROM keyed, placed"""
 
 
+_AUDIT = """
+WITH bodies AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+firsts AS (SELECT body, min(doc_id) AS first FROM bodies GROUP BY body),
+label AS (SELECT doc_id AS label_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words),
+          'C': 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body),
+          'D': regexp_matches(body, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} AS fails
+  FROM bodies JOIN firsts USING (body) LEFT JOIN label ON doc_id = label_id),
+failing AS (
+  SELECT part, good, toxic, CASE WHEN fails.A THEN 'A' ELSE '' END || CASE WHEN fails.B THEN 'B' ELSE '' END ||
+         CASE WHEN fails.C THEN 'C' ELSE '' END || CASE WHEN fails.D THEN 'D' ELSE '' END ||
+         CASE WHEN fails.E THEN 'E' ELSE '' END AS letters FROM judged),
+kinds AS (SELECT part, letters, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM failing GROUP BY ALL),
+f(letter) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5),
+steps AS (
+  SELECT filter_order, step::INT AS step, filter_order[step] AS letter, filter_order[:step - 1] AS before
+  FROM orders, range(1, 6) s(step)),
+found AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, letters = letter AS alone,
+         translate(letters, before, '') <> letters AS earlier, contains(letters, letter) AS failing
+  FROM kinds, steps),
+summed AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (NOT earlier AND NOT failing), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT earlier AND failing), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (earlier AND failing), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (NOT earlier AND failing), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (NOT earlier AND failing), 0)::BIGINT AS toxic_lost
+  FROM found GROUP BY ALL)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM summed"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": _DEDUP, "op7_mix_sources": _MIX, "op9_assign_shards": _SHARDS}
+    return {
+        "op6_exact_dedup": _DEDUP, "op7_mix_sources": _MIX, "op9_assign_shards": _SHARDS, "op12_audit_filters": _AUDIT,
+    }
