@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellers.llm import decontamination, exact_dedup, filter_audit, jaccard_join, language, licenses, mixing, personal_data, secrets, sharding, substring_dedup
+from tellers.llm import decontamination, exact_dedup, filter_audit, jaccard_join, language, licenses, line_quality, mixing, personal_data, secrets, sharding, substring_dedup
 from tellers.llm.text import whole_text, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,17 @@ def op12_audit_filters(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(filter_audit.flag_failures(_table(spark, folder, "documents"), _table(spark, folder, "labels")))
 
 
+GOOD_SCORE = 0.3
+
+
+def op13_score_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = F.pmod(F.crc32(whole_text(F.col("doc_id"))), F.lit(5)) == 0
+    model = line_quality.train(docs.where(~held_out), _table(spark, folder, "labels").where(~held_out))
+    found = line_quality.rate(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_remove_repeats": op1_remove_repeats,
@@ -117,6 +128,7 @@ def queries() -> dict[str, Query]:
         "op9_assign_shards": op9_assign_shards,
         "op10_find_secrets": op10_find_secrets,
         "op12_audit_filters": op12_audit_filters,
+        "op13_score_quality": op13_score_quality,
     }
 
 
