@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellers.llm import decontamination, exact_dedup, filter_audit, jaccard_join, language, licenses, line_quality, mixing, personal_data, secrets, sharding, substring_dedup
+from tellers.llm import decontamination, exact_dedup, filter_audit, hard_negatives, jaccard_join, language, licenses, line_quality, mixing, personal_data, secrets, sharding, substring_dedup
 from tellers.llm.text import whole_text, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,12 @@ def op10_find_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_mine_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, folder, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op12_audit_filters(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(filter_audit.flag_failures(_table(spark, folder, "documents"), _table(spark, folder, "labels")))
 
@@ -127,6 +133,7 @@ def queries() -> dict[str, Query]:
         "op8_scan_licenses": op8_scan_licenses,
         "op9_assign_shards": op9_assign_shards,
         "op10_find_secrets": op10_find_secrets,
+        "op11_mine_negatives": op11_mine_negatives,
         "op12_audit_filters": op12_audit_filters,
         "op13_score_quality": op13_score_quality,
     }
@@ -193,6 +200,26 @@ keyed AS (SELECT doc_id, CAST('0x' || substr(md5(doc_id::VARCHAR), 1, 15) AS BIG
 SELECT doc_id, slot, 'shard-' || lpad(owner[slot + 1]::VARCHAR, 2, '0') AS shard FROM keyed, placed"""
 
 
+_NEGATIVES = """
+WITH vectors AS (
+  SELECT vec_id::BIGINT AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM vectors a JOIN vectors r ON a.id % 100 = 0 AND a.id <> r.id),
+positive AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ranked AS (
+  SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank
+  FROM positive JOIN scored USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10"""
+
 _AUDIT = """
 WITH bodies AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
@@ -236,5 +263,6 @@ SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGI
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op6_exact_dedup": _DEDUP, "op7_mix_sources": _MIX, "op9_assign_shards": _SHARDS, "op12_audit_filters": _AUDIT,
+        "op6_exact_dedup": _DEDUP, "op7_mix_sources": _MIX, "op9_assign_shards": _SHARDS,
+        "op11_mine_negatives": _NEGATIVES, "op12_audit_filters": _AUDIT,
     }
