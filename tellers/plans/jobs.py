@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tellers.plans import labelling, repair
 from tellers.plans.loading import append_votes
-from tellers.schema import RECORDS, TABLES
+from tellers.schema import RECORDS
 from tellers.session import cut, remove_cuts
 from tellers.sources.landed import read_pages
 from tellers.sources.store import Store
-from tellers.streaming.votes import read_log
+from tellers.streaming.votes import fold_log
 
 _LABELLING = "labelling"
 
@@ -79,7 +79,8 @@ def store_log(store: Store, log: str) -> None:
     Run it while no ballot is half way through the stream: a ballot with any stored
     vote is done.
     """
-    append_votes(store, read_log(store.spark, log, TABLES["vote"]))
+    fold_log(store, log)
+    append_votes(store, store.read("streamed_vote"))
 
 
 @dataclass(frozen=True)

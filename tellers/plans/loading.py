@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tellers.operators.bitmaps import id_bitmaps, ids_among, merged_bitmaps
 from tellers.operators.keyed import last_arrived, upsert
 from tellers.operators.sizing import splittable_join
 from tellers.plans.build import (
@@ -50,16 +52,24 @@ def seed_topics(topics: DataFrame, names: Sequence[str] = TOPIC_NAMES) -> DataFr
     return topics.select("id", "name").unionByName(added)
 
 
-def remaining_votes(stored: DataFrame, landed: DataFrame) -> DataFrame:
-    """Landed votes of the ballots of which no vote is stored; the last to arrive of an id."""
-    done = stored.select("ballot_id").distinct()
-    fresh = splittable_join(landed, done, ["ballot_id"], "left_anti").select(*landed.columns)
+def remaining_votes(done: DataFrame, landed: DataFrame) -> DataFrame:
+    """Landed votes but for those of done ballots, a one-column DataFrame; the last to arrive of an id."""
+    ballots = done.select(F.col(done.columns[0]).alias("ballot_id")).distinct()
+    fresh = splittable_join(landed, ballots, ["ballot_id"], "left_anti").select(*landed.columns)
     return last_arrived(fresh)
 
 
+def votes_to_add(loaded: DataFrame, landed: DataFrame) -> DataFrame:
+    """Landed votes of the ballots that are not in ``loaded``, bitmaps of ballot ids.
+
+    The stored votes are not read: a batch costs what it holds and the bitmaps.
+    """
+    return remaining_votes(ids_among(landed.select("ballot_id"), loaded), landed)
+
+
 def incremental_votes(stored: DataFrame, landed: DataFrame) -> DataFrame:
     """Stored votes with the remaining landed ones: a ballot with any vote is done."""
-    return stored.unionByName(remaining_votes(stored, landed).select(*stored.columns))
+    return stored.unionByName(remaining_votes(stored.select("ballot_id"), landed).select(*stored.columns))
 
 
 def with_reason(rows: DataFrame, references: Mapping[str, tuple[str, DataFrame]]) -> DataFrame:
@@ -94,14 +104,20 @@ def append_votes(store: Store, landed: DataFrame) -> None:
     """Append the votes of stored ballots; those of unknown members or types go to a side table.
 
     A ballot is done once any of its votes is stored or set aside, so a vote is set
-    aside once.
+    aside once. Which ballots are done is noted with the votes, in bitmaps of which
+    only those of the new ballots' ranges are written again.
     """
     kept = store.read("ballot").select(F.col("id").alias("ballot_id"))
     of_kept = splittable_join(landed, kept, ["ballot_id"], "left_semi")
-    done = store.read("vote").select("ballot_id").unionByName(store.read("rejected_vote").select("ballot_id"))
-    checked = cut(checked_votes(remaining_votes(done, of_kept), store.read("member"), store.read("vote_type")))
-    store.append(vote=checked.where("reason IS NULL"), rejected_vote=checked.where("reason IS NOT NULL"))
-    remove_cuts(checked)
+    loaded = store.read("loaded_ballot")
+    checked = cut(checked_votes(votes_to_add(loaded, of_kept), store.read("member"), store.read("vote_type")))
+    new = cut(id_bitmaps(checked, "ballot_id"))
+    ranges = loaded.join(new.select("bucket"), "bucket", "left_semi")
+    store.change(
+        appends={"vote": checked.where("reason IS NULL"), "rejected_vote": checked.where("reason IS NOT NULL")},
+        upserts={"loaded_ballot": (merged_bitmaps(ranges.unionByName(new)), ["bitmap"], False)},
+    )
+    remove_cuts(checked, new)
 
 
 def run_steps(store: Store, steps: Sequence[Callable[[], object]]) -> int:
@@ -121,50 +137,58 @@ class Load:
     landed: Mapping[str, str]
     period_start: str = PERIOD_START
 
-    def _records(self, kind: str) -> DataFrame:
-        """The records of a kind, parsed once; stops at damaged pages and at a short feed.
+    @contextmanager
+    def _records(self, *kinds: str) -> Iterator[list[DataFrame]]:
+        """The records of some kinds, parsed once; stops at damaged pages and at a short feed.
 
-        The damaged pages are kept in ``rejected_page`` first.
+        The damaged pages are kept in ``rejected_page`` first. The parsed pages are
+        deleted when the step ends.
         """
-        spark = self.store.spark
-        parsed = parse_pages(landed_pages(spark, self.landed[kind]), RECORDS[kind])
-        pages = cut(parsed.withColumn("value", F.expr("IF(whole, NULL, value)")))
-        seen = completeness_of(pages).first()
-        if seen["damaged"]:
-            damaged = pages.where("NOT whole").select(F.lit(kind).alias("kind"), F.col("value").alias("page"))
-            others = self.store.read("rejected_page").where(F.col("kind") != kind)
-            self.store.write("rejected_page", others.unionByName(damaged))
-        if not seen["complete"]:
-            raise ShortFeed(f"{kind}: {seen.asDict()}")
-        return records_of(pages, F.col("page_arrival"))
+        spark, parsed = self.store.spark, []
+        try:
+            for kind in kinds:
+                read = parse_pages(landed_pages(spark, self.landed[kind]), RECORDS[kind])
+                pages = cut(read.withColumn("value", F.expr("IF(whole, NULL, value)")))
+                parsed.append(pages)
+                seen = completeness_of(pages).first()
+                if seen["damaged"]:
+                    damaged = pages.where("NOT whole").select(F.lit(kind).alias("kind"), F.col("value").alias("page"))
+                    others = self.store.read("rejected_page").where(F.col("kind") != kind)
+                    self.store.write("rejected_page", others.unionByName(damaged))
+                if not seen["complete"]:
+                    raise ShortFeed(f"{kind}: {seen.asDict()}")
+            yield [records_of(pages, F.col("page_arrival")) for pages in parsed]
+        finally:
+            remove_cuts(*parsed)
 
     def lookups(self) -> None:
         for name in ("ballot_type", "vote_type"):
-            self.store.write(name, load_lookup(self.store.read(name), self._records(name)))
+            with self._records(name) as [records]:
+                self.store.upsert(name, build_lookup(records), ["type"])
 
     def actors(self) -> None:
-        actors = self._records("actor")
-        for name, build in (("party", build_parties), ("member", build_members)):
-            rows = build(last_arrived(actors))
-            order = [c for c in rows.columns if c not in ("id", "arrival")]
-            self.store.write(name, upsert(self.store.read(name), rows, ["id"], order))
+        with self._records("actor") as [records]:
+            actors = last_arrived(records)
+            for name, build in (("party", build_parties), ("member", build_members)):
+                rows = build(actors)
+                self.store.upsert(name, rows, [c for c in rows.columns if c not in ("id", "arrival")])
 
     def ballots(self) -> None:
         """Ballots of the period and their bills; a ballot of unknown type or bill is set aside."""
-        rows = cut(build_ballots(self._records("ballot"), self._records("step"), self.period_start))
-        bills = build_bills(self._records("bill"), rows)
-        stored = self.store.write("bill", upsert(self.store.read("bill"), bills, ["id"], ["title"]))
-        checked = cut(checked_ballots(rows, self.store.read("ballot_type"), stored))
-        known = checked.where("reason IS NULL").drop("reason")
-        self.store.write("rejected_ballot", checked.where("reason IS NOT NULL"))
-        self.store.write("ballot", upsert(self.store.read("ballot"), known, ["id"], ["held_at"]))
-        remove_cuts(rows, checked)
+        with self._records("ballot", "step", "bill") as [ballots, steps, bills]:
+            rows = cut(build_ballots(ballots, steps, self.period_start))
+            self.store.upsert("bill", build_bills(bills, rows), ["title"])
+            checked = cut(checked_ballots(rows, self.store.read("ballot_type"), self.store.read("bill")))
+            self.store.write("rejected_ballot", checked.where("reason IS NOT NULL"))
+            self.store.upsert("ballot", checked.where("reason IS NULL").drop("reason"), ["held_at"])
+            remove_cuts(rows, checked)
 
     def topics(self) -> None:
         self.store.write("topic", seed_topics(self.store.read("topic")))
 
     def votes(self) -> None:
-        append_votes(self.store, build_votes(self._records("vote")))
+        with self._records("vote") as [records]:
+            append_votes(self.store, build_votes(records))
 
     def run(self) -> DataFrame:
         """All steps that are not done yet, then the row counts."""

@@ -14,6 +14,10 @@ def _table(*fields: tuple[str, T.DataType] | tuple[str, T.DataType, bool]) -> T.
 _ID = T.LongType()
 _TEXT = T.StringType()
 
+# What orders landed records: file time, file, place of the block and of the line, place in the page.
+PAGE_ARRIVAL = _table(("modified", T.TimestampType()), ("file", _TEXT), ("block", _ID), ("line", _ID))
+ARRIVAL_TYPE = _table(("_page_arrival", PAGE_ARRIVAL), ("_place", T.IntegerType()))
+
 TABLES: dict[str, T.StructType] = {
     "ballot_type": _table(("id", _ID), ("type", _TEXT)),
     "vote_type": _table(("id", _ID), ("type", _TEXT)),
@@ -42,6 +46,10 @@ TABLES: dict[str, T.StructType] = {
         ("reason", _TEXT),
     ),
     "rejected_page": _table(("kind", _TEXT), ("page", _TEXT)),
+    "streamed_vote": _table(
+        ("id", _ID), ("ballot_id", _ID), ("member_id", _ID), ("vote_type_id", _ID), ("arrival", ARRIVAL_TYPE)
+    ),
+    "loaded_ballot": _table(("bucket", _ID), ("bitmap", T.BinaryType())),
     "prompt": _table(("batch", _ID), ("bills", _ID), ("prompt", _TEXT)),
     "response": _table(("batch", _ID), ("response", _TEXT), ("error", _TEXT)),
     "load_progress": _table(("key", _TEXT), ("value", _TEXT)),

@@ -80,13 +80,28 @@ def completeness_of(parsed: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
-def landed_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(value, page_arrival) of the lines under ``path``; later files and lines are greater."""
-    arrival = F.struct(
+def _file_of_line() -> Column:
+    return F.struct(
         F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
+        F.col("_metadata.file_block_start").alias("block"),
     )
-    return spark.read.text(path).select("value", arrival.alias("page_arrival"))
+
+
+def with_line(lines: DataFrame) -> DataFrame:
+    """(value, page_arrival) of lines that have their ``file``; lines of a block are numbered as read."""
+    arrival = F.struct("file.modified", "file.file", "file.block", F.monotonically_increasing_id().alias("line"))
+    return lines.select("value", arrival.alias("page_arrival"))
+
+
+def landed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(value, page_arrival) of the lines under ``path``; later files and lines are greater."""
+    return with_line(spark.read.text(path).select("value", _file_of_line().alias("file")))
+
+
+def landed_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """(value, file) of the lines under ``path`` as a stream that picks up new files."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return lines.select("value", _file_of_line().alias("file"))
 
 
 def read_pages(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
@@ -97,9 +112,15 @@ def read_pages(spark: SparkSession, path: str, record: T.StructType) -> DataFram
 def stream_pages(
     spark: SparkSession, path: str, record: T.StructType, files_per_trigger: int = 1000
 ) -> DataFrame:
-    """The same as a stream that picks up newly landed files, without the arrival."""
+    """The same as a stream that picks up newly landed files, without the arrival.
+
+    A damaged page ends the stream, so none is lost unseen; ``streaming.pages.land``
+    sets damaged pages aside and goes on.
+    """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    return explode_pages(lines, record)
+    parsed = parse_pages(lines, record)
+    damaged = F.raise_error(F.concat(F.lit("damaged page: "), F.substring("value", 1, 200))).cast(parsed.schema["records"].dataType)
+    return parsed.select(F.when(F.col("whole"), F.col("records")).otherwise(damaged).alias("records")).select(F.inline("records"))
 
 
 def restrict_to_ids(records: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

@@ -131,14 +131,6 @@ def test_a_wrong_root_is_no_empty_store(spark, tmp_path):
     assert store.progress("a") == "1"
 
 
-def test_replaced_folders_can_be_removed(spark, tmp_path):
-    store = Store.create(spark, str(tmp_path))
-    for n in range(3):
-        store.write("topic", local_rows(spark, [(n, "x")], TABLES["topic"]))
-    assert store.remove_replaced() == 2 and store.remove_replaced() == 0
-    assert rows(store.read("topic")) == [(2, "x")]
-
-
 def test_a_cluster_needs_a_shared_folder():
     def at(master, folder=None, current=None):
         context = types.SimpleNamespace(
