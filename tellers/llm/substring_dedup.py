@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -23,17 +24,18 @@ _LAST = np.iinfo(np.int64).max  # stands for a NULL key, after all others
 
 _PACKED = "part int, kind int, hashes binary, keys binary, tags binary, many binary, places binary"
 _MARKED = "part int, keys binary, tags binary, many binary, places binary"
-_EMPTY = pack(np.empty(0, np.int64))
+_SPREAD = 0xFFFF  # the bits of a tag that place a row without a key, or with the same one
 
 
-def _tag(body: bytes) -> int:
-    """Tells rows apart that share a key but not a text."""
-    return zlib.crc32(body) & 0xFFFF
+def _tag(body: bytes, wide: bool) -> int:
+    """Tells rows apart that share a key but not a text, with ``wide`` by 63 bits."""
+    near = zlib.crc32(body) & _SPREAD
+    return int.from_bytes(hashlib.md5(body).digest()[:8]) >> 17 << 16 | near if wide else near
 
 
 def _marks_of(keys: np.ndarray, tags: np.ndarray, places: np.ndarray, parts: int) -> Iterator[tuple]:
     """Window starts to remove, as packed rows by the part of the table their document is in."""
-    part = (keys % parts + tags) % parts
+    part = (keys % parts + (tags & _SPREAD)) % parts
     order = np.lexsort((places, tags, keys, part))
     keys, tags, places, part = keys[order], tags[order], places[order], part[order]
     for p, a, b in slices(part):
@@ -43,7 +45,7 @@ def _marks_of(keys: np.ndarray, tags: np.ndarray, places: np.ndarray, parts: int
         yield p, pack(keys[a:b][starts]), pack(tags[a:b][starts]), pack(many), pack(places[a:b])
 
 
-def _spread(buckets: int, parts: int, window: int):
+def _spread(buckets: int, parts: int, window: int, wide: bool):
     """Task function: windows of a task's documents as packed rows, by bucket."""
 
     def flush(hashes: list, others: list, keys: list, tags: list, counts: list) -> Iterator[tuple]:
@@ -91,7 +93,7 @@ def _spread(buckets: int, parts: int, window: int):
                 held[0].append(value)
                 held[1].append(other)
                 held[2].extend(_LAST if k is None else k for k in keys[at:upto])
-                held[3].extend(map(_tag, taken))
+                held[3].extend(_tag(body, wide) for body in taken)
                 held[4].extend(many.tolist())
                 size += len(value)
                 at = upto
@@ -145,7 +147,7 @@ def _settle(parts: int):
     return run
 
 
-def _remove(window: int, key_type: pa.DataType):
+def _remove(window: int, key_type: pa.DataType, wide: bool):
     """Cogroup function: documents of one part with their marks."""
     interval = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -161,7 +163,7 @@ def _remove(window: int, key_type: pa.DataType):
             words = body.split()  # of bytes, so at ASCII spaces only
             n_words.append(len(words))
             key = key.as_py()
-            found = starts.get((_LAST if key is None else key, _tag(body)))
+            found = starts.get((_LAST if key is None else key, _tag(body, wide))) if starts else None
             spans = []
             if found:
                 edges = np.zeros(len(words) + window + 1, dtype=np.int64)
@@ -201,19 +203,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     about one in 10**11 for each window, at any size of the table.
 
     NULL texts are empty. A NULL key is larger than any other, and rows with equal
-    keys do not remove each other's words. Keys are whole numbers. Other columns are
+    keys do not remove each other's words. Where a key is NULL or repeated, windows and
+    marks carry 63 bits of a hash of the row's text, so that the rows are told apart;
+    else the key alone says which row is meant. Keys are whole numbers. Other columns are
     ignored; an empty table gives no rows.
     """
     body = whole_text(F.col(f"`{text}`"))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), body.alias("body"))
     buckets = parts = buckets_for(rows, F.col("body"))
-    packed = rows.mapInArrow(_spread(buckets, parts, window), _PACKED)
+    keys = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    wide = not keys.where("id IS NULL OR n > 1").isEmpty()
+    packed = rows.mapInArrow(_spread(buckets, parts, window, wide), _PACKED)
     marks = packed.groupBy("part").applyInArrow(_settle(parts), _MARKED)
     # the tag spreads rows without a key, or with the same one
-    tag = F.crc32(F.col("body").cast("binary")).bitwiseAND(F.lit(0xFFFF))
+    tag = F.crc32(F.col("body").cast("binary")).bitwiseAND(F.lit(_SPREAD))
     part = F.pmod(F.pmod(F.coalesce("id", F.lit(int(_LAST))), F.lit(parts)) + tag, F.lit(parts)).cast("int")
     placed = rows.withColumn("part", part)
     interval = T.StructType().add("start", "long").add("end", "long")
     schema = T.StructType().add("id", "long").add("n_words", "long").add("removed", T.ArrayType(interval)).add("kept", "string")
-    result = placed.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_remove(window, pa.int64()), schema)
+    result = placed.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_remove(window, pa.int64(), wide), schema)
     return result.withColumnRenamed("id", key)
