@@ -30,14 +30,24 @@ ALLOWED = (
 )
 
 
+_SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
+_CODES = 127  # characters that are counted apart; one beyond ASCII counts as the last
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _spans(kind: str, pieces: Column, matches: Column, counted: Column, least: int, rank: int) -> Column:
     """Array of (start, end, rank, kind) from the pieces between matches and the matches.
 
     A span starts where all pieces and matches before it end; lengths count code
-    points. Matches whose counted part is shorter than ``least`` give none.
+    points. Matches whose counted part is shorter than ``least`` give none. To append
+    to a list copies it, so n matches are taken in blocks of about the root of n: each
+    block lists its spans from its own start, and the blocks' lengths then move them.
     """
-    start = F.lit(0).cast("long")
-    state = F.struct(start.alias("at"), F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>").alias("spans"))
+    zero = F.lit(0).cast("long")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["piece"])
@@ -48,19 +58,37 @@ def _spans(kind: str, pieces: Column, matches: Column, counted: Column, least: i
         found = F.when(F.length(x["counted"]) >= least, F.array_append(acc["spans"], span)).otherwise(acc["spans"])
         return F.struct(end.alias("at"), found.alias("spans"))
 
+    def in_blocks(parts: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(parts).cast("double"))), F.lit(1)).cast("int")
+        starts = F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), width)
+        empty = F.struct(zero.alias("at"), F.array().cast(_SPAN).alias("spans"))
+        return _let(F.transform(starts, lambda at: F.aggregate(F.slice(parts, at, width), empty, step)), moved)
+
+    def moved(blocks: Column) -> Column:
+        begins = F.aggregate(
+            blocks, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("each")),
+            lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.array_append(acc["each"], acc["at"]).alias("each")),
+            lambda acc: acc["each"],
+        )
+        return F.flatten(F.zip_with(blocks, begins, lambda b, begin: F.transform(b["spans"], lambda s: F.struct(
+            (s["start"] + begin).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"),
+            (s["end"] + begin).alias("end"), s["value"].alias("value"),
+        ))))
+
     parts = F.arrays_zip(
         F.slice(pieces, F.lit(1), F.size(matches)).alias("piece"), matches.alias("value"), counted.alias("counted")
     )
-    return F.aggregate(parts, state, step, lambda acc: acc["spans"])
+    return _let(parts, in_blocks)
 
 
 def _found(text: Column, kind: str, pattern: str, group: int, least: int, rank: int, likely: str) -> Column:
     """Spans of one kind; a text without anything likely is only searched once."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    spans = _spans(kind, F.split(text, pattern, -1), matches, counted, least, rank)
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>")
-    return F.when(F.regexp_like(text, F.lit(likely)), spans).otherwise(none)
+    def of(matches: Column) -> Column:
+        counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+        return _spans(kind, F.split(text, pattern, -1), matches, counted, least, rank)
+
+    spans = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
+    return F.when(F.regexp_like(text, F.lit(likely)), spans).otherwise(F.array().cast(_SPAN))
 
 
 def most_entropy(value: Column, window: int = WINDOW) -> Column:
@@ -78,31 +106,39 @@ def most_entropy(value: Column, window: int = WINDOW) -> Column:
 def _entropy_of_piece(value: Column, window: int) -> Column:
     """The largest entropy of a short value's windows.
 
-    Counts are kept as the window slides: with S the sum of c*log2(c) over the
-    counts c of its characters, the entropy is log2(window) - S/window, and each
-    character that enters or leaves changes one count and so one term of S.
+    Each character has its count, kept as the window slides: with S the sum of
+    c*log2(c) over the counts c, the entropy is log2(window) - S/window, and a
+    character that enters or leaves changes its own count and one term of S. The
+    counts are a text, in which the letter at a character's code stands for its count.
     """
     table = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 1)])
+    letters = F.split(value, "")
+    every = F.transform(F.slice(letters, F.lit(1), F.length(value)), lambda c: F.least(F.greatest(F.ascii(c), F.lit(1)), F.lit(_CODES)))
 
     def term(n: Column) -> Column:
         return F.element_at(table, (n + 1).cast("int"))
 
-    def step(acc: Column, at: Column) -> Column:
-        # the window before this step without its oldest character, if it was full
-        full = at > window
-        kept_from = F.when(full, at - window + 1).otherwise(F.lit(1))
-        kept = F.substring(value, kept_from, (at - kept_from).cast("int"))
-        entering = F.substring(value, at, F.lit(1))
-        leaving = F.substring(value, at - window, F.lit(1))
-        left = F.length(kept) - F.length(F.replace(kept, leaving, F.lit("")))
-        there = F.length(kept) - F.length(F.replace(kept, entering, F.lit("")))
-        without = acc["s"] - F.when(full, term(left + 1) - term(left)).otherwise(F.lit(0.0))
-        total = without + term(there + 1) - term(there)
-        bits = F.when(at >= window, math.log2(window) - total / window).otherwise(F.lit(0.0))
-        return F.struct(total.alias("s"), F.greatest(acc["bits"], bits).alias("bits"))
-
-    state = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("bits"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), state, step, lambda acc: acc["bits"])
+    def changed(state: Column, code: Column, by: int) -> Column:
+        """(counts, s) with one more, or one less, of a character."""
+        n = F.ascii(F.substring(state["counts"], code, F.lit(1))) - ord("0")
+        counts = F.overlay(state["counts"], F.char((n + by + ord("0")).cast("long")), code, 1)
+        return F.struct(counts.alias("counts"), (state["s"] + term(n + by) - term(n)).alias("s"))
+
+    def slide(codes: Column) -> Column:
+        def step(acc: Column, at: Column) -> Column:
+            same = F.struct(acc["counts"].alias("counts"), acc["s"].alias("s"))
+            left = F.when(at > window, changed(acc, F.get(codes, at - window - 1), -1)).otherwise(same)
+            now = _let(left, lambda state: changed(state, F.get(codes, at - 1), 1))
+            return _let(now, lambda state: F.struct(
+                state["counts"].alias("counts"), state["s"].alias("s"),
+                F.greatest(acc["bits"], F.when(at >= window, math.log2(window) - state["s"] / window).otherwise(F.lit(0.0))).alias("bits"),
+            ))
+
+        start = F.struct(F.lit("0" * _CODES).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("bits"))
+        places = F.slice(F.sequence(F.lit(1), F.greatest(F.size(codes), F.lit(1))), F.lit(1), F.size(codes))
+        return F.aggregate(places, start, step, lambda acc: acc["bits"])
+
+    return _let(every, slide)
 
 
 def _looks_random(bits: float, window: int) -> Callable[[Column], Column]:
