@@ -24,10 +24,25 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
 
+# Characters of an account number by country.
+_IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+_IBAN_OF_LENGTH = {
+    n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(_IBAN_LENGTHS.values())
+}
+
 # Score of a span by itself, and words near it that speak for or against it.
 _ALONE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8}
 _FOR = {
@@ -83,9 +98,13 @@ def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 8 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
                 yield "phone", m.start(), m.end()
+    free = 0
     for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", m.start(), m.end()
+        length = _IBAN_LENGTHS.get(m[0][:2])
+        whole = _IBAN_OF_LENGTH[length].match(text, m.start()) if length and m.start() >= free else None
+        if whole and mod97(whole[0]):
+            free = whole.end()
+            yield "iban", m.start(), free
 
 
 def _score(text: str, kind: str, start: int, end: int) -> float:
@@ -115,7 +134,8 @@ def find_personal_data(
     Each kind is searched from the left without overlaps; a match that fails its
     checksum or limits is dropped and its characters are not searched again. Context
     changes a span's score and drops none, so a caller sets the least score to act on.
-    Kinds beyond ``BASE_KINDS`` may overlap them.
+    Kinds beyond ``BASE_KINDS`` may overlap them. An account number has the length of
+    its country, so what follows it is no part of it; other countries have none.
 
     NULL text counts as empty and gives an empty list; texts of any length are
     searched in whole, in time linear in their length. Other columns stay (``keep``

@@ -60,6 +60,7 @@ def op5_find_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", *[_count(F.col("spans"), kind) for kind in personal_data.BASE_KINDS],
         F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
 
 
