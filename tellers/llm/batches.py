@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
+from tellers.llm.text import free_name
+
 _BYTES_AT_ONCE = 4 << 20
 
 
@@ -26,7 +28,7 @@ def with_text_columns(
     """
     names = [f.name for f in added.fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    rows = df.select(*[f"`{c}`" for c in kept], text.alias("_text_of_row"))
+    rows = df.select(*[f"`{c}`" for c in kept], text.alias(free_name(df, "_text_of_row")))
     schema = T.StructType([*rows.schema.fields[:-1], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

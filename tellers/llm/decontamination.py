@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tellers.llm.batches import portions, with_text_columns
 from tellers.llm.packing import slices
 from tellers.llm.rolling import IN_PLAIN_WORD, window_hashes, word_hashes
-from tellers.llm.text import whole_text
+from tellers.llm.text import free_name, whole_text
 
 LEAST_MATCH = 5  # words of the shortest tile
 COVERAGE = 0.5  # share of an item's words that tiles must cover
@@ -149,17 +149,20 @@ def find_leaks(
     ).where("id IS NOT NULL AND body IS NOT NULL")
     size = usable.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    found = docs.withColumn("_leak_hits", F.array().cast(T.ArrayType(HIT)))
+    so_far, new = (free_name(docs, n) for n in ("_leak_hits", "_leak_new"))
+    found = docs.withColumn(so_far, F.array().cast(T.ArrayType(HIT)))
     kept = [c for c in (docs.columns if keep is None else keep) if c != hits_name]
     for block in range(blocks):
         of_block = usable.where(F.pmod(F.xxhash64("id", "body"), F.lit(blocks)) == block).orderBy("id", "body").toArrow()
         needed = kept if block == blocks - 1 else list(dict.fromkeys([*kept, text]))
-        found = _pass(found, of_block["id"].to_pylist(), of_block["body"].to_pylist(), text, least, coverage, needed)
-    return found.select(*[f"`{c}`" for c in kept], F.array_sort("_leak_hits").alias(hits_name))
+        found = _pass(found, of_block["id"].to_pylist(), of_block["body"].to_pylist(), text, least, coverage, needed, so_far, new)
+    return found.select(*[f"`{c}`" for c in kept], F.array_sort(so_far).alias(hits_name))
 
 
-def _pass(docs: DataFrame, ids: list[int], texts: list[str], text: str, least: int, coverage: float, keep: list[str]) -> DataFrame:
-    """Append the hits of one block of items to ``_leak_hits``."""
+def _pass(
+    docs: DataFrame, ids: list[int], texts: list[str], text: str, least: int, coverage: float, keep: list[str], so_far: str, new: str,
+) -> DataFrame:
+    """Append the hits of one block of items to ``so_far``."""
     counts = word_hashes([t.lower().encode("utf-8", "surrogatepass") for t in texts], IN_PLAIN_WORD)[1]
     by_least: dict[int, Items] = {}
     for width in sorted({min(least, int(n)) for n in counts if n}):
@@ -181,6 +184,6 @@ def _pass(docs: DataFrame, ids: list[int], texts: list[str], text: str, least: i
             out += hits
         return [pa.array(out, type=_ARROW_HITS)]
 
-    added = T.StructType().add("_leak_new", T.ArrayType(HIT))
-    more = with_text_columns(docs, whole_text(F.col(f"`{text}`")), compute, added, [*keep, "_leak_hits"])
-    return more.withColumn("_leak_hits", F.concat("_leak_hits", "_leak_new")).drop("_leak_new")
+    added = T.StructType().add(new, T.ArrayType(HIT))
+    more = with_text_columns(docs, whole_text(F.col(f"`{text}`")), compute, added, [*keep, so_far])
+    return more.withColumn(so_far, F.concat(so_far, new)).drop(new)

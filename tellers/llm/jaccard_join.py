@@ -39,7 +39,7 @@ COMMON_LEAST = 8  # and so many of a portion at least, for the portion to name i
 COPIED = 1024  # one row of so many has a text that is copied often
 _BYTES_AT_ONCE = 1 << 20
 
-_DESCRIBED = "id bigint, size bigint, node bigint, sets bigint, often array<struct<token:bigint,n:bigint>>"
+_DESCRIBED = "id bigint, tag bigint, size bigint, node bigint, sets bigint, often array<struct<token:bigint,n:bigint>>"
 _PACKED = "bucket int, part int, hashes binary, nodes binary, sizes binary, many binary"
 _SHARED = "part int, nodes binary, sizes binary, many binary, tokens binary, spread binary"
 _SETS = "node bigint, size bigint, tokens array<bigint>, keys int, central double"
@@ -97,12 +97,13 @@ def _describe(words: int):
             named = n >= max(COMMON_LEAST, len(different) / COMMON)
             often = [{"token": t, "n": k} for t, k in zip(token[named].astype(np.int64).tolist(), n[named].tolist())]
             rest = [None] * (len(texts) - 1)
+            tags = batch.column(2).slice(first, len(texts)) if batch.num_columns > 2 else pa.nulls(len(texts), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(first, len(texts)), pa.array(map(len, sets), pa.int64()), pa.array(names, pa.int64()),
+                    batch.column(0).slice(first, len(texts)), tags, pa.array(map(len, sets), pa.int64()), pa.array(names, pa.int64()),
                     pa.array([len(different), *rest], pa.int64()), pa.array([often, *rest], often_type),
                 ],
-                ["id", "size", "node", "sets", "often"],
+                ["id", "tag", "size", "node", "sets", "often"],
             )
 
     return run
@@ -478,10 +479,14 @@ def _join_region(percent: int):
 
 
 def similar_groups(
-    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", details: bool = False
 ) -> DataFrame:
     """For each row: key, n_shingles, component_id, the least key that links reach.
 
+    With ``details`` also ``text_tag``, a 64-bit hash of the text, and ``component``, a
+    number that the rows of a component share, NULL for an empty set: they tell rows and
+    components apart where a key is NULL or names several texts.
+
     A document is the set of its n-grams of ``words`` words, in lower case for A to Z.
     Two link when 100 times the size of the intersection is at least ``percent`` times
     that of the union. The steps:
@@ -504,8 +509,9 @@ def similar_groups(
     give a row; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), whole_text(F.col(f"`{text}`")).alias("body"))
-    told = cut(rows.mapInArrow(_describe(words), _DESCRIBED))
-    described = told.select("id", "size", "node")
+    tagged = rows.withColumn("tag", F.xxhash64("body"))
+    told = cut(tagged.mapInArrow(_describe(words), _DESCRIBED))
+    described = told.select("id", "tag", "size", "node")
     buckets = buckets_for(rows, F.col("body"))
     context = docs.sparkSession.sparkContext
     spread = _spread(buckets, words, context.broadcast(_common(told)), context.broadcast(_copied(described)))
@@ -523,9 +529,10 @@ def similar_groups(
     nodes = described.where("size > 0").groupBy("node").agg(F.min("id").alias("least_id"))
     named = nodes.join(labels, "node", "left").withColumn("least", F.coalesce("least", "node"))
     names = named.groupBy("least").agg(F.min("least_id").alias("component_id"))
-    by_node = splittable_join(named.select("node", "least"), names, ["least"], "inner").select("node", "component_id")
-    full = splittable_join(described, by_node, ["node"], "left")
+    by_node = splittable_join(named.select("node", "least"), names, ["least"], "inner").select("node", "least", "component_id")
+    full = splittable_join(described if details else described.drop("tag"), by_node, ["node"], "left")
     return full.select(
         F.col("id").alias(key), F.col("size").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        *([F.col("tag").alias("text_tag"), F.when(F.col("size") > 0, F.col("least")).alias("component")] if details else []),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -28,3 +28,10 @@ def word_count(text: Column) -> Column:
 def text_hash(text: Column) -> Column:
     """A BIGINT from 0 to 2**60 - 1, the same in any engine that has MD5."""
     return F.conv(F.substring(F.md5(text.cast("string")), 1, _HASH_DIGITS), 16, 10).cast("long")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import tracemalloc
+import zlib
 
 import numpy as np
 import pytest
@@ -324,3 +325,45 @@ def test_leaks_of_odd_rows(spark, odd, none):
     assert [len(r["hits"]) for r in got[100]] == [0] and got[7][0]["hits"][0]["item"] == 2
     assert sorted(len(r["hits"]) for r in got[3]) == [0, 1, 1]
     assert sum(map(len, got.values())) == odd.count() and len(ODD) == 10
+
+
+def _clashing(words, tag):
+    """A text of so many words that the spreading bits of its hash are those of ``tag``."""
+    for n in range(10**7):
+        text = " ".join([f"v{words}x{n}", *(f"u{words}y{k}" for k in range(words - 1))])
+        if zlib.crc32(text.encode()) & 0xFFFF == tag:
+            return text
+    raise AssertionError
+
+
+def test_rows_of_one_key_are_told_apart_by_their_whole_text(spark):
+    passage = " ".join(f"p{n}" for n in range(40))
+    holder = " ".join(f"h{n}" for n in range(200)) + " " + passage
+    tag = zlib.crc32(holder.encode()) & 0xFFFF
+    short, clean = _clashing(30, tag), _clashing(260, tag)
+    for key in (None, 7):
+        rows = [(1, passage), (key, holder), (key, short), (key, clean), (key, clean)]
+        got = sorted((len(r["kept"].split()), r["n_words"]) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
+        assert got == sorted([(40, 40), (200, 240), (30, 30), (260, 260), (260, 260)])
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_repeats_with_null_and_repeated_keys_are_those_of_a_plain_search(spark, seed):
+    draw = random.Random(seed)
+    rows = [(draw.choice([None, 1, 2, 3, 4, n]), text) for n, text in copies(seed, 50)]
+    order = lambda k: (k is None, k or 0)
+    windows = lambda w: [tuple(w[a:a + 13]) for a in range(len(w) - 12)]
+    first = {}
+    for key, text in sorted(rows, key=lambda r: order(r[0])):
+        for w in windows((text or "").split()):
+            first.setdefault(w, key)
+    want = []
+    for key, text in rows:
+        words = (text or "").split()
+        gone = [False] * len(words)
+        for a, w in enumerate(windows(words)):
+            if order(first[w]) < order(key):
+                gone[a:a + 13] = [True] * 13
+        want.append((key, " ".join(w for w, g in zip(words, gone) if not g)))
+    got = [(r["doc_id"], r["kept"]) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -95,3 +95,29 @@ def test_language_stage_rejects_texts_without_letters_only(spark):
     assert sorted(r["doc_id"] for r in STAGES["language"](spark, docs, FOLDER).collect()) == [1, 2]
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert sorted(r["doc_id"] for r in STAGES["language"](spark, unlabelled, FOLDER).collect()) == [1, 2]
+
+
+def test_similar_stage_judges_each_text_of_a_repeated_doc_id(spark):
+    a, b, alone = (" ".join(f"{x}{n}" for n in range(60)) for x in "abc")
+    near = a + " more"
+    rows = [(1, a), (2, a), (2, alone), (2, alone), (3, near), (None, near), (None, b), (None, b + " x"), (4, None), (4, ""), (5, "")]
+    docs = frame(spark, rows, _stage_tag="x", component="x", text_tag="x", _stage_gone="x", node="x")
+    kept = STAGES["similar"](spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"], (r["text"] or "")[:2]) for r in kept.collect()), key=str)
+    assert found == sorted([(1, "a0"), (2, "c0"), (None, "b0"), (4, ""), (5, "")], key=str)
+
+
+def test_leak_stage_keeps_documents_that_hold_a_short_item(spark, tmp_path):
+    items = [(1, "Yes"), (2, "one two three four five six")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame(spark, [(1, "yes it is"), (2, "so one two three four five six go"), (3, None), (3, "")])
+    assert sorted(r["doc_id"] for r in STAGES["leaks"](spark, docs, str(tmp_path)).collect()) == [1, 3, 3]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ("_stage_lang", "_stage_score", "_stage_tag", "_stage_hits", "_leak_hits", "_leak_new", "_text_of_row", "size", "part", "identity")
+    docs = frame(spark, [(1, "the house is there and so on", "en"), (2, "das Haus ist da und so weiter", "de")], **{n: n for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, FOLDER).collect()
+        assert rows and all(r[n] == n for r in rows for n in names), name

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -402,3 +403,29 @@ def test_scans_of_odd_rows(spark, odd, none):
     assert {len(r["spans"]) for rows in by_id(personal_data.find_personal_data(odd)).values() for r in rows} == {0}
     assert secrets.find_secrets(none).count() == 0
     assert sum(map(len, by_id(secrets.find_secrets(odd)).values())) == ALL_ROWS
+
+
+def test_many_secrets_in_one_text_take_seconds(spark):
+    text = "".join(f"token=abc{n:06d} x " for n in range(100_000))
+    start = time.monotonic()
+    [[row]] = by_id(secrets.find_secrets(frame(spark, [(1, text)]))).values()
+    assert time.monotonic() - start < 60
+    assigned = [s for s in row["spans"] if s["kind"] == "assign"]
+    assert len(assigned) == 100_000
+    assert all((s["start"], s["end"]) == (18 * n, 18 * n + 15) for n, s in enumerate(assigned))
+
+
+def test_account_numbers_end_where_their_country_says():
+    for text, want in {
+        "IBAN DE89370400440532013000 BIC COBADEFFXXX": "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32 USD": "GB82 WEST 1234 5698 7654 32",
+        "DE89370400440532013000X": None, "ZZ89370400440532013000": None, "NO93 8601 1117 947": "NO93 8601 1117 947",
+    }.items():
+        found = [text[s["start"]:s["end"]] for s in personal_data.find_spans(text) if s["kind"] == "iban"]
+        assert found == ([want] if want else [])
+
+
+def test_context_reaches_the_query(spark, tmp_path):
+    docs = frame(spark, [(1, "card 4465758382889437"), (2, "example 4465758382889437")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: float(r["scores"]) for r in registry.op5_find_personal_data(spark, str(tmp_path)).collect()}
+    assert got[1] > got[2]
