@@ -11,51 +11,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellers.llm import decontamination, jaccard_join, language, mixing, sharding
-from tellers.llm.text import whole_text, word_count
+from tellers.llm.text import free_name, whole_text, word_count
+from tellers.operators.sizing import splittable_join
 from tellers.session import cut
 
 LEAST_SCORE = 0.5  # of a language, for a document to stay
+LEAST_LEAK = 5  # words of an item that a document must cover, to go
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject texts without a letter and those of which no language is likely.
 
     Learns from the rows that name their language. If there are none, only texts
-    without a letter go.
+    without a letter go. A NULL or empty text has no letter and goes. Equal texts go or
+    stay together; an empty table gives no rows; other columns stay.
     """
     model = language.train(docs)
     if not model.languages:
         return docs.where(F.regexp_like(whole_text(F.col("text")), F.lit(r"\p{L}")))
-    found = language.identify(docs, model, lang_name="_stage_lang", score_name="_stage_score")
-    likely = (F.col("_stage_lang") != language.UNDETERMINED) & (F.col("_stage_score") >= LEAST_SCORE)
-    return found.where(likely).drop("_stage_lang", "_stage_score")
+    lang, score = free_name(docs, "_stage_lang"), free_name(docs, "_stage_score")
+    found = language.identify(docs, model, lang_name=lang, score_name=score)
+    return found.where((F.col(lang) != language.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents keep the one with the least doc_id.
+    """Of each component of similar documents keep one row: of the least doc_id, then the least text hash.
 
-    Of rows that repeat doc_id and text one stays. A row without a doc_id is no
-    component's first document and stays unless such a row repeats its text.
+    A row is known by its doc_id and a hash of its text, so another text of the same
+    doc_id is judged by its own component. A NULL doc_id is greater than any other. Rows
+    that repeat doc_id and text are one. An empty or NULL text is similar to nothing and
+    stays, once for each doc_id. An empty table gives no rows; other columns stay.
     """
-    groups = jaccard_join.similar_groups(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_stage_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_stage_gone"), "left_anti")
-    distinct = left.withColumn("_stage_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_stage_text"])
-    return distinct.drop("_stage_text")
+    groups = cut(jaccard_join.similar_groups(docs, details=True))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_tag")
+    first = groups.where("component IS NOT NULL").groupBy("component").agg(F.min(row).alias("first"))
+    judged = splittable_join(groups.where("component IS NOT NULL"), first, ["component"], "inner")
+    tag, gone_id, gone_tag = (free_name(docs, f"_stage_{n}") for n in ("tag", "gone", "gone_tag"))
+    gone = judged.where(~row.eqNullSafe(F.col("first"))).select(
+        F.col("doc_id").alias(gone_id), F.col("text_tag").alias(gone_tag)
+    ).distinct()
+    tagged = docs.withColumn(tag, F.xxhash64(whole_text(F.col("text"))))
+    left = tagged.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(tag) == F.col(gone_tag)), "left_anti")
+    return left.dropDuplicates(["doc_id", tag]).drop(tag)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold an item of the benchmark, in whole or for the most part."""
+    """Drop documents that hold an item of the benchmark, in whole or for the most part.
+
+    Only hits that cover ``LEAST_LEAK`` words or more count, so an item of a word or two
+    drops nothing. A NULL or empty text holds no item and stays, as do rows that repeat;
+    an empty table gives no rows, an empty benchmark drops none; other columns stay.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.find_leaks(docs, benchmark, hits_name="_stage_hits")
-    return found.where(F.size("_stage_hits") == 0).drop("_stage_hits")
+    hits = free_name(docs, "_stage_hits")
+    found = decontamination.find_leaks(docs, benchmark, hits_name=hits)
+    return found.where(~F.exists(hits, lambda hit: hit["covered"] >= LEAST_LEAK)).drop(hits)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat each document as often as the mix takes it; drop those it does not take.
 
     The last document of a source's budget gives its first words only, joined by
-    blanks, with ``n_chars`` of what is left.
+    blanks, with ``n_chars`` of what is left. A NULL text, or one without words, takes
+    no words and goes; NULL sources are one source; rows that repeat are rows of their
+    own, and ties go by doc_id and text. An empty table gives no rows; other columns stay.
     """
     labels = mixing.quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = docs.select(
@@ -73,7 +92,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Give each document its slot and shard."""
+    """Give each document its slot and shard, by its doc_id.
+
+    Every row stays, whatever its text; rows of one doc_id share a shard, and a row
+    without one is placed by its text. Columns named slot or shard are replaced; an empty table gives no rows.
+    """
     return sharding.assign_shards(docs)
 
 
