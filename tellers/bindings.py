@@ -192,6 +192,17 @@ def damaged_event_pages(s: Source) -> DataFrame:
         WHEN page % 7 = 3 THEN replace(value, '"event_id":', '"event_id":"x","was":') ELSE value END AS value""")
 
 
+def vote_records(s: Source, kind: int, every: int = 1) -> DataFrame:
+    """Orders as votes of one type, of every so-many-th order."""
+    return s.orders.where(f"o_orderkey % {every} = 0").selectExpr(
+        "o_orderkey AS id", "o_orderkey AS afstemningid", "o_custkey AS `aktørid`", f"{kind}L AS typeid"
+    )
+
+
+def vote_pages(s: Source, kind: int, every: int = 1) -> DataFrame:
+    return pages_of(vote_records(s, kind, every), F.expr("id div 100"))
+
+
 def ballot_type_pages(s: Source) -> DataFrame:
     """A feed that repeats each ballot type for every order that has it, first misnamed."""
     records = s.orders.selectExpr(
@@ -302,6 +313,19 @@ def refetched_bills(s: Source) -> DataFrame:
     return now.unionByName(now.selectExpr("id", "'Z ' || CAST(id AS STRING) AS nummer", "1 AS arrival"))
 
 
+def changed_bills(s: Source) -> DataFrame:
+    """New titles for some bills, and bills that are new, in a range of ids of their own."""
+    renamed = bill(s).where("id % 3 = 0 AND id <= 50").selectExpr("* EXCEPT (title)", "title || ' B' AS title")
+    added = bill(s).where("id % 10 = 0").selectExpr("* EXCEPT (id)", "id + 7000000 AS id")
+    return renamed.unionByName(added)
+
+
+def first_labels(s: Source) -> DataFrame:
+    """Labels before they were changed: fewer, and some that are wrong."""
+    right = bill_topic(s).where("bill_id % 4 <> 0")
+    return right.unionByName(bill_topic(s).where("bill_id % 5 = 0").selectExpr("bill_id", "topic_id % 10 + 1 AS topic_id"))
+
+
 def votes_to_check(s: Source) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Votes, members and vote types, of which some votes name none."""
     members = member(s).join(s.supplier.where("s_acctbal >= 0").selectExpr("s_suppkey AS id"), "id", "left_semi")

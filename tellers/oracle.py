@@ -283,6 +283,11 @@ _LIST_QUERIES = {
           OR lower(first_name || ' ' || last_name) LIKE '%er 0000000_1%'
           OR lower(party_abbr) LIKE '%er 0000000_1%')
         ORDER BY {_NAMES} LIMIT 50""",
+    "member_search_indexed": f"""SELECT * FROM named_member WHERE {_VOTED}
+        AND (lower(first_name) LIKE '%er 0000000_1%' OR lower(last_name) LIKE '%er 0000000_1%'
+          OR lower(first_name || ' ' || last_name) LIKE '%er 0000000_1%'
+          OR lower(party_abbr) LIKE '%er 0000000_1%')
+        ORDER BY {_NAMES} LIMIT 50""",
     "member_search_all": f"""SELECT * FROM named_member WHERE {_VOTED}
         AND (first_name LIKE '%1%' OR last_name LIKE '%1%' OR party_abbr LIKE '%1%')""",
     "one_ballot_document": f"{_document_json()} WHERE h.id = (SELECT {_LAST.format('o_orderkey')} FROM orders)",
@@ -290,6 +295,20 @@ _LIST_QUERIES = {
     "one_member_votes_page": f"""{_VOTE_ROW} WHERE member_id = (SELECT {_LAST.format('s_suppkey')} FROM supplier)
         ORDER BY held_at DESC, vote_id LIMIT 50""",
     "member_header": "SELECT * FROM named_member",
+    "ballots_search_indexed": """SELECT * FROM listed WHERE lower(title) LIKE '%l 1_7%'
+        OR lower(short_title) LIKE '%l 1_7%' OR lower(bill_number) LIKE '%l 1_7%'""",
+    "ballots_search_title_indexed": """SELECT * FROM listed WHERE passed AND (lower(title) LIKE '%furnitur%'
+        OR lower(short_title) LIKE '%furnitur%' OR lower(bill_number) LIKE '%furnitur%')""",
+    "member_votes_search_indexed": f"""{_VOTE_ROW} WHERE passed AND vote_type_id = 1
+        AND (lower(title) LIKE '%build%' OR lower(short_title) LIKE '%build%')""",
+    "member_stats_kept": "SELECT * FROM stat",
+    "member_topic_stats_kept": "SELECT * FROM topic_stat",
+    "incremental_append": """SELECT id, ballot_id, member_id, vote_type_id FROM shipped_vote
+        WHERE ballot_id NOT IN (SELECT ballot_id FROM shipped_vote WHERE l_shipdate < TIMESTAMP '1996-01-01')""",
+    "store_upsert": """SELECT * REPLACE (CASE WHEN id % 3 = 0 AND id <= 50 THEN title || ' B' ELSE title END AS title) FROM bill
+        UNION ALL SELECT * REPLACE (id + 7000000 AS id) FROM bill WHERE id % 10 = 0""",
+    "stream_last_fetched": """SELECT o_orderkey AS id, o_orderkey AS ballot_id, o_custkey AS member_id,
+        CASE WHEN o_orderkey % 4 = 0 THEN 1 WHEN o_orderkey % 2 = 0 THEN 2 ELSE 9 END AS vote_type_id FROM orders""",
     "member_stats": "SELECT * FROM stat",
     "member_stats_by_id": "SELECT member_id, vote_type_id AS id, vote_type AS type, votes FROM stat",
     "member_topic_stats": "SELECT * FROM topic_stat",
@@ -414,7 +433,12 @@ _PLAIN_QUERIES = {
         count(DISTINCT page) FILTER (hurt) AS damaged, count(*) FILTER (NOT hurt) AS records,
         CASE WHEN count(*) > 0 THEN count(*) END AS declared, false AS complete
         FROM (SELECT event_id // 100 AS page, event_id // 100 % 7 IN (0, 3) AS hurt FROM events)""",
+    "stream_completeness": """SELECT count(DISTINCT page) AS pages,
+        count(DISTINCT page) FILTER (hurt) AS damaged, count(*) FILTER (NOT hurt) AS records,
+        CASE WHEN count(*) > 0 THEN count(*) END AS declared, false AS complete
+        FROM (SELECT event_id // 100 AS page, event_id // 100 % 7 IN (0, 3) AS hurt FROM events)""",
     "rejected_pages": "SELECT DISTINCT event_id // 100 AS page FROM events WHERE event_id // 100 % 7 IN (0, 3)",
+    "stream_rejected_pages": "SELECT DISTINCT event_id // 100 AS page FROM events WHERE event_id // 100 % 7 IN (0, 3)",
     "upsert_last_wins": f"""WITH {_LINES}
         SELECT * FROM (SELECT *, l_shipdate >= TIMESTAMP '1998-01-01' AS late FROM line
           QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY late DESC,
@@ -462,6 +486,11 @@ _LABEL_QUERIES = {
           ',"kategorier":["len' || length(shown) || '"]}', ',' ORDER BY pos) || ']' END AS response,
         CASE WHEN min(id) % 7 = 0 THEN 'no answer for ' || min(id) END AS error
         FROM item GROUP BY batch""",
+    "label_batches_retried": """SELECT batch,
+        CASE WHEN min(id) % 7 <> 0 THEN '[' || string_agg('{"sag_id":' || id ||
+          ',"kategorier":["len' || length(shown) || '"]}', ',' ORDER BY pos) || ']' END AS response,
+        CASE WHEN min(id) % 7 = 0 THEN 'no answer for ' || min(id) END AS error
+        FROM item GROUP BY batch""",
     "parse_responses": "SELECT * FROM readable",
     "rejected_responses": """SELECT DISTINCT doc_id // 15 AS batch FROM documents
         WHERE (doc_id // 15) % 7 = 0""",

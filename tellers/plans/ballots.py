@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellers.functions.text import any_like
 from tellers.operators.paging import Page, after_key, page_info, take_page
+from tellers.plans.search import BILL_FIELDS, search
 from tellers.plans.tables import Tables, bill_columns, with_ballot_type, with_bill
 from tellers.session import cut
 
@@ -77,16 +77,19 @@ def on_topic(ballots: DataFrame, tables: Tables, topic_id: int | None) -> DataFr
     return ballots.join(bills, "bill_id", "left_semi")
 
 
-def filtered_ballots(tables: Tables, f: BallotFilter) -> DataFrame:
-    """Ballots that pass the filter, one row each, without any bill column."""
+def filtered_ballots(tables: Tables, f: BallotFilter, index: DataFrame | None = None) -> DataFrame:
+    """Ballots that pass the filter, one row each, without any bill column.
+
+    With an ``index`` of the bills, as ``search.gram_index`` makes, the text is looked
+    for in the bills that may hold it, else in all.
+    """
     ballots = tables["ballot"]
     for condition in ballot_conditions(f):
         ballots = ballots.where(condition)
     ballots = on_topic(ballots, tables, f.topic_id)
     if f.needle:
-        bills = bill_columns(tables)
-        found = any_like(f.needle, F.col("title"), F.col("short_title"), F.col("bill_number"))
-        ballots = ballots.join(bills.where(found).select("bill_id"), "bill_id", "left_semi")
+        bills = search(tables["bill"], f.needle, BILL_FIELDS, index).select(F.col("id").alias("bill_id"))
+        ballots = ballots.join(bills, "bill_id", "left_semi")
     return ballots
 
 
@@ -120,9 +123,9 @@ def narrowed(tables: Tables, rows: DataFrame) -> Tables:
     return tables.replaced(bill=own, bill_topic=topics)
 
 
-def ballot_list(tables: Tables, f: BallotFilter = BallotFilter()) -> DataFrame:
+def ballot_list(tables: Tables, f: BallotFilter = BallotFilter(), index: DataFrame | None = None) -> DataFrame:
     """Every ballot that passes the filter with bill, type and topics, unsorted."""
-    return _listed(filtered_ballots(tables, f), tables)
+    return _listed(filtered_ballots(tables, f, index), tables)
 
 
 def ballots_sorted(
@@ -136,7 +139,7 @@ def ballots_sorted(
 def ballot_page(
     tables: Tables, f: BallotFilter = BallotFilter(), page: Page = Page(),
     sort: str | None = None, direction: str | None = None,
-    after: tuple[object, int] | None = None,
+    after: tuple[object, int] | None = None, index: DataFrame | None = None,
 ) -> DataFrame:
     """One page of the list; ``after`` (sort value, id) instead of an offset.
 
@@ -145,7 +148,7 @@ def ballot_page(
     only where the sort needs it.
     """
     order = list_order(sort, direction)
-    rows = filtered_ballots(tables, f).select(
+    rows = filtered_ballots(tables, f, index).select(
         "id", "number", "passed", "held_at", "type_id", "bill_id"
     )
     if order[0][0] in _BILL_SORTS:

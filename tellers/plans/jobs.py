@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellers.plans import labelling, repair
+from tellers.operators.numbering import number_rows
+from tellers.plans.counts import relabelled, summed, BY_BILL
 from tellers.plans.loading import append_votes
 from tellers.schema import RECORDS
 from tellers.session import cut, remove_cuts
@@ -33,6 +35,7 @@ class LabelJob:
     ask: Callable[[str], str]
     tasks: int | None = None
     batches_per_commit: int = 1000
+    pace: labelling.Pace = labelling.Pace()
 
     def _unanswered(self) -> DataFrame:
         answered = self.store.read("response").where("response IS NOT NULL").select("batch").distinct()
@@ -46,22 +49,27 @@ class LabelJob:
             self.store.set_progress(**{_LABELLING: "asking"})
 
     def ask_all(self) -> None:
-        open_prompts = self._unanswered()
-        ends = open_prompts.agg(F.min("batch").alias("first"), F.max("batch").alias("last")).first()
-        if ends["first"] is None:
-            return
-        for start in range(ends["first"], ends["last"] + 1, self.batches_per_commit):
-            portion = open_prompts.where(F.col("batch").between(start, start + self.batches_per_commit - 1))
-            answers = cut(labelling.label_batches(portion, self.ask, self.tasks))
+        """Ask in portions; which prompts are open is found once, and each portion reads its own."""
+        numbered = number_rows(self._unanswered(), "batch", "n").withColumn("portion", F.expr(f"(n - 1) div {self.batches_per_commit}"))
+        opened = cut(numbered.repartitionByRange("n").sortWithinPartitions("n"))
+        portions = opened.agg(F.max("portion")).first()[0]
+        for at in range(0 if portions is None else portions + 1):
+            portion = opened.where(F.col("portion") == at)
+            answers = cut(labelling.label_batches(portion, self.ask, self.tasks, self.pace))
             self.store.append(response=answers)
             remove_cuts(answers)
+        remove_cuts(opened)
 
     def labels(self) -> None:
         parsed = labelling.parse_responses(self.store.read("response"))
         new = labelling.new_labels(
             parsed, self.store.read("topic"), self.store.read("bill"), self.store.read("bill_topic")
         )
-        self.store.append(bill_topic=new)
+        labels, by_bill = self.store.read("bill_topic"), summed(self.store.read("member_bill_votes"), BY_BILL)
+        new = cut(new)
+        changes = cut(relabelled(by_bill, labels, labels.unionByName(new)))
+        self.store.append(bill_topic=new, member_topic_votes=changes)
+        remove_cuts(new, changes)
         if self._unanswered().isEmpty():
             self.store.set_progress(**{_LABELLING: "done"})
 

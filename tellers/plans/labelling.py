@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -87,9 +91,61 @@ def prompt_batches(
     )
 
 
-def label_batches(prompts: DataFrame, ask: Callable[[str], str], tasks: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Pace:
+    """How a task calls: starts a second, calls under way at once, tries, and waits between tries.
+
+    The wait doubles with each try of a prompt, up to ``longest_wait`` seconds.
+    """
+
+    per_second: float | None = None
+    at_once: int = 1
+    tries: int = 1
+    first_wait: float = 1.0
+    longest_wait: float = 60.0
+
+    def __post_init__(self) -> None:
+        if self.at_once < 1 or self.tries < 1 or (self.per_second is not None and self.per_second <= 0):
+            raise ValueError("a pace needs a rate above 0, one call at once and one try at least")
+
+
+class _Caller:
+    """Calls of one task, started at a pace, each tried again after a failure."""
+
+    def __init__(self, ask: Callable[[str], str], pace: Pace) -> None:
+        self._ask, self._pace = ask, pace
+        self._turn, self._free_at = threading.Lock(), 0.0
+
+    def _wait_for_turn(self) -> None:
+        if self._pace.per_second is None:
+            return
+        with self._turn:
+            start = max(self._free_at, time.monotonic())
+            self._free_at = start + 1 / self._pace.per_second
+        time.sleep(max(0.0, start - time.monotonic()))
+
+    def __call__(self, prompt: str) -> tuple[str | None, str | None]:
+        """(response, error): the error of the last try, if no try succeeded."""
+        error = None
+        for attempt in range(self._pace.tries):
+            if attempt:
+                time.sleep(min(self._pace.longest_wait, self._pace.first_wait * 2 ** (attempt - 1)))
+            self._wait_for_turn()
+            try:
+                return self._ask(prompt), None
+            except Exception as raised:  # noqa: BLE001 - the caller's function may raise anything
+                error = str(raised)
+        return None, error
+
+
+def label_batches(
+    prompts: DataFrame, ask: Callable[[str], str], tasks: int | None = None, pace: Pace = Pace()
+) -> DataFrame:
     """(batch, response, error): one call of ``ask`` per prompt, in ``tasks`` tasks.
 
+    ``pace`` holds for each task, so ``tasks`` times its rate is the most that a service
+    sees. Calls of a task under way at once are threads, since a call waits long.
+
     The prompts are dealt evenly to the tasks, by default as many as the cluster runs
     at once, since a call waits long and a prompt is short.
 
@@ -99,13 +155,10 @@ def label_batches(prompts: DataFrame, ask: Callable[[str], str], tasks: int | No
     """
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caller = _Caller(ask, pace)
+        pool = ThreadPoolExecutor(pace.at_once) if pace.at_once > 1 else None
         for frame in frames:
-            answers: list[tuple[str | None, str | None]] = []
-            for prompt in frame["prompt"]:
-                try:
-                    answers.append((ask(prompt), None))
-                except Exception as error:  # noqa: BLE001 - the caller's function may raise anything
-                    answers.append((None, str(error)))
+            answers = list(pool.map(caller, frame["prompt"])) if pool else [caller(p) for p in frame["prompt"]]
             yield pd.DataFrame({
                 "batch": frame["batch"],
                 "response": pd.Series([a for a, _ in answers], dtype="object", index=frame.index),

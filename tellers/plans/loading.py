@@ -16,7 +16,9 @@ from tellers.operators.sizing import splittable_join
 from tellers.plans.build import (
     build_ballots, build_bills, build_lookup, build_members, build_parties, build_votes,
 )
+from tellers.plans.counts import bill_changes, topic_changes
 from tellers.plans.quality import SUMMARY_TABLES, table_counts
+from tellers.plans.search import BILL_FIELDS, gram_index
 from tellers.plans.tables import Tables
 from tellers.schema import PERIOD_START, RECORDS, TOPIC_NAMES
 from tellers.session import cut, local_rows, remove_cuts
@@ -105,7 +107,8 @@ def append_votes(store: Store, landed: DataFrame) -> None:
 
     A ballot is done once any of its votes is stored or set aside, so a vote is set
     aside once. Which ballots are done is noted with the votes, in bitmaps of which
-    only those of the new ballots' ranges are written again.
+    only those of the new ballots' ranges are written again, and so is what the votes
+    add to the members' counts.
     """
     kept = store.read("ballot").select(F.col("id").alias("ballot_id"))
     of_kept = splittable_join(landed, kept, ["ballot_id"], "left_semi")
@@ -113,11 +116,15 @@ def append_votes(store: Store, landed: DataFrame) -> None:
     checked = cut(checked_votes(votes_to_add(loaded, of_kept), store.read("member"), store.read("vote_type")))
     new = cut(id_bitmaps(checked, "ballot_id"))
     ranges = loaded.join(new.select("bucket"), "bucket", "left_semi")
+    by_bill = cut(bill_changes(checked.where("reason IS NULL"), store.read("ballot")))
     store.change(
-        appends={"vote": checked.where("reason IS NULL"), "rejected_vote": checked.where("reason IS NOT NULL")},
+        appends={
+            "vote": checked.where("reason IS NULL"), "rejected_vote": checked.where("reason IS NOT NULL"),
+            "member_bill_votes": by_bill, "member_topic_votes": topic_changes(by_bill, store.read("bill_topic")),
+        },
         upserts={"loaded_ballot": (merged_bitmaps(ranges.unionByName(new)), ["bitmap"], False)},
     )
-    remove_cuts(checked, new)
+    remove_cuts(checked, new, by_bill)
 
 
 def run_steps(store: Store, steps: Sequence[Callable[[], object]]) -> int:
@@ -177,11 +184,14 @@ class Load:
         """Ballots of the period and their bills; a ballot of unknown type or bill is set aside."""
         with self._records("ballot", "step", "bill") as [ballots, steps, bills]:
             rows = cut(build_ballots(ballots, steps, self.period_start))
-            self.store.upsert("bill", build_bills(bills, rows), ["title"])
+            known = cut(build_bills(bills, rows))
+            self.store.change(
+                appends={"bill_gram": gram_index(known, BILL_FIELDS)}, upserts={"bill": (known, ["title"], False)}
+            )
             checked = cut(checked_ballots(rows, self.store.read("ballot_type"), self.store.read("bill")))
             self.store.write("rejected_ballot", checked.where("reason IS NOT NULL"))
             self.store.upsert("ballot", checked.where("reason IS NULL").drop("reason"), ["held_at"])
-            remove_cuts(rows, checked)
+            remove_cuts(rows, known, checked)
 
     def topics(self) -> None:
         self.store.write("topic", seed_topics(self.store.read("topic")))

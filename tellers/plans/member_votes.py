@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellers.functions.text import any_like
 from tellers.operators.paging import Page, page_info, take_page
 from tellers.plans.ballots import BallotFilter, ballot_conditions, narrowed, on_topic
+from tellers.plans.search import search
 from tellers.plans.tables import (
-    Tables, bill_columns, with_ballot_type, with_bill, with_vote_type,
+    Tables, with_ballot_type, with_bill, with_vote_type,
 )
 from tellers.session import cut
 
@@ -27,15 +27,17 @@ class VoteFilter:
     vote_type_id: int | None = None
 
 
-def _ballots(tables: Tables, f: VoteFilter) -> DataFrame:
+_TITLES = {"title": "title", "short_title": "short_title"}
+
+
+def _ballots(tables: Tables, f: VoteFilter, index: DataFrame | None = None) -> DataFrame:
     ballots = tables["ballot"]
     for condition in ballot_conditions(BallotFilter(type_id=f.type_id, passed=f.passed)):
         ballots = ballots.where(condition)
     ballots = on_topic(ballots, tables, f.topic_id)
     needle = (f.text or "").strip()
     if needle:
-        found = any_like(needle, F.col("title"), F.col("short_title"))
-        bills = bill_columns(tables).where(found).select("bill_id")
+        bills = search(tables["bill"], needle, _TITLES, index).select(F.col("id").alias("bill_id"))
         ballots = ballots.join(bills, "bill_id", "left_semi")
     return ballots.withColumnRenamed("id", "ballot_id")
 
@@ -61,13 +63,13 @@ def _enriched(ballots: DataFrame, tables: Tables) -> DataFrame:
 
 
 def member_votes(
-    tables: Tables, f: VoteFilter = VoteFilter(), member_id: int | None = None
+    tables: Tables, f: VoteFilter = VoteFilter(), member_id: int | None = None, index: DataFrame | None = None
 ) -> DataFrame:
-    """Every vote that passes the filter, unsorted.
+    """Every vote that passes the filter, unsorted; ``index`` as for the ballot list.
 
     Ballots are enriched before they meet the votes, which are shuffled once.
     """
-    ballots = _enriched(_ballots(tables, f).select(*_BALLOT), tables)
+    ballots = _enriched(_ballots(tables, f, index).select(*_BALLOT), tables)
     votes = _votes(tables, f, member_id).join(ballots, "ballot_id")
     return with_vote_type(votes, tables, "left").select(*_LISTED)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellers.functions.text import any_like
 from tellers.plans.lookups import members_who_voted
+from tellers.plans.search import MEMBER_FIELDS, search
 from tellers.plans.tables import Tables, with_vote_type
 from tellers.operators.sizing import splittable_join
 
@@ -28,17 +28,19 @@ def voting_members(tables: Tables) -> DataFrame:
     return _with_party(members_who_voted(tables), tables).orderBy(*_NAME_ORDER)
 
 
-def member_search(tables: Tables, text: str, rows: int | None = SEARCH_ROWS) -> DataFrame:
+def member_search(
+    tables: Tables, text: str, rows: int | None = SEARCH_ROWS, index: DataFrame | None = None
+) -> DataFrame:
     """The first ``rows`` members who have voted and whose name or party holds the text.
 
-    ``rows=None`` gives all of them.
+    ``rows=None`` gives all of them. With an ``index`` of the members only those that may
+    hold the text are read.
     """
     needle = text.strip()
     if not needle:
         return voting_members(tables)
-    full = F.concat("first_name", F.lit(" "), "last_name")
-    found = any_like(needle, F.col("first_name"), F.col("last_name"), full, F.col("party_abbr"))
-    members = members_who_voted(tables).where(found)
+    holding = search(tables["member"], needle, MEMBER_FIELDS, index)
+    members = members_who_voted(tables.replaced(member=holding))
     first = members if rows is None else members.orderBy(*_NAME_ORDER).limit(rows)
     return _with_party(first, tables).orderBy(*_NAME_ORDER)
 

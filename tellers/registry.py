@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from tellers import bindings as b
 from tellers.operators import keyed
+from tellers.operators.bitmaps import id_bitmaps
 from tellers.operators.paging import Page
-from tellers.plans import build, documents, labelling, loading, lookups, quality, repair
+from tellers.plans import build, counts, documents, labelling, loading, lookups, quality, repair
 from tellers.plans.ballots import (
     BallotFilter, ballot_header, ballot_list, ballot_page, ballot_page_info, ballots_sorted,
 )
@@ -26,10 +27,12 @@ from tellers.plans.members import (
     member_header, member_search, member_stats, member_stats_by_id, member_topic_stats,
     voting_members,
 )
-from tellers.schema import RECORDS
+from tellers.plans.search import BILL_FIELDS, MEMBER_FIELDS, gram_index
+from tellers.schema import RECORDS, TABLES
 from tellers.session import cut, shared_folder
 from tellers.sources.landed import completeness, explode_pages, rejected_pages, restrict_to_ids
-from tellers.sources.store import current_state
+from tellers.sources.store import Store, current_state
+from tellers.streaming import pages as pages_stream
 from tellers.streaming import votes as votes_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +94,62 @@ _on_tables(
 )
 _on_tables("member_votes_page", member_votes_page, page=Page(2))
 _on_tables("member_votes_page_info", member_votes_page_info, VoteFilter(vote_type_id=2))
+
+
+# ---- the same through an index, and from counts that are kept
+
+
+def _folder(s: b.Source, name: str) -> str:
+    """A new folder that all executors reach."""
+    return f"{shared_folder(s.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query
+def ballots_search_indexed(s: b.Source) -> DataFrame:
+    index = cut(gram_index(b.bill(s), BILL_FIELDS))
+    return ballot_list(b.tables(s), BallotFilter(text=" L 1_7 "), index)
+
+
+@_query
+def ballots_search_title_indexed(s: b.Source) -> DataFrame:
+    index = cut(gram_index(b.bill(s), BILL_FIELDS))
+    return ballot_list(b.tables(s), BallotFilter(text="FURNITUR", passed=True), index)
+
+
+@_query
+def member_search_indexed(s: b.Source) -> DataFrame:
+    index = cut(gram_index(b.member(s), MEMBER_FIELDS))
+    return member_search(b.tables(s), "ER 0000000_1", index=index)
+
+
+@_query
+def member_votes_search_indexed(s: b.Source) -> DataFrame:
+    index = cut(gram_index(b.bill(s), BILL_FIELDS))
+    return member_votes(b.tables(s), VoteFilter(text="build", passed=True, vote_type_id=1), index=index)
+
+
+def _kept_counts(s: b.Source) -> tuple[DataFrame, DataFrame]:
+    """Counts of the first votes, then changed by the later votes and by new labels."""
+    first, later = (b.votes_of(s.lineitem.where(f"l_shipdate {op} '1996-01-01'")) for op in ("<", ">="))
+    before, after = b.first_labels(s), b.bill_topic(s)
+    by_bill = cut(counts.bill_changes(first, b.ballot(s)))
+    by_topic = cut(counts.topic_changes(by_bill, before))
+    more = cut(counts.bill_changes(later, b.ballot(s)))
+    by_topic = by_topic.unionByName(counts.topic_changes(more, before))
+    by_bill = by_bill.unionByName(more)
+    return by_bill, by_topic.unionByName(counts.relabelled(counts.summed(by_bill, counts.BY_BILL), before, after))
+
+
+@_query
+def member_stats_kept(s: b.Source) -> DataFrame:
+    return counts.kept_member_stats(b.tables(s), _kept_counts(s)[0])
+
+
+@_query
+def member_topic_stats_kept(s: b.Source) -> DataFrame:
+    return counts.kept_member_topic_stats(b.tables(s), _kept_counts(s)[1])
+
+
 _on_tables("table_counts", quality.table_counts)
 _on_tables("sample_members", repair.sample_members, seed=7)
 
@@ -246,6 +305,58 @@ def stream_votes(s: b.Source) -> DataFrame:
     return votes_stream.read_log(s.spark, f"{folder}/log", b.vote(s).schema)
 
 
+def _land_events(s: b.Source) -> str:
+    """Stream damaged pages in two runs on one checkpoint; the folder of what they leave."""
+    folder = _folder(s, "landing")
+    pages = cut(b.damaged_event_pages(s))
+    for part in range(2):
+        pages.where(f"page % 2 = {part}").select("value").write.mode("append").text(f"{folder}/feed")
+        pages_stream.land(
+            s.spark, f"{folder}/feed", _EVENT_RECORD, f"{folder}/out", f"{folder}/checkpoint", key="event_id", files_per_trigger=4,
+        ).awaitTermination()
+    return f"{folder}/out"
+
+
+@_query
+def stream_rejected_pages(s: b.Source) -> DataFrame:
+    first_id = F.regexp_extract("page", r'"(?:event_id|was)":(\d+)', 1).cast("long")
+    return pages_stream.rejected_so_far(s.spark, _land_events(s)).select(F.floor(first_id / 100).alias("page"))
+
+
+@_query
+def stream_completeness(s: b.Source) -> DataFrame:
+    return pages_stream.completeness_so_far(s.spark, _land_events(s))
+
+
+@_query
+def stream_last_fetched(s: b.Source) -> DataFrame:
+    """Votes that come again with a smaller value, in the same micro-batch and in a later one."""
+    folder = _folder(s, "votes")
+    for feeds in (((9, 1), (2, 2)), ((1, 4),)):
+        for kind, every in feeds:
+            b.vote_pages(s, kind, every).select("value").write.mode("append").text(f"{folder}/feed")
+        pages_stream.land(s.spark, f"{folder}/feed", RECORDS["vote"], f"{folder}/out", f"{folder}/landed").awaitTermination()
+        records = build.build_votes(pages_stream.record_stream(s.spark, f"{folder}/out", RECORDS["vote"]))
+        votes_stream.stream_votes(records, f"{folder}/log", f"{folder}/state").awaitTermination()
+    return votes_stream.read_log(s.spark, f"{folder}/log", TABLES["vote"])
+
+
+@_query
+def incremental_append(s: b.Source) -> DataFrame:
+    """What a load adds to stored votes of which only the ballots' bitmaps are read."""
+    stored = b.votes_of(s.lineitem.where("l_shipdate < '1996-01-01'"))
+    return loading.votes_to_add(cut(id_bitmaps(stored, "ballot_id")), b.vote(s))
+
+
+@_query
+def store_upsert(s: b.Source) -> DataFrame:
+    """Bills in a store after an upsert that writes the partitions its ids name."""
+    store = Store.create(s.spark, _folder(s, "store"))
+    store.write("bill", b.bill(s))
+    store.upsert("bill", b.changed_bills(s), ["title"])
+    return store.read("bill")
+
+
 # ---- build and repair
 
 
@@ -333,6 +444,25 @@ def label_batches(s: b.Source) -> DataFrame:
     return labelling.label_batches(prompt_batches(s), rule_of_thumb)
 
 
+class Busy:
+    """The same stand-in behind a service that turns every prompt down twice, in each task."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+
+    def __call__(self, prompt: str) -> str:
+        self.seen[prompt] = self.seen.get(prompt, 0) + 1
+        if self.seen[prompt] < 3:
+            raise ConnectionError("busy")
+        return rule_of_thumb(prompt)
+
+
+@_query
+def label_batches_retried(s: b.Source) -> DataFrame:
+    pace = labelling.Pace(at_once=4, tries=4, first_wait=0.01)
+    return labelling.label_batches(prompt_batches(s), Busy(), pace=pace)
+
+
 @_query
 def parse_responses(s: b.Source) -> DataFrame:
     return labelling.parse_responses(b.answers(s))

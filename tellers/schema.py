@@ -49,6 +49,9 @@ TABLES: dict[str, T.StructType] = {
     "streamed_vote": _table(
         ("id", _ID), ("ballot_id", _ID), ("member_id", _ID), ("vote_type_id", _ID), ("arrival", ARRIVAL_TYPE)
     ),
+    "bill_gram": _table(("field", _TEXT), ("gram", _TEXT), ("range", _ID), ("places", T.ArrayType(T.IntegerType()))),
+    "member_bill_votes": _table(("member_id", _ID), ("bill_id", _ID), ("vote_type_id", _ID), ("votes", _ID)),
+    "member_topic_votes": _table(("member_id", _ID), ("topic_id", _ID), ("vote_type_id", _ID), ("votes", _ID)),
     "loaded_ballot": _table(("bucket", _ID), ("bitmap", T.BinaryType())),
     "prompt": _table(("batch", _ID), ("bills", _ID), ("prompt", _TEXT)),
     "response": _table(("batch", _ID), ("response", _TEXT), ("error", _TEXT)),

@@ -37,6 +37,9 @@ LAYOUT: dict[str, tuple[str, ...]] = {
     "ballot": ("held_at", "id"),
     "bill": ("id",),
     "member": ("id",),
+    "bill_gram": ("gram", "field", "range"),
+    "member_bill_votes": ("bill_id", "member_id"),
+    "member_topic_votes": ("member_id", "topic_id"),
 }
 
 # Tables whose rows have an id of their own, and the ids of one partition.
