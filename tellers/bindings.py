@@ -338,6 +338,14 @@ def ballots_to_check(s: Source) -> tuple[DataFrame, DataFrame, DataFrame]:
     return ballot(s), ballot_type(s).where("id <> 4"), bills
 
 
+def numbered_votes(s: Source) -> DataFrame:
+    """Line items as votes with a number for an id, which some share; some without a type."""
+    return s.lineitem.selectExpr(
+        "l_orderkey * 10 + l_linenumber AS id", "l_orderkey AS ballot_id", "l_suppkey AS member_id",
+        "CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 END AS vote_type_id", "l_shipdate",
+    )
+
+
 def first_parties(s: Source) -> DataFrame:
     """Parties stored before the repair: the nations of the first region."""
     return places(s).where("n_regionkey = 0").selectExpr(

@@ -273,7 +273,10 @@ _LIST_QUERIES = {
     "ballot_party_votes": "SELECT * FROM party_votes",
     "ballot_votes": "SELECT * FROM single_vote",
     "ballot_totals": "SELECT * FROM total",
+    "ballot_page_far": "SELECT * FROM listed ORDER BY held_at DESC, id LIMIT 50 OFFSET 950",
+    "member_votes_page_far": f"{_VOTE_ROW} ORDER BY held_at DESC, vote_id LIMIT 50 OFFSET 2000",
     "ballot_document": _document_json(),
+    "ballot_document_bucketed": _document_json(),
     "ballot_document_parts": """SELECT id AS ballot_id, greatest(1, (n + 2) // 3)::BIGINT AS parts,
         1::BIGINT AS headers, n AS counted, n AS votes
         FROM (SELECT id, (SELECT count(*) FROM vote WHERE ballot_id = ballot.id) AS n FROM ballot)""",
@@ -459,6 +462,22 @@ _PLAIN_QUERIES = {
     "load_progress": """SELECT 'user:' || CAST(user_id AS VARCHAR) AS key,
         arg_max(event_type, event_id) AS value FROM events GROUP BY user_id""",
     "constraint_report": _constraint_sql(),
+    "append_report": """WITH numbered AS (
+          SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS ballot_id, l_suppkey AS member_id,
+                 CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 END AS vote_type_id, l_shipdate FROM lineitem),
+        stored AS (SELECT id FROM numbered WHERE l_shipdate < TIMESTAMP '1997-01-01'),
+        fresh AS (SELECT * FROM numbered WHERE l_shipdate >= TIMESTAMP '1997-01-01')
+        SELECT 'vote' AS "table", rule, CAST(n AS BIGINT) AS violations FROM (
+          SELECT 'unique id' AS rule, (SELECT count(*) FROM (SELECT id FROM fresh GROUP BY id
+            HAVING count(*) > 1 OR id IN (SELECT id FROM stored))) AS n
+          UNION ALL SELECT 'required ballot_id', (SELECT count(*) FROM fresh WHERE ballot_id IS NULL)
+          UNION ALL SELECT 'required member_id', (SELECT count(*) FROM fresh WHERE member_id IS NULL)
+          UNION ALL SELECT 'required vote_type_id', (SELECT count(*) FROM fresh WHERE vote_type_id IS NULL)
+          UNION ALL SELECT 'reference ballot_id to ballot', (SELECT count(*) FROM fresh
+            WHERE ballot_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'))
+          UNION ALL SELECT 'reference member_id to member', (SELECT count(*) FROM fresh
+            WHERE member_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0))
+          UNION ALL SELECT 'reference vote_type_id to vote_type', (SELECT count(*) FROM fresh WHERE vote_type_id = 2))""",
 }
 
 

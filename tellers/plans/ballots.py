@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellers.operators.paging import Page, after_key, page_info, take_page
+from tellers.operators.paging import Page, after_key, page_info, ranked_page
 from tellers.plans.search import BILL_FIELDS, search
 from tellers.plans.tables import Tables, bill_columns, with_ballot_type, with_bill
 from tellers.session import cut
@@ -139,10 +139,13 @@ def ballots_sorted(
 def ballot_page(
     tables: Tables, f: BallotFilter = BallotFilter(), page: Page = Page(),
     sort: str | None = None, direction: str | None = None,
-    after: tuple[object, int] | None = None, index: DataFrame | None = None,
+    after: tuple[object, int] | None = None, index: DataFrame | None = None, far: bool = False,
 ) -> DataFrame:
     """One page of the list; ``after`` (sort value, id) instead of an offset.
 
+    ``far`` finds a page far down by counting ranges of the order, so that only the
+    page's own range is sorted.
+
     Page first, enrich after: the top-k runs on the narrow filtered rows, is
     settled once, and only its bills are looked up. The bill is joined before
     only where the sort needs it.
@@ -157,7 +160,7 @@ def ballot_page(
     if after is not None:
         rows = rows.where(after_key(order, after))
         page = Page(1, page.size)
-    rows = cut(take_page(rows, order_columns(order), page))
+    rows = ranked_page(rows, order, page, far)
     return _listed(rows, narrowed(tables, rows)).orderBy(*order_columns(order))
 
 

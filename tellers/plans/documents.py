@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tellers.plans.ballots import ballot_header
@@ -58,13 +60,22 @@ def _split_ballots(tables: Tables, ballot_id: int | None, votes_per_part: int) -
     return cut(large.join(stored, "ballot_id", "left").select("ballot_id", parts.cast("long").alias("parts")))
 
 
-def _by_part(votes: DataFrame) -> DataFrame:
-    """Counts and votes of each (ballot, part), after one shuffle of the votes.
+_TOTALS = """sort_array(transform(
+        array_distinct(transform(by_type, t -> struct(t.vote_type_id, t.vote_type))),
+        k -> struct(k.vote_type_id, k.vote_type, aggregate(
+            filter(by_type, t -> t.vote_type_id = k.vote_type_id), 0L, (n, t) -> n + t.votes) AS votes)))"""
+_PARTY_TOTALS = """sort_array(transform(
+        array_distinct(transform(by_party, t -> struct(t.party, t.vote_type_id, t.vote_type))),
+        k -> struct(k.party, k.vote_type_id, k.vote_type, aggregate(
+            filter(by_party, t -> t.party <=> k.party AND t.vote_type_id = k.vote_type_id), 0L, (n, t) -> n + t.votes) AS votes)))"""
+
 
-    Lists do not shrink on the map side, so the rows are shuffled and the lists built
-    after; counting inside the part first leaves a few rows to sum.
+def _by_part(dealt: DataFrame) -> DataFrame:
+    """Counts and votes of each (ballot, part) of votes that are dealt by ballot, or ballot and part.
+
+    Lists do not shrink on the map side, so the rows are shuffled, or stored in buckets,
+    and the lists built after; counting inside the part first leaves a few rows to sum.
     """
-    dealt = votes.repartition("ballot_id", "part")
     row = f"struct({', '.join(_FIELDS)})"
     counted = dealt.withColumnRenamed("party_abbr", "party").groupBy(
         "ballot_id", "part", "known", "party", "vote_type_id", "vote_type"
@@ -76,10 +87,7 @@ def _by_part(votes: DataFrame) -> DataFrame:
         F.expr(f"sort_array(collect_list(IF(known, struct({', '.join(_COUNTED)}), NULL))) AS party_votes"),
         F.expr(f"collect_list(struct({', '.join(_TYPED)})) AS by_type"),
         F.expr("sort_array(flatten(collect_list(IF(known, single, NULL)))) AS single"),
-    ).withColumn("totals", F.expr("""sort_array(transform(
-        array_distinct(transform(by_type, t -> struct(t.vote_type_id, t.vote_type))),
-        k -> struct(k.vote_type_id, k.vote_type, aggregate(
-            filter(by_type, t -> t.vote_type_id = k.vote_type_id), 0L, (n, t) -> n + t.votes) AS votes)))"""))
+    ).withColumn("totals", F.expr(_TOTALS))
 
 
 def ballot_document(
@@ -101,7 +109,7 @@ def ballot_document(
     parts = F.coalesce("parts", F.lit(1)).cast("long")
     votes = _all_votes(tables, ballot_id).join(split, "ballot_id", "left").where("parts IS NULL OR parts > 0")
     votes = votes.withColumn("part", F.pmod(F.xxhash64("vote_id"), parts) + 1)
-    shares = _by_part(votes).withColumn("shared", F.lit(True))
+    shares = _by_part(votes.repartition("ballot_id", "part")).withColumn("shared", F.lit(True))
 
     large = _all_votes(tables, ballot_id).join(split.where("parts > 1").select("ballot_id"), "ballot_id", "left_semi")
     counts = large.withColumnRenamed("party_abbr", "party").groupBy(
@@ -131,6 +139,50 @@ def ballot_document(
     return _or_empty(shown, "party_votes", "totals", "votes")
 
 
+def in_buckets(df: DataFrame, key: str, path: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written as a table whose files are the buckets of a key, sorted by it.
+
+    A join or a count by the key of such tables with as many buckets moves no row. By
+    default there are as many buckets as shuffle partitions; fewer would make Spark
+    shuffle the table after all.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"buckets_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    writer.option("path", f"{path}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def bucketed_ballot_document(tables: Tables, votes_per_part: int = VOTES_PER_PART) -> DataFrame:
+    """``ballot_document`` of all ballots, of tables whose votes are stored in buckets of the ballot.
+
+    The votes are read once and not shuffled: their numbers in the ballot, their parts
+    and the counts are made where they lie, and the headers come to them. A ballot is
+    in one bucket, so one of very many votes is read by one task; ``ballot_document``
+    spreads it over several.
+    """
+    placed = W.partitionBy("ballot_id").orderBy("vote_id")
+    part = F.expr(f"(place - 1) div {votes_per_part} + 1")
+    votes = _all_votes(tables, None).withColumn("place", F.row_number().over(placed)).withColumn("part", part)
+    of_ballot = W.partitionBy("ballot_id")
+    shares = _by_part(votes).select(
+        "ballot_id", "part", "single", F.max("part").over(of_ballot).alias("parts"),
+        F.flatten(F.collect_list("party_votes").over(of_ballot)).alias("by_party"),
+        F.flatten(F.collect_list("by_type").over(of_ballot)).alias("by_type"),
+    )
+    head = ballot_header(tables).withColumnRenamed("id", "ballot_id")
+    whole = head.join(shares, "ballot_id", "left").withColumn("part", F.coalesce("part", F.lit(1)).cast("long"))
+    first = F.col("part") == 1
+    nothing = {name: F.when(first, F.col(name)) for name in head.columns if name != "ballot_id"}
+    columns = {
+        **nothing, "parts": F.coalesce("parts", F.lit(1)).cast("long"),
+        "party_votes": F.when(first, F.expr(_PARTY_TOTALS)), "totals": F.when(first, F.expr(_TOTALS)), "votes": F.col("single"),
+    }
+    shown = whole.withColumns(columns).drop("single", "by_party", "by_type")
+    return _or_empty(shown, "party_votes", "totals", "votes")
+
+
 def member_document(tables: Tables, member_id: int | None = None) -> DataFrame:
     """Header, counts, and counts by topic of a member in one row.
 

@@ -7,13 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellers.operators.paging import Page, page_info, take_page
+from tellers.operators.paging import Page, page_info, ranked_page
 from tellers.plans.ballots import BallotFilter, ballot_conditions, narrowed, on_topic
 from tellers.plans.search import search
 from tellers.plans.tables import (
     Tables, with_ballot_type, with_bill, with_vote_type,
 )
-from tellers.session import cut
 
 
 @dataclass(frozen=True)
@@ -75,12 +74,15 @@ def member_votes(
 
 
 def member_votes_page(
-    tables: Tables, f: VoteFilter = VoteFilter(), member_id: int | None = None, page: Page = Page()
+    tables: Tables, f: VoteFilter = VoteFilter(), member_id: int | None = None, page: Page = Page(), far: bool = False
 ) -> DataFrame:
-    """One page of the list, newest first; only the page's rows are enriched."""
+    """One page of the list, newest first; only the page's rows are enriched.
+
+    ``far`` finds a page far down by counting ranges of the order.
+    """
     order = [F.col("held_at").desc(), F.col("vote_id").asc()]
     rows = _votes(tables, f, member_id).join(_ballots(tables, f).select(*_BALLOT), "ballot_id")
-    rows = cut(take_page(rows, order, page))
+    rows = ranked_page(rows, [("held_at", "desc"), ("vote_id", "asc")], page, far)
     here = narrowed(tables, rows)
     return with_vote_type(_enriched(rows, here), here, "left").select(*_LISTED).orderBy(*order)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tellers.operators.bitmaps import ids_among
 from tellers.operators.sizing import splittable_join
 from tellers.plans.tables import Tables
 from tellers.schema import CONSTRAINTS
@@ -61,6 +62,36 @@ def _row_rules(df: DataFrame, name: str, tables: Tables) -> DataFrame | None:
     return long.selectExpr(f"'{name}' AS table", "rule", "violations")
 
 
+def append_report(
+    name: str, new: DataFrame, stored_ids: DataFrame, known: Mapping[str, DataFrame]
+) -> DataFrame:
+    """(table, rule, violations) that new rows would bring to a table that has none.
+
+    ``stored_ids`` has the stored ids as bitmaps, ``known`` those of the referenced
+    tables by name, as ``id_bitmaps`` makes them, so neither the stored rows nor the
+    referenced ones are read. With rules on whole-number ids the answer is exact, as a
+    full report of the stored and the new rows together would be.
+    """
+    rules = CONSTRAINTS[name]
+    parts = []
+    for key in rules.unique:
+        if key != ("id",):
+            counted = repeated_keys(new, key).selectExpr("count(1) AS violations")
+        else:
+            twice = repeated_keys(new, key).select("id")
+            counted = twice.unionByName(ids_among(new.select("id"), stored_ids)).distinct().selectExpr("count(1) AS violations")
+        parts.append(_report(counted, name, f"unique {', '.join(key)}"))
+    if rules.required:
+        counts = new.agg(*[F.count_if(F.col(c).isNull()).alias(f"required {c}") for c in rules.required])
+        long = counts.unpivot([], counts.columns, "rule", "violations")
+        parts.append(long.selectExpr(f"'{name}' AS table", "rule", "violations"))
+    for column, target in rules.references:
+        asked = new.select(F.col(column).alias("id")).where("id IS NOT NULL")
+        held = splittable_join(asked, ids_among(asked, known[target]), ["id"], "left_anti")
+        parts.append(_report(held.selectExpr("count(1) AS violations"), name, f"reference {column} to {target}"))
+    return _union(parts)
+
+
 def constraint_report(tables: Tables, names: Iterable[str]) -> DataFrame:
     """(table, rule, violations) for the keys, set columns and references of tables.
 

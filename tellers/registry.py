@@ -76,6 +76,8 @@ _on_tables(
     "ballot_page_by_title", ballot_page, BallotFilter(text="furn", date_from="1997-01-01"),
     Page(2, 20), sort="title", direction="asc",
 )
+_on_tables("ballot_page_far", ballot_page, page=Page(20), far=True)
+_on_tables("member_votes_page_far", member_votes_page, page=Page(41), far=True)
 _on_tables("ballot_header", ballot_header)
 _on_tables("ballot_party_votes", ballot_party_votes)
 _on_tables("ballot_votes", ballot_votes)
@@ -175,6 +177,15 @@ def member_document(s: b.Source) -> DataFrame:
     return documents.as_json(documents.member_document(b.tables(s)))
 
 
+@_query
+def ballot_document_bucketed(s: b.Source) -> DataFrame:
+    """The documents of ballots and votes that are stored in buckets of the ballot."""
+    folder = _folder(s, "buckets")
+    votes = documents.in_buckets(b.vote(s), "ballot_id", folder)
+    ballots = documents.in_buckets(b.ballot(s), "id", folder)
+    return documents.as_json(documents.bucketed_ballot_document(b.tables(s, vote=votes, ballot=ballots)))
+
+
 def _last(df: DataFrame, key: str) -> int:
     """A key that the data has."""
     return df.agg(F.max(key)).first()[0]
@@ -206,6 +217,20 @@ def constraint_report(s: b.Source) -> DataFrame:
     return quality.constraint_report(b.damaged_tables(s), names)
 
 
+@_query
+def append_report(s: b.Source) -> DataFrame:
+    """What later votes would bring in, told from bitmaps of the ids that are stored."""
+    votes = b.numbered_votes(s)
+    known = {
+        "ballot": s.orders.where("o_orderstatus <> 'P'").selectExpr("o_orderkey AS id"),
+        "member": s.supplier.where("s_acctbal >= 0").selectExpr("s_suppkey AS id"),
+        "vote_type": b.vote_type(s).where("id <> 2").select("id"),
+    }
+    sets = {name: cut(id_bitmaps(ids)) for name, ids in known.items()}
+    stored = cut(id_bitmaps(votes.where("l_shipdate < '1997-01-01'")))
+    return quality.append_report("vote", votes.where("l_shipdate >= '1997-01-01'").drop("l_shipdate"), stored, sets)
+
+
 # ---- ingest
 
 _EVENT_RECORD = (
