@@ -16,6 +16,7 @@ MAX_EPOCHS = 3
 SEED = 20
 ROWS_PER_BUCKET = 4_000
 LEAST_BUCKETS = 256
+WEIGHT_CLASSES = 256  # different weights that the distribution of keys tells apart
 QUALITY_WEIGHTS = {1: 2.0, 0: 0.5}  # of a labelled document; one without a label weighs 1
 
 
@@ -62,6 +63,28 @@ def sampling_key(identity: Column, weight: Column, seed: int = SEED) -> Column:
     return -F.log((draw.cast("double") + 1) / F.lit(float(2**60 + 2))) / weight
 
 
+def weight_shares(docs: DataFrame, rate: Column) -> list[tuple[float, int]]:
+    """(weight, rows) of the weights that occur, those within a few percent as one.
+
+    Weights are classes of a logarithmic scale, finer than a tenth where ``WEIGHT_CLASSES``
+    allow it: a table with more classes is counted again on a coarser scale.
+    """
+    step = 1 / 8
+    while True:
+        level = F.round(F.least(F.greatest(F.log2(rate), F.lit(-1000.0)), F.lit(1000.0)) / step)
+        counted = docs.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy("level").limit(WEIGHT_CLASSES + 1).collect()
+        if len(counted) <= WEIGHT_CLASSES:
+            return [(2.0 ** (r["level"] * step), r["n"]) for r in counted]
+        step *= 2
+
+
+def share_below(key: Column, shares: list[tuple[float, int]]) -> Column:
+    """The share of rows whose sampling key is expected below ``key``, less than one."""
+    total = sum(n for _, n in shares)
+    above = sum((F.exp(-key * w) * (n / total) for w, n in shares), F.lit(0.0))
+    return F.greatest(F.least(1 - above, F.lit(1 - 2.0**-52)), F.lit(0.0))
+
+
 def mix_sources(
     docs: DataFrame, size: str = "size", weight: str = "weight", source: str = "source", key: str = "doc_id",
     weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
@@ -74,9 +97,10 @@ def mix_sources(
     the end of the budget gives its first words only. So a source gives its target
     rounded to whole words, and no row more than ``max_epochs`` times its size.
 
-    The prefix sums run in two steps, since one source may hold most rows: the key's
-    distribution function cuts a source into buckets of some thousand rows, sums of
-    buckets give each bucket its offset, and a window runs inside a bucket.
+    The prefix sums run in two steps, since one source may hold most rows: the
+    distribution function of the keys of all rows, a mixture over their weights, cuts a
+    source into buckets of some thousand rows, sums of buckets give each bucket its
+    offset, and a window runs inside a bucket.
 
     ``size`` and ``weight`` are columns of ``docs``; a NULL size counts as 0 and a
     NULL or non-positive weight as 1. NULL sources are one source, the last. Equal
@@ -86,16 +110,17 @@ def mix_sources(
     """
     out = ("source_size", "target", "taken")
     kept = [c for c in docs.columns if c not in out]
-    buckets = max(LEAST_BUCKETS, docs.count() // ROWS_PER_BUCKET)
     amount = F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long")
     rate = F.when(F.col(f"`{weight}`") > 0, F.col(f"`{weight}`").cast("double")).otherwise(F.lit(1.0))
+    shares = weight_shares(docs, rate)
+    buckets = max(LEAST_BUCKETS, sum(n for _, n in shares) // ROWS_PER_BUCKET)
     identity = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))
     # a NULL source has a name of its own, which no other has
     named = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("~"))
     drawn = docs.select(
         *[f"`{c}`" for c in kept],
         named.alias("_mix_source"), amount.alias("_mix_size"), sampling_key(identity, rate, seed).alias("_mix_key"),
-    ).withColumn("_mix_bucket", F.floor((1 - F.exp(-F.col("_mix_key"))) * buckets))
+    ).withColumn("_mix_bucket", F.floor(share_below(F.col("_mix_key"), shares) * buckets))
 
     sums = cut(drawn.groupBy("_mix_source", "_mix_bucket").agg(F.sum("_mix_size").alias("_mix_sum")))
     sizes = sums.groupBy("_mix_source").agg(F.sum("_mix_sum").alias("source_size")).select(
