@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,15 @@ _ARROW_HITS = pa.list_(pa.struct([
 ]))
 
 
+_NO_WORD = re.compile(r"[^\x00-\x7f\w]+")  # beyond ASCII: quotes, dashes, spaces, signs
+
+
+def plain(text: str) -> bytes:
+    """The text in lower case with blanks for signs beyond ASCII; those of ASCII end a word anyway."""
+    lowered = text.lower()
+    return (lowered if lowered.isascii() else _NO_WORD.sub(" ", lowered)).encode("utf-8", "surrogatepass")
+
+
 @dataclass(frozen=True)
 class Items:
     """Test items as word hashes, with their seeds sorted by hash."""
@@ -40,7 +50,7 @@ class Items:
 
 def index_items(ids: list[int], texts: list[str], least: int = LEAST_MATCH) -> Items:
     """Items shorter than a tile have the length of a tile of their own and are left out here."""
-    hashes, counts = word_hashes([t.lower().encode("utf-8", "surrogatepass") for t in texts], IN_PLAIN_WORD)
+    hashes, counts = word_hashes([plain(t) for t in texts], IN_PLAIN_WORD)
     seeds, many = window_hashes(hashes, counts, least)
     item = np.repeat(np.arange(len(ids)), many)
     at = np.arange(len(seeds)) - np.repeat(np.cumsum(many) - many, many)
@@ -130,7 +140,7 @@ def find_leaks(
 ) -> DataFrame:
     """``docs`` with ``hits``: the items of which tiles cover ``coverage`` of the words or more.
 
-    Words are lower-cased runs of letters and digits. Tiles are common runs of at
+    Words are lower-cased runs of letters and digits of any script. Tiles are common runs of at
     least ``least`` words, marked longest first and without overlap in item or
     document, so passages in another order or with gaps count as well. A hit is
     (item, covered, words, coverage); hits are sorted by item.
@@ -163,7 +173,7 @@ def _pass(
     docs: DataFrame, ids: list[int], texts: list[str], text: str, least: int, coverage: float, keep: list[str], so_far: str, new: str,
 ) -> DataFrame:
     """Append the hits of one block of items to ``so_far``."""
-    counts = word_hashes([t.lower().encode("utf-8", "surrogatepass") for t in texts], IN_PLAIN_WORD)[1]
+    counts = word_hashes([plain(t) for t in texts], IN_PLAIN_WORD)[1]
     by_least: dict[int, Items] = {}
     for width in sorted({min(least, int(n)) for n in counts if n}):
         chosen = [i for i, n in enumerate(counts) if n and min(least, int(n)) == width]
@@ -173,7 +183,7 @@ def _pass(
     def compute(bodies: list[str]) -> list[pa.Array]:
         out = []
         for a, b in portions(bodies, _BYTES_AT_ONCE):
-            hashes, many_words = word_hashes([t.lower().encode("utf-8", "surrogatepass") for t in bodies[a:b]], IN_PLAIN_WORD)
+            hashes, many_words = word_hashes([plain(t) for t in bodies[a:b]], IN_PLAIN_WORD)
             hits = [[] for _ in range(a, b)]
             for width, items in shared.value.items():
                 seeds, many = window_hashes(hashes, many_words, width)
