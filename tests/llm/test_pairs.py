@@ -367,3 +367,14 @@ def test_repeats_with_null_and_repeated_keys_are_those_of_a_plain_search(spark,
         want.append((key, " ".join(w for w, g in zip(words, gone) if not g)))
     got = [(r["doc_id"], r["kept"]) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_typographic_signs_are_no_part_of_words(spark):
+    items = [(1, "“yes” she said – the answer is forty two"), (2, "l’été à Paris était très beau")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = frame(spark, [
+        (1, 'so "Yes" she said - the answer is forty two.'), (2, "l'été à Paris était très beau"), (3, "nothing of it"),
+        (4, "«yes» she said — the «answer» is forty two"), (5, "ételà Pariséta"),
+    ])
+    found = by_id(decontamination.find_leaks(docs, benchmark))
+    assert {i: [h["item"] for h in r[0]["hits"]] for i, r in found.items()} == {1: [1], 2: [2], 3: [], 4: [1], 5: []}

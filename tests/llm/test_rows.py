@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -429,3 +430,75 @@ def test_context_reaches_the_query(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: float(r["scores"]) for r in registry.op5_find_personal_data(spark, str(tmp_path)).collect()}
     assert got[1] > got[2]
+
+
+def plain_bayes(rows, text):
+    """The posterior of each language by counting n-grams one by one."""
+    def grams(t):
+        return [int(g) for hashed, _ in language.features([t]) for g in hashed]
+
+    langs = sorted({lang for _, lang in rows})
+    logs = []
+    for name in langs:
+        counts = Counter(g for t, lang in rows if lang == name for g in grams(t))
+        total = sum(counts.values()) + language.SMOOTHING * language.FEATURES
+        prior = math.log(sum(lang == name for _, lang in rows) / len(rows))
+        logs.append(prior + sum(math.log((counts[g] + language.SMOOTHING) / total) for g in grams(text)))
+    top = max(logs)
+    return langs[logs.index(top)], 1 / sum(math.exp(x - top) for x in logs)
+
+
+def _trained(spark, rows):
+    return language.train(frame(spark, [(n, t, lang) for n, (t, lang) in enumerate(rows)]))
+
+
+BAYES = [("the house", "en"), ("a dog in the rain", "en"), ("das Haus", "de"), ("der Hund im Regen", "de"), ("la maison", "fr"), ("x", "aa")]
+
+
+def test_posteriors_are_those_of_a_plain_count(spark):
+    model = _trained(spark, BAYES)
+    texts = ["the rain", "Haus und Hund", "maison", "q", "the das la", "é" * 40]
+    found = by_id(language.identify(frame(spark, list(enumerate(texts))), model))
+    for n, text in enumerate(texts):
+        name, sure = plain_bayes(BAYES, text)
+        assert found[n][0]["lang_pred"] == name and found[n][0]["score"] == pytest.approx(sure, rel=1e-3)
+
+
+def test_more_languages_than_a_matrix_takes(spark, monkeypatch):
+    texts = [(f"{a}{b}{a} {b}{a}{b}", f"l{a}{b}") for a in "abcdefghijklmno" for b in "pqrstuvwxyzäöü"]
+    assert len({lang for _, lang in texts}) > language.MAX_LANGUAGES
+    model = _trained(spark, texts)
+    assert len(model.blocks) == 2
+    asked = frame(spark, [*enumerate(t for t, _ in texts), (900, None), (901, "12")], _lang_name="x", best="y")
+    found = by_id(language.identify(asked, model))
+    assert all(found[n][0]["lang_pred"] == lang for n, (_, lang) in enumerate(texts))
+    assert [found[n][0]["lang_pred"] for n in (900, 901)] == ["und", "und"] and found[900][0]["_lang_name"] == "x"
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 1000)
+    whole = by_id(language.identify(asked, _trained(spark, texts)))
+    assert all(found[n][0]["score"] == pytest.approx(whole[n][0]["score"], rel=1e-6) for n in found)
+
+
+def test_pieces_of_a_long_text_have_all_its_ngrams(monkeypatch):
+    text = "".join(chr(97 + n * n % 23) for n in range(5000))
+    whole = [sorted(np.concatenate([h for h, _ in language._features(language._framed(text))]).tolist())]
+    monkeypatch.setattr(language, "_CHARS_AT_ONCE", 300)
+    assert len(language._framed(text)) > 10
+    assert [sorted(np.concatenate([h for h, _ in language.features([text])]).tolist())] == whole
+
+
+@pytest.mark.parametrize("weights", [[0.5], [0.1], [100.0], [0.1, 0.5, 100.0], [0.001, 1.0]])
+def test_buckets_of_keys_are_even_whatever_the_weights(spark, weights):
+    listed = F.array(*map(F.lit, weights))
+    docs = spark.range(400_000).select("id", F.element_at(listed, (F.col("id") % len(weights) + 1).cast("int")).alias("w"))
+    shares = mixing.weight_shares(docs, F.col("w"))
+    assert sum(n for _, n in shares) == 400_000 and len(shares) == len(set(weights))
+    key = mixing.sampling_key(F.col("id"), F.col("w"))
+    sizes = docs.groupBy(F.floor(mixing.share_below(key, shares) * 1000).alias("b")).count().agg(F.max("count"), F.max("b")).first()
+    assert sizes[0] < 4 * 400 and sizes[1] == 999
+
+
+def test_weights_of_any_kind_are_classed(spark):
+    odd = spark.createDataFrame([(float(w),) for w in (1e-300, 1e300, "inf", "nan", 1, 1.01, 3)], "w double")
+    assert sum(n for _, n in mixing.weight_shares(odd, F.col("w"))) == 7
+    many = spark.range(5000).select(F.exp(F.col("id") / 10.0).alias("w"))
+    assert len(mixing.weight_shares(many, F.col("w"))) <= mixing.WEIGHT_CLASSES
