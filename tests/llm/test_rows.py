@@ -342,7 +342,7 @@ def test_licenses_by_each_word_that_grants(text, want):
 @pytest.mark.parametrize(("text", "want"), [
     ("The code is licensed under the MIT License and the data is licensed under CC BY 4.0.", ["MIT", "CC-BY-4.0"]),
     ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
-    ("SPDX-License-Identifier: (Zlib OR GPL-2.0-or-later WITH Classpath-exception-2.0) AND ISC", ["GPL-2.0", "ISC"]),
+    ("SPDX-License-Identifier: (Zlib OR GPL-2.0-or-later WITH Classpath-exception-2.0) AND ISC", ["Zlib", "GPL-2.0", "ISC"]),
     ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC", ["MIT", "ISC"]),
     ("This project is released under the terms of the\nMIT License.", ["MIT"]),
     ("licensed under the\nApache License, Version 2.0", ["Apache-2.0"]),
@@ -502,3 +502,59 @@ def test_weights_of_any_kind_are_classed(spark):
     assert sum(n for _, n in mixing.weight_shares(odd, F.col("w"))) == 7
     many = spark.range(5000).select(F.exp(F.col("id") / 10.0).alias("w"))
     assert len(mixing.weight_shares(many, F.col("w"))) <= mixing.WEIGHT_CLASSES
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("We admit licence mit der Firma", []), ("license MIT", ["MIT"]), ("the license: MIT", ["MIT"]), ('  "license": "ISC",', ["ISC"]),
+    ("Licensed under the EUPL v1.2.", ["EUPL-1.2"]), ("Released under the Eclipse Public License 2.0", ["EPL-2.0"]),
+    ("Licensed under the Boost Software License, Version 1.0", ["BSL-1.0"]), ("available under CC BY-SA 3.0", ["CC-BY-SA-3.0"]),
+    ("SPDX-License-Identifier: Foo-Bar-1.0", ["LicenseRef-Foo-Bar-1.0"]), ("SPDX-License-Identifier: NCSA and more words", ["NCSA", "LicenseRef-more"]),
+    ("// SPDX-License-Identifier: LGPL-2.0-only */", ["LGPL-2.0"]), ("SPDX-License-Identifier: mit", ["MIT"]),
+    ("Neither the name of " + "a very long company name " * 20 + "nor others may be used to endorse or promote products", []),
+])
+def test_declarations_and_names(text, want):
+    assert [f["license"] for f in licenses.find_licenses(text)] == want
+
+
+def test_sentences_may_be_long_and_far_apart():
+    clause = "Neither the name of " + "a very long company name " * 20 + "nor others may be used to endorse or promote products."
+    bsd = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted. "
+        + "A. B. C. " * 30 + "Redistributions of source code must retain the above copyright notice. "
+        + "D. " * 30 + "Redistributions in binary form must reproduce the above copyright notice. "
+    )
+    assert [f["license"] for f in licenses.find_licenses(bsd + clause)] == ["BSD-3-Clause"]
+    assert [f["license"] for f in licenses.find_licenses(bsd + FULL_MIT + clause)] == ["BSD-2-Clause", "MIT"]
+    notice = "You can redistribute it and/or modify it under the terms of the GNU General Public License as\n" + "published\n" * 60
+    assert [f["license"] for f in licenses.find_licenses(notice + "version 3 of it\nor version 2")] == ["GPL-3.0"]
+
+
+def test_scans_take_linear_time_without_full_stops():
+    start = time.monotonic()
+    for line in ("this software is provided by\n", "redistribute it and/or modify it under the terms of the GNU General Public License\n", "license under mit or\n", "permission is hereby granted, free of charge, to any person obtaining a copy\n"):
+        licenses.find_licenses(line * 20_000)
+    assert time.monotonic() - start < 60
+
+
+def plain_known(text):
+    """Known sentences of one part, line by line of a text in which each line ends in a full stop."""
+    out = []
+    for line in text.split("\n"):
+        flat = re.sub("[^a-z0-9]+", " ", line.lower()).strip()
+        out.append({k for k, p in licenses.SENTENCES.items() if isinstance(p, str) and re.search(rf"\b(?:{p})\b", flat)})
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([
+    "Permission is hereby granted, free of charge, to any person obtaining a copy", "The software is provided \"as is\"", "All rights reserved",
+    "Copyright (c) 2020 X", "nothing here", "You may not use this file except in compliance with the License", "copyright 20", "(c) all Rights  reserved",
+]), max_size=8))
+def test_known_sentences_are_those_of_a_plain_matcher(lines):
+    text = "\n".join(line + "." for line in lines)
+    found = [set() for _ in lines] or [set()]
+    starts = {sum(len(x) + 2 for x in lines[:n]): n for n in range(len(lines))}
+    for _, name, start, _ in licenses.identifiers(text):
+        if not name.startswith("name:"):
+            found[starts[start]].add(name)
+    assert found == plain_known(text)
