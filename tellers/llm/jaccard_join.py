@@ -7,7 +7,9 @@ other, and regions that are too large divide again.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tellers.llm.components import components
@@ -300,14 +303,55 @@ def _pivots(sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _regions(distances: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _divided(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows of (region, node, size, ...) with regions larger than a block divided, as often as that helps.
+
+    Some sets of a region become its pivots. Each set goes to the region of its nearest
+    pivot, and to each other whose pivot is at most two radii farther, so two near sets
+    have a region in common: see ``near_pairs``. A region of which a part keeps more
+    than three quarters is left whole and dealt to blocks. Each turn is a written table.
+    """
+    radius = 1 - percent / 100 + 1e-9
+    todo, done = cut(placed), []
+    for turn in itertools.count():
+        sizes = todo.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
+        large = cut(sizes.where((F.col("n") > BLOCK_SETS) | (F.col("tokens") > BLOCK_TOKENS)).select("region", F.col("n").alias("whole")))
+        if large.isEmpty():
+            return functools.reduce(DataFrame.unionByName, [*done, todo])
+        chosen = splittable_join(todo, large, ["region"], "inner")
+        first = W.partitionBy("region").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        named = chosen.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PIVOTS)
+        tokens = sets.select("node", "tokens")
+        pivots = named.select("region", "node", "size").join(tokens, "node").groupBy("region").agg(
+            F.collect_list(F.struct("node", "size", "tokens")).alias("pivots")  # PIVOTS at most
+        )
+        measured = splittable_join(chosen.join(tokens, "node"), pivots, ["region"], "inner")
+
+        def far(pivot: Column) -> Column:
+            shared = F.size(F.array_intersect(F.col("tokens"), pivot["tokens"]))
+            return F.struct((1 - shared / (F.col("size") + pivot["size"] - shared)).alias("far"), pivot["node"].alias("pivot"))
+
+        apart = measured.withColumn("apart", F.transform("pivots", far)).drop("tokens", "pivots")
+        near = F.filter("apart", lambda p: p["far"] <= F.array_min("apart")["far"] + 2 * radius)
+        parts = cut(apart.withColumn("reach", near).withColumn("pivot_of", F.explode("reach")).withColumn(
+            "part", F.xxhash64("region", "pivot_of.pivot")).drop("apart", "reach", "pivot_of"))
+        most = parts.groupBy("region", "part", "whole").agg(F.count(F.lit(1)).alias("n")).groupBy("region", "whole").agg(F.max("n").alias("most"))
+        helped = cut(most.where(F.col("most") <= 0.75 * F.col("whole")).select("region"))
+        left_whole = large.join(helped, "region", "left_anti").select("region")
+        done.append(splittable_join(todo, large.select("region"), ["region"], "left_anti").select(*placed.columns))
+        done.append(splittable_join(todo, left_whole, ["region"], "left_semi").select(*placed.columns))
+        todo = cut(splittable_join(parts, helped, ["region"], "left_semi").drop("region", "whole").withColumnRenamed("part", "region").select(*placed.columns))
+
+
+def _regions(distances: DataFrame, labels: DataFrame, percent: int, sets: DataFrame | None = None) -> DataFrame:
     """(region, block_a, block_b, node, side): the parts of regions that are still to compare.
 
     A region holds the sets that have its pivot. Its core is what is known to be
     connected with the pivot; what may be missing are links of the sets outside the
     core, among them or with the core. By the triangle inequality a set of the core
     can only be near one outside if it is at most the radius nearer to the pivot.
-    A region is dealt to blocks by hash, so that a task has two blocks of bounded
+    A region that is larger than a block is divided by pivots of its own among ``sets``;
+    what they do not divide is dealt to blocks by hash, so that a task has two blocks of bounded
     size whatever the region's.
     """
     radius = 1 - percent / 100 + 1e-9
@@ -326,14 +370,22 @@ def _regions(distances: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     kept = splittable_join(placed, stats, ["pivot"], "inner").where(
         F.col("outside") | (F.col("far") >= F.col("nearest") - radius)
     ).where("n_outside > 1 OR tokens > tokens_outside")
+    kept = kept.select(F.col("pivot").alias("region"), "node", "size", "label", "outside")
+    if sets is not None:
+        kept = _divided(kept, sets, percent)
+    counts = kept.groupBy("region").agg(
+        F.sum(F.when(F.col("outside"), F.col("size"))).alias("tokens_outside"), F.sum("size").alias("tokens"),
+        F.count_if("outside").alias("n_outside"), F.count(F.lit(1)).alias("n"),
+    ).where("n_outside > 0")
+    kept = splittable_join(kept, counts, ["region"], "inner").where("n_outside > 1 OR tokens > tokens_outside")
     blocks_out = F.ceil(F.greatest(F.col("tokens_outside") / BLOCK_TOKENS, F.col("n_outside") / BLOCK_SETS))
     blocks_in = F.ceil(F.greatest((F.col("tokens") - F.col("tokens_outside")) / BLOCK_TOKENS, (F.col("n") - F.col("n_outside")) / BLOCK_SETS))
     own = F.when(F.col("outside"), F.pmod(F.xxhash64("node"), blocks_out)).otherwise(F.pmod(F.xxhash64("node"), F.greatest(blocks_in, F.lit(1))) + blocks_out)
     # a set outside meets all blocks outside and in the core; one of the core those outside
     others = F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), blocks_out + blocks_in - 1)).otherwise(F.sequence(F.lit(0).cast("long"), blocks_out - 1))
-    dealt = kept.select("pivot", "node", "label", "outside", own.alias("own"), F.explode(others).alias("other"))
+    dealt = kept.select("region", "node", "label", "outside", own.alias("own"), F.explode(others).alias("other"))
     return dealt.select(
-        F.col("pivot").alias("region"), F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"),
+        "region", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"),
         "node", "label", "outside",
     )
 
@@ -498,8 +550,8 @@ def similar_groups(
     2. Each of the rarest n-grams of the rest names a pivot; two near sets have a
        pivot in common. Distances to pivots are exact and give the first links.
     3. A region whose sets these links do not connect is joined: the triangle
-       inequality drops what cannot be near, further pivots divide it, and leaves are
-       compared exactly.
+       inequality drops what cannot be near, further pivots divide it, in Spark while
+       it is larger than a block and in a task then, and leaves are compared exactly.
 
     Links are found by hashes of n-grams, of which two in one pair of documents are
     the same by chance once in some 10**10 pairs of usual length. A text with fewer
@@ -521,7 +573,7 @@ def similar_groups(
 
     distances = cut(_pivots(sets, percent))
     links = distances.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    dealt = _regions(distances, cut(components(links)), percent)
+    dealt = _regions(distances, cut(components(links)), percent, sets)
     loaded = dealt.join(sets.select("node", "size", "tokens"), "node")
     more = loaded.groupBy("region", "block_a", "block_b").applyInArrow(_join_region(percent), "a bigint, b bigint")
     labels = components(links.unionByName(more))
