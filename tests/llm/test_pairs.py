@@ -378,3 +378,48 @@ def test_typographic_signs_are_no_part_of_words(spark):
     ])
     found = by_id(decontamination.find_leaks(docs, benchmark))
     assert {i: [h["item"] for h in r[0]["hits"]] for i, r in found.items()} == {1: [1], 2: [2], 3: [], 4: [1], 5: []}
+
+
+def test_large_regions_divide_again_in_spark(spark, monkeypatch):
+    draw = random.Random(12)
+    template = [f"t{n}" for n in range(120)]
+    texts = []
+    for kind in range(6):  # forms that share a template, most by kind, and near copies within a kind
+        own = template[:90] + [f"k{kind}x{n}" for n in range(40)]
+        for _ in range(40):
+            text = own[:]
+            for _ in range(draw.choice([1, 2, 9])):
+                text[draw.randrange(len(text))] = f"r{draw.randrange(10**6)}"
+            texts.append(" ".join(text))
+    rows = list(enumerate(texts))
+    want = components({i: ngrams(t, 5) for i, t in rows}, 80)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 30)
+    divided = []
+    real = jaccard_join._divided
+
+    def counted(placed, sets, percent):
+        out = real(placed, sets, percent)
+        divided.append((placed.select("region").distinct().count(), out.select("region").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_divided", counted)
+    got = by_id(jaccard_join.similar_groups(frame(spark, rows)))
+    assert {i: r[0]["component_id"] for i, r in got.items()} == want
+    assert divided[0][1] >= divided[0][0] >= 5
+
+
+def test_divided_regions_keep_near_sets_together(spark, monkeypatch):
+    draw = random.Random(5)
+    sets = {}
+    for n in range(400):
+        base = sets[draw.randrange(n)] if n and draw.random() < 0.7 else set(draw.sample(range(10**6), 30))
+        sets[n] = set(list(base)[:28]) | set(draw.sample(range(10**6), 2))
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 25)
+    table = spark.createDataFrame([(n, 30, sorted(s)) for n, s in sets.items()], "node bigint, size bigint, tokens array<bigint>")
+    placed = table.selectExpr("1L AS region", "node", "size", "node AS label", "true AS outside")
+    regions = {}
+    for r in jaccard_join._divided(placed, table, 80).collect():
+        regions.setdefault(r["node"], set()).add(r["region"])
+    near = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(near) > 50 and len(set().union(*regions.values())) > 4
+    assert all(regions[a] & regions[b] for a, b in near)
