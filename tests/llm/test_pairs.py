@@ -411,11 +411,12 @@ def test_large_regions_divide_again_in_spark(spark, monkeypatch):
 def test_divided_regions_keep_near_sets_together(spark, monkeypatch):
     draw = random.Random(5)
     sets = {}
+    kinds = [draw.sample(range(10**6), 40) for _ in range(4)]
     for n in range(400):
-        base = sets[draw.randrange(n)] if n and draw.random() < 0.7 else set(draw.sample(range(10**6), 30))
-        sets[n] = set(list(base)[:28]) | set(draw.sample(range(10**6), 2))
+        base = draw.sample(kinds[n % 4], 40 - draw.randrange(7))
+        sets[n] = set(base) | set(draw.sample(range(10**6), draw.randrange(4)))
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 25)
-    table = spark.createDataFrame([(n, 30, sorted(s)) for n, s in sets.items()], "node bigint, size bigint, tokens array<bigint>")
+    table = spark.createDataFrame([(n, len(s), sorted(s)) for n, s in sets.items()], "node bigint, size bigint, tokens array<bigint>")
     placed = table.selectExpr("1L AS region", "node", "size", "node AS label", "true AS outside")
     regions = {}
     for r in jaccard_join._divided(placed, table, 80).collect():
