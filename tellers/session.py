@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+_MADE: list[list[str]] = []  # the tables cut so far, for each ``settled`` under way
+
+
 def _is_local(master: str) -> bool:
     """Whether driver and executors are one process."""
     return master == "local" or master.startswith("local[")
@@ -44,10 +47,26 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written, without the tables that were cut on the way to it."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        df = make()
+        out = cut(df)
+    finally:
+        _MADE.pop()  # they nest
+    for path in made[:-1]:
+        remove_folder(df.sparkSession, path)
+    return out
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store that nothing reads any more."""
     jvm = spark._jvm

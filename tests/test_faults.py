@@ -248,3 +248,19 @@ def test_one_member_skips_row_groups(spark, tmp_path, monkeypatch):
     found, scanned = read(5)
     assert found == 1 and scanned < 100_000
     assert read(11)[0] == 0
+
+
+def test_a_settled_table_leaves_no_others(spark):
+    folder = session.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+
+    def make():
+        inner = session.settled(lambda: cut(spark.range(5)).where("id > 1"))
+        return cut(inner).where("id > 2")
+
+    out = session.settled(make)
+    assert sorted(r["id"] for r in out.collect()) == [3, 4]
+    assert len(set(os.listdir(folder)) - before) == 1
+    with pytest.raises(ZeroDivisionError):
+        session.settled(lambda: 1 / 0)
+    assert session._MADE == []
