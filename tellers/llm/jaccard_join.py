@@ -25,7 +25,7 @@ from tellers.llm.packing import buckets_for, joined, pack, pack_hashes, runs, sl
 from tellers.llm.rolling import scramble, window_hashes, word_hashes
 from tellers.llm.text import whole_text
 from tellers.operators.sizing import splittable_join
-from tellers.session import cut
+from tellers.session import cut, remove_cuts, settled
 
 WORDS = 5
 PERCENT = 80  # least similarity
@@ -571,12 +571,16 @@ def similar_groups(
     shared = packed.groupBy("bucket").applyInArrow(_share(buckets), _SHARED)
     sets = cut(shared.groupBy("part").applyInArrow(_gather(percent), _SETS))
 
-    distances = cut(_pivots(sets, percent))
-    links = distances.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    dealt = _regions(distances, cut(components(links)), percent, sets)
-    loaded = dealt.join(sets.select("node", "size", "tokens"), "node")
-    more = loaded.groupBy("region", "block_a", "block_b").applyInArrow(_join_region(percent), "a bigint, b bigint")
-    labels = components(links.unionByName(more))
+    def reached() -> DataFrame:
+        distances = cut(_pivots(sets, percent))
+        links = distances.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        dealt = _regions(distances, cut(components(links)), percent, sets)
+        loaded = dealt.join(sets.select("node", "size", "tokens"), "node")
+        more = loaded.groupBy("region", "block_a", "block_b").applyInArrow(_join_region(percent), "a bigint, b bigint")
+        return components(links.unionByName(more))
+
+    labels = settled(reached)
+    remove_cuts(sets)
 
     nodes = described.where("size > 0").groupBy("node").agg(F.min("id").alias("least_id"))
     named = nodes.join(labels, "node", "left").withColumn("least", F.coalesce("least", "node"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tellers.llm import decontamination, exact_dedup, filter_audit, hard_negatives, jaccard_join, language, licenses, line_quality, mixing, personal_data, secrets, sharding, substring_dedup
 from tellers.llm.text import whole_text, word_count
+from tellers.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,7 +74,7 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "source", word_count(F.col("text")).alias("size"), sharding.placement_key("doc_id", "text").alias("identity")
     )
     labels = mixing.quality_weights(_table(spark, folder, "labels"))
-    weighed = mixing.cut(docs.join(labels, F.col("doc_id") == F.col("label_key"), "left"))
+    weighed = cut(docs.join(labels, F.col("doc_id") == F.col("label_key"), "left"))
     mixed = mixing.mix_sources(weighed, weight="label_weight", key="identity")
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
