@@ -7,13 +7,15 @@ next one starts from a table and a lost executor costs part of one stage.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellers.llm import decontamination, jaccard_join, language, mixing, sharding
 from tellers.llm.text import free_name, whole_text, word_count
 from tellers.operators.sizing import splittable_join
-from tellers.session import cut
+from tellers.session import cut, remove_cuts, settled
 
 LEAST_SCORE = 0.5  # of a language, for a document to stay
 LEAST_LEAK = 5  # words of an item that a document must cover, to go
@@ -113,7 +115,10 @@ ORACLE_SQL = None  # learning a language and tiling are not for SQL
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in a row over the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = settled(partial(stage, spark, docs, sf_dir))
+        if before is not None:
+            remove_cuts(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
