@@ -17,7 +17,7 @@ from tellers.llm import filter_audit
 from tellers.llm.filter_audit import among, audit, flag_failures, gallop, interactions, merged
 from tellers.session import local_rows
 
-LABEL = T.StructType().add("doc_id", "long").add("quality", "int").add("toxic", "int")
+LABEL = T.StructType().add("doc_id", "long").add("quality", "integer").add("toxic", "integer")
 NAMES = ("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 
