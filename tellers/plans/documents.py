@@ -165,7 +165,7 @@ def bucketed_ballot_document(tables: Tables, votes_per_part: int = VOTES_PER_PAR
     placed = W.partitionBy("ballot_id").orderBy("vote_id")
     part = F.expr(f"(place - 1) div {votes_per_part} + 1")
     votes = _all_votes(tables, None).withColumn("place", F.row_number().over(placed)).withColumn("part", part)
-    of_ballot = W.partitionBy("ballot_id")
+    of_ballot = W.partitionBy("ballot_id").orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     shares = _by_part(votes).select(
         "ballot_id", "part", "single", F.max("part").over(of_ballot).alias("parts"),
         F.flatten(F.collect_list("party_votes").over(of_ballot)).alias("by_party"),

@@ -4,7 +4,8 @@ Spark's own writers hold the tables. Rows of a table with an id are partitioned
 ranges of it, rows of a fact by the append they came with, so that a write replaces whole
 partitions and no others. A change is written beside the tables first and noted; then
 its partitions are put in place by a partition overwrite, which gives the same when it
-runs again. What a stop left half done is finished when the store is next opened. A
+runs again. What a stop left half done is finished before anything else is written, or
+when the store is next opened. A
 store has one writer at a time; readers should not be under way while it writes.
 """
 
@@ -129,6 +130,7 @@ class Store:
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
         """Make ``df`` the whole of ``table`` and return it."""
+        self.finish()
         part = partition_of(table) if table in RANGES else F.lit("all")
         self._put([self._stage(table, df, part, whole=True)])
         return self.read(table)
@@ -150,6 +152,7 @@ class Store:
         self, appends: Mapping[str, DataFrame] = {}, upserts: Mapping[str, tuple[DataFrame, Sequence[str], bool]] = {}
     ) -> int:
         """Several appends and upserts that take effect together; how many partitions upserts wrote."""
+        self.finish()
         load, parts = uuid.uuid4().hex, 0
         staged = [self._stage(table, df, F.lit(load)) for table, df in appends.items()]
         for table, (batch, order, newest) in upserts.items():

@@ -93,6 +93,8 @@ def test_a_change_that_stopped_is_finished_once(spark, store, monkeypatch):
         store.append(
             topic=local_rows(spark, [(2, "b")], TABLES["topic"]), bill_topic=local_rows(spark, [(5, 2)], TABLES["bill_topic"])
         )
+    store.append(party=local_rows(spark, [(3, "A", "x")], TABLES["party"]))  # after what was left half done
+    assert rows(store.read("bill_topic")) == [(5, 2)]
     again = Store.create(spark, store.root)
     for _ in range(2):
         assert sorted(rows(again.read("topic"))) == [(1, "a"), (2, "b")] and rows(again.read("bill_topic")) == [(5, 2)]
