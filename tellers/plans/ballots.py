@@ -130,10 +130,10 @@ def ballot_list(tables: Tables, f: BallotFilter = BallotFilter(), index: DataFra
 
 def ballots_sorted(
     tables: Tables, f: BallotFilter = BallotFilter(), sort: str | None = None,
-    direction: str | None = None,
+    direction: str | None = None, index: DataFrame | None = None,
 ) -> DataFrame:
     """The whole list in order: a range-partitioned sort."""
-    return ballot_list(tables, f).orderBy(*order_columns(list_order(sort, direction)))
+    return ballot_list(tables, f, index).orderBy(*order_columns(list_order(sort, direction)))
 
 
 def ballot_page(
@@ -165,10 +165,10 @@ def ballot_page(
 
 
 def ballot_page_info(
-    tables: Tables, f: BallotFilter = BallotFilter(), page: Page = Page()
+    tables: Tables, f: BallotFilter = BallotFilter(), page: Page = Page(), index: DataFrame | None = None
 ) -> DataFrame:
     """Total and pages, counted on the filtered ballots before topics multiply them."""
-    return page_info(filtered_ballots(tables, f), page)
+    return page_info(filtered_ballots(tables, f, index), page)
 
 
 def ballot_header(tables: Tables, ballot_id: int | None = None) -> DataFrame:

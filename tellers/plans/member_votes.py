@@ -74,23 +74,25 @@ def member_votes(
 
 
 def member_votes_page(
-    tables: Tables, f: VoteFilter = VoteFilter(), member_id: int | None = None, page: Page = Page(), far: bool = False
+    tables: Tables, f: VoteFilter = VoteFilter(), member_id: int | None = None, page: Page = Page(), far: bool = False,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """One page of the list, newest first; only the page's rows are enriched.
 
     ``far`` finds a page far down by counting ranges of the order.
     """
     order = [F.col("held_at").desc(), F.col("vote_id").asc()]
-    rows = _votes(tables, f, member_id).join(_ballots(tables, f).select(*_BALLOT), "ballot_id")
+    rows = _votes(tables, f, member_id).join(_ballots(tables, f, index).select(*_BALLOT), "ballot_id")
     rows = ranked_page(rows, [("held_at", "desc"), ("vote_id", "asc")], page, far)
     here = narrowed(tables, rows)
     return with_vote_type(_enriched(rows, here), here, "left").select(*_LISTED).orderBy(*order)
 
 
 def member_votes_page_info(
-    tables: Tables, f: VoteFilter = VoteFilter(), member_id: int | None = None, page: Page = Page()
+    tables: Tables, f: VoteFilter = VoteFilter(), member_id: int | None = None, page: Page = Page(),
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Total and pages per member, counted without bill, type and topic joins."""
-    ballots = _ballots(tables, f).select("ballot_id")
+    ballots = _ballots(tables, f, index).select("ballot_id")
     votes = _votes(tables, f, member_id).select("ballot_id", "member_id")
     return page_info(votes.join(ballots, "ballot_id"), page, by=["member_id"])

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from frames import DAY, ROWS, frames, rows
 from tellers.plans import counts, labelling, loading
-from tellers.plans.ballots import BallotFilter, ballot_list, filtered_ballots
+from tellers.plans.ballots import BallotFilter, ballot_list, ballot_page_info, ballots_sorted, filtered_ballots
 from tellers.plans.jobs import LabelJob
-from tellers.plans.member_votes import VoteFilter, member_votes
+from tellers.plans.member_votes import VoteFilter, member_votes, member_votes_page, member_votes_page_info
 from tellers.plans.members import member_search, member_stats, member_topic_stats
 from tellers.plans.search import BILL_FIELDS, MEMBER_FIELDS, RANGE, candidates, gram_index, needle_grams, search
 from tellers.plans.tables import Tables
@@ -87,7 +87,11 @@ def test_lists_through_the_index(spark):
         f = BallotFilter(text=text)
         assert sorted(rows(filtered_ballots(t, f, bill_index), "id")) == sorted(rows(filtered_ballots(t, f), "id"))
         assert sorted(rows(ballot_list(t, f, bill_index), "id")) == sorted(rows(ballot_list(t, f), "id"))
+        assert rows(ballot_page_info(t, f, index=bill_index)) == rows(ballot_page_info(t, f))
+        assert rows(ballots_sorted(t, f, index=bill_index), "id") == rows(ballots_sorted(t, f), "id")
         v = VoteFilter(text=text)
+        assert rows(member_votes_page(t, v, index=bill_index)) == rows(member_votes_page(t, v))
+        assert sorted(rows(member_votes_page_info(t, v, index=bill_index))) == sorted(rows(member_votes_page_info(t, v)))
         assert sorted(rows(member_votes(t, v, index=bill_index), "vote_id")) == sorted(rows(member_votes(t, v), "vote_id"))
     for text in ("Åse", "Bo Dahl", "jær", "o d", "B"):
         assert rows(member_search(t, text, index=member_index), "id") == rows(member_search(t, text), "id")
