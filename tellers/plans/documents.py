@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tellers.plans.ballots import ballot_header
+from tellers.plans.ballots import ballot_header, narrowed
 from tellers.plans.members import member_header, member_stats, member_topic_stats
 from tellers.plans.tables import Tables, with_vote_type
 from tellers.session import cut
 
 VOTES_PER_PART = 10_000
+GATHERED = 10_000  # votes of a ballot that one task holds at once
+VOTES_PER_TASK = 200_000
 
 
 def _nested(df: DataFrame, keys: Sequence[str], name: str, *fields: str) -> DataFrame:
@@ -33,31 +35,45 @@ _COUNTED = ("party", "vote_type_id", "vote_type", "votes")
 _TYPED = ("vote_type_id", "vote_type", "votes")
 
 
+def _voters(tables: Tables, ballot_id: int | None) -> DataFrame:
+    """Members' names; ``known`` tells them from votes without a member.
+
+    For all ballots they are written first. The size of a file is known before the votes
+    are read, so members that fit are broadcast and no vote is shuffled by its member.
+    """
+    members = tables.lookup("member", id="id", first_name="first_name", last_name="last_name", party_abbr="party_abbr")
+    members = members if ballot_id is not None else cut(members)
+    return members.withColumnRenamed("id", "member_id").withColumn("known", F.lit(True))
+
+
+def _votes(tables: Tables, ballot_id: int | None) -> DataFrame:
+    votes = tables["vote"].selectExpr("id AS vote_id", "ballot_id", "member_id", "vote_type_id")
+    return votes if ballot_id is None else votes.where(F.col("ballot_id") == ballot_id)
+
+
 def _all_votes(tables: Tables, ballot_id: int | None) -> DataFrame:
     """Votes of a known type with their member's names; ``known`` is NULL without a member."""
-    members = tables.lookup(
-        "member", member_id="id", first_name="first_name", last_name="last_name",
-        party_abbr="party_abbr",
-    )
-    votes = tables["vote"].selectExpr("id AS vote_id", "ballot_id", "member_id", "vote_type_id")
-    if ballot_id is not None:
-        votes = votes.where(F.col("ballot_id") == ballot_id)
-    return with_vote_type(votes.join(members.selectExpr("*", "true AS known"), "member_id", "left"), tables)
+    return with_vote_type(_votes(tables, ballot_id).join(_voters(tables, ballot_id), "member_id", "left"), tables)
 
 
-def _split_ballots(tables: Tables, ballot_id: int | None, votes_per_part: int) -> DataFrame:
-    """(ballot_id, parts) of the ballots with more votes than a part takes.
+def _tasks(votes: int) -> int:
+    """How many tasks so many votes are dealt to.
 
-    Few or none, so they are written once and Spark knows their size. Votes of a
-    ballot that is not stored go into no part: 0.
+    Spark goes by the bytes that are shuffled, and names and lists make a vote many times
+    larger after: the tasks of a large table would sort on disk. What is joined to the
+    votes is dealt to as many, or Spark would shuffle their lists again.
     """
-    votes = tables["vote"].select("ballot_id")
-    if ballot_id is not None:
-        votes = votes.where(F.col("ballot_id") == ballot_id)
-    large = votes.groupBy("ballot_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > votes_per_part)
-    stored = tables["ballot"].selectExpr("id AS ballot_id", "true AS stored")
-    parts = F.when(F.col("stored"), F.ceil(F.col("n") / votes_per_part)).otherwise(F.lit(0))
-    return cut(large.join(stored, "ballot_id", "left").select("ballot_id", parts.cast("long").alias("parts")))
+    return max(8, votes // VOTES_PER_TASK + 1)
+
+
+def _large_ballots(tables: Tables, ballot_id: int | None, limit: int) -> DataFrame:
+    """(ballot_id, n) of the ballots with more than ``limit`` votes.
+
+    There are fewer of them than votes by that factor, so they are written once and
+    Spark knows their size.
+    """
+    counted = _votes(tables, ballot_id).where("ballot_id IS NOT NULL").groupBy("ballot_id").agg(F.count(F.lit(1)).alias("n"))
+    return cut(counted.where(F.col("n") > limit))
 
 
 _TOTALS = """sort_array(transform(
@@ -90,53 +106,138 @@ def _by_part(dealt: DataFrame) -> DataFrame:
     ).withColumn("totals", F.expr(_TOTALS))
 
 
-def ballot_document(
-    tables: Tables, ballot_id: int | None = None, votes_per_part: int = VOTES_PER_PART
-) -> DataFrame:
-    """Header, party counts, totals and single votes of a ballot, one row for most.
+# of one ballot's votes, sorted by part: its parts with their votes
+_SHARES = f"""transform(starts, (s, i) -> struct(
+        dealt[s - 1].part AS part,
+        transform(filter(slice(dealt, s, coalesce(get(starts, i + 1), size(dealt) + 1) - s), v -> v.known),
+            v -> struct({', '.join(f'v.{name} AS {name}' for name in _FIELDS)})) AS votes))"""
+_STARTS = "filter(sequence(1, size(dealt)), i -> i = 1 OR dealt[i - 1].part <> get(dealt, i - 2).part)"
 
-    A ballot with more than ``votes_per_part`` votes comes in several rows, ``part``
-    of ``parts``. Part 1 has the header, the counts of all parts and its share of the
-    votes; the others have ballot_id, part, parts and their shares, with NULL headers
-    and empty counts. So no ballot is ever gathered whole, and no vote is left out or
-    told twice.
 
-    The votes are read for their ballot's size and then once more, shuffled once by
-    (ballot, part), where the header meets them. Only ballots in several parts are
-    counted again.
+def _gathered(tables: Tables, dealt: DataFrame, voters: DataFrame, votes_per_part: int) -> DataFrame:
+    """(ballot_id, parts, party_votes, totals, shares) of votes that are dealt by the ballot.
+
+    ``shares`` are the parts that have votes, in order.
     """
-    split = _split_ballots(tables, ballot_id, votes_per_part)
-    parts = F.coalesce("parts", F.lit(1)).cast("long")
-    votes = _all_votes(tables, ballot_id).join(split, "ballot_id", "left").where("parts IS NULL OR parts > 0")
-    votes = votes.withColumn("part", F.pmod(F.xxhash64("vote_id"), parts) + 1)
-    shares = _by_part(votes.repartition("ballot_id", "part")).withColumn("shared", F.lit(True))
-
-    large = _all_votes(tables, ballot_id).join(split.where("parts > 1").select("ballot_id"), "ballot_id", "left_semi")
-    counts = large.withColumnRenamed("party_abbr", "party").groupBy(
+    parts = F.ceil(F.count(F.lit(1)).over(W.partitionBy("ballot_id")) / votes_per_part)
+    dealt = dealt.withColumn("parts", parts.cast("long")).withColumn("part", F.expr("pmod(deal, parts) + 1"))
+    types = tables.lookup("vote_type", vote_type_id="id", vote_type="type").withColumn("typed", F.lit(True))
+    named = dealt.join(voters, "member_id", "left").join(types, "vote_type_id", "left")
+    counted = named.groupBy("ballot_id", "parts", "typed", "known", "party_abbr", "vote_type_id", "vote_type").agg(
+        F.count(F.lit(1)).alias("votes"), F.expr(f"collect_list(struct(part, known, {', '.join(_FIELDS)})) AS dealt")
+    ).withColumnRenamed("party_abbr", "party")
+    return counted.groupBy("ballot_id", "parts").agg(
+        F.expr(f"sort_array(collect_list(IF(typed AND known, struct({', '.join(_COUNTED)}), NULL))) AS party_votes"),
+        F.expr(f"collect_list(IF(typed, struct({', '.join(_TYPED)}), NULL)) AS by_type"),
+        F.expr("sort_array(flatten(collect_list(IF(typed, dealt, NULL)))) AS dealt"),
+    ).select(
+        "ballot_id", "parts", "party_votes", F.expr(_TOTALS).alias("totals"), "dealt",
+        F.expr(f"IF(size(dealt) = 0, array(), {_STARTS})").alias("starts"),
+    ).withColumn("shares", F.expr(_SHARES)).drop("dealt", "starts")
+
+
+def _whole(tables: Tables, ballot_id: int | None, large: DataFrame | None, votes_per_part: int) -> DataFrame:
+    """The documents of all ballots but the large.
+
+    Ids alone are shuffled, once by the ballot; names come to them where they lie.
+    """
+    head = ballot_header(tables, ballot_id).withColumnRenamed("id", "ballot_id")
+    votes = _votes(tables, ballot_id).where("ballot_id IS NOT NULL")
+    if large is not None:
+        votes = votes.join(large, "ballot_id", "left_anti")
+        head = head.join(large, "ballot_id", "left_anti")
+    names = [name for name in head.columns if name != "ballot_id"]
+    voters = _voters(tables, ballot_id)
+    dealt = votes.selectExpr("ballot_id", "member_id", "vote_type_id", "xxhash64(vote_id) AS deal")
+    tasks = _tasks(tables["vote"].count()) if ballot_id is None else 1
+    dealt, head = (df.repartition(tasks, "ballot_id") for df in (dealt, head))
+    one = F.lit(1).cast("long")
+    if votes_per_part >= GATHERED:
+        named = with_vote_type(dealt.join(voters, "member_id", "left"), tables)
+        shown = head.join(_by_part(named.withColumn("part", one)).drop("part"), "ballot_id", "left")
+        return shown.select(
+            "ballot_id", one.alias("part"), *names, one.alias("parts"), "party_votes", "totals", F.col("single").alias("votes")
+        )
+    found = _gathered(tables, dealt, voters, votes_per_part)
+    # where an id is stored several times its parts are told as often as joins by the id tell them
+    ids = tables["ballot"].selectExpr("id AS ballot_id")
+    ids = ids if ballot_id is None else ids.where(F.col("ballot_id") == ballot_id)
+    repeated = cut(ids.where("ballot_id IS NOT NULL").groupBy("ballot_id").agg(F.count(F.lit(1)).cast("int").alias("copies")).where("copies > 1"))
+    head = head.withColumn("place", F.row_number().over(W.partitionBy("ballot_id").orderBy("ballot_id")))
+    whole = head.join(found, "ballot_id", "left").join(repeated, "ballot_id", "left").withColumns({
+        "parts": F.coalesce("parts", one),
+        "copies": F.expr("IF(parts > 1, coalesce(copies, 1), 1)"),
+    }).withColumn(
+        "shares", F.expr("IF(copies > 1, transform(shares, s -> struct(s.part, sort_array(flatten(array_repeat(s.votes, copies))) AS votes)), shares)")
+    )
+    others = "IF(place = 1, flatten(array_repeat(filter(shares, s -> s.part > 1), copies)), NULL)"
+    first = "array_repeat(struct(1L AS part, get(filter(shares, s -> s.part = 1), 0).votes AS votes), copies * copies)"
+    rows = whole.withColumn("share", F.expr(f"explode(IF(shares IS NULL, {first}, concat({first}, coalesce({others}, array()))))"))
+    headed = F.col("share.part") == 1
+    return rows.select(
+        "ballot_id", F.col("share.part").alias("part"), *[F.when(headed, F.col(name)).alias(name) for name in names], "parts",
+        F.when(headed, F.col("party_votes")).alias("party_votes"), F.when(headed, F.col("totals")).alias("totals"),
+        F.col("share.votes").alias("votes"),
+    )
+
+
+def _spread(tables: Tables, large: DataFrame, votes_per_part: int) -> DataFrame:
+    """The documents of the large ballots: each part is gathered apart from the others."""
+    ballots = cut(tables["ballot"].join(large.withColumnRenamed("ballot_id", "id"), "id", "left_semi"))
+    stored = ballots.selectExpr("id AS ballot_id").join(large, "ballot_id")
+    split = cut(stored.select("ballot_id", F.ceil(F.col("n") / votes_per_part).cast("long").alias("parts")))
+    voters = _voters(tables, None)
+    votes = _votes(tables, None)
+    part = F.expr("pmod(xxhash64(vote_id), parts) + 1")
+    ids = votes.join(split, "ballot_id").select("ballot_id", part.alias("part"), "member_id", "vote_type_id")
+    tasks = _tasks(stored.agg(F.sum("n")).first()[0] or 0)
+    dealt = ids.repartition(tasks, "ballot_id", "part")
+    shares = _by_part(with_vote_type(dealt.join(voters, "member_id", "left"), tables))
+
+    once = votes.join(split.select("ballot_id"), "ballot_id", "left_semi").join(voters, "member_id", "left")
+    counts = with_vote_type(once, tables).withColumnRenamed("party_abbr", "party").groupBy(
         "ballot_id", "known", "party", "vote_type_id", "vote_type"
     ).agg(F.count(F.lit(1)).alias("votes"))
     by_party = _nested(counts.where("known"), ["ballot_id"], "all_party_votes", *_COUNTED)
     by_type = counts.groupBy("ballot_id", "vote_type_id", "vote_type").agg(F.sum("votes").alias("votes"))
+    # a part that is computed, if always 1: by a constant Spark would not join, and move all parts of a ballot to one task
     head = (
-        ballot_header(tables, ballot_id).withColumnRenamed("id", "ballot_id")
-        .join(split, "ballot_id", "left")
+        ballot_header(narrowed(tables, ballots).replaced(ballot=ballots)).withColumnRenamed("id", "ballot_id")
+        .join(split, "ballot_id")
         .join(by_party, "ballot_id", "left")
         .join(_nested(by_type, ["ballot_id"], "all_totals", *_TYPED), "ballot_id", "left")
-        .withColumns({"parts": parts, "part": F.lit(1).cast("long"), "headed": F.lit(True)})
+        .withColumn("part", F.least("parts", F.lit(1).cast("long"))).drop("parts")
     )
-    whole = head.join(shares, ["ballot_id", "part"], "full").where("headed OR part > 1")
-    whole = whole.join(split.withColumnRenamed("parts", "of_parts"), "ballot_id", "left")
-    first = F.col("part") == 1
-    columns = {
-        "parts": F.coalesce("parts", "of_parts"),
-        "party_votes": F.when(first, F.coalesce("all_party_votes", "party_votes")),
-        "totals": F.when(first, F.coalesce("all_totals", "totals")),
-        "votes": F.col("single"),
-    }
-    shown = whole.withColumns(columns).drop(
-        "headed", "shared", "single", "by_type", "all_party_votes", "all_totals", "of_parts"
+    names = [name for name in head.columns if name not in ("ballot_id", "part", "all_party_votes", "all_totals")]
+    head = head.repartition(tasks, "ballot_id", "part")
+    whole = head.join(shares, ["ballot_id", "part"], "full").join(split, "ballot_id")
+    return whole.select(
+        "ballot_id", "part", *names, "parts", F.col("all_party_votes").alias("party_votes"),
+        F.col("all_totals").alias("totals"), F.col("single").alias("votes"),
     )
-    return _or_empty(shown, "party_votes", "totals", "votes")
+
+
+def ballot_document(
+    tables: Tables, ballot_id: int | None = None, votes_per_part: int = VOTES_PER_PART
+) -> DataFrame:
+    """Header, party counts, totals and single votes of a ballot, one row for most.
+
+    A ballot with more than ``votes_per_part`` votes comes in several rows, ``part``
+    of ``parts``. Part 1 has the header, the counts of all parts and its share of the
+    votes; the others have ballot_id, part, parts and their shares, with NULL headers
+    and empty counts. No vote is left out or told twice, and no ballot of more than
+    ``GATHERED`` votes and a part is ever gathered whole.
+
+    The votes are read for their ballot's size and then once more, their ids shuffled
+    once by ballot, where the header meets them. Only those of large ballots are
+    shuffled by (ballot, part) instead, and counted again.
+    """
+    large = _large_ballots(tables, ballot_id, max(GATHERED, votes_per_part))
+    if large.isEmpty():
+        found = _whole(tables, ballot_id, None, votes_per_part)
+    else:
+        found = _whole(tables, ballot_id, large, votes_per_part).unionByName(_spread(tables, large, votes_per_part))
+    return _or_empty(found, "party_votes", "totals", "votes")
 
 
 def in_buckets(df: DataFrame, key: str, path: str, buckets: int | None = None) -> DataFrame:

@@ -76,6 +76,43 @@ def test_documents_from_buckets_read_the_votes_once_and_move_none(spark, tmp_pat
     assert not [node for node in above if node.startswith("Exchange")]
 
 
+@pytest.mark.parametrize("size", [3, documents.VOTES_PER_PART])
+def test_documents_move_each_vote_once_and_no_name(spark, size):
+    found = documents.ballot_document(b.tables(b.Source(spark, FOLDER)), votes_per_part=size)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    [scan] = [line for line in text.splitlines() if "FileScan" in line and "l_suppkey" in line]
+    [above] = ancestors(text, scan.strip())
+    assert len([node for node in above if node.startswith("Exchange")]) == 1
+    joins = [n for n, node in enumerate(above) if "Join" in node and "member_id" in node]
+    assert joins and joins[0] < next(n for n, node in enumerate(above) if node.startswith("Exchange"))
+
+
+def told(df):
+    return sorted(str(r.asDict(recursive=True)) for r in df.collect())
+
+
+@pytest.mark.parametrize("size", [1, 3, 60])
+def test_ballots_too_large_to_gather_give_the_same_parts(spark, size, monkeypatch):
+    draw = random.Random(7)
+    votes = [
+        (n, draw.choice([100] * 9 + [101, 102, 103, 999, None]), draw.choice([1, 2, 3, 4, 5, 77, None]), draw.choice([1, 2, 3, 7, None]))
+        for n in range(300)
+    ]
+    t = frames(spark, vote=votes)
+    want = told(documents.ballot_document(t, votes_per_part=size))
+    monkeypatch.setattr(documents, "GATHERED", 20)
+    assert told(documents.ballot_document(t, votes_per_part=size)) == want
+
+
+def test_votes_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(documents, "VOTES_PER_TASK", 500)
+    found = documents.ballot_document(b.tables(b.Source(spark, FOLDER)), votes_per_part=3)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    rows = b.Source(spark, FOLDER).lineitem.count()
+    by_number = f"{rows // 500 + 1}), REPARTITION_BY_NUM"
+    assert text.count(by_number) == 2  # the votes and what they are joined to
+
+
 def test_totals_of_ballots_from_buckets_move_no_vote(spark, tmp_path):
     source = b.Source(spark, FOLDER)
     votes = documents.in_buckets(b.vote(source), "ballot_id", str(tmp_path))
