@@ -119,7 +119,8 @@ def _gathered(tables: Tables, dealt: DataFrame, voters: DataFrame, votes_per_par
 
     ``shares`` are the parts that have votes, in order.
     """
-    parts = F.ceil(F.count(F.lit(1)).over(W.partitionBy("ballot_id")) / votes_per_part)
+    of_ballot = W.partitionBy("ballot_id").orderBy("ballot_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    parts = F.ceil(F.count(F.lit(1)).over(of_ballot) / votes_per_part)
     dealt = dealt.withColumn("parts", parts.cast("long")).withColumn("part", F.expr("pmod(deal, parts) + 1"))
     types = tables.lookup("vote_type", vote_type_id="id", vote_type="type").withColumn("typed", F.lit(True))
     named = dealt.join(voters, "member_id", "left").join(types, "vote_type_id", "left")
